@@ -100,7 +100,10 @@ class Words:
         bounds[::2], bounds[1::2] = self.start, self.end
         pieces = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(self.data))])
         coded = pieces.dictionary_encode()
-        return coded.indices.to_numpy()[::2].astype(np.int64), coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy()[::2].astype(np.int64)
+        used = np.zeros(len(coded.dictionary), bool)  # the gaps have codes too
+        used[codes] = True
+        return (np.cumsum(used) - 1)[codes], coded.dictionary.filter(pa.array(used)).to_pylist()
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
