@@ -8,7 +8,7 @@ items to count. Second pass: only windows whose cell says two or more are groupe
 A window seen twice within one slice of a partition is settled there and stands once in the
 shuffle, so a passage in a third of all rows brings at most one row for each slice.
 
-The sketch has a fixed size whatever the input (16 MB by default), which bounds what is
+The sketch has a fixed size whatever the input (32 MB by default), which bounds what is
 merged and broadcast. Beyond some 10^8 distinct runs its cells fill up: the filter then lets
 more windows through to the exact pass, and still loses none; raise `log_cells` with the corpus.
 """
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainframe.llm.text import Words, binary_rows, chain, grams, slices, slide
+from chainframe.llm.text import Words, binary_rows, chain, grams, mix, slices, slide
 
 WINDOW, RUN = 35, 20
-#: log2 of the sketch's cells, of which each takes two bits; and of the cells in one shuffled part.
-LOG_CELLS, LOG_PART = 26, 21
+#: Rows of the sketch, log2 of a row's cells, of which each takes two bits, and of the cells in one shuffled part.
+ROWS, LOG_CELLS, LOG_PART = 2, 26, 21
 #: Text bytes of which candidate windows are settled together in one task.
 SETTLE_BYTES = 32 << 20
 
@@ -54,31 +54,46 @@ class Windows:
         return self.runs[slide(most, self.span, np.maximum) == self.runs]
 
 
-def _add(cells: np.ndarray, at: np.ndarray) -> None:
-    at, count = np.unique(at, return_counts=True)
-    cells[at] = np.minimum(2, cells[at] + np.minimum(2, count).astype(np.uint8))
+def _cells(runs: np.ndarray, log_cells: int) -> list[np.ndarray]:
+    """Each run's cell in each of the sketch's rows."""
+    shift = np.uint64(64 - log_cells)
+    return [(h >> shift).astype(np.int64) + (k << log_cells) for k, h in zip(range(ROWS), (runs, mix(runs + np.uint64(1))))]
 
 
-def _pack(part: np.ndarray) -> bytes:
-    four = part.reshape(-1, 4)
-    return (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
+def _count(packed: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return packed[cells >> 2] >> ((cells & 3) << 1).astype(np.uint8) & 3
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    packed = np.frombuffer(data, np.uint8)
-    return (packed[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).reshape(-1)
+def _add(packed: np.ndarray, cells: np.ndarray) -> None:
+    """Adds one for each of the cells, four of which share a byte; counts stop at two."""
+    cells, times = np.unique(cells, return_counts=True)
+    if not len(cells):
+        return
+    old = _count(packed, cells)
+    change = (old ^ np.minimum(2, old + np.minimum(2, times).astype(np.uint8))) << ((cells & 3) << 1).astype(np.uint8)
+    byte = cells >> 2
+    first = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))
+    packed[byte[first]] ^= np.bitwise_or.reduceat(change, first)
+
+
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sketch of both parts; in each pair of bits, the high one says two or more."""
+    high, low = np.uint8(0xAA), np.uint8(0x55)
+    two = (a | b) & high | (a & b & low) << 1
+    return two | (a ^ b) & low & ~(two >> 1)
 
 
 def _sketch(window: int, run: int, log_cells: int, log_part: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << log_cells, np.uint8)
-        shift, size = np.uint64(64 - log_cells), 1 << log_part
+        packed, size = np.zeros(ROWS << (log_cells - 2), np.uint8), 1 << (log_part - 2)
         for batch in batches:
             for part in slices(batch, "text"):
-                _add(cells, (Windows(part["text"], window, run).chosen_runs() >> shift).astype(np.int64))
-        for k in range(len(cells) // size):
-            if (own := cells[k * size : (k + 1) * size]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(_pack(own), 1)], pa.binary())], ["part", "cells"])
+                runs = Windows(part["text"], window, run).chosen_runs()
+                for cells in _cells(runs, log_cells):
+                    _add(packed, cells)
+        for k in range(len(packed) // size):
+            if (own := packed[k * size : (k + 1) * size]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["part", "cells"])
 
     return sketch
 
@@ -88,19 +103,19 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, data in zip(batch["part"].to_pylist(), batch["cells"].to_pylist()):
-            own = _unpack(zlib.decompress(data))
-            sums[k] = np.minimum(2, sums[k] + own) if k in sums else own
+            own = np.frombuffer(zlib.decompress(data), np.uint8)
+            sums[k] = _sum(sums[k], own) if k in sums else own
     for k, own in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(_pack(own), 1)], pa.binary())], ["part", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["part", "cells"])
 
 
 def merged_sketch(docs: DataFrame, window: int, run: int, log_cells: int, log_part: int) -> np.ndarray:
-    """The whole corpus' sketch, packed: 2^(log_cells - 2) bytes, a fixed size."""
+    """The whole corpus' sketch: ROWS * 2^(log_cells - 2) bytes, a fixed size."""
     parts = docs.select("text").mapInArrow(_sketch(window, run, log_cells, log_part), "part int, cells binary")
     # two steps, so that no task unpacks more than a fraction of all partitions' parts
     some = parts.repartition(64, "part", F.expr("pmod(monotonically_increasing_id() >> 33, 16)")).mapInArrow(_merge, "part int, cells binary")
-    rows = some.repartition(1 << (log_cells - log_part), "part").mapInArrow(_merge, "part int, cells binary").collect()
-    whole = np.zeros(1 << (log_cells - 2), np.uint8)
+    rows = some.repartition(ROWS << (log_cells - log_part), "part").mapInArrow(_merge, "part int, cells binary").collect()
+    whole = np.zeros(ROWS << (log_cells - 2), np.uint8)
     size = 1 << (log_part - 2)
     for row in rows:
         whole[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(zlib.decompress(row["cells"]), np.uint8)
@@ -150,15 +165,17 @@ def _candidates(window: int, run: int, log_cells: int, sketch):
             yield pa.RecordBatch.from_arrays([pa.array((least if with_hashes else chain(key.view(np.uint64), at.view(np.uint64)))[first].view(np.int64)), pa.array(doc[first], mask=null[first]), pa.array(key[first]), pa.array(at[first].astype(np.int32)), pa.array(length.astype(np.int32)), binary_rows(picked, offsets)], ["least", "doc_id", "text_key", "start", "length", "hashes"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, shift = np.frombuffer(sketch.value, np.uint8), np.uint64(64 - log_cells)
+        packed = np.frombuffer(sketch.value, np.uint8)
         held, size = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Windows(part["text"], window, run)
                 size += len(w.words.data)
                 if len(w.valid):
-                    cell = (w.least >> shift).astype(np.int64)
-                    maybe = np.flatnonzero(w.valid & ((packed[cell >> 2] >> ((cell & 3) << 1).astype(np.uint8) & 3) >= 2))
+                    maybe = w.valid
+                    for cells in _cells(w.least, log_cells):
+                        maybe = maybe & (_count(packed, cells) >= 2)
+                    maybe = np.flatnonzero(maybe)
                     if len(maybe):
                         row = w.words.row[maybe]
                         ids = part["doc_id"]
