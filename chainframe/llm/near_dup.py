@@ -5,9 +5,9 @@ with one of m right half-keys, each of two minhashes, so m*m tables cost 4*m min
 place of 4*m*m. At m = 10 a pair of similarity s meets in some table with probability
 (1 - (1 - s^2)^10)^2: 0.9995 at 0.75, above 0.99999 at 0.85. Every candidate link is confirmed on the full sets.
 
-Copies of one set are one node. In each bucket, candidate pairs join a few leads with the
-nodes of other components, never all pairs; the leads grow eightfold each round until no
-bucket holds two components with an unconfirmed pair, so nothing that met in a table is lost.
+Copies of one set are one node. First each node of a bucket is compared with the bucket's
+smallest, a star and not all pairs. Buckets that then still hold two components are settled
+exactly, with only links emitted: see `_rest`. So no link between nodes that met in a table is lost.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from chainframe.linalg.components import connected_components
 from chainframe.llm.text import Words, binary_rows, chain, grams, mix, slices
 
 SHINGLE, SIMILAR, HALVES = 5, 75, 10
-#: Up to so many document ids (8 bytes each) are broadcast to pick candidates' texts; more are joined by a shuffle.
+#: Up to so many candidate rows (a few dozen bytes each) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Members that one task compares with a lead, about.
-PER_SALT = 2_000
+#: Members and leads that meet in one group, about.
+PER_SALT, PER_BLOCK = 4_000, 2_000
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,40 +99,141 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(k1), pa.array(k2), binary_rows(hashes, offsets)], ["node", "k1", "k2", "shingles"])
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            hashes, offsets = shingle_sets(part["text"])
+            row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+            yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(row)), pa.array(hashes.view(np.int64))], ["node", "shingle"])
+
+
+class _Leads:
+    """Sets that members of a group are compared with: an inverted index over their shingles."""
+
+    def __init__(self, ids: list[int], labels: list[int], sets: list[np.ndarray]):
+        self.ids, self.labels = np.array(ids), np.array(labels)
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.lead = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.shingles, self.at = np.unique(every[order], return_index=True)
+        self.at = np.append(self.at, len(every))
+
+    def similar(self, own: np.ndarray, similar: int) -> np.ndarray:
+        """Leads whose Jaccard similarity with `own` is at least similar / 100."""
+        if not len(own) or not len(self.shingles):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, own), len(self.shingles) - 1)
+        at = at[self.shingles[at] == own]
+        if 100 * len(at) < similar * len(own):  # too few shingles are in any lead
+            return np.zeros(0, np.int64)
+        size = self.at[at + 1] - self.at[at]
+        places = np.repeat(self.at[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        common = np.bincount(self.lead[places], minlength=len(self.ids))
+        return np.flatnonzero((common > 0) & (100 * common >= similar * (self.sizes + len(own) - common)))
+
+
 def _confirm(similar: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (lead, salt, not the lead itself): compares each member with its lead's set, kept from the row before."""
-        lead, held = None, np.zeros(0, np.uint64)
+        """Rows sorted by group, leads first: links members with leads of other labels. Links that others in the group imply are left out."""
+        group, leads, held = None, None, ([], [], [])
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = x = above.get(up, up)
+            return x
+
         for batch in batches:
             a, b = [], []
-            for x, node, member, blob in zip(batch["lead"].to_pylist(), batch["node"].to_pylist(), batch["member"].to_pylist(), batch["shingles"]):
+            columns = [batch[c].to_pylist() for c in ("g", "block", "salt", "node", "label", "member")]
+            for *key, node, label, member, blob in zip(*columns, batch["shingles"]):
+                if key != group:
+                    group, leads, held = key, None, ([], [], [])
+                    above.clear()
                 own = np.frombuffer(blob.as_buffer(), np.uint64)
                 if not member:
-                    lead, held = x, own
-                elif x == lead and len(held) and len(own):
-                    at = np.searchsorted(held, own)
-                    at[at == len(held)] = 0
-                    common = int(np.count_nonzero(held[at] == own))
-                    if 100 * common >= similar * (len(held) + len(own) - common):
-                        a.append(x)
+                    for x, y in zip(held, (node, label, own)):
+                        x.append(y)
+                    continue
+                if leads is None:
+                    leads, held = _Leads(*held), ([], [], [])
+                for k in leads.similar(own, similar).tolist():
+                    x, y = top(label), top(int(leads.labels[k]))
+                    if x != y:
+                        above[x] = y
+                        a.append(int(leads.ids[k]))
                         b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return confirm
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_pairs: int, similar: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
-    members = pairs.join(salts, "a").select(F.col("a").alias("lead"), F.expr("cast(pmod(xxhash64(b), salts) AS int)").alias("salt"), F.col("b").alias("node"), F.lit(True).alias("member"))
-    leads = salts.select(F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"), F.lit(False).alias("member"))
-    roles = members.union(leads).join(nodes.select("node", "k1", "k2"), "node")
-    ids = roles.select("node").distinct()
-    small = 2 * n_pairs <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_full_sets, "node long, k1 long, k2 long, shingles binary")
+def _texts(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """The rows of docs with these ids: few ids are broadcast, more are joined by a shuffle."""
+    return docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("node"), "left_semi")
+
+
+def _links(docs: DataFrame, nodes: DataFrame, roles: DataFrame, similar: int) -> DataFrame:
+    """Confirmed links (a, b) by roles (g, block, salt, node, label, member)."""
+    roles = cut(roles.join(nodes.select("node", "k1", "k2"), "node"))
+    count = roles.count()
+    sets = _texts(docs, roles.select("node").distinct(), count).mapInArrow(_full_sets, "node long, k1 long, k2 long, shingles binary")
+    dealt = sets.join(F.broadcast(roles) if count <= BROADCAST_IDS else roles, ["node", "k1", "k2"]).select("g", "block", "salt", "node", "label", "member", "shingles")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = texts.join(F.broadcast(roles) if small else roles, ["node", "k1", "k2"]).select("lead", "salt", "node", "member", "shingles")
-    return dealt.repartition(parts, "lead", "salt").sortWithinPartitions("lead", "salt", "member").mapInArrow(_confirm(similar), "a long, b long")
+    order = ["g", "block", "salt"]
+    return dealt.repartition(parts, *order).sortWithinPartitions(*order, "member").mapInArrow(_confirm(similar), "a long, b long")
+
+
+def _salt(node: str, salts: str) -> F.Column:
+    return F.expr(f"cast(pmod(xxhash64({node}), {salts}) AS int)")
+
+
+def _star_roles(pairs: DataFrame) -> DataFrame:
+    """Each node's lead: pairs (a, b) make a group for each a, cut where it is large."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
+    members = pairs.join(salts, "a").select(F.col("a").alias("g"), F.lit(0).alias("block"), _salt("b", "salts").alias("salt"), F.col("b").alias("node"), F.col("b").alias("label"), F.lit(True).alias("member"))
+    leads = salts.select(F.col("a").alias("g"), F.lit(0).alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"), F.col("a").alias("label"), F.lit(False).alias("member"))
+    return members.union(leads)
+
+
+def _block_roles(left: DataFrame) -> DataFrame:
+    """Groups for nodes (node, label, g): those outside the largest label of their g, in blocks, lead all nodes of the g."""
+    sizes = left.groupBy("g", "label").agg(F.count("*").alias("c"))
+    whole = sizes.groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    whole = whole.select("g", "main", F.ceil(F.col("all") / PER_SALT).cast("int").alias("salts"), F.ceil((F.col("all") - F.col("most")) / PER_BLOCK).cast("int").alias("blocks")).filter("blocks > 0")
+    both = left.join(whole, "g")
+    members = both.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), _salt("node", "salts").alias("salt"), "node", "label", F.lit(True).alias("member"))
+    leads = both.filter("label <> main").select("g", _salt("node, 1", "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "node", "label", F.lit(False).alias("member"))
+    return members.union(leads)
+
+
+def _open(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets that hold two labels."""
+    bucket = Window.partitionBy("bucket")
+    return buckets.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).withColumn("least", F.min("node").over(bucket)).filter("lo < hi")
+
+
+def _rest(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, labels: DataFrame, similar: int) -> DataFrame | None:
+    """Links among nodes of one bucket that no star has settled.
+
+    A node of which more than a quarter of the shingles is in no other open node can't be similar to one and is left out;
+    so documents that share a passage, but not most of their text, cost no comparison. The others are
+    compared block by block within each connected group of buckets.
+    """
+    told = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    still = cut(_open(told).select("bucket", "node", "label"))
+    ids = cut(still.select("node").distinct())
+    count = ids.count()
+    if not count:
+        return None
+    own = _texts(docs, ids, count).mapInArrow(_shingle_rows, "node long, shingle long")
+    single = own.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    gone = single.join(nodes.select("node", "n"), "node").filter(f"100 * (n - alone) < {similar} * n").select("node")
+    still = cut(_open(still.join(cut(gone), "node", "left_anti")).select("bucket", "node", "label", "least"))
+    near = connected_components(still.select(F.col("least").alias("a"), F.col("node").alias("b")))
+    left = still.select("node", "label").distinct().join(near.withColumnRenamed("label", "g"), "node")
+    return _links(docs, nodes, _block_roles(cut(left)), similar)
 
 
 def near_duplicates(docs: DataFrame, halves: int = HALVES, similar: int = SIMILAR) -> DataFrame:
@@ -147,47 +248,25 @@ def near_duplicates(docs: DataFrame, halves: int = HALVES, similar: int = SIMILA
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = cut(docs.mapInArrow(_sketches(halves), "doc_id long, n_shingles long, k1 long, k2 long, left array<long>, right array<long>"))
     real = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = cut(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("left", "right", "n_shingles"), "doc_id").alias("s"), F.max("doc_id").alias("most")).select("node", "k1", "k2", F.col("s.n_shingles").alias("n"), "most", "s.left", "s.right"))
+    nodes = cut(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("most"), F.first("n_shingles").alias("n"), F.first("left").alias("left"), F.first("right").alias("right")))
     members = real.select("doc_id", "k1", "k2").join(nodes.select("k1", "k2", "node", "most").filter("node < most"), ["k1", "k2"], "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
     # one doc_id in two classes joins them
-    shared = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top"), F.count("*").alias("c")).filter("a < top")
+    shared = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a < top")
     links = shared.join(members, "doc_id").select("a", F.col("node").alias("b")).filter("a < b").distinct()
 
-    left = nodes.select("node", "n", F.posexplode("left").alias("i", "l"), "right").repartition(F.col("l"), F.col("i"))
-    tables = left.select("node", "n", "i", "l", F.posexplode("right").alias("j", "r"))
+    tables = nodes.select("node", "n", F.posexplode("left").alias("i", "l"), "right").repartition(F.col("l"), F.col("i"))
+    tables = tables.select("node", "n", "i", "l", F.posexplode("right").alias("j", "r"))
     bucket = Window.partitionBy("l", "i", "r", "j")
-    met = tables.withColumn("first", F.min("node").over(bucket)).withColumn("size", F.count("*").over(bucket)).filter("size > 1")
-    buckets = cut(met.select(F.xxhash64("l", "i", "r", "j").alias("bucket"), "node", "n", "first", "size"))
-    own = nodes.select("node", F.col("n"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        return pairs.filter(f"100 * least(na, nb) >= {similar} * greatest(na, nb)").select("a", "b").distinct()
-
-    first = buckets.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-    pairs = alike(first.join(own.select(F.col("node").alias("a"), F.col("n").alias("na")), "a"))
-    links, tried, width = cut(links), None, 1
-    while True:
-        pairs = cut(pairs)
-        n_pairs = pairs.count()
-        if n_pairs:
-            links = cut(links.union(_confirmed(docs, nodes, pairs, n_pairs, similar)))
-            tried = pairs if tried is None else tried.union(pairs)
-        labels = cut(connected_components(links))
-        told = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        whole = Window.partitionBy("bucket")
-        open_ = told.withColumn("lo", F.min("label").over(whole)).withColumn("hi", F.max("label").over(whole)).filter("lo < hi")
-        open_ = cut(open_.select("bucket", "node", "n", "label", "size"))
-        largest = open_.agg(F.max("size")).first()[0] or 0
-        if largest <= width or (n_pairs == 0 and not largest):
-            break
-        width *= 8
-        leads = open_.withColumn("rank", F.row_number().over(whole.orderBy(F.xxhash64("node"), "node"))).filter(F.col("rank") <= width)
-        leads = leads.select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-        crossed = leads.join(open_, "bucket").filter("label <> lx")
-        pairs = alike(crossed.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"), F.col("nx").alias("na"), F.col("n").alias("nb")))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    found = members.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("component")).filter("component < doc_id OR component IS NULL")
+    met = tables.withColumn("first", F.min(F.struct("node", "n")).over(bucket)).withColumn("size", F.count("*").over(bucket)).filter("size > 1")
+    buckets = cut(met.select(F.xxhash64("l", "i", "r", "j").alias("bucket"), "node", "n", "first"))
+    pairs = buckets.filter(f"node <> first.node AND 100 * least(n, first.n) >= {similar} * greatest(n, first.n)").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    links = cut(links.union(_links(docs, nodes, _star_roles(cut(pairs)), similar)))
+    labels = connected_components(links)
+    rest = _rest(docs, nodes, buckets.select("bucket", "node"), labels, similar)
+    if rest is not None:
+        # of what is linked already, one edge for each node is enough
+        labels = connected_components(rest.union(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
+    found = members.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("component")).filter("component < doc_id")
     found = found.groupBy("doc_id").agg(F.min("component").alias("component"))
     # only documents that hang on a smaller one are joined back
     out = sketch.select("doc_id", "n_shingles").join(found, "doc_id", "left")
