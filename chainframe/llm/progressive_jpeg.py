@@ -65,13 +65,12 @@ def _lengths(sizes: range) -> tuple[bytes, bytes]:
     return bytes(sum(9 - s == n for s in order) for n in range(1, 17)), bytes(order)
 
 
-_DC, _AC, _REFINE = _lengths(range(8)), _lengths(range(1, 9)), (bytes([1, *[0] * 15]), b"\0")
+_DC, _AC, _REFINE = _lengths(range(9)), _lengths(range(1, 9)), (bytes([1, *[0] * 15]), b"\0")
 _VALUES = np.arange(-127, 129)
 _SIZES = np.array([int(abs(v)).bit_length() for v in _VALUES])
 _DC_FIELD, _AC_FIELD = np.zeros(256, np.uint16), np.zeros(256, np.uint16)  # by value + 127
 for _s in range(9):
-    if _s < 8:
-        _DC_FIELD[_SIZES == _s] = _table(*_DC).field(_s, _VALUES[_SIZES == _s])
+    _DC_FIELD[_SIZES == _s] = _table(*_DC).field(_s, _VALUES[_SIZES == _s])
     if _s:
         _at = (_SIZES == _s) & (_VALUES > 0)
         _AC_FIELD[_at] = _table(*_AC).field(_s, _VALUES[_at])
