@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chainframe.llm import decontaminate, media, near_dup, packing, quality, substring_dedup, token_count, toxicity
+from chainframe.llm import decontaminate, html_extract, licenses, media, near_dup, packing, quality, substring_dedup, token_count, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +46,18 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
+    "op8_licenses": op8_licenses,
+    "op5_main_text": op5_main_text,
     "op2_media": op2_media,
     "op4_packing": op4_packing,
     "op1_token_counts": op1_token_counts,
