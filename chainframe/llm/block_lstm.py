@@ -127,13 +127,13 @@ class BlockLSTM:
             out["x" + d], out["h" + d], out["c" + d] = x.T @ dgates, dw, dgates.sum(0)
         return out
 
-    def fit(self, x: np.ndarray, sizes: list[int], y: np.ndarray, epochs: int, batch: int = 24, rate: float = 0.012, seed: int = 5) -> BlockLSTM:
+    def fit(self, x: np.ndarray, sizes: list[int], y: np.ndarray, epochs: int, batch: int = 32, rate: float = 0.015, seed: int = 5) -> BlockLSTM:
         rng, begin = np.random.default_rng(seed), np.concatenate([[0], np.cumsum(sizes)])
         m, v, step = {k: np.zeros_like(w) for k, w in self.p.items()}, {k: np.zeros_like(w) for k, w in self.p.items()}, 0
         total = epochs * -(-len(sizes) // batch)
         for _ in range(epochs):
-            order = rng.permutation(len(sizes))
-            for a in range(0, len(order), batch):
+            order = np.argsort(np.array(sizes) + 4 * rng.random(len(sizes)))  # pages of like lengths side by side
+            for a in rng.permutation(-(-len(order) // batch)) * batch:
                 part = order[a : a + batch]
                 at = np.concatenate([np.arange(begin[p], begin[p + 1]) for p in part])
                 step += 1

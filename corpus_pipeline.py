@@ -1,25 +1,68 @@
-"""From raw documents to packed training sequences, in five stages."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last keep the columns of docs.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainframe.lineage import cut
+from chainframe.llm.decontaminate import decontaminate
 from chainframe.llm.near_dup import near_duplicates
+from chainframe.llm.packing import pack
+from chainframe.llm.quality import keep_good
+from chainframe.llm.substring_dedup import remove_repeats
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    """n_chars, where there is such a column, of the texts as they are now."""
+    return docs.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else docs
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on the labelled rows of docs, rejects go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; rows without doc_id stay."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    """One document of each near-duplicate group stays, that of the smallest doc_id; rows without doc_id stay."""
+    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("near_dedup", drop_near_duplicates)]
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words covered by a repeated window of 35 words go; a document of which nothing is left stays as an empty text."""
+    return _recounted(remove_repeats(docs))
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of benchmark windows go; a document that was nothing else goes."""
+    return _recounted(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each piece's place in the training sequences."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("decontamination", cut_benchmark),
+    ("packing", pack_sequences),
+]
+
+#: SQL can't express the trained classifier, so tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; each stage's rows are computed once and kept in shared storage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
