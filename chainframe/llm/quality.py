@@ -21,7 +21,7 @@ from chainframe.llm.labelled import examples, held_out
 from chainframe.llm.text import Words, chain, grams, mix, slices
 
 #: Labelled rows learnt from at most, whatever the corpus (they are held on the driver).
-MAX_EXAMPLES = 2_500
+MAX_EXAMPLES = 2_000
 #: Score from which a document is good.
 ACCEPT = 0.3
 _NGRAMS = (3, 4, 5)
@@ -90,19 +90,21 @@ class SubwordModel:
         seen, seen_out, seen_bias = np.full(len(table), 1e-8, np.float32), np.full(out.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
         f = Features(texts, self.bits)
         word_at, pair_at, code_at = (np.concatenate([[0], np.cumsum(x)]) for x in (f.word_size, f.pair_size, f.per_row))
-        rows = []  # each row's features and their shares in its vector
-        for r in range(n):
-            code, times = np.unique(f.codes[code_at[r] : code_at[r + 1]], return_counts=True)
-            size = f.word_size[code]
-            at = np.repeat(word_at[code] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            pair, often = np.unique(f.pairs[pair_at[r] : pair_at[r + 1]], return_counts=True)
-            inside = np.repeat(times, size)
-            rows.append((np.concatenate([f.of_word[at], pair]), np.concatenate([inside / max(1, 2 * inside.sum()), often / max(1, 2 * often.sum())]).astype(np.float32)))
-        batches = []
+        batches = []  # labels, distinct features, and each row's features among them with their shares in its vector
         for part in np.array_split(rng.permutation(n), max(1, n // self.batch)):
-            distinct, where = np.unique(np.concatenate([rows[r][0] for r in part]), return_inverse=True)
-            owner = np.repeat(np.arange(len(part)), [len(rows[r][0]) for r in part])
-            batches.append((labels[part], distinct, where, owner, np.concatenate([rows[r][1] for r in part])))
+            ids, share, size_of = [], [], []
+            for r in part:
+                code, times = np.unique(f.codes[code_at[r] : code_at[r + 1]], return_counts=True)
+                size = f.word_size[code]
+                at = np.repeat(word_at[code] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                pair, often = np.unique(f.pairs[pair_at[r] : pair_at[r + 1]], return_counts=True)
+                inside = np.repeat(times, size)
+                ids += [f.of_word[at], pair]
+                share += [inside / max(1, 2 * inside.sum()), often / max(1, 2 * often.sum())]
+                size_of.append(len(at) + len(pair))
+            distinct, where = np.unique(np.concatenate(ids), return_inverse=True)
+            owner = np.repeat(np.arange(len(part), dtype=np.int32), size_of)
+            batches.append((labels[part], distinct.astype(np.int32), where.astype(np.int32), owner, np.concatenate(share).astype(np.float32)))
         for epoch in range(self.epochs):
             step = self.rate * (1 - epoch / self.epochs)
             for k in rng.permutation(len(batches)):
