@@ -177,10 +177,18 @@ def _page(rng: np.random.Generator) -> str:
     """A random page; each block's text begins with \\x01 if it is main text and \\x02 if not."""
     syllables = [chr(97 + a) + "aeiou"[b] + "nrstl"[c] for a, b, c in rng.integers(0, (26, 5, 5), (40, 3))]
     plain = rng.random() < 0.15  # class names say nothing
+    style = rng.random()  # of pages, some are in capitals, and some have marks or bars after their words
+    marks = ["!!", "%%%", "***", "$$$", "###", "&&&", " |", ","][rng.integers(8)] if rng.random() < 0.3 else ""
 
     def words(n: int, kind: str = "") -> str:
         own = _PAGE_WORDS[kind].split() if kind and rng.random() < 0.7 else []
-        return " ".join(own[rng.integers(len(own))] if own and rng.random() < 0.6 else "".join(syllables[k] for k in rng.integers(0, 40, rng.integers(1, 4))) for _ in range(n))
+        out = [own[rng.integers(len(own))] if own and rng.random() < 0.6 else "".join(syllables[k] for k in rng.integers(0, 40, rng.integers(1, 4))) for _ in range(n)]
+        if rng.random() < 0.03:
+            out = [out[0]] * n
+        if marks and rng.random() < 0.5:
+            out = [x + marks for x in out]
+        text = " ".join(out)
+        return text.upper() if style < 0.1 else text
 
     def pick(text: str) -> str:
         options = text.split()
@@ -219,7 +227,7 @@ def _page(rng: np.random.Generator) -> str:
     def maybe(kind: str, chance: float) -> str:
         return box(kind) if rng.random() < chance else ""
 
-    parts = [f"<h1>\x01{words(int(rng.integers(2, 12)))}</h1>"] if rng.random() < 0.85 else []
+    parts = [f"<h1>\x01{words(int(rng.integers(1, 14)))}{pick('. ! ? ,') if rng.random() < 0.4 else ''}</h1>"] if rng.random() < 0.85 else []
     parts.append(maybe("meta", 0.2))
     prose = 0.72 if rng.random() < 0.6 else 1  # many articles are paragraphs only
     for _ in range(rng.integers(1, 14) if rng.random() < 0.8 else rng.integers(14, 60)):

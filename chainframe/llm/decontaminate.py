@@ -186,7 +186,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     if remove not in ("spans", "documents"):
         raise ValueError("remove is spans or documents")
     context, names = docs.sparkSession.sparkContext, docs.columns
-    rows = docs.select(F.struct(*[F.col(c) for c in names if c != "text"]).alias("rest"), "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("rest"), "text")
     for index in _blocks(benchmark, window, block_words):
         # blocks are of whole items, but a later block must judge the text as it was
         rows = rows if "was" in rows.columns else rows.withColumn("was", F.col("text")).withColumn("cut", F.lit(None).cast("array<struct<start:int,length:int>>"))

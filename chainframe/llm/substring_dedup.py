@@ -301,7 +301,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, log_c
 def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, log_cells: int = LOG_CELLS) -> DataFrame:
     """`docs`, all its columns, with repeated passages cut from `text`; kept words of a changed text are joined by one space."""
     names = docs.columns
-    keyed = docs.select(F.struct(*[F.col(c) for c in names if c != "text"]).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("was"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("was"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     rows = _marked(keyed, repeated_windows(docs, window, run, log_cells)).withColumn("absent", F.col("was").isNull()).select("rest", "absent", "text", "marks")
     out = rows.mapInArrow(_remove(window, True), f"rest {rows.schema['rest'].dataType.simpleString()}, absent boolean, text string")
     text = F.when(F.col("absent"), F.lit(None).cast("string")).otherwise(F.col("text"))
