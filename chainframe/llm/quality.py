@@ -168,6 +168,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, max_ex
     """The rows of `docs`, all columns, whose score is at least `accept`."""
     names = docs.columns
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_examples))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text")
-    rows = rows.mapInArrow(_scored(model), f"row {rows.schema['row'].dataType.simpleString()}, text string, score double")
-    return rows.filter(F.col("score") >= accept).select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("rest"), "text")  # the text crosses to Python once
+    rows = rows.mapInArrow(_scored(model), f"rest {rows.schema['rest'].dataType.simpleString()}, text string, score double")
+    return rows.filter(F.col("score") >= accept).select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in names])

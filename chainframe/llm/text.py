@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Text bytes that a kernel handles at once; a longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _32 = np.uint64(32)
