@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainframe.functions.arrays import ratio
 
@@ -30,7 +31,7 @@ def correlations(x: DataFrame, y: DataFrame, exact: bool = False) -> DataFrame:
     return rows.select("var", "lineage", F.when(F.abs(corr) <= 1, corr).alias("corr"), "n")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: erfc(abs(v) / sqrt(2)))
 
