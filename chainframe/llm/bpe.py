@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -287,7 +288,7 @@ def compiled(path: str) -> tuple[Scanner, CountTransducer, dict[bytes, int]]:
 
 
 @lru_cache(maxsize=2)
-def library(path: str) -> tuple[Scanner, Tokenizer, bytes, dict[bytes, np.ndarray]]:
+def library(path: str) -> tuple[Scanner, Tokenizer, bytes, dict[bytes, bytes]]:
     """The scanner, the tokenizers library for a file, its special string, and the ids remembered so far."""
     tokenizer = Tokenizer.from_file(path)
     return Scanner(tokenizer.pre_tokenizer), tokenizer, vocabulary(path)[2], {}
@@ -302,10 +303,10 @@ def token_ids(column: pa.Array, path: str, remember: int) -> tuple[np.ndarray, n
         known.clear()
         new = pre.distinct
     for x, e in zip(new, tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
-        known[x] = np.array(e.ids, np.uint32)
-    parts = [known[x] for x in pre.distinct] + [np.array([tokenizer.token_to_id(special.decode())], np.uint32)]  # the last for code -1
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat, at = np.concatenate(parts), np.concatenate([[0], np.cumsum(size)[:-1]])
+        known[x] = array("I", e.ids).tobytes()
+    parts = [known[x] for x in pre.distinct] + [array("I", [tokenizer.token_to_id(special.decode())]).tobytes()]  # the last for code -1
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    flat, at = np.frombuffer(b"".join(parts), np.uint32), np.concatenate([[0], np.cumsum(size)[:-1]])
     codes = np.where(pre.codes < 0, len(parts) - 1, pre.codes)
     ends = np.concatenate([[0], np.cumsum(size[codes])])
     ids = flat[np.repeat(at[codes] - ends[:-1], size[codes]) + np.arange(ends[-1])]

@@ -26,7 +26,9 @@ from chainframe.llm.text import slices
 
 CAPACITY, END = 1024, 2
 #: Distinct pre-tokens whose ids one worker remembers; the least number of groups in which the pieces of one length are ranked.
-REMEMBER, SALTS = 200_000, 64
+REMEMBER, SALTS = 300_000, 64
+#: Text bytes tokenized together: more share more pre-tokens.
+TOKEN_BYTES = 4 << 20
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -91,7 +93,7 @@ def _pieces(path: str, capacity: int, end: int):
         os.environ["RAYON_NUM_THREADS"] = "1"  # Spark's tasks share the cores
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TOKEN_BYTES):
                 ids, offsets = token_ids(part["text"], path, REMEMBER)
                 rows = part.num_rows
                 size = np.diff(offsets) + 1

@@ -14,13 +14,15 @@ from chainframe.llm.text import slices, text_buffer
 
 #: Distinct pre-tokens whose counts one worker remembers.
 REMEMBER = 300_000
+#: Text bytes tokenized together: more share more pre-tokens.
+TOKEN_BYTES = 4 << 20
 
 
 def _counted(path: str):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, transducer, known = compiled(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TOKEN_BYTES):
                 pre = Pretokens(scanner, part["text"], transducer.special)
                 new = [x for x in pre.distinct if x not in known]
                 if len(known) + len(new) > REMEMBER:
