@@ -166,10 +166,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, m
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
+def _scores(model):
+    @F.arrow_udf("double")
+    def scores(text: pa.Array) -> pa.Array:
+        parts = slices(pa.RecordBatch.from_arrays([text], ["text"]), "text", BATCH_BYTES)
+        return pa.array(np.concatenate([np.zeros(0), *(model.value.score(part["text"]) for part in parts)]))
+
+    return scores
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, max_examples: int = MAX_EXAMPLES) -> DataFrame:
-    """The rows of `docs`, all columns, whose score is at least `accept`."""
-    names = docs.columns
+    """The rows of `docs`, all columns, whose score is at least `accept`. Only scores come back from Python."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_examples))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("rest"), "text")  # the text crosses to Python once
-    rows = rows.mapInArrow(_scored(model), f"rest {rows.schema['rest'].dataType.simpleString()}, text string, score double")
-    return rows.filter(F.col("score") >= accept).select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in names])
+    return docs.filter(_scores(model)(F.col("text")) >= accept)
