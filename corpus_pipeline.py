@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chainframe.lineage import cut
 from chainframe.llm.decontaminate import decontaminate
-from chainframe.llm.near_dup import near_duplicates
+from chainframe.llm.near_dup import BROADCAST_IDS, near_duplicates
 from chainframe.llm.packing import pack
 from chainframe.llm.quality import keep_good
 from chainframe.llm.substring_dedup import remove_repeats
@@ -27,10 +27,36 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _vertices(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with __vertex, a number for each (doc_id, text), and __loose, whether rows may share it; and whether any may.
+
+    It is the doc_id where one text has that id, else for the text of least hash. Texts without an id of their
+    own get a hash from 2^62 up, so rows with an id go before them.
+    """
+    number = F.col("doc_id").cast("long")
+    again = cut(docs.filter("doc_id IS NOT NULL").groupBy(number.alias("__again")).agg(F.count("*").alias("__n"), F.min(F.xxhash64("text")).alias("__least")).filter("__n > 1").select("__again", "__least"))
+    count = again.count()
+    own = F.xxhash64(number, "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    if count:
+        docs = docs.join(F.broadcast(again) if count <= BROADCAST_IDS else again, number == F.col("__again"), "left")
+        loose = F.col("doc_id").isNull() | F.col("__again").isNotNull()
+        first = F.col("__again").isNull() | (F.xxhash64("text") == F.col("__least"))
+    else:
+        loose, first = F.col("doc_id").isNull(), F.lit(True)
+    docs = docs.withColumn("__vertex", F.when(F.col("doc_id").isNotNull() & first, number).otherwise(own)).withColumn("__loose", loose)
+    return docs, bool(count) or not docs.filter("doc_id IS NULL").isEmpty()
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest doc_id; rows without doc_id stay."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each near-duplicate group stays, that of the smallest doc_id; repeated rows and rows without doc_id are rows as others."""
+    rows, repeats = _vertices(docs)
+    found = near_duplicates(rows.select(F.col("__vertex").alias("doc_id"), "text"))
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__vertex")).distinct()
+    left = rows.join(gone, "__vertex", "left_anti")
+    if repeats:
+        once = left.filter("__loose").dropDuplicates(["__vertex", "doc_id", "text"])
+        left = left.filter("NOT __loose").union(once)
+    return left.select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

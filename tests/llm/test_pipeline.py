@@ -36,3 +36,18 @@ def test_queries_are_registered():
 
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11))
+
+
+def test_repeated_rows_and_rows_without_id_keep_their_content(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    other, third = text.replace("w", "v"), text.replace("w", "u")
+    near = third.replace("u0 ", "x ")
+    rows = [(1, text), (1, text), (2, text), (3, other), (3, other.upper()), (3, "short text of its own here"), (None, third), (None, third), (None, near), (None, text), (4, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    found = [(r["doc_id"], (r["text"] or "").lower()) for r in left.collect()]
+    assert left.columns == docs.columns and len(found) == 5
+    assert (1, text) in found and (3, other) in found and (4, "alone") in found and (3, "short text of its own here") in found
+    assert sum(i is None for i, _ in found) == 1 and {x for i, x in found if i is None} <= {third, near}
+    kept = corpus_pipeline.cut_repeats(spark, left, SF)
+    assert sorted(x.lower() for x in (r["text"] for r in kept.collect())) == sorted(x for _, x in found)
