@@ -1,6 +1,6 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-A bounded sample of labelled rows, near copies among it counted once, is indexed: a posting list for each term, cut into
+A bounded sample of labelled rows, near copies of one label (Jaccard 0.75 of their shingle sets) counted once, is indexed: a posting list for each term, cut into
 blocks of examples, with the largest weight of each block. Terms are those whose presence among the
 examples depends on the label (chi-square). Document frequencies are counted over the whole corpus for these terms.
 A document sums its terms' block maxima into a bound for each block and reads blocks in
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainframe.llm.labelled import examples, held_out
-from chainframe.llm.near_dup import shingle_sets
-from chainframe.llm.text import NOT_ALNUM, Words, mix, slices
+from chainframe.llm.near_dup import SIMILAR, shingle_sets
+from chainframe.llm.text import NOT_ALNUM, Words, slices
 
 #: Labelled rows indexed at most, whatever the corpus; neighbours; examples in a block.
 MAX_EXAMPLES, NEIGHBOURS, BLOCK = 6_000, 15, 64
@@ -43,19 +43,29 @@ def term_counts(texts: pa.Array, vocabulary: dict[bytes, int] | None = None) ->
     return key // max(len(distinct), 1), key % max(len(distinct), 1), count, distinct
 
 
-def _first_copies(texts: pa.Array) -> np.ndarray:
-    """Rows whose two least shingles no earlier row has: near copies count once."""
+def _first_copies(texts: pa.Array, labels: np.ndarray) -> np.ndarray:
+    """Rows that no earlier kept row of the same label is near to, by their full shingle sets: near copies count once.
+
+    Exact: two sets as similar as SIMILAR share one of the first shingles of each, rarest first, when all but so many are left out.
+    """
     hashes, offsets = shingle_sets(texts)
-    full = np.flatnonzero(np.diff(offsets))
-    keep = np.ones(len(texts), bool)
-    if not len(full):
-        return keep
-    for salt in (1, 2):
-        least = np.minimum.reduceat(mix(hashes ^ np.uint64(salt)), offsets[full])
-        first = np.unique(least, return_index=True)[1]
-        twin = np.ones(len(full), bool)
-        twin[first] = False
-        keep[full[twin]] = False
+    _, code, often = np.unique(hashes, return_inverse=True, return_counts=True)
+    keep, holders = np.ones(len(texts), bool), {}
+    for r, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        own, n = code[a:z], z - a
+        rare = own[np.lexsort((own, often[own]))][: n + (-SIMILAR * n // 100) + 1]
+        met = [holders.setdefault((labels[r], k), []) for k in rare.tolist()]
+        for e in {e for rows in met for e in rows}:
+            other = code[offsets[e] : offsets[e + 1]]
+            if 100 * min(n, len(other)) < SIMILAR * max(n, len(other)):
+                continue
+            common = len(np.intersect1d(own, other, assume_unique=True))
+            if 100 * common >= SIMILAR * (n + len(other) - common):
+                keep[r] = False
+                break
+        else:
+            for rows in met:
+                rows.append(r)
     return keep
 
 
@@ -167,7 +177,7 @@ def _frequencies(vocabulary):
 def build_index(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> BlockMaxIndex:
     """The index over a bounded sample of labelled rows, with document frequencies of the whole corpus."""
     table = examples(docs, labels, "toxic", max_examples)
-    table = table.filter(pa.array(_first_copies(table["text"].combine_chunks())))
+    table = table.filter(pa.array(_first_copies(table["text"].combine_chunks(), table["label"].to_numpy())))
     texts, y = table["text"].combine_chunks(), table["label"].to_numpy().astype(np.float64)
     vocabulary = choose_terms(texts, y)
     known = {w: i for i, w in enumerate(vocabulary)}

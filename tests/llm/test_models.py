@@ -100,3 +100,22 @@ def test_main_text(spark):
     odd = spark.createDataFrame([(None, None, None, "x"), (1, "u", "", "y"), (1, "u", "", "y")], "page_id long, url string, html string, text string")
     assert [r["text"] for r in html_extract.main_text(odd).collect()] == ["", "", ""]
     assert html_extract.main_text(odd.limit(0)).count() == 0
+
+
+def test_near_copies_of_one_label_count_once():
+    rng = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts, labels = ["", ""], [0, 0]
+    for k in range(30):  # a shared passage is no copy
+        texts.append(passage + " " + " ".join(f"t{k}_{n}" for n in range(rng.randint(30, 60))))
+        labels.append(k % 2)
+    texts += [texts[5] + " tail", texts[6] + " tail"]
+    labels += [labels[5], 1 - labels[6]]
+    assert np.flatnonzero(~toxicity._first_copies(pa.array(texts), np.array(labels))).tolist() == [32]
+    words = [[f"a{rng.randrange(12)}" for _ in range(rng.randint(0, 12))] for _ in range(300)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()} for w in words]
+    y, kept = [rng.randrange(2) for _ in words], []
+    for r, own in enumerate(sets):
+        if not any(y[e] == y[r] and own and 100 * len(own & sets[e]) >= 75 * len(own | sets[e]) for e in kept):
+            kept.append(r)
+    assert np.flatnonzero(toxicity._first_copies(pa.array([" ".join(w) for w in words]), np.array(y))).tolist() == kept
