@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 # Fixed names of the HTML standard: elements that break blocks, have no end tag, or hold no page text.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|title|svg|math|iframe|object|canvas|audio|video|textarea|select|button"
+#: Elements whose content is no markup: it runs to the end tag or the end of the page.
+RAW = "script|style|textarea|title"
+#: Other elements without page text, dropped where they have an end tag.
+UNWANTED = frozenset("noscript template svg iframe object canvas audio video select button".split())
 #: Elements that end when one of the same kind begins beside them.
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _STOP = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|(<({RAW})(?=[\s/>])[^>]*>).*?(?:</\2(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 
@@ -26,12 +30,40 @@ class Leaf:
         self.text, self.path, self.linked, self.depth, self.tag = text, path, linked, depth, tag
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tokens in order. Inside svg a self-closed raw element is empty."""
+    at, inside = 0, 0
+    while m := _TOKEN.match(page, at):
+        at = m.end()
+        if inside and m[1] and m[1].endswith("/>"):
+            at = m.end(1)
+        elif m[4] and m[4].lower() == "svg":
+            inside = max(inside - 1, 0) if m[3] else inside + (not m[5].endswith("/"))
+        yield m
+
+
+def _closed(page: str) -> set[int]:
+    """Where unwanted elements begin that have their own end tag."""
+    begun: dict[str, list[int]] = {}
+    found = set()
+    for m in _tokens(page):
+        name = (m[4] or "").lower()
+        if name not in UNWANTED or name == "svg" and m[5].endswith("/"):
+            continue
+        if not m[3]:
+            begun.setdefault(name, []).append(m.start())
+        elif begun.get(name):
+            found.add(begun[name].pop())
+    return found
+
+
 def leaves(page: str) -> list[Leaf]:
     """The blocks of a page in order, whatever its faults; blocks without text are left out."""
     out: list[Leaf] = []
     stack: list[tuple[str, str]] = [("", "")]  # element, path down to it
     pieces: list[str] = []
     linked, in_link = 0, 0
+    skip, closed = 0, None  # where on the stack an unwanted element is
 
     def flush() -> None:
         nonlocal linked
@@ -42,28 +74,60 @@ def leaves(page: str) -> list[Leaf]:
             pieces.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        name = m[3]
+    for m in _tokens(page):
+        name = m[4]
         if name is None:
             piece = m[0]
+            if skip:
+                continue
             if piece[0] != "<" or piece == "<":
                 if "&" in piece:
                     piece = html.unescape(piece)
                 pieces.append(piece)
                 if in_link:
                     linked += len(piece)
-            elif m[1] is not None and m[1].lower() in ("textarea", "select", "iframe", "object"):
+            elif m[2] is not None and m[2].lower() == "textarea":
                 pieces.append(" ")
             continue
         name = name.lower()
-        if name == "br":
+        if name in UNWANTED:
+            if m[3]:
+                for k in range(len(stack) - 1, skip - 1 if skip else len(stack), -1):
+                    if stack[k][0] == name:
+                        del stack[k:]
+                        if k == skip:
+                            skip = 0
+                            if name in ("select", "iframe", "object"):
+                                pieces.append(" ")
+                        break
+                continue
+            if closed is None:
+                closed = _closed(page)
+            if m.start() in closed:
+                skip = skip or len(stack)
+                stack.append((name, stack[-1][1]))
+        elif skip:
+            if name not in BLOCK or name in VOID:
+                continue
+            if not m[3]:
+                stack.append((name, stack[-1][1]))
+                continue
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] == name:
+                    if k < skip:  # a block around it ends
+                        del stack[skip:]
+                        skip, in_link = 0, 0
+                        flush()
+                    del stack[k:]
+                    break
+        elif name == "br":
             pieces.append(" ")
         elif name == "a":
-            in_link = 0 if m[2] else 1
+            in_link = 0 if m[3] else 1
         elif name in BLOCK:
             flush()
             in_link = 0 if name != "li" else in_link
-            if m[2]:
+            if m[3]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
                         del stack[k:]
@@ -81,10 +145,12 @@ def leaves(page: str) -> list[Leaf]:
                         del stack[k:]
                         break
             path = f"{stack[-1][1]} {name}"
-            attributes = m[4]
+            attributes = m[5]
             if attributes:
                 for x in _NAMES.finditer(attributes):
                     path += "".join(f" .{w}" for w in _WORD.findall((x[1] or x[2] or x[3] or "").lower()))
             stack.append((name, path))
+    if skip:
+        del stack[skip:]
     flush()
     return out
