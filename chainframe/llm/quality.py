@@ -21,7 +21,7 @@ from chainframe.llm.labelled import examples, held_out
 from chainframe.llm.text import Words, chain, grams, mix, slices
 
 #: Labelled rows learnt from at most, whatever the corpus (they are held on the driver).
-MAX_EXAMPLES = 2_000
+MAX_EXAMPLES = 2_500
 #: Text bytes scored at once: features take about a hundred times as many.
 BATCH_BYTES = 512 << 10
 #: Score from which a document is good.
@@ -79,8 +79,25 @@ class SubwordModel:
         self.bits, self.dim, self.epochs, self.batch, self.rate, self.seed = bits, dim, epochs, batch, rate, seed
         self.gain, self.bias = np.zeros(1 << bits, np.float32), 0.0
 
+    def _mini_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct features of the rows, and each row's features among them with their shares in its vector."""
+        f = Features(texts, self.bits)
+        word_at, pair_at, code_at = (np.concatenate([[0], np.cumsum(x)]) for x in (f.word_size, f.pair_size, f.per_row))
+        ids, share, size_of = [], [], []
+        for r in range(len(texts)):
+            code, times = np.unique(f.codes[code_at[r] : code_at[r + 1]], return_counts=True)
+            size = f.word_size[code]
+            at = np.repeat(word_at[code] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            pair, often = np.unique(f.pairs[pair_at[r] : pair_at[r + 1]], return_counts=True)
+            inside = np.repeat(times, size)
+            ids += [f.of_word[at], pair]
+            share += [inside / max(1, 2 * inside.sum()), often / max(1, 2 * often.sum())]
+            size_of.append(len(at) + len(pair))
+        distinct, where = np.unique(np.concatenate(ids), return_inverse=True)
+        return distinct, where, np.repeat(np.arange(len(texts)), size_of), np.concatenate(share).astype(np.float32)
+
     def fit(self, texts: pa.Array, labels: np.ndarray) -> SubwordModel:
-        """Learns from the rows; without both labels the score is the smoothed label rate."""
+        """Learns from the rows, whose features are built a mini-batch at a time; without both labels the score is the smoothed label rate."""
         labels = np.asarray(labels, np.int64)
         n = len(labels)
         self.bias = float(np.log((labels.sum() + 1) / (n - labels.sum() + 1)))
@@ -90,27 +107,12 @@ class SubwordModel:
         table = rng.uniform(-1 / self.dim, 1 / self.dim, (1 << self.bits, self.dim)).astype(np.float32)
         out, bias = np.zeros((self.dim, 2), np.float32), np.array([0, self.bias], np.float32)
         seen, seen_out, seen_bias = np.full(len(table), 1e-8, np.float32), np.full(out.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-        f = Features(texts, self.bits)
-        word_at, pair_at, code_at = (np.concatenate([[0], np.cumsum(x)]) for x in (f.word_size, f.pair_size, f.per_row))
-        batches = []  # labels, distinct features, and each row's features among them with their shares in its vector
-        for part in np.array_split(rng.permutation(n), max(1, n // self.batch)):
-            ids, share, size_of = [], [], []
-            for r in part:
-                code, times = np.unique(f.codes[code_at[r] : code_at[r + 1]], return_counts=True)
-                size = f.word_size[code]
-                at = np.repeat(word_at[code] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                pair, often = np.unique(f.pairs[pair_at[r] : pair_at[r + 1]], return_counts=True)
-                inside = np.repeat(times, size)
-                ids += [f.of_word[at], pair]
-                share += [inside / max(1, 2 * inside.sum()), often / max(1, 2 * often.sum())]
-                size_of.append(len(at) + len(pair))
-            distinct, where = np.unique(np.concatenate(ids), return_inverse=True)
-            owner = np.repeat(np.arange(len(part), dtype=np.int32), size_of)
-            batches.append((labels[part], distinct.astype(np.int32), where.astype(np.int32), owner, np.concatenate(share).astype(np.float32)))
+        parts = np.array_split(rng.permutation(n), max(1, n // self.batch))
         for epoch in range(self.epochs):
             step = self.rate * (1 - epoch / self.epochs)
-            for k in rng.permutation(len(batches)):
-                y, distinct, where, owner, share = batches[k]
+            for k in rng.permutation(len(parts)):
+                y = labels[parts[k]]
+                distinct, where, owner, share = self._mini_batch(texts.take(pa.array(parts[k])))
                 own = table[distinct]
                 mean = np.stack([np.bincount(owner, own[where, d] * share, len(y)) for d in range(self.dim)], 1).astype(np.float32)
                 z = mean @ out + bias

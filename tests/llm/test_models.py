@@ -119,3 +119,26 @@ def test_near_copies_of_one_label_count_once():
         if not any(y[e] == y[r] and own and 100 * len(own & sets[e]) >= 75 * len(own | sets[e]) for e in kept):
             kept.append(r)
     assert np.flatnonzero(toxicity._first_copies(pa.array([" ".join(w) for w in words]), np.array(y))).tolist() == kept
+
+
+def test_quality_builds_features_by_mini_batch(monkeypatch):
+    sizes, built = [], quality.Features
+    monkeypatch.setattr(quality, "Features", lambda texts, bits: sizes.append(len(texts)) or built(texts, bits))
+    texts = pa.array([f"good plain words {k}" if k % 2 else f"junk spam {k}" for k in range(200)])
+    model = quality.SubwordModel().fit(texts, np.arange(200) % 2)
+    assert max(sizes) < 64 and ((model.score(texts) > 0.5) == np.arange(200) % 2).all()
+    assert quality.MAX_EXAMPLES == 2_500
+
+
+def test_unwanted_elements_do_not_cut_the_page():
+    def found(x):
+        return [leaf.text for leaf in leaves(f"<article><p>one {x}<p>two</article><p>three")]
+
+    for x in ("<svg width=1 />", "<math/>", "<button>", '<video src="a">', "<object data=b>", "<iframe src=x/>", "<svg><title/><style/></svg>", "<svg><path d=1/></svg>", "<noscript><img src=x></noscript>"):
+        assert found(x) == ["one", "two", "three"], x
+    assert found("<video-player>live</video-player>") == ["one live", "two", "three"]
+    assert found("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>") == ["one x=1", "two", "three"]
+    assert found("a<button><div>press</div></button> b<select><option>c</select>d") == ["one a b d", "two", "three"]
+    assert found("<template><p>no</p><svg>no</svg></template> yes") == ["one yes", "two", "three"]
+    assert found("<video><p>no</p></video><video>") == ["one", "two", "three"]
+    assert found("<script>var a='<p>'") == ["one"]
