@@ -83,27 +83,33 @@ def fate_probabilities(edges: DataFrame, states: DataFrame, names: list[str], st
     return x.unionByName(own)
 
 
-def absorption_times(edges: DataFrame, states: DataFrame, steps: int | None = None, tol: float = 1e-6) -> DataFrame:
+def _solver(method: str, steps: int | None, tol: float):
+    return solve_direct if method == "direct" else lambda q, b, columns: solve(q, b, columns, steps, tol)
+
+
+def absorption_times(edges: DataFrame, states: DataFrame, steps: int | None = None, tol: float = 1e-6, method: str = "fixed_point") -> DataFrame:
     """(i, mean, var) of the steps until any recurrent cell: m = N 1, v = 2 N m - m - m^2; 0 on recurrent cells."""
     q, _ = split(edges, states)
     transient = edges.select("i").distinct().join(states.select(F.col("obs").alias("i")), "i", "left_anti")
-    m = cut(solve(q, transient.withColumn("mean", F.lit(1.0)), ["mean"], steps, tol))
-    nm = solve(q, m.select("i", F.col("mean").alias("nm")), ["nm"], steps, tol)
+    solved = _solver(method, steps, tol)
+    m = cut(solved(q, transient.withColumn("mean", F.lit(1.0)), ["mean"]))
+    nm = solved(q, m.select("i", F.col("mean").alias("nm")), ["nm"])
     moments = m.join(nm, "i").select("i", "mean", (2 * F.col("nm") - F.col("mean") - F.col("mean") ** 2).alias("var"))
     return moments.unionByName(states.select(F.col("obs").alias("i"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("var")))
 
 
-def conditional_absorption_times(edges: DataFrame, states: DataFrame, name: str, names: list[str], steps: int | None = None, tol: float = 1e-6) -> DataFrame:
+def conditional_absorption_times(edges: DataFrame, states: DataFrame, name: str, names: list[str], steps: int | None = None, tol: float = 1e-6, method: str = "fixed_point") -> DataFrame:
     """(i, mean, var) of the steps to state `name` given that it is reached: with h its fate probability, m = N h / h and v = 2 N(h m) / h - m - m^2.
 
     0 on its own cells; infinite mean and NaN variance on cells of other states and where h is 0.
     """
     states = states.filter(F.col("state").isin(names))
     q, _ = split(edges, states)
-    fate = cut(fate_probabilities(edges, states, names, steps, tol).select("i", F.col(name).alias("h")))
+    fate = cut(fate_probabilities(edges, states, names, steps, tol, method).select("i", F.col(name).alias("h")))
     moving = fate.join(states.select(F.col("obs").alias("i")), "i", "left_anti")
-    nh = cut(solve(q, moving.select("i", F.col("h").alias("nh")), ["nh"], steps, tol))
-    nhm = solve(q, nh.select("i", F.col("nh").alias("nhm")), ["nhm"], steps, tol)  # h * m is N h
+    solved = _solver(method, steps, tol)
+    nh = cut(solved(q, moving.select("i", F.col("h").alias("nh")), ["nh"]))
+    nhm = solved(q, nh.select("i", F.col("nh").alias("nhm")), ["nhm"])  # h * m is N h
     both = moving.join(nh, "i").join(nhm, "i")
     mean, second = F.try_divide(F.col("nh"), F.col("h")), F.try_divide(F.col("nhm"), F.col("h"))
     none = F.col("h") == 0
@@ -112,16 +118,28 @@ def conditional_absorption_times(edges: DataFrame, states: DataFrame, name: str,
     return found.unionByName(states.select(F.col("obs").alias("i"), F.when(own, 0.0).otherwise(F.lit(float("inf"))).alias("mean"), F.when(own, 0.0).otherwise(F.lit(float("nan"))).alias("var")))
 
 
-def stationary(edges: DataFrame, steps: int = 200, every: int = 10) -> DataFrame:
-    """(i, p) after `steps` power iterations from the uniform distribution."""
+def stationary(edges: DataFrame, steps: int | None = 200, every: int = 10, tol: float = 1e-9, max_steps: int = 2_000) -> DataFrame:
+    """(i, p) after `steps` power iterations from the uniform distribution.
+
+    Without steps, until no entry changes by more than tol in `every` steps; each step then goes half the way, so periodic chains converge too.
+    """
     ids = cut(edges.select("i").distinct())
+    if steps is None:
+        edges = edges.select("i", "j", (F.col("w") / 2).alias("w")).union(ids.select("i", F.col("i").alias("j"), F.lit(0.5).alias("w")))
     edges = cut(edges)
-    p = ids.withColumn("p", F.lit(1.0) / F.lit(ids.count()))
-    for k in range(1, steps + 1):
+    p = kept = cut(ids.withColumn("p", F.lit(1.0) / F.lit(ids.count())))
+    for k in range(1, (max_steps if steps is None else steps) + 1):
         moved = edges.join(p, "i").groupBy(F.col("j").alias("i")).agg(F.sum(F.col("w") * F.col("p")).alias("p"))
         p = ids.join(moved, "i", "left").fillna(0.0, ["p"])
         if k % every == 0:
             p = cut(p)
+            if steps is None:
+                change = p.join(kept.withColumnRenamed("p", "old"), "i").agg(F.max(F.abs(F.col("p") - F.col("old")))).first()[0] or 0.0
+                if change <= tol:
+                    return p
+                kept = p
+    if steps is None:
+        raise RuntimeError(f"no convergence in {max_steps} steps")
     return p
 
 

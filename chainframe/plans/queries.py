@@ -152,7 +152,17 @@ def event_absorption_times(spark, d):
 
 @query()
 def event_conditional_absorption(spark, d):
-    return rounded(chains.conditional_absorption_times(event_chain(spark, d), recurrent(spark), "purchase", ["purchase", "error"], steps=STEPS))
+    return rounded(chains.conditional_absorption_times(event_chain(spark, d), recurrent(spark), "purchase", ["purchase", "error"], method="direct"))
+
+
+@query()
+def event_absorption_times_direct(spark, d):
+    return rounded(chains.absorption_times(event_chain(spark, d), recurrent(spark), method="direct"))
+
+
+@query()
+def event_stationary_distribution_converged(spark, d):
+    return rounded(chains.stationary(event_chain(spark, d), None))
 
 
 @query(f"WITH RECURSIVE {_CHAIN}, p AS (SELECT 0 AS n, i, 1.0 / count(*) OVER () AS p FROM (SELECT DISTINCT i FROM t) UNION ALL SELECT n + 1, j, sum(x) FROM (SELECT p.n, t.j, p.p * t.w AS x FROM p JOIN t ON p.i = t.i WHERE n < {STEPS}) GROUP BY n, j) SELECT i, {R('p', 'p')} FROM p WHERE n = {STEPS}")

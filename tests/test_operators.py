@@ -54,6 +54,19 @@ def test_stationary_distribution(spark):
     assert np.allclose([p[k] for k in range(12)], v / v.sum(), atol=2e-3) and abs(p[8] - 0.152751) < 2e-3
 
 
+def test_rare_absorption_is_not_cut_off(spark, monkeypatch):
+    from chainframe.plans import queries
+
+    rare = spark.createDataFrame([("view", "view", 0.98), ("view", "purchase", 0.01), ("view", "error", 0.01), ("purchase", "view", 1.0), ("error", "view", 1.0)], "i string, j string, w double")
+    monkeypatch.setattr(queries, "event_chain", lambda spark, d: rare)
+    of = lambda name: {r["i"]: tuple(r)[1:] for r in queries.QUERIES[name](spark, "").collect()}
+    assert of("event_fate_probabilities_direct")["view"] == pytest.approx((0.5, 0.5))
+    assert of("event_absorption_times_direct")["view"] == pytest.approx((50, 0.98 / 0.02**2))
+    assert of("event_conditional_absorption")["view"] == pytest.approx((50, 0.98 / 0.02**2))
+    flip = from_entries(spark, [(0, 1, 1.0), (1, 0, 0.5), (1, 2, 0.5), (2, 1, 1.0)])
+    assert {r["i"]: r["p"] for r in chains.stationary(flip, None).collect()} == pytest.approx({0: 0.25, 1: 0.5, 2: 0.25}, abs=1e-6)
+
+
 def test_classes(spark):
     found = {r["node"]: (r["class"], r["recurrent"]) for r in chains.communicating_classes(edges(spark, LEAKING)).collect()}
     assert found == {k: (0, False) for k in range(12)} | {12: (12, True), 13: (12, True)}
