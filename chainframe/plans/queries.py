@@ -207,6 +207,17 @@ def moving(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d, DIMS + 1).select("i", F.slice("x", 1, DIMS).alias("x"), F.zip_with(F.slice("x", 2, DIMS), F.slice("x", 1, DIMS), lambda a, b: a - b).alias("v"))
 
 
+def width(spark: SparkSession, d: str) -> int:
+    """Entries of an embedding."""
+    return points(spark, d).agg(F.max(F.size("x"))).first()[0]
+
+
+def moving_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As `moving`, over all entries that have a next one."""
+    n = width(spark, d) - 1
+    return points(spark, d).select("i", F.slice("x", 1, n).alias("x"), F.zip_with(F.slice("x", 2, n), F.slice("x", 1, n), lambda a, b: a - b).alias("v"))
+
+
 def _velocity_sql(score: str) -> str:
     return f"WITH {_GRAPH}, {_VEL}, sc AS (SELECT i, j, 4 * {score} AS s FROM cc), ex AS (SELECT i, j, exp(s - max(s) OVER (PARTITION BY i)) AS x FROM sc) SELECT i, j, {R('x / sum(x) OVER (PARTITION BY i)', 'w')} FROM ex"
 
@@ -307,6 +318,40 @@ def cross_boundary_correctness(spark, d):
     return rounded(flow.cross_boundary(kernels.connectivity(g), g, cells.select("i", "x"), cells.select("i", "label"), 1, 2, DIMS))
 
 
+# The SQL of the queries above reads a prefix of each vector; these read all of it.
+
+
+@query()
+def velocity_kernel_dot_whole(spark, d):
+    return rounded(kernels.velocity(graph(spark, d), moving_whole(spark, d), "dot", 4.0))
+
+
+@query()
+def velocity_kernel_cosine_whole(spark, d):
+    return rounded(kernels.velocity(graph(spark, d), moving_whole(spark, d), "cosine", 4.0))
+
+
+@query()
+def velocity_kernel_correlation_whole(spark, d):
+    return rounded(kernels.velocity(graph(spark, d), moving_whole(spark, d), "correlation", 4.0))
+
+
+@query()
+def softmax_scale_whole(spark, d):
+    return rounded(kernels.softmax_scale(kernels.velocity_scores(graph(spark, d), moving_whole(spark, d), "correlation")))
+
+
+@query()
+def knn_moments_whole(spark, d):
+    return rounded(neighbors.moments(graph(spark, d), points(spark, d), width(spark, d)))
+
+
+@query()
+def cross_boundary_correctness_whole(spark, d):
+    g, cells = cut(graph(spark, d)), points(spark, d)
+    return rounded(flow.cross_boundary(kernels.connectivity(g), g, cells.select("i", "x"), cells.select("i", "label"), 1, 2, width(spark, d)))
+
+
 @query(f"WITH {_CONN}, {_VEL.split(', dd AS')[0]}, un AS (SELECT g.i, coalesce(h.w, 0) AS w, list_transform(range(1, 3), lambda k: b.x[k] - a.x[k]) AS d FROM g LEFT JOIN conn h ON g.i = h.i AND g.j = h.j JOIN cv a ON g.i = a.i JOIN cv b ON g.j = b.i), uu AS (SELECT i, w, list_transform(d, lambda y: y / sqrt(list_dot_product(d, d))) AS u FROM un) SELECT i, {R('sum(w * u[1]) - sum(u[1]) / count(*)', 'x')}, {R('sum(w * u[2]) - sum(u[2]) / count(*)', 'y')} FROM uu GROUP BY i")
 def projection(spark, d):
     g = cut(graph(spark, d))

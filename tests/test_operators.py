@@ -67,6 +67,21 @@ def test_rare_absorption_is_not_cut_off(spark, monkeypatch):
     assert {r["i"]: r["p"] for r in chains.stationary(flip, None).collect()} == pytest.approx({0: 0.25, 1: 0.5, 2: 0.25}, abs=1e-6)
 
 
+def test_whole_vectors_are_read(spark, monkeypatch):
+    from chainframe.plans import queries
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6, 20))
+    monkeypatch.setattr(queries, "points", lambda spark, d, dims=None: spark.createDataFrame([(i, x[i].tolist(), i % 2 + 1) for i in range(6)], "i long, x array<double>, label int"))
+    monkeypatch.setattr(queries, "graph", lambda spark, d: from_entries(spark, [(i, j, 1.0) for i in range(6) for j in range(6) if i != j]))
+    v, body = np.diff(x, axis=1), x[:, :-1]
+    score = {(i, j): math.exp(4 * np.corrcoef(v[i], body[j] - body[i])[0, 1]) for i in range(6) for j in range(6) if i != j}
+    found = {(r["i"], r["j"]): r["w"] for r in queries.QUERIES["velocity_kernel_correlation_whole"](spark, "").collect()}
+    assert found == pytest.approx({(i, j): s / sum(score[i, k] for k in range(6) if k != i) for (i, j), s in score.items()}, abs=2e-6)
+    means = {(r["i"], r["k"]): r["mean"] for r in queries.QUERIES["knn_moments_whole"](spark, "").collect()}
+    assert means == pytest.approx({(i, k): x[:, k].mean() for i in range(6) for k in range(20)}, abs=2e-6)
+
+
 def test_classes(spark):
     found = {r["node"]: (r["class"], r["recurrent"]) for r in chains.communicating_classes(edges(spark, LEAKING)).collect()}
     assert found == {k: (0, False) for k in range(12)} | {12: (12, True), 13: (12, True)}
