@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainframe.lineage import cut
+from chainframe.lineage import cut, release
 
 
 def _hang(edges: DataFrame, larger: bool) -> DataFrame:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     state = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     state, before = cut(state), None
     for _ in range(max_rounds):
-        state = cut(_hang(_hang(state, True), False))
+        old, state = state, cut(_hang(_hang(state, True), False))
+        release(old)
         now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
         if now == before:
             break

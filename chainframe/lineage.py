@@ -21,3 +21,12 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files of a table that `cut` returned, once nothing reads it any more; other tables stay as they are."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD" or plan.rdd().getCheckpointFile().isEmpty():
+        return
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
