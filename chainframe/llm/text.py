@@ -7,6 +7,7 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Text bytes that a kernel handles at once; a longer text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _32 = np.uint64(32)
@@ -57,6 +58,39 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
             yield batch.slice(a, b - a)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: workers are kept between tasks, and what they hold on to adds up."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def parts(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The slices of all batches in order; after each batch its memory is given back."""
+    for batch in batches:
+        yield from slices(batch, column, limit)
+        del batch
+        tidy()
+
+
+def pieces(text: bytes, outside: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A text in pieces of about `limit` bytes, cut at bytes that are in no word (`outside`), so no word is split."""
+    data, at = np.frombuffer(text, np.uint8), 0
+    while at < len(data):
+        end = min(at + limit, len(data))
+        while end < len(data):
+            gap = np.flatnonzero(outside[data[end : end + limit]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end = min(end + limit, len(data))
+        yield text[at:end]
+        at = end
+
+
 class Words:
     """The words of a batch: byte ranges (`start`, `end`), first word of each row (`first`, one more than rows)."""
 
