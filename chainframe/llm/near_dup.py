@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from chainframe.lineage import cut
 from chainframe.linalg.components import connected_components
-from chainframe.llm.text import Words, binary_rows, chain, grams, mix, slices
+from chainframe.llm.text import Words, binary_rows, chain, grams, mix, parts
 
 SHINGLE, SIMILAR, HALVES = 5, 75, 10
 #: Up to so many candidate rows (a few dozen bytes each) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Members and leads that meet in one group, about.
-PER_SALT, PER_BLOCK = 4_000, 2_000
+#: Members and leads that meet in one group, about; nodes with one left half-key that stay together.
+PER_SALT, PER_BLOCK, PER_KEY = 4_000, 2_000, 20_000
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,32 +79,30 @@ def half_keys(hashes: np.ndarray, offsets: np.ndarray, halves: int) -> np.ndarra
 
 def _sketches(halves: int):
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                hashes, offsets = shingle_sets(part["text"])
-                k1, k2 = set_keys(hashes, offsets)
-                keys = half_keys(hashes, offsets, halves)
-                ends = np.arange(len(keys) + 1, dtype=np.int32) * halves
-                sides = [pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[:, s].ravel())) for s in (slice(0, halves), slice(halves, None))]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(np.diff(offsets)), pa.array(k1), pa.array(k2), *sides], ["doc_id", "n_shingles", "k1", "k2", "left", "right"])
+        for part in parts(batches, "text"):
+            hashes, offsets = shingle_sets(part["text"])
+            k1, k2 = set_keys(hashes, offsets)
+            keys = half_keys(hashes, offsets, halves)
+            ends = np.arange(len(keys) + 1, dtype=np.int32) * halves
+            sides = [pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[:, s].ravel())) for s in (slice(0, halves), slice(halves, None))]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(np.diff(offsets)), pa.array(k1), pa.array(k2), *sides], ["doc_id", "n_shingles", "k1", "k2", "left", "right"])
 
     return sketches
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            hashes, offsets = shingle_sets(part["text"])
-            k1, k2 = set_keys(hashes, offsets)
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(k1), pa.array(k2), binary_rows(hashes, offsets)], ["node", "k1", "k2", "shingles"])
+    for part in parts(batches, "text"):
+        hashes, offsets = shingle_sets(part["text"])
+        k1, k2 = set_keys(hashes, offsets)
+        yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(k1), pa.array(k2), binary_rows(hashes, offsets)], ["node", "k1", "k2", "shingles"])
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            hashes, offsets = shingle_sets(part["text"])
-            row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-            yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(row)), pa.array(hashes.view(np.int64))], ["node", "shingle"])
+    for part in parts(batches, "text"):
+        hashes, offsets = shingle_sets(part["text"])
+        row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+        k1, k2 = set_keys(hashes, offsets)
+        yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(row)), pa.array(k1[row]), pa.array(k2[row]), pa.array(hashes.view(np.int64))], ["node", "k1", "k2", "shingle"])
 
 
 class _Leads:
@@ -169,9 +167,14 @@ def _confirm(similar: int):
     return confirm
 
 
+def few(rows: DataFrame, count: int) -> DataFrame:
+    """`rows` to join with: broadcast if their counted number is small, else joined by a shuffle."""
+    return F.broadcast(rows) if count <= BROADCAST_IDS else rows
+
+
 def _texts(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
-    """The rows of docs with these ids: few ids are broadcast, more are joined by a shuffle."""
-    return docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("node"), "left_semi")
+    """The rows of docs with these ids."""
+    return docs.join(few(ids, count), F.col("doc_id") == F.col("node"), "left_semi")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, roles: DataFrame, similar: int) -> DataFrame:
@@ -179,7 +182,7 @@ def _links(docs: DataFrame, nodes: DataFrame, roles: DataFrame, similar: int) ->
     roles = cut(roles.join(nodes.select("node", "k1", "k2"), "node"))
     count = roles.count()
     sets = _texts(docs, roles.select("node").distinct(), count).mapInArrow(_full_sets, "node long, k1 long, k2 long, shingles binary")
-    dealt = sets.join(F.broadcast(roles) if count <= BROADCAST_IDS else roles, ["node", "k1", "k2"]).select("g", "block", "salt", "node", "label", "member", "shingles")
+    dealt = sets.join(few(roles, count), ["node", "k1", "k2"]).select("g", "block", "salt", "node", "label", "member", "shingles")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     order = ["g", "block", "salt"]
     return dealt.repartition(parts, *order).sortWithinPartitions(*order, "member").mapInArrow(_confirm(similar), "a long, b long")
@@ -190,10 +193,14 @@ def _salt(node: str, salts: str) -> F.Column:
 
 
 def _star_roles(pairs: DataFrame) -> DataFrame:
-    """Each node's lead: pairs (a, b) make a group for each a, cut where it is large."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
-    members = pairs.join(salts, "a").select(F.col("a").alias("g"), F.lit(0).alias("block"), _salt("b", "salts").alias("salt"), F.col("b").alias("node"), F.col("b").alias("label"), F.lit(True).alias("member"))
-    leads = salts.select(F.col("a").alias("g"), F.lit(0).alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"), F.col("a").alias("label"), F.lit(False).alias("member"))
+    """Each node's lead: pairs (a, b) make a group for each a, cut where it is large. Only the few large groups are joined back."""
+    sizes = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts")))
+    large = sizes.filter("salts > 1")
+    count = large.count()  # at most pairs / PER_SALT
+    salts = F.coalesce("salts", F.lit(1))
+    members = (pairs.join(few(large, count), "a", "left") if count else pairs.withColumn("salts", F.lit(1))).withColumn("salts", salts)
+    members = members.select(F.col("a").alias("g"), F.lit(0).alias("block"), _salt("b", "salts").alias("salt"), F.col("b").alias("node"), F.col("b").alias("label"), F.lit(True).alias("member"))
+    leads = sizes.select(F.col("a").alias("g"), F.lit(0).alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"), F.col("a").alias("label"), F.lit(False).alias("member"))
     return members.union(leads)
 
 
@@ -208,10 +215,11 @@ def _block_roles(left: DataFrame) -> DataFrame:
     return members.union(leads)
 
 
-def _open(buckets: DataFrame) -> DataFrame:
-    """The rows of buckets that hold two labels."""
-    bucket = Window.partitionBy("bucket")
-    return buckets.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).withColumn("least", F.min("node").over(bucket)).filter("lo < hi")
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, label, least) of buckets that hold two labels; least is the bucket's least node. Grouped sums find them, then they are joined back."""
+    told = lambda rows: rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ends = cut(told(buckets).groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("least")).filter("lo < hi").select("bucket", "least"))
+    return told(buckets.join(few(ends, ends.count()), "bucket")).select("bucket", "node", "label", "least")
 
 
 def _rest(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, labels: DataFrame, similar: int) -> DataFrame | None:
@@ -221,21 +229,46 @@ def _rest(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, labels: DataFra
     so documents that share a passage, but not most of their text, cost no comparison. The others are
     compared block by block within each connected group of buckets.
     """
-    told = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    still = cut(_open(told).select("bucket", "node", "label"))
+    still = cut(_open(buckets, labels))
     ids = cut(still.select("node").distinct())
     count = ids.count()
     if not count:
         return None
-    own = _texts(docs, ids, count).mapInArrow(_shingle_rows, "node long, shingle long")
-    single = own.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    gone = single.join(nodes.select("node", "n"), "node").filter(f"100 * (n - alone) < {similar} * n").select("node")
-    still = cut(_open(still.join(cut(gone), "node", "left_anti")).select("bucket", "node", "label", "least"))
+    own = _texts(docs, ids, count).mapInArrow(_shingle_rows, "node long, k1 long, k2 long, shingle long")
+    # a doc_id may stand on several texts: shingles are counted for each of them
+    text = F.struct("node", "k1", "k2")
+    single = own.groupBy("shingle").agg(F.count("*").alias("c"), F.min(text).alias("own")).filter("c = 1").groupBy("own.node", "own.k1", "own.k2").agg(F.count("*").alias("alone"))
+    gone = single.join(nodes.select("node", "k1", "k2", "n"), ["node", "k1", "k2"]).filter(f"100 * (n - alone) < {similar} * n").select("node", "k1", "k2")
+    # such an id goes if all its sets do
+    left = nodes.join(few(ids, count), "node", "left_semi").select("node", "k1", "k2").join(gone, ["node", "k1", "k2"], "left_anti").select("node").distinct()
+    left = cut(left)
+    still = cut(_open(still.select("bucket", "node").join(few(left, left.count()), "node", "left_semi"), labels))
     near = connected_components(still.select(F.col("least").alias("a"), F.col("node").alias("b")))
     left = still.select("node", "label").distinct().join(near.withColumnRenamed("label", "g"), "node")
     return _links(docs, nodes, _block_roles(cut(left)), similar)
 
 
+def _met(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, n, first) of nodes that share a whole table key with another; first is the bucket's least (node, n).
+
+    Nodes are dealt by left half-key and spread over the right ones there. The few left half-keys that many nodes have are
+    spread before the shuffle, and their buckets' least nodes come from grouped sums that are joined back.
+    """
+    bucket = F.xxhash64("l", "i", "r", "j").alias("bucket")
+    halves = nodes.select("node", "n", F.posexplode("left").alias("i", "l"), "right")
+    hot = cut(halves.groupBy("l", "i").agg(F.count("*").alias("c")).filter(F.col("c") > PER_KEY).select("l", "i"))
+    count = hot.count()  # at most halves / PER_KEY
+    cold = halves.join(few(hot, count), ["l", "i"], "left_anti") if count else halves
+    tables = cold.repartition(F.col("l"), F.col("i")).select("node", "n", "i", "l", F.posexplode("right").alias("j", "r"))
+    own = Window.partitionBy("l", "i", "r", "j")
+    met = tables.withColumn("first", F.min(F.struct("node", "n")).over(own)).withColumn("size", F.count("*").over(own)).filter("size > 1").select(bucket, "node", "n", "first")
+    if count:
+        spread = halves.join(few(hot, count), ["l", "i"], "left_semi").select("node", "n", "i", "l", F.posexplode("right").alias("j", "r")).select(bucket, "node", "n")
+        firsts = cut(spread.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("size")).filter("size > 1").select("bucket", "first"))
+        met = met.union(spread.join(few(firsts, firsts.count()), "bucket").select("bucket", "node", "n", "first"))
+    return met
+
+
 def near_duplicates(docs: DataFrame, halves: int = HALVES, similar: int = SIMILAR) -> DataFrame:
     """Per document (doc_id, n_shingles, component_id, kept): the near-duplicate component of each.
 
@@ -254,11 +287,7 @@ def near_duplicates(docs: DataFrame, halves: int = HALVES, similar: int = SIMILA
     shared = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a < top")
     links = shared.join(members, "doc_id").select("a", F.col("node").alias("b")).filter("a < b").distinct()
 
-    tables = nodes.select("node", "n", F.posexplode("left").alias("i", "l"), "right").repartition(F.col("l"), F.col("i"))
-    tables = tables.select("node", "n", "i", "l", F.posexplode("right").alias("j", "r"))
-    bucket = Window.partitionBy("l", "i", "r", "j")
-    met = tables.withColumn("first", F.min(F.struct("node", "n")).over(bucket)).withColumn("size", F.count("*").over(bucket)).filter("size > 1")
-    buckets = cut(met.select(F.xxhash64("l", "i", "r", "j").alias("bucket"), "node", "n", "first"))
+    buckets = cut(_met(nodes))
     pairs = buckets.filter(f"node <> first.node AND 100 * least(n, first.n) >= {similar} * greatest(n, first.n)").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(links.union(_links(docs, nodes, _star_roles(cut(pairs)), similar)))
     labels = connected_components(links)
