@@ -10,6 +10,9 @@ on, namely the longest tail that begins some token, and for each place in the ta
 token of the encoding that ends there with its count. (The encoding of a prefix stays an
 encoding when a token compatible with its last one follows, and two tokens are compatible
 if merging their joint bytes gives them back.) Each distinct pre-token runs once, all side by side.
+A long pre-token is cut into chunks that run side by side too: each chunk's map, from entry states to exit states with
+token counts, is made for the entry states that the chunk before can leave it in, and the maps
+are composed by a parallel prefix scan.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-from chainframe.llm.text import text_buffer
+from chainframe.llm.text import text_buffer, tidy
 
 # Character classes of the pre-token pattern, and the letters of its contractions: 's 't 'm 'd 're 've 'll
 SPACE, WHITE, LETTER, NUMBER, OTHER, QUOTE, BREAK, ONE, R, V, L, E = range(12)
@@ -205,34 +208,49 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], dict[tuple[int, int], int],
 
 
 class CountTransducer:
-    """Counts the tokens of pre-tokens; transitions are compiled when first taken. A table of more than `most` states is begun anew."""
+    """Counts the tokens of pre-tokens; transitions are compiled when first taken. A table of more than `most` states is begun anew with those in use."""
 
-    def __init__(self, path: str, most: int = 60_000):
+    #: Bytes from which a pre-token is cut into chunks, chunks of one pre-token at most, bytes before a chunk that tell its likely entry state, and lanes that run together.
+    CHUNK, CHUNKS, WARM, LANES = 256, 2_048, 48, 4_096
+    START = (b"", ((-1, 0),))
+
+    def __init__(self, path: str, most: int = 16_000):
         self.ids, self.ranks, self.special = vocabulary(path)
         self.bytes = {k: b for b, k in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.heads = {b[:k] for b in self.ids for k in range(1, len(b))}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.most = most
-        self._begin()
+        self.fits: dict[int, bool] = {}
+        self.most = max(most, 3 * self.LANES)
+        self._begin([])
 
-    def _begin(self) -> None:
-        self.states, self.number = [(b"", ((-1, 0),))], {(b"", ((-1, 0),)): 0}
+    def _begin(self, keep: list[tuple]) -> None:
+        self.states, self.number = [], {}
         self.next, self.delta = np.full((1024, 256), -1, np.int32), np.zeros((1024, 256), np.int8)
+        for state in (self.START, *keep):
+            self._number(state)
+
+    def _number(self, state: tuple) -> int:
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+            if len(self.states) > len(self.next):
+                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
+                self.delta = np.concatenate([self.delta, np.zeros_like(self.delta)])
+        return self.number[state]
 
     def _merged(self, data: bytes) -> list[int]:
-        parts = [self.ids[data[k : k + 1]] for k in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda k: self.ranks.get((parts[k], parts[k + 1]), 1 << 60))
-            if (parts[best], parts[best + 1]) not in self.ranks:
+        tokens = [self.ids[data[k : k + 1]] for k in range(len(data))]
+        while len(tokens) > 1:
+            best = min(range(len(tokens) - 1), key=lambda k: self.ranks.get((tokens[k], tokens[k + 1]), 1 << 60))
+            if (tokens[best], tokens[best + 1]) not in self.ranks:
                 break
-            parts[best : best + 2] = [self.ids[self.bytes[parts[best]] + self.bytes[parts[best + 1]]]]
-        return parts
+            tokens[best : best + 2] = [self.ids[self.bytes[tokens[best]] + self.bytes[tokens[best + 1]]]]
+        return tokens
 
     def _fit(self, last: int, token: int) -> bool:
-        key = (last, token)
+        key = last << 32 | token
         if key not in self.fits:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             both = [token] if last < 0 else [last, token]
             self.fits[key] = self._merged(b"".join(self.bytes[t] for t in both)) == both
@@ -249,65 +267,145 @@ class CountTransducer:
         keep = next((k for k in range(min(len(tail), self.longest - 1), 0, -1) if tail[-k:] in self.heads), 0)
         # only places from which some token may still go on matter
         new = (tail[len(tail) - keep :], ((token, 0), *((places[k - 1][0], places[k - 1][1] - delta) if tail[-k:] in self.heads else None for k in range(1, keep + 1))))
-        if new not in self.number:
-            self.number[new] = len(self.states)
-            self.states.append(new)
-            if len(self.states) > len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.delta = np.concatenate([self.delta, np.zeros_like(self.delta)])
-        self.next[state, byte], self.delta[state, byte] = self.number[new], delta
+        self.next[state, byte], self.delta[state, byte] = self._number(new), delta
 
-    def counts(self, distinct: list[bytes]) -> np.ndarray:
-        """Tokens of each pre-token: all run side by side, the longest first, one byte a step."""
-        size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    def _run(self, data: np.ndarray, at: np.ndarray, size: np.ndarray, entry: list[tuple] | None) -> tuple[np.ndarray, list[tuple]]:
+        """Counts, and exit states where entry states are given (else all begin at the start): at most LANES lanes, the longest first, one byte a step."""
         order = np.argsort(-size, kind="stable")
-        data = np.frombuffer(b"".join(distinct), np.uint8)
-        at = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)[order]
+        at = at[order]
         live = np.searchsorted(-size[order], -np.arange(size.max() if len(size) else 0), "left")  # lanes that have byte k
-        if len(self.states) > self.most:
-            self._begin()
-        state, total = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        first = [self.START] if entry is None else [entry[k] for k in order.tolist()]
+        if len(self.states) + len(first) > self.most:
+            self._begin([])
+        state, total = np.resize(np.array([self._number(x) for x in first], np.int64), len(size)), np.zeros(len(size), np.int64)
         for k, n in enumerate(live.tolist()):
             now, byte = state[:n], data[at[:n] + k]
             to = self.next[now, byte]
             if (new := np.flatnonzero(to < 0)).size:
-                for s, b in set(zip(now[new].tolist(), byte[new].tolist())):
-                    self._compile(s, b)
+                pairs = np.unique(now[new] << 8 | byte[new]).tolist()
+                if len(self.states) + len(pairs) > self.most:  # only the lanes' states go on
+                    used, where = np.unique(state, return_inverse=True)
+                    kept = [self.states[x] for x in used.tolist()]
+                    self._begin(kept)
+                    state = np.array([self.number[x] for x in kept], np.int64)[where]
+                    now = state[:n]
+                    pairs = np.unique(now[self.next[now, byte] < 0] << 8 | byte[self.next[now, byte] < 0]).tolist()
+                for x in pairs:
+                    self._compile(x >> 8, x & 255)
                 to = self.next[now, byte]
             total[:n] += self.delta[now, byte]
             state[:n] = to
-        out = np.empty(len(distinct), np.int64)
-        out[order] = total
+        counts = np.empty(len(size), np.int64)
+        counts[order] = total
+        if entry is None:
+            return counts, []
+        left = np.empty(len(size), np.int64)
+        left[order] = state
+        return counts, [self.states[x] for x in left.tolist()]
+
+    def _long(self, data: np.ndarray, begin: int, size: int) -> int:
+        """One pre-token by chunks."""
+        step = max(self.CHUNK, -(-size // self.CHUNKS))
+        at = begin + np.arange(0, size, step)
+        sizes = np.minimum(step, begin + size - at)
+        # entry states by chunk, each with its exit state and count; a chunk's first is a guess from the bytes before it
+        warm = np.minimum(self.WARM, at - begin)
+        guesses = [self.START, *self._run(data, (at - warm)[1:], warm[1:], [self.START] * (len(at) - 1))[1]]
+        maps: list[dict[tuple, tuple[tuple, int]]] = [{} for _ in guesses]
+        todo = list(enumerate(guesses))
+        while todo:
+            new = []
+            for k in range(0, len(todo), self.LANES):
+                own = todo[k : k + self.LANES]
+                which = np.array([c for c, _ in own])
+                counts, exits = self._run(data, at[which], sizes[which], [x for _, x in own])
+                for (c, x), out, count in zip(own, exits, counts.tolist()):
+                    maps[c][x] = out, count
+                    if c + 1 < len(maps):
+                        new.append((c + 1, out))
+            todo = [(c, x) for c, x in dict.fromkeys(new) if x not in maps[c]]
+        width = max(map(len, maps))
+        number = [{x: k for k, x in enumerate(m)} for m in maps]
+        exit_, count = np.zeros((len(maps), width), np.int64), np.zeros((len(maps), width), np.int64)
+        for c, m in enumerate(maps):
+            for k, (out, n) in enumerate(m.values()):
+                exit_[c, k], count[c, k] = number[c + 1][out] if c + 1 < len(maps) else 0, n
+        step = 1
+        while step < len(maps):  # parallel prefix: maps of all chunks so far
+            via = exit_[:-step].copy()
+            count[step:] = count[:-step] + np.take_along_axis(count[step:], via, 1)
+            exit_[step:] = np.take_along_axis(exit_[step:], via, 1)
+            step *= 2
+        return int(count[-1, 0])
+
+    def counts(self, distinct: list[bytes]) -> np.ndarray:
+        """Tokens of each pre-token."""
+        size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        data, at, out = np.frombuffer(b"".join(distinct), np.uint8), np.cumsum(size) - size, np.empty(len(distinct), np.int64)
+        short = np.flatnonzero(size <= self.CHUNK)
+        short = short[np.argsort(size[short], kind="stable")]
+        for k in range(0, len(short), self.LANES):
+            own = short[k : k + self.LANES]
+            out[own] = self._run(data, at[own], size[own], None)[0]
+        for k in np.flatnonzero(size > self.CHUNK).tolist():
+            out[k] = self._long(data, int(at[k]), int(size[k]))
         return out
 
 
-@lru_cache(maxsize=2)
-def compiled(path: str) -> tuple[Scanner, CountTransducer, dict[bytes, int]]:
+class Remembered:
+    """What was found for byte strings, in two generations of bounded size: when the new one is full it becomes the old one."""
+
+    def __init__(self, limit: int = 8 << 20):
+        self.limit, self.new, self.old, self.size = limit, {}, {}, 0
+
+    def of(self, keys: list[bytes], find) -> list:
+        """The values of distinct keys; find(keys) gives those not known."""
+        new, old, missing, size = self.new, self.old, [], 0
+        for x in keys:
+            if x not in new:
+                if x in old:
+                    new[x] = old[x]
+                    size += len(x) + 200
+                else:
+                    missing.append(x)
+        found = find(missing)
+        new.update(zip(missing, found))
+        out = [new[x] for x in keys]
+        self.size += size + sum(map(len, missing)) + 200 * len(missing)
+        if self.size > self.limit:
+            self.old, self.new, self.size = new, {}, 0
+        return out
+
+
+@lru_cache(maxsize=1)
+def compiled(path: str) -> tuple[Scanner, CountTransducer, Remembered]:
     """The transducers for a file and the counts remembered so far; kept between the tasks of a worker."""
-    return Scanner(Tokenizer.from_file(path).pre_tokenizer), CountTransducer(path), {}
+    found = Scanner(Tokenizer.from_file(path).pre_tokenizer), CountTransducer(path), Remembered()
+    tidy()
+    return found
 
 
-@lru_cache(maxsize=2)
-def library(path: str) -> tuple[Scanner, Tokenizer, bytes, dict[bytes, bytes]]:
+@lru_cache(maxsize=1)
+def library(path: str) -> tuple[Scanner, Tokenizer, bytes, Remembered]:
     """The scanner, the tokenizers library for a file, its special string, and the ids remembered so far."""
     tokenizer = Tokenizer.from_file(path)
-    return Scanner(tokenizer.pre_tokenizer), tokenizer, vocabulary(path)[2], {}
+    found = Scanner(tokenizer.pre_tokenizer), tokenizer, vocabulary(path)[2], Remembered()
+    tidy()
+    return found
 
 
-def token_ids(column: pa.Array, path: str, remember: int) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows, one after another, and row offsets: the library tokenizes each distinct pre-token once."""
     scanner, tokenizer, special, known = library(path)
     pre = Pretokens(scanner, column, special)
-    new = [x for x in pre.distinct if x not in known]
-    if len(known) + len(new) > remember:
-        known.clear()
-        new = pre.distinct
-    for x, e in zip(new, tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
-        known[x] = array("I", e.ids).tobytes()
-    parts = [known[x] for x in pre.distinct] + [array("I", [tokenizer.token_to_id(special.decode())]).tobytes()]  # the last for code -1
-    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    flat, at = np.frombuffer(b"".join(parts), np.uint32), np.concatenate([[0], np.cumsum(size)[:-1]])
-    codes = np.where(pre.codes < 0, len(parts) - 1, pre.codes)
+
+    def encoded(new: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for k in range(0, len(new), 10_000) for e in tokenizer.encode_batch_fast([x.decode() for x in new[k : k + 10_000]], add_special_tokens=False)]
+
+    found = known.of(pre.distinct, encoded) + [array("I", [tokenizer.token_to_id(special.decode())]).tobytes()]  # the last for code -1
+    size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    flat, at = np.frombuffer(b"".join(found), np.uint32), np.cumsum(size) - size
+    codes = np.where(pre.codes < 0, len(found) - 1, pre.codes)
     ends = np.concatenate([[0], np.cumsum(size[codes])])
     ids = flat[np.repeat(at[codes] - ends[:-1], size[codes]) + np.arange(ends[-1])]
     return ids, ends[pre.first]

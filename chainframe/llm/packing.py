@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from chainframe.lineage import cut
 from chainframe.llm.bpe import token_ids
-from chainframe.llm.text import slices
+from chainframe.llm.text import parts
 
 CAPACITY, END = 1024, 2
-#: Distinct pre-tokens whose ids one worker remembers; the least number of groups in which the pieces of one length are ranked.
-REMEMBER, SALTS = 300_000, 64
+#: The least number of groups in which the pieces of one length are ranked.
+SALTS = 64
 #: Text bytes tokenized together: more share more pre-tokens.
-TOKEN_BYTES = 4 << 20
+TOKEN_BYTES = 1 << 20
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -92,23 +92,22 @@ def _pieces(path: str, capacity: int, end: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["RAYON_NUM_THREADS"] = "1"  # Spark's tasks share the cores
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        for batch in batches:
-            for part in slices(batch, "text", TOKEN_BYTES):
-                ids, offsets = token_ids(part["text"], path, REMEMBER)
-                rows = part.num_rows
-                size = np.diff(offsets) + 1
-                ids = np.insert(ids, offsets[1:], end).astype("<u4")
-                ends = np.cumsum(size)
-                many = -(-size // capacity)
-                row = np.repeat(np.arange(rows), many)
-                number = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                first = size - (many - 1) * capacity
-                start = np.where(number == 0, 0, first[row] + (number - 1) * capacity)
-                length = np.where(number == 0, first[row], capacity)
-                at = (ends - size)[row] + start
-                view = memoryview(ids.tobytes())
-                crc = [zlib.crc32(view[4 * a : 4 * z]) for a, z in zip(at.tolist(), (at + length).tolist())]
-                yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for part in parts(batches, "text", TOKEN_BYTES):
+            ids, offsets = token_ids(part["text"], path)
+            rows = part.num_rows
+            size = np.diff(offsets) + 1
+            ids = np.insert(ids, offsets[1:], end).astype("<u4")
+            ends = np.cumsum(size)
+            many = -(-size // capacity)
+            row = np.repeat(np.arange(rows), many)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            first = size - (many - 1) * capacity
+            start = np.where(number == 0, 0, first[row] + (number - 1) * capacity)
+            length = np.where(number == 0, first[row], capacity)
+            at = (ends - size)[row] + start
+            view = memoryview(ids.tobytes())
+            crc = [zlib.crc32(view[4 * a : 4 * z]) for a, z in zip(at.tolist(), (at + length).tolist())]
+            yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return pieces
 
@@ -138,7 +137,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, s
     """
     salts = max(salts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # more for larger inputs
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    pieces = cut(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")))
+    # equal rows are spread too; the salts are kept with the rows
+    pieces = cut(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(salts)).cast("int")))
     sums = pieces.groupBy("length", "salt").agg(F.count("*").alias("c"))  # at most capacity * salts rows
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sums = cut(sums.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))))

@@ -10,28 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainframe.llm.bpe import Pretokens, compiled
-from chainframe.llm.text import slices, text_buffer
+from chainframe.llm.text import parts, text_buffer
 
-#: Distinct pre-tokens whose counts one worker remembers.
-REMEMBER = 300_000
 #: Text bytes tokenized together: more share more pre-tokens.
-TOKEN_BYTES = 4 << 20
+TOKEN_BYTES = 1 << 20
 
 
 def _counted(path: str):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, transducer, known = compiled(path)
-        for batch in batches:
-            for part in slices(batch, "text", TOKEN_BYTES):
-                pre = Pretokens(scanner, part["text"], transducer.special)
-                new = [x for x in pre.distinct if x not in known]
-                if len(known) + len(new) > REMEMBER:
-                    known.clear()
-                    new = pre.distinct
-                known.update(zip(new, transducer.counts(new).tolist()))
-                count = np.append(np.fromiter(map(known.__getitem__, pre.distinct), np.int64, len(pre.distinct)), 1)  # code -1: one special token
-                upto = np.concatenate([[0], np.cumsum(count[pre.codes])])
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(np.diff(text_buffer(part["text"])[1])), pa.array(np.diff(upto[pre.first]))], ["doc_id", "n_bytes", "n_tokens"])
+        for part in parts(batches, "text", TOKEN_BYTES):
+            pre = Pretokens(scanner, part["text"], transducer.special)
+            found = known.of(pre.distinct, lambda new: transducer.counts(new).tolist())
+            count = np.array([*found, 1], np.int64)  # code -1: one special token
+            upto = np.concatenate([[0], np.cumsum(count[pre.codes])])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(np.diff(text_buffer(part["text"])[1])), pa.array(np.diff(upto[pre.first]))], ["doc_id", "n_bytes", "n_tokens"])
 
     return counted
 
