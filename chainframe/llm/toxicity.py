@@ -1,10 +1,13 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 A bounded sample of labelled rows, near copies of one label (Jaccard 0.75 of their shingle sets) counted once, is indexed: a posting list for each term, cut into
-blocks of examples, with the largest weight of each block. Terms are those whose presence among the
-examples depends on the label (chi-square). Document frequencies are counted over the whole corpus for these terms.
-A document sums its terms' block maxima into a bound for each block and reads blocks in
-falling order until no bound exceeds its k-th best cosine, so the k best are exact. Cosine-weighted
+blocks of examples, with the largest weight of each block. Every word of the examples is a term, but for stop words, those in more than a tenth of
+all documents; document frequencies are counted over the whole corpus. A term's weight is its TF-IDF times its
+relevance: a small constant plus the squared correlation, over the examples, of its presence with the label.
+Plain TF-IDF, in which rare words outweigh telling ones, finds half of the toxic texts that this finds (see the README).
+
+A document sums its terms' block maxima into a bound for each block, reads the best blocks, and then
+all blocks whose bound reaches its k-th best cosine, so the k best are exact. Cosine-weighted
 votes of the neighbours are turned into a probability by a logistic fit on the
 examples' own leave-one-out votes. The neighbours are the evidence.
 """
@@ -20,27 +23,41 @@ from pyspark.sql import functions as F
 
 from chainframe.llm.labelled import examples, held_out
 from chainframe.llm.near_dup import SIMILAR, shingle_sets
-from chainframe.llm.text import NOT_ALNUM, Words, slices
+from chainframe.llm.text import NOT_ALNUM, Words, parts, slices
 
-#: Labelled rows indexed at most, whatever the corpus; neighbours; examples in a block.
-MAX_EXAMPLES, NEIGHBOURS, BLOCK = 6_000, 15, 64
-#: A term needs this chi-square statistic (one degree of freedom) and so many examples.
-CHI_SQUARE, LEAST_EXAMPLES = 30.0, 5
+#: Labelled rows indexed at most, whatever the corpus; neighbours; examples in a block; blocks read first.
+MAX_EXAMPLES, NEIGHBOURS, BLOCK, FIRST = 6_000, 15, 64, 6
+#: Share of documents from which a term is a stop word, relevance of a term that says nothing of the label, and what chance adds to it (times one over the examples).
+STOP, PLAIN, CHANCE = 0.1, 0.01, 8
 #: Score from which a document counts as toxic.
 TOXIC = 0.5
 
 
-def term_counts(texts: pa.Array, vocabulary: dict[bytes, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(row, term, count), sorted by row and term, and the terms: all of the column's, or a given vocabulary's."""
+def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, count), sorted by row and term; a term is the 64-bit hash of a word of lower-case letters, digits and non-ASCII characters."""
     words = Words(texts, NOT_ALNUM, lower=True)
-    codes, distinct = words.codes()
-    row = words.row
-    if vocabulary is not None:
-        of = np.fromiter((vocabulary.get(w, -1) for w in distinct), np.int64, len(distinct))
-        term = of[codes] if len(distinct) else codes
-        row, codes, distinct = row[term >= 0], term[term >= 0], list(vocabulary)
-    key, count = np.unique(row * max(len(distinct), 1) + codes, return_counts=True)
-    return key // max(len(distinct), 1), key % max(len(distinct), 1), count, distinct
+    h = words.hashes()
+    distinct, code = np.unique(h, return_inverse=True)
+    key, count = np.unique(words.row * max(len(distinct), 1) + code, return_counts=True)
+    return key // max(len(distinct), 1), distinct[key % max(len(distinct), 1)] if len(key) else h, count
+
+
+def known_counts(texts: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, index among the sorted terms, count) of terms that are known."""
+    row, term, count = term_counts(texts)
+    at = np.minimum(np.searchsorted(terms, term), max(len(terms) - 1, 0))
+    seen = terms[at] == term if len(terms) else np.zeros(len(term), bool)
+    return row[seen], at[seen], count[seen]
+
+
+def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`term_counts` of a long column, a slice at a time."""
+    found, base = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+        row, term, count = term_counts(part["text"])
+        found.append((row + base, term, count))
+        base += part.num_rows
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _first_copies(texts: pa.Array, labels: np.ndarray) -> np.ndarray:
@@ -48,7 +65,9 @@ def _first_copies(texts: pa.Array, labels: np.ndarray) -> np.ndarray:
 
     Exact: two sets as similar as SIMILAR share one of the first shingles of each, rarest first, when all but so many are left out.
     """
-    hashes, offsets = shingle_sets(texts)
+    made = [shingle_sets(part["text"]) for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
+    hashes = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in made)])
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(o) for _, o in made)]))]).astype(np.int64)
     _, code, often = np.unique(hashes, return_inverse=True, return_counts=True)
     keep, holders = np.ones(len(texts), bool), {}
     for r, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
@@ -69,64 +88,68 @@ def _first_copies(texts: pa.Array, labels: np.ndarray) -> np.ndarray:
     return keep
 
 
-def choose_terms(texts: pa.Array, labels: np.ndarray) -> list[bytes]:
-    """Terms of the examples that depend on the label, in byte order."""
-    _, term, _, distinct = term_counts(texts)
-    if not len(term):
-        return []
-    row = term_counts(texts)[0]
-    n, pos = len(labels), labels.sum()
-    a = np.bincount(term, labels[row], len(distinct))
-    df = np.bincount(term, minlength=len(distinct))
-    expected = df * pos / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = n * (a - expected) ** 2 / (df * pos / n * (n - pos) / n * (n - df) / n) / n
-    good = np.flatnonzero((chi >= CHI_SQUARE) & (df >= LEAST_EXAMPLES) & (a > expected)) if 0 < pos < n else []
-    return sorted(distinct[k] for k in good)
+def relevance(row: np.ndarray, term: np.ndarray, labels: np.ndarray, terms: int) -> np.ndarray:
+    """Of each term: PLAIN, and above what chance gives, its presence's squared correlation with the label over the examples."""
+    n, positive = len(labels), labels.sum()
+    df, a = np.bincount(term, minlength=terms).astype(float), np.bincount(term, labels[row], terms)
+    spread = df * (n - df) * positive * (n - positive)
+    phi = np.divide((a * n - df * positive) ** 2, spread, out=np.zeros(terms), where=spread > 0)
+    return PLAIN + np.maximum(phi - CHANCE / max(n, 1), 0)
+
+
+def _expanded(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 class BlockMaxIndex:
-    """Postings of weighted unit vectors, by term and block of examples, with block maxima."""
+    """Postings of weighted unit vectors by term and block of examples, with block maxima. Terms are indices into the sorted array `terms`."""
 
-    def __init__(self, vocabulary: list[bytes], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, row, term, count):
-        self.vocabulary = {w: k for k, w in enumerate(vocabulary)}
-        self.idf, self.ids, self.labels = idf, ids, labels
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, ids: np.ndarray, labels: np.ndarray, row, term, count):
+        self.terms, self.weights, self.ids, self.labels = terms, weights, ids, labels
         weight = self.weigh(row, term, count, len(ids))
         self.blocks = max(1, -(-len(ids) // BLOCK))
         order = np.lexsort((row, term))
-        self.example, self.weight = row[order], weight[order]
+        self.example, self.weight = row[order].astype(np.int32), weight[order]
         slot = term[order] * self.blocks + self.example // BLOCK
-        self.at = np.searchsorted(slot, np.arange(len(vocabulary) * self.blocks + 1))
-        self.most = np.zeros(len(vocabulary) * self.blocks)
-        np.maximum.at(self.most, slot, self.weight)
-        self.most = self.most.reshape(len(vocabulary), self.blocks)
+        first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, np.int64)
+        # entries: a term's postings within one block
+        self.entry_at, self.entry_block = np.append(first, len(slot)), (slot[first] % self.blocks).astype(np.int32)
+        self.entry_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.at = np.searchsorted(slot[first] // self.blocks, np.arange(len(terms) + 1))
         self.empty = np.setdiff1d(np.arange(len(ids)), row)
-        self.slope, self.level = 0.0, 0.0
+        self.slope, self.level, self.bare = 0.0, 0.0, 0.5
 
     def weigh(self, row, term, count, n) -> np.ndarray:
-        w = (1 + np.log(count)) * self.idf[term]
+        w = (1 + np.log(count)) * self.weights[term]
         norm = np.sqrt(np.bincount(row, w * w, n))
         return w / np.maximum(norm[row], 1e-300)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k best examples and cosines, best first; equal cosines by block bound, then example."""
-        bound = weight @ self.most[term]
-        order = np.argsort(-bound, kind="stable")
-        best, cosine, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] <= least:
+        """The k best examples with a common term and their cosines, best first, equal ones by example."""
+        many = self.at[term + 1] - self.at[term]
+        entry, by = _expanded(self.at[term], many), np.repeat(weight, many)
+        block = self.entry_block[entry]
+        bound = np.bincount(block, by * self.entry_most[entry], self.blocks)
+        cosine = np.zeros(self.blocks * BLOCK)
+        left, order = bound > 0, np.argsort(-bound, kind="stable")
+        chosen = np.zeros(self.blocks, bool)
+        chosen[order[:FIRST]] = True
+        chosen &= left
+        for _ in range(2):
+            own = np.flatnonzero(chosen[block])
+            size = self.entry_at[entry[own] + 1] - self.entry_at[entry[own]]
+            posting = _expanded(self.entry_at[entry[own]], size)
+            cosine += np.bincount(self.example[posting], np.repeat(by[own], size) * self.weight[posting], len(cosine))
+            if skip >= 0:
+                cosine[skip] = 0
+            left &= ~chosen
+            least = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
+            chosen = left & (bound >= least - 1e-12)  # sums are rounded
+            if not chosen.any():
                 break
-            own = np.zeros(BLOCK)
-            for t, w in zip(term.tolist(), weight.tolist()):
-                a, z = self.at[t * self.blocks + b], self.at[t * self.blocks + b + 1]
-                own[self.example[a:z] - b * BLOCK] += w * self.weight[a:z]
-            hit = np.flatnonzero(own > 0)
-            hit = hit[hit + b * BLOCK != skip]
-            best, cosine = np.append(best, hit + b * BLOCK), np.append(cosine, own[hit])
-            top = np.argsort(-cosine, kind="stable")[:k]
-            best, cosine = best[top], cosine[top]
-            least = cosine[-1] if len(best) else 0.0
-        return best, cosine
+        hit = np.flatnonzero(cosine > 0)
+        best = hit[np.argsort(-cosine[hit], kind="stable")[:k]]
+        return best, cosine[best]
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
         """Cosine-weighted share of label 1, drawn towards the share of all examples by the weight of one example."""
@@ -142,15 +165,15 @@ class BlockMaxIndex:
             votes[r] = self.vote(*self.nearest(term[a:z], weight[a:z], k, r)) if z > a else np.nan
         seen = ~np.isnan(votes)
         bare = self.labels[self.empty]
-        self.bare = float((bare.sum() + 1) / (len(bare) + 2)) if len(bare) else 0.5
+        self.bare = float((bare.sum() + 1) / (len(bare) + 2)) if len(bare) else float((self.labels.sum() + 1) / (len(self.labels) + 2))
         x, y = votes[seen], self.labels[seen]
         beta = np.array([-2.0, 4.0])
         for _ in range(30):
             z = beta[0] + beta[1] * x
             p = 1 / (1 + np.exp(-z))
             design = np.stack([np.ones_like(x), x], 1)
-            grad = design.T @ (p - y) + 0.5 * (beta - [-2.0, 4.0])
-            hess = (design * (p * (1 - p))[:, None]).T @ design + 0.5 * np.eye(2)
+            grad = design.T @ (p - y) + 0.05 * (beta - [-2.0, 4.0])
+            hess = (design * (p * (1 - p))[:, None]).T @ design + 0.05 * np.eye(2)
             beta = beta - np.linalg.solve(hess, grad)
         self.level, self.slope = beta
 
@@ -161,15 +184,15 @@ class BlockMaxIndex:
         return float(1 / (1 + np.exp(-(self.level + self.slope * self.vote(best, cosine))))), best, cosine
 
 
-def _frequencies(vocabulary):
+def _frequencies(terms):
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, df, rows = vocabulary.value, np.zeros(len(vocabulary.value) + 1, np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for part in slices(batch, "text"):
-                df[:-1] += np.bincount(term_counts(part["text"], known)[1], minlength=len(known))
-        df[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], ["term", "df"])
+        known = terms.value
+        df = np.zeros(len(known) + 1, np.int64)
+        for part in parts(batches, "text"):
+            df[-1] += part.num_rows
+            df[:-1] += np.bincount(known_counts(part["text"], known)[1], minlength=len(known))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "df"])
 
     return frequencies
 
@@ -178,17 +201,18 @@ def build_index(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAM
     """The index over a bounded sample of labelled rows, with document frequencies of the whole corpus."""
     table = examples(docs, labels, "toxic", max_examples)
     table = table.filter(pa.array(_first_copies(table["text"].combine_chunks(), table["label"].to_numpy())))
-    texts, y = table["text"].combine_chunks(), table["label"].to_numpy().astype(np.float64)
-    vocabulary = choose_terms(texts, y)
-    known = {w: i for i, w in enumerate(vocabulary)}
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    counts = docs.select("text").mapInArrow(_frequencies(shared), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
-    df = np.zeros(len(vocabulary) + 1)
-    for row in counts:
-        df[row["term"]] = row["df"]
-    idf = 1 + np.log((df[-1] + 1) / (df[:-1] + 1))
-    row, term, count, _ = term_counts(texts, known)
-    index = BlockMaxIndex(vocabulary, idf, table["doc_id"].to_numpy(), y, row, term, count)
+    y = table["label"].to_numpy().astype(np.float64)
+    row, term, count = counted(table["text"].combine_chunks())
+    terms, term = np.unique(term, return_inverse=True)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    counts = docs.select("text").mapInArrow(_frequencies(shared), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # at most one row for each term of the sample
+    df = np.zeros(len(terms) + 1)
+    df[counts["term"].to_numpy()] = counts["df"].to_numpy()
+    keep = df[:-1] <= max(STOP * df[-1], 1)
+    weights = (1 + np.log((df[-1] + 1) / (df[:-1] + 1))) * relevance(row, term, y, len(terms))
+    place, own = np.cumsum(keep) - 1, keep[term]
+    row, term, count = row[own], place[term[own]], count[own]
+    index = BlockMaxIndex(terms[keep], weights[keep], table["doc_id"].to_numpy(), y, row, term, count)
     index.calibrate(row, term, count, k)
     return index
 
@@ -196,22 +220,21 @@ def build_index(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAM
 def _scored(shared, k: int):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                row, term, count, _ = term_counts(part["text"], index.vocabulary)
-                weight = index.weigh(row, term, count, part.num_rows)
-                at = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
-                known, scores, evidence = {}, [], []
-                for a, z in zip(at, at[1:]):
-                    key = (term[a:z].tobytes(), count[a:z].tobytes())
-                    if key not in known:
-                        score, best, cosine = index.score(term[a:z], weight[a:z], k)
-                        known[key] = score, [{"doc_id": int(index.ids[e]), "cosine": float(c), "toxic": int(index.labels[e])} for e, c in zip(best, cosine)]
-                    score, seen = known[key]
-                    scores.append(score)
-                    evidence.append(seen)
-                kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
+        for part in parts(batches, "text"):
+            row, term, count = known_counts(part["text"], index.terms)
+            weight = index.weigh(row, term, count, part.num_rows)
+            at = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
+            known, scores, evidence = {}, [], []
+            for a, z in zip(at, at[1:]):
+                key = (term[a:z].tobytes(), count[a:z].tobytes())
+                if key not in known:
+                    score, best, cosine = index.score(term[a:z], weight[a:z], k)
+                    known[key] = score, [{"doc_id": int(index.ids[e]), "cosine": float(c), "toxic": int(index.labels[e])} for e, c in zip(best, cosine)]
+                score, seen = known[key]
+                scores.append(score)
+                evidence.append(seen)
+            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
 
     return scored
 
@@ -219,9 +242,8 @@ def _scored(shared, k: int):
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> DataFrame:
     """Per document (doc_id, held_out, score, predicted, evidence): evidence lists the neighbours that voted.
 
-    A text without any indexed term (null and empty ones too) has no neighbours: its score is the label
-    rate of the examples without terms. Equal texts get equal scores. Without labels, or with one kind only, every
-    score is that rate. Repeated rows each get their row; an empty table gives an empty result.
+    A text without any indexed term (null and empty ones too, and such of stop words only) has no neighbours: its score is the label
+    rate of the examples without terms, or of all if each has some. Equal texts get equal scores. Without labels every score is 0.5. Repeated rows each get their row; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     index = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels, max_examples, k))
