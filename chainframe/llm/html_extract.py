@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chainframe.llm.block_lstm import features, trained
 from chainframe.llm.html_blocks import leaves
-from chainframe.llm.text import slices
+from chainframe.llm.text import parts
 
 #: Page characters whose blocks are labelled together.
 BATCH_BYTES = 2 << 20
@@ -18,12 +18,11 @@ BATCH_BYTES = 2 << 20
 
 def _extracted(model, threshold: float):
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "html", BATCH_BYTES):
-                pages = [leaves(x or "") for x in part["html"].to_pylist()]
-                keep = iter((model.value.probabilities(features(pages), [len(p) for p in pages]) >= threshold).tolist()) if any(pages) else iter(())
-                texts = ["\n\n".join([leaf.text for leaf in page if next(keep)]) for page in pages]
-                yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
+        for part in parts(batches, "html", BATCH_BYTES):
+            pages = [leaves(x or "") for x in part["html"].to_pylist()]
+            keep = iter((model.value.probabilities(features(pages), [len(p) for p in pages]) >= threshold).tolist()) if any(pages) else iter(())
+            texts = ["\n\n".join([leaf.text for leaf in page if next(keep)]) for page in pages]
+            yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return extracted
 
