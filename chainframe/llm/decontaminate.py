@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainframe.llm.text import NOT_ALNUM, Words, grams, slices
+from chainframe.llm.text import NOT_ALNUM, Words, grams, parts
 
 WINDOW = 10
 #: Words of the benchmark items in one broadcast block (some 60 bytes each).
@@ -96,15 +96,14 @@ def _digest(items: list[str]) -> str:
 
 def _report(index):
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part["text"], NOT_ALNUM, lower=True)
-                hits = index.value.hits(words)
-                upto = np.concatenate([[0], np.cumsum(_cover(words, hits))])
-                n_hit = np.diff(upto[words.first])
-                items = {r: _listed(x) for r, x in _items_of(words, hits).items()}
-                empty = _digest([])
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(words.per_row), pa.array(n_hit), pa.array([len(items.get(r, ())) for r in range(part.num_rows)], pa.int64()), pa.array([_digest(items[r]) if r in items else empty for r in range(part.num_rows)], pa.string()), pa.array(n_hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        for part in parts(batches, "text"):
+            words = Words(part["text"], NOT_ALNUM, lower=True)
+            hits = index.value.hits(words)
+            upto = np.concatenate([[0], np.cumsum(_cover(words, hits))])
+            n_hit = np.diff(upto[words.first])
+            items = {r: _listed(x) for r, x in _items_of(words, hits).items()}
+            empty = _digest([])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(words.per_row), pa.array(n_hit), pa.array([len(items.get(r, ())) for r in range(part.num_rows)], pa.int64()), pa.array([_digest(items[r]) if r in items else empty for r in range(part.num_rows)], pa.string()), pa.array(n_hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return report
 
@@ -115,28 +114,26 @@ _REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 str
 def _found(index):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, text_key, spans, items) of rows with a hit in this block."""
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part["text"], NOT_ALNUM, lower=True)
-                hits = index.value.hits(words)
-                items, spans = _items_of(words, hits), {}
-                for s, n, _ in hits:
-                    r = int(np.searchsorted(words.first, s, "right") - 1)
-                    spans.setdefault(r, []).append({"start": s - int(words.first[r]), "length": n})
-                rows = sorted(items)
-                yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(rows, pa.int64())), part["text_key"].take(pa.array(rows, pa.int64())), pa.array([spans[r] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array([_listed(items[r]) for r in rows], pa.list_(pa.string()))], ["doc_id", "text_key", "spans", "items"])
+        for part in parts(batches, "text"):
+            words = Words(part["text"], NOT_ALNUM, lower=True)
+            hits = index.value.hits(words)
+            items, spans = _items_of(words, hits), {}
+            for s, n, _ in hits:
+                r = int(np.searchsorted(words.first, s, "right") - 1)
+                spans.setdefault(r, []).append({"start": s - int(words.first[r]), "length": n})
+            rows = sorted(items)
+            yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(rows, pa.int64())), part["text_key"].take(pa.array(rows, pa.int64())), pa.array([spans[r] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array([_listed(items[r]) for r in rows], pa.list_(pa.string()))], ["doc_id", "text_key", "spans", "items"])
 
     return found
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            words = Words(part["text"], NOT_ALNUM, lower=True)
-            hits = [(int(words.first[r]) + x["start"], x["length"], set()) for r, spans in enumerate(part["spans"].to_pylist()) for x in spans or ()]
-            n_hit = np.diff(np.concatenate([[0], np.cumsum(_cover(words, hits))])[words.first])
-            items = [sorted(x or ()) for x in part["items"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(words.per_row), pa.array(n_hit), pa.array(list(map(len, items)), pa.int64()), pa.array(list(map(_digest, items)), pa.string()), pa.array(n_hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    for part in parts(batches, "text"):
+        words = Words(part["text"], NOT_ALNUM, lower=True)
+        hits = [(int(words.first[r]) + x["start"], x["length"], set()) for r, spans in enumerate(part["spans"].to_pylist()) for x in spans or ()]
+        n_hit = np.diff(np.concatenate([[0], np.cumsum(_cover(words, hits))])[words.first])
+        items = [sorted(x or ()) for x in part["items"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(words.per_row), pa.array(n_hit), pa.array(list(map(len, items)), pa.int64()), pa.array(list(map(_digest, items)), pa.string()), pa.array(n_hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Index]:
@@ -172,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         found = own if found is None else found.union(own)
         block, second = second, next(blocks, None)
     # repeated rows give equal spans and items, which the sets below hold once
-    own = found.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    own = found.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     own = own.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "spans", "items")
     rows = keyed.join(own, keyed["doc_id"].eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
     return rows.select("doc_id", "text", "spans", "items").mapInArrow(_merged, _REPORT)
@@ -181,63 +178,71 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """`docs`, all its columns, without benchmark passages: `remove` "documents" drops hit rows, "spans" cuts from the first to the last byte of each run of hit words.
 
-    A text left without words is dropped with its row in "spans" mode only if it had a hit. Other rows stay as they are.
+    In "spans" mode a row goes only if hit windows cover all its words. Rows without a hit stay as they are, null and empty texts too; repeated
+    rows fare alike, an empty table gives an empty result, and other columns stay whatever their names. One block of the benchmark takes one pass.
     """
     if remove not in ("spans", "documents"):
         raise ValueError("remove is spans or documents")
     context, names = docs.sparkSession.sparkContext, docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("rest"), "text")
-    for index in _blocks(benchmark, window, block_words):
-        # blocks are of whole items, but a later block must judge the text as it was
-        rows = rows if "was" in rows.columns else rows.withColumn("was", F.col("text")).withColumn("cut", F.lit(None).cast("array<struct<start:int,length:int>>"))
+    rows = docs.toDF(*["text" if c == "text" else f"c{n}" for n, c in enumerate(names)])  # whatever the names are
+    blocks = _blocks(benchmark, window, block_words)
+    index, following = next(blocks), next(blocks, None)
+    spans = "array<struct<start:int,length:int>>"
+    while following is not None:  # blocks are of whole items, and each judges the text as it was
+        rows = rows if "spans" in rows.columns else rows.withColumn("spans", F.lit(None).cast(spans))
         rows = rows.mapInArrow(_spans(context.broadcast(index)), rows.schema)
-    rows = rows.mapInArrow(_cut(remove), rows.schema)
-    return rows.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in names])
+        index, following = following, next(blocks, None)
+    kept = [c for c in rows.columns if c != "spans"]
+    out = rows.mapInArrow(_cut(context.broadcast(index), remove, kept), rows.select(*kept).schema)
+    return out.toDF(*names)
+
+
+def _add_spans(part: pa.RecordBatch, index) -> tuple[Words, list]:
+    """The part's words, and the spans of hit windows of each row: those told before and this block's."""
+    words = Words(part["text"], NOT_ALNUM, lower=True)
+    spans = part["spans"].to_pylist() if "spans" in part.schema.names else [None] * part.num_rows
+    for s, n, _ in index.hits(words):
+        r = int(np.searchsorted(words.first, s, "right") - 1)
+        spans[r] = (spans[r] or []) + [{"start": s - int(words.first[r]), "length": n}]
+    return words, spans
 
 
 def _spans(index):
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part["text"], NOT_ALNUM, lower=True)
-                hits = index.value.hits(words)
-                cut = part["cut"]
-                if hits:
-                    cut = cut.to_pylist()
-                    for s, n, _ in hits:
-                        r = int(np.searchsorted(words.first, s, "right") - 1)
-                        cut[r] = (cut[r] or []) + [{"start": s - int(words.first[r]), "length": n}]
-                    cut = pa.array(cut, part["cut"].type)
-                yield pa.RecordBatch.from_arrays([cut if c == "cut" else part[c] for c in part.schema.names], part.schema.names)
+        for part in parts(batches, "text"):
+            found = pa.array(_add_spans(part, index.value)[1], part["spans"].type)
+            yield pa.RecordBatch.from_arrays([found if c == "spans" else part[c] for c in part.schema.names], part.schema.names)
 
     return spans
 
 
-def _cut(remove: str):
+def _cut(index, remove: str, kept: list[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                marks = part["cut"]
-                hit = np.flatnonzero(~marks.is_null().to_numpy(zero_copy_only=False))
-                keep, texts = np.ones(part.num_rows, bool), part["text"]
-                if len(hit) and remove == "documents":
-                    keep[hit] = False
-                elif len(hit):
-                    texts = texts.to_pylist()
-                    for r in hit.tolist():
-                        words = Words(part["text"].slice(r, 1), NOT_ALNUM, lower=True)
-                        covered = _cover(words, [(x["start"], x["length"], set()) for x in marks[r].as_py()])
-                        raw = texts[r].encode()
-                        gone = np.zeros(len(raw) + 1, np.int64)
-                        for i in np.flatnonzero(covered).tolist():
-                            end = words.start[i + 1] if i + 1 < len(words) and covered[i + 1] else words.end[i]
-                            gone[words.start[i]] += 1
-                            gone[end] -= 1
-                        stays = np.cumsum(gone[:-1]) == 0
-                        texts[r] = np.frombuffer(raw, np.uint8)[stays].tobytes().decode()
-                        keep[r] = not covered.all()
-                    texts = pa.array(texts, part["text"].type)
-                out = pa.RecordBatch.from_arrays([texts if c == "text" else part[c] for c in part.schema.names], part.schema.names)
-                yield out.filter(pa.array(keep))
+        for part in parts(batches, "text"):
+            words, spans = _add_spans(part, index.value)
+            keep, texts = np.ones(part.num_rows, bool), part["text"]
+            hit = [r for r, x in enumerate(spans) if x]
+            if hit and remove == "documents":
+                keep[hit] = False
+            elif hit:
+                texts = texts.to_pylist()
+                for r in hit:
+                    first, last, base = int(words.first[r]), int(words.first[r + 1]), int(words.offsets[r])
+                    edge = np.zeros(last - first + 1, np.int64)
+                    for x in spans[r]:
+                        edge[x["start"]] += 1
+                        edge[x["start"] + x["length"]] -= 1
+                    covered = np.cumsum(edge[:-1]) > 0
+                    raw = texts[r].encode()
+                    gone = np.zeros(len(raw) + 1, np.int64)
+                    for i in np.flatnonzero(covered).tolist():
+                        end = words.start[first + i + 1] if i + 1 < len(covered) and covered[i + 1] else words.end[first + i]
+                        gone[words.start[first + i] - base] += 1
+                        gone[end - base] -= 1
+                    texts[r] = np.frombuffer(raw, np.uint8)[np.cumsum(gone[:-1]) == 0].tobytes().decode()
+                    keep[r] = not covered.all()
+                texts = pa.array(texts, part["text"].type)
+            out = pa.RecordBatch.from_arrays([texts if c == "text" else part[c] for c in kept], kept)
+            yield out.filter(pa.array(keep)) if hit else out
 
     return cut

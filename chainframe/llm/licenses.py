@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainframe.llm.text import NOT_ALNUM, Words, grams, slices
+from chainframe.llm.text import NOT_ALNUM, Words, grams, parts
 
 SHINGLE, CONTAINED, BANDS, CLASS_STEP = 5, 75, 64, 4
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -128,22 +128,21 @@ def _scanned(index, contained: int):
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = index.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                h, first, count = _shingles(part["text"])
-                found: dict[int, dict] = {}
-                if len(h):
-                    seen = set()
-                    for k, a, z in templates.candidates(h):
-                        for r in range(max(int(np.searchsorted(first, a, "right")) - 1, 0), int(np.searchsorted(first, z, "left"))):
-                            seen.add((r, k))
-                    for r, k in seen:
-                        a, n = int(first[r]), int(count[r])
-                        share, begin, end = templates.contained(k, h, a, a + n)
-                        if 100 * share >= contained:
-                            found.setdefault(r, {})[templates.names[k]] = {"license": templates.names[k], "containment": share, "first_word": begin - a, "last_word": end - a + SHINGLE - 1}
-                rows = [[found[r][x] for x in sorted(found[r])] if r in found else [] for r in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(rows, kind)], ["doc_id", "matches"])
+        for part in parts(batches, "text"):
+            h, first, count = _shingles(part["text"])
+            found: dict[int, dict] = {}
+            if len(h):
+                seen = set()
+                for k, a, z in templates.candidates(h):
+                    for r in range(max(int(np.searchsorted(first, a, "right")) - 1, 0), int(np.searchsorted(first, z, "left"))):
+                        seen.add((r, k))
+                for r, k in seen:
+                    a, n = int(first[r]), int(count[r])
+                    share, begin, end = templates.contained(k, h, a, a + n)
+                    if 100 * share >= contained:
+                        found.setdefault(r, {})[templates.names[k]] = {"license": templates.names[k], "containment": share, "first_word": begin - a, "last_word": end - a + SHINGLE - 1}
+            rows = [[found[r][x] for x in sorted(found[r])] if r in found else [] for r in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(rows, kind)], ["doc_id", "matches"])
 
     return scanned
 

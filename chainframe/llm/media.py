@@ -61,9 +61,9 @@ def _decoded(keep: list[str]):
 def decode_media(files: DataFrame) -> DataFrame:
     """Adds height, width, rgb (a row-major height x width x 3 byte tensor), mean_rgb and payload (stored bytes, else null) to a table with a `media` column of progressive JPEG files.
 
-    A null file gives nulls. A file that isn't a whole progressive JPEG fails the job. Other columns stay; none may have these names.
+    A null file gives nulls. A file that isn't a whole progressive JPEG fails the job. Other columns stay; those of these names are replaced.
     """
-    keep = [c for c in files.columns if c != "media"]
+    keep = [c for c in files.columns if c not in ("media", "height", "width", "rgb", "mean_rgb", "payload")]
     schema = "".join(f"`{c}` {files.schema[c].dataType.simpleString()}, " for c in keep)
     return files.select(*keep, "media").mapInArrow(_decoded(keep), schema + "media binary, height int, width int, rgb binary, mean_rgb array<double>, payload binary")
 
