@@ -7,6 +7,7 @@ from chainframe.llm.text import Words, grams, slide
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -54,6 +55,23 @@ def test_open_buckets_are_settled(spark):
     assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(brute_components(rows), key=key)
 
 
+def test_large_groups_are_split(spark, docs, rows, monkeypatch):
+    for name, value in (("PER_SALT", 5), ("PER_BLOCK", 4), ("PER_KEY", 3), ("BROADCAST_IDS", 2)):
+        monkeypatch.setattr(near_dup, name, value)
+    found = [tuple(r) for r in near_dup.near_duplicates(docs).collect()]
+    assert sorted(found, key=key) == sorted(brute_components(rows), key=key)
+    test_open_buckets_are_settled(spark)
+
+
+def test_one_id_on_several_texts(spark):
+    """Ids joined by texts of one id; each text's links count, also where another text of the id has none."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(50 + k, " ".join(words[6 * k : 6 * k + 60])) for k in range(20)]
+    rows += [(50 + k, " ".join(f"v{k}_{n}" for n in range(70))) for k in range(0, 20, 3)] + [(52, rows[9][1]), (70, rows[3][1]), (70, "a b c d e f"), (71, "a b c d e f g")]
+    found = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {r[0]: r[2] for r in brute_components(rows)}
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
@@ -82,6 +100,24 @@ def test_a_full_sketch_loses_nothing(docs, rows):
     assert sorted(found, key=key) == sorted(brute_removed(rows), key=key)
 
 
+def test_frequent_runs_are_spread(docs, rows, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 2)
+    monkeypatch.setattr(substring_dedup, "PER_SALT", 1)
+    monkeypatch.setattr(substring_dedup, "SHARD_RUNS", 20)
+    assert len(substring_dedup.repeated_runs(docs, 35, 20).hot)
+    found = [tuple(r) for r in substring_dedup.substring_dedup(docs).collect()]
+    assert sorted(found, key=key) == sorted(brute_removed(rows), key=key)
+
+
+def test_equal_rows_are_marked_once(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, text)] * 40 + [(None, text)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_key", F.xxhash64("text"))
+    marks = substring_dedup.repeated_windows(docs)
+    assert substring_dedup._marked(docs, marks).selectExpr("max(size(marks))").first()[0] <= 16
+    assert {r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect()} == {50}
+
+
 def test_remove_repeats_keeps_columns_and_clean_texts(docs, rows):
     found = substring_dedup.remove_repeats(docs, log_cells=16)
     assert found.columns == docs.columns and found.count() == len(rows)

@@ -1,5 +1,8 @@
 import random
+import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +14,7 @@ from chainframe.llm.html_blocks import leaves
 from chainframe.llm.toxicity import BlockMaxIndex
 
 SMALL = "/root/testdata/sf0.01"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def held(i):
@@ -49,7 +53,7 @@ def test_block_max_index_equals_brute_force():
     n, terms = 500, 30
     row, term = np.nonzero(rng.random((n, terms)) < 0.1)
     count = rng.integers(1, 5, len(row))
-    index = BlockMaxIndex([bytes([65 + k]) for k in range(terms)], 1 + rng.random(terms), np.arange(n), rng.integers(0, 2, n).astype(float), row, term, count)
+    index = BlockMaxIndex(np.arange(terms, dtype=np.uint64), 1 + rng.random(terms), np.arange(n), rng.integers(0, 2, n).astype(float), row, term, count)
     dense = np.zeros((n, terms))
     dense[row, term] = index.weigh(row, term, count, n)
     for q in range(60):
@@ -121,12 +125,74 @@ def test_near_copies_of_one_label_count_once():
     assert np.flatnonzero(toxicity._first_copies(pa.array([" ".join(w) for w in words]), np.array(y))).tolist() == kept
 
 
-def test_quality_builds_features_by_mini_batch(monkeypatch):
-    sizes, built = [], quality.Features
-    monkeypatch.setattr(quality, "Features", lambda texts, bits: sizes.append(len(texts)) or built(texts, bits))
+def test_toxicity_equals_brute_force(spark):
+    """Scores and evidence of all documents from dense vectors over every word of the examples but stop words."""
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    index = toxicity.build_index(docs, labels)
+    texts = {r["doc_id"]: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")) for r in docs.collect()}
+    df = Counter(w for t in texts.values() for w in set(t))
+    ids, y = index.ids.tolist(), index.labels
+    used = sorted({w for i in ids for w in texts[i] if df[w] <= max(0.1 * len(texts), 1)})
+    at, n = {w: k for k, w in enumerate(used)}, len(ids)
+    present = np.zeros((n, len(used)))
+    for r, i in enumerate(ids):
+        present[r, [at[w] for w in set(texts[i]) if w in at]] = 1
+    with np.errstate(invalid="ignore", divide="ignore"):
+        phi = np.array([np.corrcoef(present[:, k], y)[0, 1] ** 2 for k in range(len(used))])
+    weight = np.array([1 + np.log((len(texts) + 1) / (df[w] + 1)) for w in used]) * (0.01 + np.maximum(np.nan_to_num(phi) - 8 / n, 0))
+
+    def vector(words):
+        v = np.zeros(len(used))
+        for w, c in Counter(words).items():
+            if w in at:
+                v[at[w]] = (1 + np.log(c)) * weight[at[w]]
+        return v / max(np.sqrt((v * v).sum()), 1e-300)
+
+    dense = np.stack([vector(texts[i]) for i in ids])
+    prior = (y.sum() + 1) / (n + 2)
+    for r in toxicity.toxicity_scores(docs, labels).collect():
+        v = vector(texts[r["doc_id"]])
+        if not v.any():
+            assert r["score"] == pytest.approx(index.bare) and not r["evidence"]
+            continue
+        cosine = dense @ v
+        best = np.argsort(-np.round(cosine, 9), kind="stable")[:15]
+        best = best[cosine[best] > 1e-12]
+        assert np.allclose([e["cosine"] for e in r["evidence"]], cosine[best], atol=1e-9)
+        shares = [e["cosine"] * e["toxic"] for e in r["evidence"]]
+        vote = (sum(shares) + prior) / (cosine[best].sum() + 1)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(index.level + index.slope * vote))), abs=1e-6)
+
+
+def test_quality_scores_equal_brute_force():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeé日") for _ in range(rng.randint(1, 7)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 30))) for _ in range(80)] + ["", "x", "y y y"]
+    model = quality.SubwordModel(bits=10, epochs=2).fit(pa.array(texts), np.arange(len(texts)) % 2)
+    table = model.gain.astype(np.float64)
+    for text, score in zip(texts, model.scores(pa.array(texts))):
+        words = text.split()
+        own, hashes = [], []
+        for w in words:
+            ids, size, h = quality.word_features([w.encode()], 10)
+            padded = f"\n{w}\n"
+            assert size[0] == 1 + sum(max(len(padded) - n + 1, 0) for n in (3, 4, 5))
+            own += ids.tolist()
+            hashes.append(h[0])
+        pairs = [quality.pair_features(np.array(x, np.uint64), np.array([2, 2]), 10)[0][0] for x in zip(hashes, hashes[1:])]
+        z = model.bias + (table[own].mean() / 2 if own else 0) + (table[pairs].mean() / 2 if pairs else 0)
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_quality_learns_and_sums_long_texts_in_pieces(monkeypatch):
     texts = pa.array([f"good plain words {k}" if k % 2 else f"junk spam {k}" for k in range(200)])
     model = quality.SubwordModel().fit(texts, np.arange(200) % 2)
-    assert max(sizes) < 64 and ((model.score(texts) > 0.5) == np.arange(200) % 2).all()
+    assert ((model.scores(texts) > 0.5) == np.arange(200) % 2).all()
+    long = pa.array(["", " ".join(texts.to_pylist() * 3) + "  ", None, "é" * 50])
+    whole = model.scores(long)
+    for limit in (7, 40, 1000):
+        monkeypatch.setattr(quality, "BATCH_BYTES", limit)
+        assert np.allclose(model.scores(long), whole, atol=1e-6)
     assert quality.MAX_EXAMPLES == 2_500
 
 
@@ -142,3 +208,26 @@ def test_unwanted_elements_do_not_cut_the_page():
     assert found("<template><p>no</p><svg>no</svg></template> yes") == ["one yes", "two", "three"]
     assert found("<video><p>no</p></video><video>") == ["one", "two", "three"]
     assert found("<script>var a='<p>'") == ["one"]
+
+
+#: Pages written by hand, with the blocks a reader would take for the article.
+GOLD = [
+    ("<html><head><title>x</title></head><body><nav class=menu><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav><article><h1>A title</h1><p>Intro text.<button>Share<p>The whole article body follows here, in one long sentence that goes on.</article><footer>Copyright 2020, all rights reserved.</footer>", "A title\n\nIntro text.Share\n\nThe whole article body follows here, in one long sentence that goes on."),
+    ("<body><header><div class=logo>The Site</div></header><main class=content><p>Let <math><mi>x</mi></math> be a number &lt; 3 &amp; caf&eacute;.</p><p>It is   then\n\nsmall enough for what follows in this text.</p></main><div class=sidebar><h3>Popular posts</h3><ul><li><a href=#>one</a><li><a href=#>two</a></ul></div><section class=comments><p>Reader said: great post</p></section>", "Let x be a number < 3 & café.\n\nIt is then small enough for what follows in this text."),
+    ("<div class='cookie-banner'>We use cookies. <a href=#>Accept</a></div><article class='post'><p>First paragraph of the story, unclosed<p>Second paragraph <b>bold</b> <i>and</i> more words to read.<div class='ad'>Advertisement: buy now</div><p>Third paragraph ends the story for good.</article><form class=newsletter><p>Sign up <input name=e></form>", "First paragraph of the story, unclosed\n\nSecond paragraph bold and more words to read.\n\nThird paragraph ends the story for good."),
+]
+
+
+def test_pages_by_hand(spark):
+    body = " ".join(f"word{k} goes on." for k in range(60_000))  # about 1 MB in one block
+    gold = [*GOLD, (f"<nav class=nav><a href=#>Home</a></nav><article><p>{body}</p></article><footer class=footer>Copyright</footer>", body)]
+    pages = spark.createDataFrame([(k, "u", html) for k, (html, _) in enumerate(gold)], "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_extract.main_text(pages).collect()}
+    assert [found[k] for k in range(len(gold))] == [text for _, text in gold]
+
+
+@pytest.mark.parametrize("page", ["<a '" * 250_000, "<a =\">" * 150_001, "<!x" * 300_000, "<script>" + "</script " * 120_000, "<div>" * 200_000 + "x" + "</p>" * 200_000, "<li><ul>" + "<div>" * 100_000 + "<li></li>" * 100_000, "<button>" * 100_000 + "</button>" * 100_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.time()
+    leaves(page)
+    assert time.time() - began < 4

@@ -51,3 +51,26 @@ def test_repeated_rows_and_rows_without_id_keep_their_content(spark):
     assert sum(i is None for i, _ in found) == 1 and {x for i, x in found if i is None} <= {third, near}
     kept = corpus_pipeline.cut_repeats(spark, left, SF)
     assert sorted(x.lower() for x in (r["text"] for r in kept.collect())) == sorted(x for _, x in found)
+
+
+def test_awkward_tables_pass_all_stages(spark, docs, rows, empty, tmp_path):
+    """Nulls, blanks, repeated rows, rows without id, clashing column names, and no rows at all."""
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(40)], "doc_id long, quality int")
+    base = next(r[1] for r in rows if r[0] == 6)
+    words = base.split()
+    benchmark = spark.createDataFrame([(1, " ".join(words[5:30])), (2, None), (None, "never seen words")], "item_id long, text string")
+    for name, table in (("labels", labels), ("benchmark", benchmark)):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    for k, table in enumerate((docs, empty)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{k}/{name}")
+            before, now = now, spark.read.parquet(f"{tmp_path}/{k}/{name}")
+            if name != "packing":
+                assert now.columns == table.columns and now.count() <= before.count()
+                if name == "near_dedup" and k == 0:
+                    left = [(r["doc_id"], r["text"]) for r in now.collect()]
+                    assert len(left) == len(set(left)) and sum(not (t or "").strip() for _, t in left) == sum(not (r["text"] or "").strip() for r in before.collect())
+        assert (now.count() > 0) == (k == 0)
+    found = corpus_pipeline.cut_benchmark(spark, docs, str(tmp_path)).filter("doc_id = 6").collect()
+    assert [r["text"] for r in found] == [" ".join(words[:5]) + "  " + " ".join(words[30:])] * 2 and found[0]["n_chars"] == len(found[0]["text"])

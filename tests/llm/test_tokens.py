@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from chainframe.llm.bpe import Pretokens, compiled
+from chainframe.llm.bpe import CountTransducer, Pretokens, Remembered, compiled
 from chainframe.llm.packing import pack, plan_bins
 from chainframe.llm.token_count import token_counts
 
@@ -40,6 +40,25 @@ def test_counts_equal_the_library(library):
     assert np.diff(upto[pre.first]).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_long_pretokens_are_composed_of_chunks(library, monkeypatch):
+    transducer = compiled(PATH)[1]
+    monkeypatch.setattr(CountTransducer, "CHUNK", 24)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeé日") for _ in range(n)) for n in (*range(20, 60), 300, 4000)] + ["a" * 5000, "the" * 900, "ab" * 700]
+    assert transducer.counts([w.encode() for w in words]).tolist() == [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    small = CountTransducer(PATH)
+    small.most = 60  # begun anew again and again
+    assert small.counts([w.encode() for w in words[:30]]).tolist() == transducer.counts([w.encode() for w in words[:30]]).tolist()
+
+
+def test_remembered_values_are_bounded():
+    known = Remembered(2_000)
+    for k in range(50):
+        keys = [b"%d" % n for n in range(k, k + 7)]
+        assert known.of(keys, lambda new: [int(x) for x in new]) == list(range(k, k + 7))
+        assert len(known.new) + len(known.old) < 40
+
+
 def test_token_counts_of_documents(docs, rows, empty, library):
     found = sorted((tuple(r) for r in token_counts(docs, PATH).collect()), key=str)
     texts = [r[1] or "" for r in rows]
