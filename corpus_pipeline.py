@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chainframe.lineage import cut
 from chainframe.llm.decontaminate import decontaminate
-from chainframe.llm.near_dup import BROADCAST_IDS, near_duplicates
+from chainframe.llm.near_dup import few, near_duplicates
 from chainframe.llm.packing import pack
 from chainframe.llm.quality import keep_good
 from chainframe.llm.substring_dedup import remove_repeats
@@ -23,7 +23,11 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the labelled rows of docs, rejects go."""
+    """Documents that the quality classifier, trained on the labelled rows of docs, rejects go.
+
+    Null and empty texts have the model's prior as score and go or stay by it, as do all without labels. Equal texts, so repeated rows too, fare
+    alike; a score just at the threshold stays. An empty table gives an empty result, and other columns stay as they are.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -38,7 +42,7 @@ def _vertices(docs: DataFrame) -> tuple[DataFrame, bool]:
     count = again.count()
     own = F.xxhash64(number, "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     if count:
-        docs = docs.join(F.broadcast(again) if count <= BROADCAST_IDS else again, number == F.col("__again"), "left")
+        docs = docs.join(few(again, count), number == F.col("__again"), "left")
         loose = F.col("doc_id").isNull() | F.col("__again").isNotNull()
         first = F.col("__again").isNull() | (F.xxhash64("text") == F.col("__least"))
     else:
@@ -48,29 +52,48 @@ def _vertices(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays, that of the smallest doc_id; repeated rows and rows without doc_id are rows as others."""
-    rows, repeats = _vertices(docs)
+    """One row of each near-duplicate group stays, that of the smallest doc_id; repeated rows and rows without doc_id are rows as others.
+
+    Null and blank texts are near to nothing: their rows stay, repeated ones once. A tie is a repeated row, of which any stays. An empty table gives an
+    empty result, and other columns stay as they are, whatever their names. Only ids and texts are compared; the ids that go
+    are broadcast if they are few.
+    """
+    names = docs.columns
+    held = docs.toDF(*[c if c in ("doc_id", "text") else f"__c{n}" for n, c in enumerate(names)])
+    rows, repeats = _vertices(held)
     found = near_duplicates(rows.select(F.col("__vertex").alias("doc_id"), "text"))
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__vertex")).distinct()
-    left = rows.join(gone, "__vertex", "left_anti")
+    gone = cut(found.filter(~F.col("kept")).select(F.col("doc_id").alias("__vertex")).distinct())
+    left = rows.join(few(gone, gone.count()), "__vertex", "left_anti")
     if repeats:
         once = left.filter("__loose").dropDuplicates(["__vertex", "doc_id", "text"])
         left = left.filter("NOT __loose").union(once)
-    return left.select(docs.columns)
+    return left.select(held.columns).toDF(*names)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words covered by a repeated window of 35 words go; a document of which nothing is left stays as an empty text."""
+    """Words covered by a repeated window of 35 words go; a document of which nothing is left stays as an empty text.
+
+    Null texts and texts below 35 words stay as they are. Repeated rows repeat each other; there are no ties. An empty table gives an
+    empty result, and other columns stay as they are; n_chars, where there is one, is that of the new text.
+    """
     return _recounted(remove_repeats(docs))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of benchmark windows go; a document that was nothing else goes."""
+    """Words of benchmark windows go; a document that was nothing else goes.
+
+    Null and empty texts stay as they are, repeated rows fare alike, and there are no ties. Benchmark items with a null text count for nothing. An empty
+    table gives an empty result, and other columns stay as they are; n_chars, where there is one, is that of the new text.
+    """
     return _recounted(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each piece's place in the training sequences."""
+    """Each piece's place in the training sequences; see `pack`.
+
+    A null or empty text is one end token. Repeated rows and rows without doc_id are documents of their own; equal pieces may stand in
+    any order. An empty table gives an empty result; columns other than doc_id and text are ignored.
+    """
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
