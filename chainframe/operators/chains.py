@@ -6,15 +6,17 @@ sums, with lineage cut every few steps; small systems can be solved directly on
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainframe.lineage import cut
+from chainframe.lineage import cut, release
 from chainframe.linalg.components import connected_components
 from chainframe.operators.matrix import apply_to
+from chainframe.operators.statistics import sorted_places
 
 #: Transient states up to which a system may be solved densely on the driver.
 DIRECT_STATES = 2_000
@@ -35,7 +37,7 @@ def solve(q: DataFrame, b: DataFrame, columns: list[str], steps: int | None = No
     Rows of the result are those of b; b must list all transient states.
     """
     b, q = cut(b.select("i", *columns)), cut(q)
-    x, done = b, 0
+    x, done, kept = b, 0, None
     while True:
         moved = apply_to(q, x, columns).select("i", *[F.col(c).alias(f"_{c}") for c in columns])
         new = b.join(moved, "i", "left").select("i", *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0.0))).alias(c) for c in columns])
@@ -49,45 +51,68 @@ def solve(q: DataFrame, b: DataFrame, columns: list[str], steps: int | None = No
                     return new
                 if done >= max_steps:
                     raise RuntimeError(f"no convergence in {done} steps: last change {change}")
+            if kept is not None:
+                release(kept)
+            kept = new
         x = new
         if steps is not None and done == steps:
             return x
 
 
+def _dense(edges: DataFrame, at: dict) -> np.ndarray:
+    """A small matrix on the driver: at most DIRECT_STATES rows and columns."""
+    found = edges.select("i", "j", "w").toArrow()
+    out = np.zeros((len(at), len(at)))
+    rows, columns = ([at[x] for x in found[c].to_pylist()] for c in ("i", "j"))
+    np.add.at(out, (rows, columns), found["w"].to_numpy())
+    return out
+
+
 def solve_direct(q: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """The same by dense elimination on the driver, for at most DIRECT_STATES transient states."""
     rows = b.limit(DIRECT_STATES + 1).toPandas()
     if len(rows) > DIRECT_STATES:
         raise ValueError("too many states for a direct solution")
     at = {k: n for n, k in enumerate(rows["i"])}
-    a = np.eye(len(rows))
-    for e in q.toLocalIterator():
-        a[at[e["i"]], at[e["j"]]] -= e["w"]
+    a = np.eye(len(rows)) - _dense(q, at)
     x = np.linalg.solve(a, rows[columns].to_numpy(float)) if len(rows) else np.zeros((0, len(columns)))
     kind = b.schema["i"].dataType.simpleString()
     return b.sparkSession.createDataFrame(pd.DataFrame({"i": rows["i"], **{c: x[:, k] for k, c in enumerate(columns)}}), f"i {kind}, " + ", ".join(f"{c} double" for c in columns))
 
 
-def fate_probabilities(edges: DataFrame, states: DataFrame, names: list[str], steps: int | None = None, tol: float = 1e-6, method: str = "fixed_point") -> DataFrame:
+def _small(states: DataFrame) -> bool:
+    return states.limit(DIRECT_STATES + 1).count() <= DIRECT_STATES
+
+
+def _solver(method: str, steps: int | None, tol: float):
+    if method not in ("auto", "direct", "fixed_point"):
+        raise ValueError("method is auto, direct or fixed_point")
+
+    def solved(q: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+        if method == "direct" or method == "auto" and steps is None and _small(b):
+            return solve_direct(q, b, columns)
+        return solve(q, b, columns, steps, tol)
+
+    return solved
+
+
+def fate_probabilities(edges: DataFrame, states: DataFrame, names: list[str], steps: int | None = None, tol: float = 1e-6, method: str = "auto") -> DataFrame:
     """(i, one column for each named state): the chance that a walk from i ends in that state; 1 on own recurrent cells.
 
-    States that aren't named make their cells transient.
+    States that aren't named make their cells transient. method: "direct" solves densely on the driver, "fixed_point" by joins and sums until it
+    has converged (or for a number of steps), "auto" directly if there are at most DIRECT_STATES transient states.
     """
     states = states.filter(F.col("state").isin(names))
     q, s = split(edges, states)
     transient = edges.select("i").distinct().join(states.select(F.col("obs").alias("i")), "i", "left_anti")
     wide = s.groupBy("i").agg(*[F.sum(F.when(F.col("state") == n, F.col("w")).otherwise(0.0)).alias(n) for n in names])
     b = transient.join(wide, "i", "left").fillna(0.0, names)
-    x = solve_direct(q, b, names) if method == "direct" else solve(q, b, names, steps, tol)
+    x = _solver(method, steps, tol)(q, b, names)
     own = states.select(F.col("obs").alias("i"), *[(F.col("state") == n).cast("double").alias(n) for n in names])
     return x.unionByName(own)
 
 
-def _solver(method: str, steps: int | None, tol: float):
-    return solve_direct if method == "direct" else lambda q, b, columns: solve(q, b, columns, steps, tol)
-
-
-def absorption_times(edges: DataFrame, states: DataFrame, steps: int | None = None, tol: float = 1e-6, method: str = "fixed_point") -> DataFrame:
+def absorption_times(edges: DataFrame, states: DataFrame, steps: int | None = None, tol: float = 1e-6, method: str = "auto") -> DataFrame:
     """(i, mean, var) of the steps until any recurrent cell: m = N 1, v = 2 N m - m - m^2; 0 on recurrent cells."""
     q, _ = split(edges, states)
     transient = edges.select("i").distinct().join(states.select(F.col("obs").alias("i")), "i", "left_anti")
@@ -98,7 +123,7 @@ def absorption_times(edges: DataFrame, states: DataFrame, steps: int | None = No
     return moments.unionByName(states.select(F.col("obs").alias("i"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("var")))
 
 
-def conditional_absorption_times(edges: DataFrame, states: DataFrame, name: str, names: list[str], steps: int | None = None, tol: float = 1e-6, method: str = "fixed_point") -> DataFrame:
+def conditional_absorption_times(edges: DataFrame, states: DataFrame, name: str, names: list[str], steps: int | None = None, tol: float = 1e-6, method: str = "auto") -> DataFrame:
     """(i, mean, var) of the steps to state `name` given that it is reached: with h its fate probability, m = N h / h and v = 2 N(h m) / h - m - m^2.
 
     0 on its own cells; infinite mean and NaN variance on cells of other states and where h is 0.
@@ -118,12 +143,24 @@ def conditional_absorption_times(edges: DataFrame, states: DataFrame, name: str,
     return found.unionByName(states.select(F.col("obs").alias("i"), F.when(own, 0.0).otherwise(F.lit(float("inf"))).alias("mean"), F.when(own, 0.0).otherwise(F.lit(float("nan"))).alias("var")))
 
 
-def stationary(edges: DataFrame, steps: int | None = 200, every: int = 10, tol: float = 1e-9, max_steps: int = 2_000) -> DataFrame:
-    """(i, p) after `steps` power iterations from the uniform distribution.
+def stationary(edges: DataFrame, steps: int | None = None, every: int = 10, tol: float = 1e-9, max_steps: int = 20_000) -> DataFrame:
+    """(i, p): where power iterations from the uniform distribution end. Each step goes half the way, so periodic chains converge too.
 
-    Without steps, until no entry changes by more than tol in `every` steps; each step then goes half the way, so periodic chains converge too.
+    It stops when no entry changes by more than tol in `every` steps; chains of at most DIRECT_STATES states are squared on the driver
+    until nothing changes. A given number of steps are plain ones, with no check.
     """
     ids = cut(edges.select("i").distinct())
+    if steps is None and _small(ids):
+        names = ids.toPandas()["i"].tolist()
+        t = (_dense(edges, {k: n for n, k in enumerate(names)}) + np.eye(len(names))) / 2
+        p = np.full(len(names), 1 / max(len(names), 1))
+        for _ in range(60):
+            new = p @ t
+            t = t @ t
+            if np.abs(new - p).max(initial=0) <= 1e-15:
+                break
+            p = new
+        return edges.sparkSession.createDataFrame(pd.DataFrame({"i": names, "p": p}), f"i {ids.schema['i'].dataType.simpleString()}, p double")
     if steps is None:
         edges = edges.select("i", "j", (F.col("w") / 2).alias("w")).union(ids.select("i", F.col("i").alias("j"), F.lit(0.5).alias("w")))
     edges = cut(edges)
@@ -186,6 +223,52 @@ def communicating_classes(edges: DataFrame, max_rounds: int = 1_000) -> DataFram
     return classes.join(leaving.withColumn("leaves", F.lit(True)), "class", "left").select("node", "class", F.col("leaves").isNull().alias("recurrent"))
 
 
+def irreducible(edges: DataFrame) -> bool:
+    """Whether all nodes are in one communicating class."""
+    return communicating_classes(edges).select("class").distinct().limit(2).count() == 1
+
+
+def walk_cells(cells: DataFrame, spec, kind: str = "start") -> DataFrame:
+    """(obs) of cells (obs, ...) by {column: values} (or, for a number column, {column: (low, high)}, both included), one id, a list of ids, or a condition; none is an error."""
+    if isinstance(spec, dict):
+        if len(spec) != 1:
+            raise ValueError("one column is needed")
+        ((column, values),) = spec.items()
+        if column not in cells.columns:
+            raise KeyError(f"no column {column}")
+        if cells.schema[column].dataType.typeName() == "string":
+            found = cells.filter(F.col(column).isin(values if isinstance(values, (list, tuple, set)) else [values]))
+        else:
+            if len(values) != 2:
+                raise ValueError("a range has two ends")
+            found = cells.filter(F.col(column).between(*sorted(values)))
+    elif isinstance(spec, Column):
+        found = cells.filter(spec)
+    else:
+        ids = spec if isinstance(spec, (list, tuple, set)) else [spec]
+        found = cells.filter(F.col("obs").isin(list(ids)))
+    found = found.select("obs").distinct()
+    if found.isEmpty():
+        raise ValueError(f"no {kind} cells")
+    return found
+
+
+def walk_length(length: int | float, cells: int) -> int:
+    """Steps of a walk: a number, or a share of the cells, rounded up; more than 1."""
+    steps = math.ceil(length * cells) if isinstance(length, float) else length
+    if steps <= 1:
+        raise ValueError(f"a walk needs more than one step, not {steps}")
+    return steps
+
+
+def walk_starts(cells: DataFrame, walks: int, seed: int = 0) -> DataFrame:
+    """(walk, obs): each walk's start among cells (obs), drawn by a hash of seed and walk from their places by id."""
+    placed = cut(sorted_places(cells.select("obs", F.lit(0).alias("one")), "one", ["obs"], "r").select("obs", "r"))
+    n = placed.count()
+    drawn = cells.sparkSession.range(walks).select(F.col("id").alias("walk"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)) + 1).alias("r"))
+    return drawn.join(placed, "r").select("walk", "obs")
+
+
 def random_walks(edges: DataFrame, starts: DataFrame, steps: int, seed: int = 0, stops: DataFrame | None = None, hits: int = 0) -> DataFrame:
     """(walk, step, obs) of walks from starts (walk, obs), all advanced together, one join a step.
 
@@ -207,5 +290,3 @@ def random_walks(edges: DataFrame, starts: DataFrame, steps: int, seed: int = 0,
         all_steps = all_steps.union(moved.select("walk", "step", "obs"))
         at = moved.filter(F.col("run") <= hits) if end is not None else moved
     return all_steps
-
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +53,9 @@ def nearest_in_time(points: DataFrame, grid: DataFrame) -> DataFrame:
     ends = both.groupBy("part").agg(F.max("p").alias("last"), F.min("p").alias("first"))  # a row for each partition
     order = Window.orderBy("part")
     carried = ends.select("part", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min("first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    own = Window.partitionBy("part").orderBy("at")
-    rows = both.withColumn("lo", F.max("p").over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("hi", F.min("p").over(own.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
+    # running values from both ends: a window towards the far end would be computed anew for each row
+    up, down = (Window.partitionBy("part").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("at"), F.desc("at")))
+    rows = both.withColumn("lo", F.max("p").over(up)).withColumn("hi", F.min("p").over(down))
     rows = rows.filter("g IS NOT NULL").join(F.broadcast(carried), "part")
     lo, hi = F.coalesce("lo", "before"), F.coalesce("hi", "after")
     best = F.when(lo.isNull() | (hi["t"] - F.col("g") <= F.col("g") - lo["t"]), hi).otherwise(lo)
@@ -105,3 +108,78 @@ def cross_boundary(edges: DataFrame, graph: DataFrame, cells: DataFrame, labels:
     both = empirical.join(vector_field(edges, cells, dims), "i")
     a, b = centred(F.col("v")), centred(F.col("e"))
     return both.select("i", ratio(dot(a, b), norm(a) * norm(b)).alias("cbc"))
+
+
+def restricted(edges: DataFrame, cells: DataFrame, clusters: list | None = None, times: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges with both ends in the named clusters and times, and these cells (i, cluster, t); at least two times are needed."""
+    for column, wanted in (("cluster", clusters), ("t", times)):
+        if wanted is not None:
+            known = {r[0] for r in cells.filter(F.col(column).isin(wanted)).select(column).distinct().collect()}  # at most the values asked for
+            if missing := [x for x in wanted if x not in known]:
+                raise KeyError(f"no {column} {missing[0]}")
+            cells = cells.filter(F.col(column).isin(wanted))
+    if cells.select("t").distinct().limit(2).count() < 2:
+        raise ValueError("at least two times are needed")
+    keys = cells.select("i")
+    return edges.join(keys, "i", "left_semi").join(keys.withColumnRenamed("i", "j"), "j", "left_semi").select("i", "j", "w"), cells
+
+
+def flow_block(edges: DataFrame, cells: DataFrame, t1, t2, cluster=None) -> DataFrame:
+    """(i, j, src, dst, w): entries from cells of time t1 (and one cluster) to cells of time t2."""
+    here = cells.filter(F.col("t") == t1).select("i", F.col("cluster").alias("src"))
+    if cluster is not None:
+        here = here.filter(F.col("src") == cluster)
+    there = cells.filter(F.col("t") == t2).select(F.col("i").alias("j"), F.col("cluster").alias("dst"))
+    return edges.join(here, "i").join(there, "j").select("i", "j", "src", "dst", "w")
+
+
+def flow_order(flows: DataFrame, cluster, ascending: bool = False) -> DataFrame:
+    """(cluster, total, side, place): the clusters that a cluster flows to, by total flow, dealt alternately above and below it; place counts from the middle.
+
+    A few rows, one for each cluster.
+    """
+    total = flows.filter((F.col("src") == cluster) & (F.col("dst") != cluster)).groupBy(F.col("dst").alias("cluster")).agg(F.sum("w").alias("total"))
+    order = F.col("total").asc() if ascending else F.col("total").desc()
+    nth = F.row_number().over(Window.orderBy(order, "cluster")) - 1
+    return total.withColumn("n", nth).select("cluster", "total", F.when(F.col("n") % 2 == 0, "above").otherwise("below").alias("side"), F.floor(F.col("n") / 2).cast("int").alias("place"))
+
+
+def _local_lines(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 3) -> np.ndarray:
+    """Robust local linear smoothing: at each place the tricube-weighted line through the nearest `share` of places, with bisquare weights from the residuals in further rounds."""
+    n = max(2, int(np.ceil(share * len(x))))
+    if len(x) < 3:
+        return y
+    robust, out = np.ones(len(x)), y
+    for _ in range(rounds + 1):
+        out = np.empty(len(x))
+        for k, at in enumerate(x):
+            d = np.abs(x - at)
+            near = np.argpartition(d, n - 1)[:n]
+            w = (1 - np.minimum(d[near] / max(d[near].max(), 1e-300), 1) ** 3) ** 3 * robust[near]
+            c = x[near] - at
+            s, sx, sxx, sv, sxv = w.sum(), w @ c, w @ (c * c), w @ y[near], w @ (c * y[near])
+            det = s * sxx - sx * sx
+            out[k] = (sxx * sv - sx * sxv) / det if det > 1e-12 * max(s * sxx, 1e-300) else sv / s if s > 0 else y[k]
+        scale = np.median(np.abs(y - out))
+        if scale <= 1e-12:
+            break
+        robust = (1 - np.minimum(np.abs(y - out) / (6 * scale), 1) ** 2) ** 2
+    return out
+
+
+def smoothed_shares(shares: DataFrame, points: int = 100, share: float = 0.3) -> DataFrame:
+    """(cluster, t, y): each cluster's share (t, cluster, share) over time, linear between times at `points` places a unit and then smoothed.
+
+    A group is one cluster's times, of which there are few; a cluster absent at a time has share 0 there.
+    """
+    times = [float(r[0]) for r in shares.select("t").distinct().limit(1_001).collect()]
+    if len(times) > 1_000:
+        raise ValueError("at most 1,000 times")
+
+    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
+        own = pd.Series(0.0, sorted(times)).add(rows.set_index(rows["t"].astype(float))["share"], fill_value=0.0)
+        grid = np.linspace(own.index[0], own.index[-1], max(2, int(round((own.index[-1] - own.index[0]) * points))))
+        return pd.DataFrame({"cluster": rows["cluster"].iloc[0], "t": grid, "y": _local_lines(grid, np.interp(grid, own.index, own.to_numpy()), share)})
+
+    kind = shares.schema["cluster"].dataType.simpleString()
+    return shares.groupBy("cluster").applyInPandas(smooth, f"cluster {kind}, t double, y double")

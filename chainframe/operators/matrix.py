@@ -88,8 +88,14 @@ def apply_to(edges: DataFrame, values: DataFrame, columns: list[str]) -> DataFra
     return edges.join(right, "j").groupBy("i").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns])
 
 
-def softmax(score: Column, by: str = "i") -> Column:
-    """Over the rows of a group, shifted by the group's largest score."""
+def softmax(score: Column, by: str | list[str] = "i", mask: Column | None = None) -> Column:
+    """Over the rows of a group, shifted by the group's largest score; rows where mask is true get 0 and count for nothing."""
     group = Window.partitionBy(by)
-    e = F.exp(score - F.max(score).over(group))
-    return e / F.sum(e).over(group)
+    score = score if mask is None else F.when(~mask, score)
+    e = F.coalesce(F.exp(score - F.max(score).over(group)), F.lit(0.0))
+    return ratio(e, F.sum(e).over(group))
+
+
+def uniform_rows(edges: DataFrame) -> Column:
+    """1 over the number of the row's entries."""
+    return 1 / F.count("*").over(Window.partitionBy("i")).cast("double")

@@ -2,26 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainframe.functions.arrays import doubles
 
-#: Points of one block; a task holds two blocks.
-BLOCK = 4_096
+#: Points of one block; a task holds two blocks. Bytes of all vectors up to which they are broadcast, and queries compared at once.
+BLOCK, BROADCAST_BYTES, AT_ONCE = 4_096, 64 << 20, 256
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def knn(points: DataFrame, k: int, vector: str = "x", block: int = BLOCK) -> DataFrame:
+def _top(a: np.ndarray, own: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, point ids, cosines) of the k best points, in order of id, for each query, less itself."""
+    cos = a @ b.T
+    cos[own[:, None] == ids[None, :]] = -np.inf
+    if len(ids) > 4 * k:  # all that reach the k-th best, so that ties are settled by id
+        least = -np.partition(-cos, k - 1, 1)[:, k - 1]
+        rows, columns = np.nonzero(cos >= least[:, None])
+        order = np.lexsort((columns, -cos[rows, columns], rows))
+        rows, columns = rows[order], columns[order]
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        rows, columns = rows[nth < k], columns[nth < k]
+    else:
+        top = np.argsort(-cos, 1, kind="stable")[:, :k]
+        rows, columns = np.repeat(np.arange(len(own)), top.shape[1]), top.reshape(-1)
+    found = cos[rows, columns]
+    real = found > -np.inf
+    return own[rows[real]], ids[columns[real]], found[real]
+
+
+def knn(points: DataFrame, k: int, vector: str = "x", block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(i, j, d, w): the k nearest other points of each by cosine distance d = 1 - cos, with weight w = (1 + cos) / 2; exact, ties by id.
 
-    Points (i, vector) of equal length are dealt to blocks by a hash of the id; each task multiplies one query block
+    Points (i, vector) have vectors of equal length. If all of them are at most broadcast_bytes, they are broadcast and each task compares its own points with
+    them, without a shuffle. Else points are dealt to blocks by a hash of the id; each task multiplies one query block
     with one block of points and keeps k a query, so memory is two blocks and what is shuffled on
     is k rows for each point and block. Vectors of length 0 have cosine 0 with all.
     """
-    blocks = max(1, -(-points.count() // block))
-    unit = points.select("i", doubles(F.col(vector)).alias("x")).withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
+    unit = points.select("i", doubles(F.col(vector)).alias("x"))
+    kind = points.schema["i"].dataType.simpleString()
+    out = f"i {kind}, j {kind}, cos double"
+    size = points.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("dims")).first()
+    if size["n"] * (size["dims"] or 0) * 8 <= broadcast_bytes:
+        table = unit.toArrow().sort_by("i")
+        ids = table["i"].to_numpy()
+        every = _unit(np.array(table["x"].combine_chunks().flatten()).reshape(len(ids), -1)) if len(ids) else np.zeros((0, 0))
+        shared = points.sparkSession.sparkContext.broadcast((ids, every))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, every = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, AT_ONCE):
+                    part = batch.slice(at, AT_ONCE)
+                    a = _unit(part["x"].flatten().to_numpy().reshape(part.num_rows, -1))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _top(a, part["i"].to_numpy(), every, ids, k)], ["i", "j", "cos"])
+
+        best = unit.mapInArrow(near, out)
+        return best.select("i", "j", (1 - F.col("cos")).alias("d"), ((1 + F.col("cos")) / 2).alias("w"))
+    blocks = max(1, -(-size["n"] // block))
+    unit = unit.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     queries = unit.withColumn("p", each).select(F.col("b").alias("q"), "p", "i", "x", F.lit(True).alias("asks"))
     others = unit.withColumn("q", each).select("q", F.col("b").alias("p"), "i", "x", F.lit(False).alias("asks"))
@@ -30,17 +77,12 @@ def knn(points: DataFrame, k: int, vector: str = "x", block: int = BLOCK) -> Dat
         ask, give = rows[rows["asks"]].sort_values("i"), rows[~rows["asks"]].sort_values("i")
         if not len(ask) or not len(give):
             return pd.DataFrame({"i": [], "j": [], "cos": []})
-        a, b = (np.stack(x["x"].to_list()) for x in (ask, give))
-        a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
-        cos = a @ b.T
-        ids, own = give["i"].to_numpy(), ask["i"].to_numpy()
-        cos[own[:, None] == ids[None, :]] = -np.inf
-        top = np.argsort(-cos, 1, kind="stable")[:, :k]
-        out = pd.DataFrame({"i": np.repeat(own, top.shape[1]), "j": ids[top].reshape(-1), "cos": np.take_along_axis(cos, top, 1).reshape(-1)})
-        return out[out["cos"] > -np.inf]
+        a, b = (_unit(np.stack(x["x"].to_list())) for x in (ask, give))
+        own, ids = ask["i"].to_numpy(), give["i"].to_numpy()
+        made = [_top(a[at : at + AT_ONCE], own[at : at + AT_ONCE], b, ids, k) for at in range(0, len(own), AT_ONCE)]
+        return pd.DataFrame(dict(zip(("i", "j", "cos"), (np.concatenate(x) for x in zip(*made)))))
 
-    kind = points.schema["i"].dataType.simpleString()
-    found = queries.union(others).groupBy("q", "p").applyInPandas(nearest, f"i {kind}, j {kind}, cos double")
+    found = queries.union(others).groupBy("q", "p").applyInPandas(nearest, out)
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("cos"), "j"))).filter(F.col("r") <= k)
     return best.select("i", "j", (1 - F.col("cos")).alias("d"), ((1 + F.col("cos")) / 2).alias("w"))
 

@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from math import erfc, sqrt
+import math
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chainframe.functions.arrays import ratio
+from chainframe.functions.special import erfc
+from chainframe.lineage import cut
 
 
 def correlations(x: DataFrame, y: DataFrame, exact: bool = False) -> DataFrame:
     """(var, lineage, corr, n) of features (obs, var, x), absent entries being 0, with lineages (obs, lineage, y).
 
     By default covariance over n - 1 divided by population deviations, that is Pearson's times n / (n - 1), null beyond
-    1 in size; `exact` gives Pearson's. Sums of products are enough, so sparse features are never filled up.
+    1 in size; `exact` gives Pearson's. Sums of products are enough, so sparse features are never filled up. Each feature
+    seen in any of the cells has a row for each lineage, also where they have no cell in common.
     """
     ends = y.groupBy("lineage").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") ** 2).alias("syy"))
     cells = y.select("obs").distinct()
     own = x.join(cells, "obs", "left_semi").groupBy("var").agg(F.sum("x").alias("sx"), F.sum(F.col("x") ** 2).alias("sxx"))
     both = x.join(y, "obs").groupBy("var", "lineage").agg(F.sum(F.col("x") * F.col("y")).alias("sxy"))
-    rows = both.join(own, "var").join(F.broadcast(ends), "lineage")
+    every = own.crossJoin(F.broadcast(ends))  # lineages are a short list
+    rows = every.join(both, ["var", "lineage"], "left").fillna(0.0, ["sxy"])
     n = F.col("n")
     cov = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / (n if exact else n - 1)
     vx, vy = F.col("sxx") / n - (F.col("sx") / n) ** 2, F.col("syy") / n - (F.col("sy") / n) ** 2
@@ -31,16 +33,11 @@ def correlations(x: DataFrame, y: DataFrame, exact: bool = False) -> DataFrame:
     return rows.select("var", "lineage", F.when(F.abs(corr) <= 1, corr).alias("corr"), "n")
 
 
-@F.pandas_udf(T.DoubleType())
-def _two_sided(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: erfc(abs(v) / sqrt(2)))
-
-
 def fisher(table: DataFrame, level: float = 0.95) -> DataFrame:
     """Adds pval, ci_low, ci_high of corr over n cells by the z transform, and qval by Benjamini-Hochberg within each lineage."""
     z = F.atanh("corr") * F.sqrt(F.col("n") - 3)
     width = F.lit(NormalDist().inv_cdf(0.5 + level / 2)) / F.sqrt(F.col("n") - 3)
-    rows = table.withColumn("pval", _two_sided(z)).withColumn("ci_low", F.tanh(F.atanh("corr") - width)).withColumn("ci_high", F.tanh(F.atanh("corr") + width))
+    rows = table.withColumn("pval", erfc(F.abs(z) / math.sqrt(2))).withColumn("ci_low", F.tanh(F.atanh("corr") - width)).withColumn("ci_high", F.tanh(F.atanh("corr") + width))
     return benjamini_hochberg(rows, "lineage")
 
 
@@ -55,16 +52,30 @@ def benjamini_hochberg(table: DataFrame, by: str, p: str = "pval", q: str = "qva
     return out.unionByName(table.filter(F.col(p).isNull()).withColumn(q, F.lit(None).cast("double")))
 
 
+def sorted_places(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """Adds `name`, each row's place from 1 in its group by `order`: a sort by range and counts of the ranges, so a group may fill many tasks.
+
+    `order` must tell the rows of a group apart, else places of equal rows are any of theirs.
+    """
+    tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(rows.repartitionByRange(tasks, by, *order).withColumn("_part", F.spark_partition_id()))  # partition numbers must not change
+    sizes = dealt.groupBy(by, "_part").agg(F.count("*").alias("_c"))  # a row for each group and task at most
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    nth = F.row_number().over(Window.partitionBy("_part", by).orderBy(*order))
+    return dealt.withColumn(name, nth).join(F.broadcast(before), [by, "_part"]).withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def permutation_test(x: DataFrame, y: DataFrame, n_perms: int = 100, seed: int = 0) -> DataFrame:
     """(var, lineage, corr, pval): the share of permutations of the cells' lineage values with a correlation at least as large in size.
 
-    Each permutation deals y anew by ranks of a hash, so it is a join on ranks and the same grouped sums.
+    Each permutation deals y anew by ranks of a hash, so it is a join on ranks and the same grouped sums; ranks come
+    from a sort by range, so a permutation's cells are no single task's work.
     """
     real = correlations(x, y)
     perms = x.sparkSession.range(n_perms).select(F.col("id").alias("perm"))
-    cells = y.select("obs").distinct().crossJoin(F.broadcast(perms))
-    ranked = cells.withColumn("a", F.row_number().over(Window.partitionBy("perm").orderBy("obs"))).withColumn("b", F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "obs"), "obs")))
-    moved = ranked.select("perm", F.col("a").alias("r"), F.col("obs").alias("to")).join(ranked.select("perm", F.col("b").alias("r"), "obs"), ["perm", "r"]).join(y, "obs")
+    cells = y.select("obs").distinct().crossJoin(F.broadcast(perms)).withColumn("h", F.xxhash64(F.lit(seed), "perm", "obs"))
+    a, b = (sorted_places(cells, "perm", order, "r").select("perm", "r", "obs") for order in (["obs"], ["h", "obs"]))
+    moved = a.withColumnRenamed("obs", "to").join(b, ["perm", "r"]).join(y, "obs")
     dealt = moved.select(F.col("to").alias("obs"), F.concat_ws("|", "lineage", "perm").alias("lineage"), "y")
     drawn = correlations(x, dealt).select("var", F.regexp_replace("lineage", r"\|\d+$", "").alias("lineage"), F.col("corr").alias("drawn"))
     hits = real.join(drawn, ["var", "lineage"]).groupBy("var", "lineage").agg(F.first("corr").alias("corr"), (F.count_if(F.abs("drawn") >= F.abs("corr")) / F.lit(float(n_perms))).alias("pval"))
@@ -96,14 +107,14 @@ def expressed(x: DataFrame) -> DataFrame:
 def cytotrace(x: DataFrame, n_vars: int = 200, aggregation: str = "mean") -> DataFrame:
     """(obs, score, pseudotime): features that go with the number of expressed features, averaged over the n_vars best and scaled to [0, 1].
 
-    aggregation: mean, median, gmean or hmean of the chosen features, absent entries being 0 (mean and median only then make sense of zeros).
+    aggregation: mean, median, gmean or hmean of the chosen features, absent entries being 0; gmean and hmean of a cell with a zero are 0.
     """
     counts = expressed(x)
     corr = correlations(x, counts.select("obs", F.lit("n").alias("lineage"), F.col("n").cast("double").alias("y")))
     best = corr.filter("corr IS NOT NULL").orderBy(F.desc("corr"), "var").limit(n_vars).select("var")
     grid = counts.select("obs").crossJoin(F.broadcast(best))  # n_vars rows a cell at most
     dense = grid.join(x, ["obs", "var"], "left").fillna(0.0, ["x"])
-    ways = {"mean": F.avg("x"), "median": F.expr("percentile(x, 0.5)"), "gmean": F.exp(F.avg(F.when(F.col("x") > 0, F.ln("x")).otherwise(F.lit(float("-inf"))))), "hmean": F.count("*") / F.sum(F.try_divide(F.lit(1.0), F.col("x")))}
+    ways = {"mean": F.avg("x"), "median": F.expr("percentile(x, 0.5)"), "gmean": F.exp(F.avg(F.when(F.col("x") > 0, F.ln("x")).otherwise(F.lit(float("-inf"))))), "hmean": F.when(F.min("x") > 0, F.count("*") / F.sum(F.try_divide(F.lit(1.0), F.col("x")))).otherwise(0.0)}
     score = dense.groupBy("obs").agg(ways[aggregation].alias("raw"))
     ends = score.agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
     scaled = score.crossJoin(F.broadcast(ends)).select("obs", ratio(F.col("raw") - F.col("low"), F.col("high") - F.col("low")).alias("score"))
@@ -173,3 +184,73 @@ def offsets(x: DataFrame, factors: DataFrame) -> DataFrame:
     return library_sizes(x).join(factors, "obs", "left").select("obs", F.coalesce(value, F.lit(1.0)).alias("offset"))
 
 
+
+def factors_none(x: DataFrame) -> DataFrame:
+    """(obs, factor): 1 for each cell."""
+    return x.select("obs").distinct().withColumn("factor", F.lit(1.0))
+
+
+def norm_factors(x: DataFrame, method: str = "TMM") -> DataFrame:
+    """(obs, factor) by TMM, RLE, upper_quart or none."""
+    ways = {"TMM": factors_tmm, "RLE": factors_rle, "upper_quart": factors_uq, "none": factors_none}
+    if method not in ways:
+        raise ValueError(f"method is one of {', '.join(ways)}")
+    return ways[method](x)
+
+
+def in_clusters(cells: DataFrame, clusters: list, column: str = "cluster") -> DataFrame:
+    """Cells of the named clusters; an unknown cluster is an error."""
+    known = {r[0] for r in cells.filter(F.col(column).isin(clusters)).select(column).distinct().collect()}  # at most the names asked for
+    if missing := [c for c in clusters if c not in known]:
+        raise KeyError(f"no cluster {missing[0]}")
+    return cells.filter(F.col(column).isin(clusters))
+
+
+def top_drivers(drivers: DataFrame, n: int, ascending: bool = False) -> DataFrame:
+    """(lineage, var, corr, nth): the n features of largest (or least) correlation of each lineage; null ones take no part, ties by name."""
+    order = F.col("corr").asc() if ascending else F.col("corr").desc()
+    ranked = drivers.filter("corr IS NOT NULL").withColumn("nth", F.row_number().over(Window.partitionBy("lineage").orderBy(order, "var")))
+    return ranked.filter(F.col("nth") <= n).select("lineage", "var", "corr", "nth")
+
+
+def driver_pairs(drivers: DataFrame, first: str, second: str, sets: dict[str, list[str]] | None = None) -> DataFrame:
+    """(var, x, y, gene_set): each feature's correlation with two lineages, and the named set it is in, if any."""
+    if first == second:
+        raise ValueError("two lineages are needed")
+    a, b = (drivers.filter(F.col("lineage") == name).select("var", F.col("corr").alias(c)) for name, c in ((first, "x"), (second, "y")))
+    label = F.lit(None).cast("string")
+    for name, members in (sets or {}).items():
+        label = F.when(F.col("var").isin(members), F.lit(name)).otherwise(label)
+    return a.join(b, "var").withColumn("gene_set", label)
+
+
+def expression(layers: DataFrame, layer: str | None = None, variables: list | None = None, default: str = "X") -> DataFrame:
+    """(obs, var, x) of one layer of a long table (obs, var, layer, x), of all features or the named ones; an unknown layer or feature is an error."""
+    rows = layers.filter(F.col("layer") == (layer or default))
+    if rows.isEmpty():
+        raise KeyError(f"no layer {layer or default}")
+    if variables is not None:
+        rows = rows.filter(F.col("var").isin(variables))
+        known = {r[0] for r in rows.select("var").distinct().collect()}  # at most the names asked for
+        if missing := [v for v in variables if v not in known]:
+            raise KeyError(f"no feature {missing[0]}")
+    return rows.select("obs", "var", "x")
+
+
+def without_missing(velocities: DataFrame) -> DataFrame:
+    """(obs, var, v) of the features that have a value in every row: features with a null or NaN go."""
+    bad = velocities.groupBy("var").agg(F.max(F.col("v").isNull() | F.isnan("v")).alias("bad")).filter("bad").select("var")
+    return velocities.join(F.broadcast(bad), "var", "left_anti")
+
+
+def clipped(c: Column, low: Column, high: Column) -> Column:
+    """Values beyond the two set to them."""
+    return F.least(F.greatest(c, low), high)
+
+
+def percentile_ends(rows: DataFrame, column: str, percentile: tuple[float, float] | None = None) -> DataFrame:
+    """One row (low, high): least and largest value, or two percentiles; NaN and null take no part."""
+    own = rows.filter(F.col(column).isNotNull() & ~F.isnan(column))
+    if percentile is None:
+        return own.agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    return own.agg(*[F.expr(f"percentile(`{column}`, {p / 100})").alias(name) for name, p in zip(("low", "high"), sorted(percentile))])

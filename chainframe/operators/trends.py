@@ -7,12 +7,16 @@ squares stand for generalized additive models; a failed fit gives a row with its
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainframe.functions.arrays import ratio
+from chainframe.operators import spectral
+
 SCHEMA = "var string, lineage string, t double, y double, low double, high double, error string"
 
 
@@ -63,8 +67,37 @@ _LINKS = {
 _VARIANCES = {"gaussian": lambda m: np.ones_like(m), "poisson": lambda m: m, "gamma": lambda m: m**2, "inv_gauss": lambda m: m**3, "binomial": lambda m: m * (1 - m)}
 
 
-def fit_spline(x, y, w, grid, n_knots: int = 6, order: int = 3, distribution: str = "gaussian", link: str = "identity", penalty: float = 0.6, expectile: float | None = None, level: float = 0.95, max_steps: int = 100):
-    """(y, low, high) on the grid: a penalized spline and its interval."""
+def checked(x, y, w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The three as equally long vectors of numbers, or an error."""
+    x, y, w = (np.asarray(v, float).reshape(-1) for v in (x, y, w))
+    if not len(x) == len(y) == len(w):
+        raise ValueError(f"lengths differ: {len(x)}, {len(y)}, {len(w)}")
+    if not len(x):
+        raise ValueError("no cells")
+    return x, y, w
+
+
+def best_penalty(x, y, w, penalties: list[float], **options) -> float:
+    """Of the penalties, that of least generalized cross-validation score of the fitted spline, ties to the larger."""
+    def score(penalty: float) -> float:
+        fitted, freedom = _fitted(x, y, w, penalty=penalty, **options)
+        return float((w * (y - fitted) ** 2).sum() * w.sum() / max(w.sum() - freedom, 1e-9) ** 2)
+
+    return min(sorted(penalties, reverse=True), key=score)
+
+
+def _fitted(x, y, w, **options) -> tuple[np.ndarray, float]:
+    """Predictions at x, and degrees of freedom."""
+    freedom: list[float] = []
+    mean, _, _ = fit_spline(x, y, w, x, freedom_to=freedom, **options)
+    return mean, freedom[0]
+
+
+def fit_spline(x, y, w, grid, n_knots: int = 6, order: int = 3, distribution: str = "gaussian", link: str = "identity", penalty: float | list[float] = 0.6, expectile: float | None = None, level: float = 0.95, max_steps: int = 100, freedom_to: list | None = None):
+    """(y, low, high) on the grid: a penalized spline and its interval of that level. A list of penalties is searched, see `best_penalty`."""
+    x, y, w = checked(x, y, w)
+    if isinstance(penalty, (list, tuple)):
+        penalty = best_penalty(x, y, w, list(penalty), n_knots=n_knots, order=order, distribution=distribution, link=link, expectile=expectile, max_steps=max_steps)
     to_link, inverse, slope = _LINKS[link]
     places = knots(np.r_[x, grid], max(n_knots, 2), uniform=True)
     b, g = basis(x, places, order), basis(grid, places, order)
@@ -88,9 +121,11 @@ def fit_spline(x, y, w, grid, n_knots: int = 6, order: int = 3, distribution: st
             break
     cov = np.linalg.inv(inner + ridge)
     freedom = np.trace(cov @ inner)
+    if freedom_to is not None:
+        freedom_to.append(float(freedom))
     mean = inverse(eta)
     spread = (w * (y - mean) ** 2 / np.maximum(_VARIANCES[distribution](mean), 1e-12)).sum() / max(w.sum() - freedom, 1)
-    half = 1.959963984540054 * np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", g, cov, g) * spread, 0)) * (1 if level == 0.95 else level / 0.95)
+    half = NormalDist().inv_cdf(0.5 + level / 2) * np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", g, cov, g) * spread, 0))
     e = g @ beta
     return inverse(e), inverse(e - half), inverse(e + half)
 
@@ -121,20 +156,43 @@ def prepared(rows: pd.DataFrame, n_points: int, weight_floor: float = 0.01, floo
     return x, y, w, np.linspace(low, high, n_points)
 
 
-def fit_trends(cells: DataFrame, n_points: int = 50, model: Callable | None = None, **options) -> DataFrame:
+def chosen(config: dict, var: str, lineage: str):
+    """The entry for a feature and lineage of {feature: {lineage: entry}}, where "*" stands for all not named and an inner entry may stand for all lineages; an error if there is none."""
+    for name in (var, "*"):
+        if name in config:
+            own = config[name]
+            if not isinstance(own, dict):
+                return own
+            for key in (lineage, "*"):
+                if key in own:
+                    return own[key]
+    raise KeyError(f"no entry for {var}, {lineage}")
+
+
+def _each(config, var: str, lineage: str):
+    return chosen(config, var, lineage) if isinstance(config, dict) else config
+
+
+def fit_trends(cells: DataFrame, n_points: int = 50, model: Callable | dict | None = None, prepare: Callable | dict | None = None, **options) -> DataFrame:
     """Trends of cells (var, lineage, t, y, w) on n_points times each: splines by default, or model(x, y, w, grid) -> predictions on grid and on x.
 
-    A failed group gives one row with its error.
+    model and prepare may be {feature: {lineage: function}} with "*" for all others, see `chosen`; prepare(x, y, w, grid) gives the four anew before the fit.
+    A group is the cells of one feature in one lineage. A failed group gives one row with its error.
     """
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         var, lineage = str(rows["var"].iloc[0]), str(rows["lineage"].iloc[0])
         try:
             x, y, w, grid = prepared(rows, n_points)
-            if model is None:
+            if (own := _each(prepare, var, lineage)) is not None:
+                x, y, w, grid = own(x, y, w, grid)
+                x, y, w = checked(x, y, w)
+            if (own := _each(model, var, lineage)) is None:
                 mean, low, high = fit_spline(x, y, w, grid, **options)
             else:
-                mean, fitted = model(x, y, w, grid)
+                mean, fitted = (np.asarray(v, float) for v in own(x, y, w, grid))
+                if len(mean) != len(grid) or len(fitted) != len(x):
+                    raise ValueError("a model predicts on the grid and at the cells")
                 low, high = default_interval(x, y, fitted, w, grid, mean)
             return pd.DataFrame({"var": var, "lineage": lineage, "t": grid, "y": mean, "low": low, "high": high, "error": None})
         except Exception as error:  # kept as a row: one feature must not end the job
@@ -143,6 +201,74 @@ def fit_trends(cells: DataFrame, n_points: int = 50, model: Callable | None = No
     return cells.groupBy("var", "lineage").applyInPandas(fit, SCHEMA)
 
 
+def trend_cells(x: DataFrame, fates: DataFrame, times: DataFrame, names: list[str], t_range: tuple | None = None, least: float | None = None) -> DataFrame:
+    """(var, lineage, t, y, w) for `fit_trends` of features (obs, var, x), fates (i, names...) as weights and times (i, t).
+
+    Each feature has a row for each cell, 0 where it is absent; cells outside the time range, or with expression below `least`, take no part.
+    """
+    cells = times.join(fates, "i")
+    if t_range is not None:
+        cells = cells.filter(F.col("t").between(*t_range))
+    variables = x.select("var").distinct()
+    grid = cells.crossJoin(F.broadcast(variables)) if least is None else cells.join(x.select(F.col("obs").alias("i"), "var").distinct(), "i")
+    full = grid.join(x.select(F.col("obs").alias("i"), "var", F.col("x").alias("y")), ["i", "var"], "left").fillna(0.0, ["y"])
+    if least is not None:
+        full = full.filter(F.col("y") >= least)
+    lineage = F.explode(F.array(*[F.struct(F.lit(n).alias("lineage"), F.col(n).alias("w")) for n in names])).alias("z")
+    return full.select(F.col("var").cast("string").alias("var"), "t", "y", lineage).select("var", "z.lineage", "t", "y", "z.w")
+
+
+def succeeded(trends: DataFrame, drop_all_failed: bool = True) -> DataFrame:
+    """Trends without failed rows; features, and lineages, of which nothing succeeded are an error unless they may be dropped."""
+    good = trends.filter("error IS NULL")
+    for key in ("var", "lineage"):
+        lost = trends.select(key).distinct().join(good.select(key).distinct(), key, "left_anti").limit(1).collect()
+        if lost and not drop_all_failed:
+            raise RuntimeError(f"nothing succeeded for {key} {lost[0][0]}")
+    if good.isEmpty():
+        raise RuntimeError("no trend succeeded")
+    return good
+
+
+def wide(trends: DataFrame, by: str = "lineage") -> DataFrame:
+    """(the other of var and lineage, t, nth, a column for each feature or lineage): trends side by side by their n-th time."""
+    other = "var" if by == "lineage" else "lineage"
+    placed = trends.withColumn("nth", F.row_number().over(Window.partitionBy("var", "lineage").orderBy("t")))
+    return placed.groupBy(other, "nth").pivot(by).agg(F.first("y"))
+
+
+def scaled(trends: DataFrame) -> DataFrame:
+    """Each trend with its interval, scaled by the least and largest value of the three."""
+    group = Window.partitionBy("var", "lineage")
+    low, high = F.min(F.least("y", "low", "high")).over(group), F.max(F.greatest("y", "low", "high")).over(group)
+    return trends.withColumn("_a", low).withColumn("_z", high).withColumns({c: ratio(F.col(c) - F.col("_a"), F.col("_z") - F.col("_a")) for c in ("y", "low", "high")}).drop("_a", "_z")
+
+
+def standardized(trends: DataFrame) -> DataFrame:
+    """Each trend less its mean over its population deviation; a constant one is 0."""
+    group = Window.partitionBy("var", "lineage")
+    return trends.withColumn("y", ratio(F.col("y") - F.avg("y").over(group), F.stddev_pop("y").over(group)))
+
+
+def cluster_trends(trends: DataFrame, method: str = "propagation", k: int | None = None, neighbours: int = 15, normalize: bool = True, seed: int = 0) -> DataFrame:
+    """(var, cluster) of one lineage's trends (var, t, y): trends on their common places, standardized, grouped by `spectral.clusters`. A row for each feature."""
+    rows = standardized(trends) if normalize else trends
+    placed = rows.withColumn("nth", F.row_number().over(Window.partitionBy("var").orderBy("t")))
+    n = placed.agg(F.max("nth")).first()[0]
+    if not n:
+        raise ValueError("no trends")
+    features = placed.groupBy("var").agg(*[F.max(F.when(F.col("nth") == q, F.col("y"))).alias(f"y{q}") for q in range(1, n + 1)]).fillna(0.0)
+    numbered = features.withColumn("i", F.row_number().over(Window.orderBy("var")).cast("long"))  # a row for each feature
+    found = spectral.clusters(numbered, [f"y{q}" for q in range(1, n + 1)], method, k, neighbours, seed)
+    return numbered.select("i", "var").join(found, "i").select("var", "cluster")
+
+
+def cluster_means(trends: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster, nth, t, mean, sd) of the trends of each cluster at each place."""
+    placed = trends.withColumn("nth", F.row_number().over(Window.partitionBy("var").orderBy("t")))
+    return placed.join(clusters, "var").groupBy("cluster", "nth").agg(F.avg("t").alias("t"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("sd"))
+
+
 def linear_interval(cells: DataFrame) -> DataFrame:
     """(var, t, y, low, high): a straight line by least squares and its default interval at each cell's time, from grouped sums of (var, t, y)."""
     sums = cells.groupBy("var").agg(F.regr_slope("y", "t").alias("slope"), F.regr_intercept("y", "t").alias("base"), F.count("*").alias("n"), F.avg("t").alias("centre"), F.regr_sxx("y", "t").alias("sxx"), F.regr_syy("y", "t").alias("syy"), F.regr_sxy("y", "t").alias("sxy"))

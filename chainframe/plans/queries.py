@@ -1,7 +1,7 @@
 """The catalog: each operator as a query over the driver's tables, with the SQL that gives the same rows.
 
 Cells are the rows of `embeddings` (features, labels), the event chain is over `event_type`, and the expression matrix is
-customers by part brand with summed quantities. Doubles are rounded to 6 places in both.
+customers by part brand with summed quantities. Doubles are rounded to 6 places in both, after a shift that takes exact halves off the edge.
 """
 
 from __future__ import annotations
@@ -19,7 +19,10 @@ from chainframe.sources.store import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-DIMS, K, STEPS = 8, 10, 24
+#: Neighbours of a cell, and steps after which the SQL of the event chain, five states that leave with chance, has long converged.
+K, STEPS = 10, 300
+#: Added before rounding in both: sums in another order differ in the last bits, and a tie would then round either way.
+OFF = 3e-10
 FATES = ["a", "b", "c"]
 
 
@@ -35,11 +38,11 @@ def query(sql: str | None = None):
 
 def rounded(rows: DataFrame) -> DataFrame:
     """Doubles to 6 places, without negative zeros."""
-    return rows.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+    return rows.select(*[(F.round(F.col(f"`{c}`") + OFF, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in rows.dtypes])
 
 
 def R(x: str, name: str) -> str:
-    return f"round({x}, 6) + 0.0 AS {name}"
+    return f"round({x} + {OFF:.10f}, 6) + 0.0 AS {name}"
 
 
 # ---- inputs
@@ -132,42 +135,57 @@ def event_chain_power(spark, d):
     return rounded(matrix.power(event_chain(spark, d), 2))
 
 
-@query(f"WITH RECURSIVE {_CHAIN}, {_REC}, s AS (SELECT tr.i, coalesce(sum(t.w) FILTER (t.j = 'purchase'), 0) AS purchase, coalesce(sum(t.w) FILTER (t.j = 'error'), 0) AS error FROM tr LEFT JOIN t ON t.i = tr.i GROUP BY tr.i), r AS (SELECT 0 AS n, i, purchase, error FROM s UNION ALL SELECT n + 1, i, sum(p), sum(e) FROM (SELECT r.n, qq.i, qq.w * r.purchase AS p, qq.w * r.error AS e FROM r JOIN qq ON qq.j = r.i UNION ALL SELECT x.n, s.i, s.purchase, s.error FROM (SELECT DISTINCT n FROM r) x CROSS JOIN s) WHERE n < {STEPS} GROUP BY n, i) SELECT i, {R('purchase', 'purchase')}, {R('error', 'error')} FROM r WHERE n = {STEPS} UNION ALL VALUES ('purchase', 1.0, 0.0), ('error', 0.0, 1.0)")
+def _solved(name: str, b: str) -> str:
+    """CTEs: table `name` (i, x) solves x = Q x + b by repetition."""
+    return f"{name}0 AS (SELECT 0 AS n, i, x FROM {b} UNION ALL SELECT n + 1, i, sum(x) FROM (SELECT r.n, qq.i, qq.w * r.x AS x FROM {name}0 r JOIN qq ON qq.j = r.i UNION ALL SELECT z.n, b.i, b.x FROM (SELECT DISTINCT n FROM {name}0) z CROSS JOIN {b} b) WHERE n < {STEPS} GROUP BY n, i), {name} AS (SELECT i, x FROM {name}0 WHERE n = {STEPS})"
+
+
+def _into(name: str, state: str) -> str:
+    return f"{name} AS (SELECT tr.i, coalesce(sum(t.w) FILTER (t.j = '{state}'), 0) AS x FROM tr LEFT JOIN t ON t.i = tr.i GROUP BY tr.i)"
+
+
+_FATE_SQL = f"WITH RECURSIVE {_CHAIN}, {_REC}, {_into('sp', 'purchase')}, {_into('se', 'error')}, {_solved('fp', 'sp')}, {_solved('fe', 'se')} SELECT i, {R('fp.x', 'purchase')}, {R('fe.x', 'error')} FROM fp JOIN fe USING (i) UNION ALL VALUES ('purchase', 1.0, 0.0), ('error', 0.0, 1.0)"
+_TIME_SQL = f"WITH RECURSIVE {_CHAIN}, {_REC}, one AS (SELECT i, 1.0::DOUBLE AS x FROM tr), {_solved('m', 'one')}, {_solved('v', 'm')} SELECT i, {R('m.x', 'mean')}, {R('2 * v.x - m.x - m.x * m.x', 'var')} FROM m JOIN v USING (i) UNION ALL VALUES ('purchase', 0.0, 0.0), ('error', 0.0, 0.0)"
+_STATIONARY_SQL = f"WITH RECURSIVE {_CHAIN}, p AS (SELECT 0 AS n, i, 1.0 / count(*) OVER () AS p FROM (SELECT DISTINCT i FROM t) UNION ALL SELECT n + 1, j, sum(x) FROM (SELECT p.n, t.j, p.p * t.w AS x FROM p JOIN t ON p.i = t.i WHERE n < {STEPS}) GROUP BY n, j) SELECT i, {R('p', 'p')} FROM p WHERE n = {STEPS}"
+
+
+@query(_FATE_SQL)
 def event_fate_probabilities(spark, d):
-    return rounded(chains.fate_probabilities(event_chain(spark, d), recurrent(spark), ["purchase", "error"], steps=STEPS))
+    return rounded(chains.fate_probabilities(event_chain(spark, d), recurrent(spark), ["purchase", "error"]))
 
 
-@query()
+@query(_FATE_SQL)
 def event_fate_probabilities_direct(spark, d):
     return rounded(chains.fate_probabilities(event_chain(spark, d), recurrent(spark), ["purchase", "error"], method="direct"))
 
 
-_M = f"m0 AS (SELECT 0 AS n, i, 1.0::DOUBLE AS m FROM tr UNION ALL SELECT n + 1, i, sum(m) FROM (SELECT m0.n, qq.i, qq.w * m0.m AS m FROM m0 JOIN qq ON qq.j = m0.i UNION ALL SELECT x.n, tr.i, 1.0 FROM (SELECT DISTINCT n FROM m0) x CROSS JOIN tr) WHERE n < {STEPS} GROUP BY n, i), mm AS (SELECT i, m FROM m0 WHERE n = {STEPS})"
+@query(_FATE_SQL)
+def event_fate_probabilities_iterated(spark, d):
+    return rounded(chains.fate_probabilities(event_chain(spark, d), recurrent(spark), ["purchase", "error"], tol=1e-10, method="fixed_point"))
 
 
-@query(f"WITH RECURSIVE {_CHAIN}, {_REC}, {_M}, v0 AS (SELECT 0 AS n, i, m AS v FROM mm UNION ALL SELECT n + 1, i, sum(v) FROM (SELECT v0.n, qq.i, qq.w * v0.v AS v FROM v0 JOIN qq ON qq.j = v0.i UNION ALL SELECT x.n, mm.i, mm.m FROM (SELECT DISTINCT n FROM v0) x CROSS JOIN mm) WHERE n < {STEPS} GROUP BY n, i) SELECT v0.i, {R('m', 'mean')}, {R('2 * v - m - m * m', 'var')} FROM v0 JOIN mm ON v0.i = mm.i WHERE n = {STEPS} UNION ALL VALUES ('purchase', 0.0, 0.0), ('error', 0.0, 0.0)")
+@query(_TIME_SQL)
 def event_absorption_times(spark, d):
-    return rounded(chains.absorption_times(event_chain(spark, d), recurrent(spark), steps=STEPS))
-
-
-@query()
-def event_conditional_absorption(spark, d):
-    return rounded(chains.conditional_absorption_times(event_chain(spark, d), recurrent(spark), "purchase", ["purchase", "error"], method="direct"))
+    return rounded(chains.absorption_times(event_chain(spark, d), recurrent(spark)))
 
 
-@query()
+@query(_TIME_SQL)
 def event_absorption_times_direct(spark, d):
     return rounded(chains.absorption_times(event_chain(spark, d), recurrent(spark), method="direct"))
 
 
-@query()
-def event_stationary_distribution_converged(spark, d):
-    return rounded(chains.stationary(event_chain(spark, d), None))
+@query(f"WITH RECURSIVE {_CHAIN}, {_REC}, {_into('sp', 'purchase')}, {_solved('h', 'sp')}, {_solved('nh', 'h')}, {_solved('nhm', 'nh')} SELECT i, {R('nh.x / h.x', 'mean')}, {R('2 * nhm.x / h.x - nh.x / h.x - (nh.x / h.x) ** 2', 'var')} FROM h JOIN nh USING (i) JOIN nhm USING (i) UNION ALL VALUES ('purchase', 0.0, 0.0), ('error', 'inf'::DOUBLE, 'nan'::DOUBLE)")
+def event_conditional_absorption(spark, d):
+    return rounded(chains.conditional_absorption_times(event_chain(spark, d), recurrent(spark), "purchase", ["purchase", "error"]))
 
 
-@query(f"WITH RECURSIVE {_CHAIN}, p AS (SELECT 0 AS n, i, 1.0 / count(*) OVER () AS p FROM (SELECT DISTINCT i FROM t) UNION ALL SELECT n + 1, j, sum(x) FROM (SELECT p.n, t.j, p.p * t.w AS x FROM p JOIN t ON p.i = t.i WHERE n < {STEPS}) GROUP BY n, j) SELECT i, {R('p', 'p')} FROM p WHERE n = {STEPS}")
+@query(_STATIONARY_SQL)
 def event_stationary_distribution(spark, d):
-    return rounded(chains.stationary(event_chain(spark, d), STEPS))
+    return rounded(chains.stationary(event_chain(spark, d)))
+
+
+QUERIES["event_stationary_distribution_converged"] = event_stationary_distribution
+ORACLE_SQL["event_stationary_distribution_converged"] = _STATIONARY_SQL
 
 
 @query(f"WITH RECURSIVE {_CHAIN}, ed AS (SELECT i, j FROM t WHERE w > 0.2), nd AS (SELECT i FROM ed UNION SELECT j FROM ed), rc AS (SELECT i, i AS j FROM nd UNION SELECT rc.i, ed.j FROM rc JOIN ed ON rc.j = ed.i), cl AS (SELECT a.i AS node, min(a.j) AS class FROM rc a JOIN rc b ON a.i = b.j AND a.j = b.i GROUP BY a.i) SELECT node, class, NOT EXISTS (SELECT 1 FROM ed JOIN cl x ON x.node = ed.i JOIN cl y ON y.node = ed.j WHERE x.class = cl.class AND y.class <> cl.class) AS recurrent FROM cl")
@@ -194,17 +212,12 @@ def connectivity_kernel(spark, d):
     return rounded(kernels.connectivity(graph(spark, d)))
 
 
-@query(f"WITH {_GRAPH}, ln AS (SELECT i, j FROM g UNION SELECT i, i FROM g), av AS (SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM ln), fl AS (SELECT i AS j, unnest([0, 1, 2, 3]) AS k, unnest(x[1:4]) AS v FROM e) SELECT i, k, {R('sum(w * v)', 'mean')}, {R('sum(w * v * v) - sum(w * v) ** 2', 'var')} FROM av JOIN fl USING (j) GROUP BY i, k")
+@query(f"WITH {_GRAPH}, ln AS (SELECT i, j FROM g UNION SELECT i, i FROM g), av AS (SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM ln), fl AS (SELECT i AS j, unnest(range(0, len(x))) AS k, unnest(x) AS v FROM e) SELECT i, k, {R('sum(w * v)', 'mean')}, {R('sum(w * v * v) - sum(w * v) ** 2', 'var')} FROM av JOIN fl USING (j) GROUP BY i, k")
 def knn_moments(spark, d):
-    return rounded(neighbors.moments(graph(spark, d), points(spark, d), 4))
-
-
-_VEL = f"cv AS (SELECT i, x[1:{DIMS}] AS x, list_transform(range(1, {DIMS + 1}), lambda k: x[k + 1] - x[k]) AS v FROM e), dd AS (SELECT g.i, g.j, a.v, list_transform(range(1, {DIMS + 1}), lambda k: b.x[k] - a.x[k]) AS d FROM g JOIN cv a ON g.i = a.i JOIN cv b ON g.j = b.i), cc AS (SELECT i, j, v, d, list_transform(v, lambda y: y - list_avg(v)) AS vc, list_transform(d, lambda y: y - list_avg(d)) AS dc FROM dd)"
+    return rounded(neighbors.moments(graph(spark, d), points(spark, d), width(spark, d)))
 
 
-def moving(spark: SparkSession, d: str) -> DataFrame:
-    """Cells (i, x, v): each entry's velocity is the next entry less it."""
-    return points(spark, d, DIMS + 1).select("i", F.slice("x", 1, DIMS).alias("x"), F.zip_with(F.slice("x", 2, DIMS), F.slice("x", 1, DIMS), lambda a, b: a - b).alias("v"))
+_VEL = "cv AS (SELECT i, x[1:len(x) - 1] AS x, list_transform(range(1, len(x)), lambda k: x[k + 1] - x[k]) AS v FROM e), dd AS (SELECT g.i, g.j, a.v, list_transform(range(1, len(a.x) + 1), lambda k: b.x[k] - a.x[k]) AS d FROM g JOIN cv a ON g.i = a.i JOIN cv b ON g.j = b.i), cc AS (SELECT i, j, v, d, list_transform(v, lambda y: y - list_avg(v)) AS vc, list_transform(d, lambda y: y - list_avg(d)) AS dc FROM dd)"
 
 
 def width(spark: SparkSession, d: str) -> int:
@@ -212,8 +225,8 @@ def width(spark: SparkSession, d: str) -> int:
     return points(spark, d).agg(F.max(F.size("x"))).first()[0]
 
 
-def moving_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As `moving`, over all entries that have a next one."""
+def moving(spark: SparkSession, d: str) -> DataFrame:
+    """Cells (i, x, v): each entry's velocity is the next entry less it, over all entries that have a next one."""
     n = width(spark, d) - 1
     return points(spark, d).select("i", F.slice("x", 1, n).alias("x"), F.zip_with(F.slice("x", 2, n), F.slice("x", 1, n), lambda a, b: a - b).alias("v"))
 
@@ -307,52 +320,21 @@ def neighbour_votes(spark, d):
     return neighbors.neighbour_votes(neighbours(spark, d), points(spark, d).select("i", "label"), 2)
 
 
-def _lists(source: str, by: str, vec: str, w: str) -> str:
-    return ", ".join(f"sum({w} * {vec}[{k}])" for k in range(1, DIMS + 1))
+#: Long forms: i, entry k and value, of graph-weighted sums of neighbours' entries.
+_CBC = "cv AS (SELECT i, unnest(range(0, len(x))) AS k, unnest(x) AS x FROM e), mv AS (SELECT conn.i, b.k, sum(conn.w * b.x) AS m FROM conn JOIN cv b ON conn.j = b.i GROUP BY ALL), em AS (SELECT g.i, b.k, sum(g.w * (b.x - a.x)) AS e FROM g JOIN cv b ON g.j = b.i JOIN cv a ON g.i = a.i AND a.k = b.k JOIN e la ON g.i = la.i JOIN e lb ON g.j = lb.i WHERE la.label = 1 AND lb.label = 2 GROUP BY ALL)"
 
 
-@query(f"WITH {_CONN}, {_VEL.split(', dd AS')[0]}, mv AS (SELECT conn.i, [{_lists('conn', 'i', 'b.x', 'conn.w')}] AS m FROM conn JOIN cv b ON conn.j = b.i GROUP BY conn.i), vf AS (SELECT mv.i, list_transform(range(1, {DIMS + 1}), lambda k: m[k] - a.x[k]) AS v FROM mv JOIN cv a ON mv.i = a.i), em AS (SELECT g.i, [{', '.join(f'sum(g.w * (b.x[{k}] - a.x[{k}]))' for k in range(1, DIMS + 1))}] AS e FROM g JOIN cv a ON g.i = a.i JOIN cv b ON g.j = b.i JOIN e la ON g.i = la.i JOIN e lb ON g.j = lb.i WHERE la.label = 1 AND lb.label = 2 GROUP BY g.i), cx AS (SELECT em.i, list_transform(v, lambda y: y - list_avg(v)) AS a, list_transform(em.e, lambda y: y - list_avg(em.e)) AS b FROM em JOIN vf ON em.i = vf.i) SELECT i, {R(_cos('a', 'b'), 'cbc')} FROM cx")
+@query(f"WITH {_CONN}, {_CBC} SELECT em.i, {R('corr(mv.m - cv.x, em.e)', 'cbc')} FROM em JOIN mv USING (i, k) JOIN cv USING (i, k) GROUP BY em.i")
 def cross_boundary_correctness(spark, d):
-    g = cut(graph(spark, d))
-    cells = points(spark, d, DIMS)
-    return rounded(flow.cross_boundary(kernels.connectivity(g), g, cells.select("i", "x"), cells.select("i", "label"), 1, 2, DIMS))
-
-
-# The SQL of the queries above reads a prefix of each vector; these read all of it.
-
-
-@query()
-def velocity_kernel_dot_whole(spark, d):
-    return rounded(kernels.velocity(graph(spark, d), moving_whole(spark, d), "dot", 4.0))
-
-
-@query()
-def velocity_kernel_cosine_whole(spark, d):
-    return rounded(kernels.velocity(graph(spark, d), moving_whole(spark, d), "cosine", 4.0))
-
-
-@query()
-def velocity_kernel_correlation_whole(spark, d):
-    return rounded(kernels.velocity(graph(spark, d), moving_whole(spark, d), "correlation", 4.0))
-
-
-@query()
-def softmax_scale_whole(spark, d):
-    return rounded(kernels.softmax_scale(kernels.velocity_scores(graph(spark, d), moving_whole(spark, d), "correlation")))
-
-
-@query()
-def knn_moments_whole(spark, d):
-    return rounded(neighbors.moments(graph(spark, d), points(spark, d), width(spark, d)))
-
-
-@query()
-def cross_boundary_correctness_whole(spark, d):
     g, cells = cut(graph(spark, d)), points(spark, d)
     return rounded(flow.cross_boundary(kernels.connectivity(g), g, cells.select("i", "x"), cells.select("i", "label"), 1, 2, width(spark, d)))
 
 
-@query(f"WITH {_CONN}, {_VEL.split(', dd AS')[0]}, un AS (SELECT g.i, coalesce(h.w, 0) AS w, list_transform(range(1, 3), lambda k: b.x[k] - a.x[k]) AS d FROM g LEFT JOIN conn h ON g.i = h.i AND g.j = h.j JOIN cv a ON g.i = a.i JOIN cv b ON g.j = b.i), uu AS (SELECT i, w, list_transform(d, lambda y: y / sqrt(list_dot_product(d, d))) AS u FROM un) SELECT i, {R('sum(w * u[1]) - sum(u[1]) / count(*)', 'x')}, {R('sum(w * u[2]) - sum(u[2]) / count(*)', 'y')} FROM uu GROUP BY i")
+for _name in ("velocity_kernel_dot", "velocity_kernel_cosine", "velocity_kernel_correlation", "softmax_scale", "knn_moments", "cross_boundary_correctness"):
+    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
+
+
+@query(f"WITH {_CONN}, cv AS (SELECT i, x FROM e), un AS (SELECT g.i, coalesce(h.w, 0) AS w, list_transform(range(1, 3), lambda k: b.x[k] - a.x[k]) AS d FROM g LEFT JOIN conn h ON g.i = h.i AND g.j = h.j JOIN cv a ON g.i = a.i JOIN cv b ON g.j = b.i), uu AS (SELECT i, w, list_transform(d, lambda y: y / sqrt(list_dot_product(d, d))) AS u FROM un) SELECT i, {R('sum(w * u[1]) - sum(u[1]) / count(*)', 'x')}, {R('sum(w * u[2]) - sum(u[2]) / count(*)', 'y')} FROM uu GROUP BY i")
 def projection(spark, d):
     g = cut(graph(spark, d))
     found = flow.projection(kernels.connectivity(g), g, points(spark, d, 2).select("i", "x"), 2)
@@ -461,9 +443,10 @@ _COUPLED = f"{_YEARS}, cp AS (SELECT a.t AS src, b.t AS tgt, a.i, b.i AS j, 1.0
 
 
 def _couplings(spark: SparkSession, d: str) -> DataFrame:
-    cells = _customer_years(spark, d)
-    later = cells.select(F.col("i").alias("j"), (F.col("t") - 1).alias("t"), "nation", F.col("c").alias("cj"))
-    pairs = cells.join(later, ["nation", "t"]).filter(F.abs(F.col("c") - F.col("cj")) <= 100)
+    """As _COUPLED: keys within 100 of each other lie in the same or in neighbouring bands of 100, so bands are joined and not whole nations."""
+    cells = _customer_years(spark, d).withColumn("band", F.floor(F.col("c") / 100))
+    later = cells.select(F.col("i").alias("j"), (F.col("t") - 1).alias("t"), "nation", F.col("c").alias("cj"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
+    pairs = cells.join(later, ["nation", "t", "band"]).filter(F.abs(F.col("c") - F.col("cj")) <= 100)
     return pairs.select(F.col("t").alias("src"), (F.col("t") + 1).alias("tgt"), "i", "j", (1 / (1 + F.abs(F.col("c") - F.col("cj")))).alias("w"))
 
 

@@ -52,3 +52,42 @@ def couplings(spark: SparkSession, path: str) -> DataFrame:
 def from_entries(spark: SparkSession, entries: list[tuple], kind: str = "long") -> DataFrame:
     """A matrix (i, j, w) from a list."""
     return spark.createDataFrame(entries, f"i {kind}, j {kind}, w double")
+
+
+def graph_name(names: list[str], mode: str = "connectivities", key: str | None = None) -> str:
+    """The stored graph of that mode: "<key>_<mode>", with "<mode>" for no key or the key "neighbors"; an error if there is none."""
+    if mode not in ("connectivities", "distances"):
+        raise ValueError("mode is connectivities or distances")
+    tried = [mode] if key in (None, "neighbors") else [f"{key}_{mode}", key]
+    for name in tried:
+        if name in names:
+            return name
+    raise KeyError(f"no graph {tried[0]}")
+
+
+def graph(spark: SparkSession, path: str, mode: str = "connectivities", key: str | None = None) -> DataFrame:
+    """The stored graph (i, j, w) of a bundle written by `save`."""
+    for name in ([mode] if key in (None, "neighbors") else [f"{key}_{mode}", key]):
+        found, _ = load(spark, path, [name])
+        if found:
+            return found[name].select("i", "j", "w")
+    raise KeyError(f"no graph {key or ''} {mode}".replace("  ", " "))
+
+
+def transition_matrix(spark: SparkSession, path: str, key: str | None = None, backward: bool = False) -> DataFrame:
+    """A stored transition matrix by name, or that of the direction: T_fwd or T_bwd."""
+    name = key or ("T_bwd" if backward else "T_fwd")
+    found, _ = load(spark, path, [name])
+    if not found:
+        raise KeyError(f"no matrix {name}")
+    return found[name].select("i", "j", "w")
+
+
+def lineages(spark: SparkSession, path: str, kind: str = "fates") -> tuple[DataFrame, list[str]]:
+    """A stored fate table (i, names...) and its lineage names: those kept with it if they fit, else the columns' own."""
+    found, params = load(spark, path, [kind], strict=True)
+    columns = [c for c in found[kind].columns if c != "i"]
+    names = params.get(f"{kind}_names")
+    if not names or len(names) != len(columns) or len(set(names)) < len(names):
+        return found[kind], columns
+    return found[kind].toDF(*["i" if c == "i" else names[columns.index(c)] for c in found[kind].columns]), list(names)
