@@ -26,8 +26,8 @@ from chainframe.llm.text import Words, binary_rows, chain, grams, mix, parts
 SHINGLE, SIMILAR, HALVES = 5, 75, 10
 #: Up to so many candidate rows (a few dozen bytes each) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Members and leads that meet in one group, about; nodes with one left half-key that stay together.
-PER_SALT, PER_BLOCK, PER_KEY = 4_000, 2_000, 20_000
+#: Members and leads that meet in one group, about; members of one star, which has one lead; nodes with one left half-key that stay together.
+PER_SALT, PER_BLOCK, PER_STAR, PER_KEY = 4_000, 2_000, 400, 20_000
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -194,9 +194,9 @@ def _salt(node: str, salts: str) -> F.Column:
 
 def _star_roles(pairs: DataFrame) -> DataFrame:
     """Each node's lead: pairs (a, b) make a group for each a, cut where it is large. Only the few large groups are joined back."""
-    sizes = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts")))
+    sizes = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_STAR).cast("int").alias("salts")))
     large = sizes.filter("salts > 1")
-    count = large.count()  # at most pairs / PER_SALT
+    count = large.count()  # at most pairs / PER_STAR
     salts = F.coalesce("salts", F.lit(1))
     members = (pairs.join(few(large, count), "a", "left") if count else pairs.withColumn("salts", F.lit(1))).withColumn("salts", salts)
     members = members.select(F.col("a").alias("g"), F.lit(0).alias("block"), _salt("b", "salts").alias("salt"), F.col("b").alias("node"), F.col("b").alias("label"), F.lit(True).alias("member"))
