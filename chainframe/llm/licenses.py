@@ -17,28 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainframe.llm.license_texts import TEMPLATES
 from chainframe.llm.text import NOT_ALNUM, Words, grams, parts
 
 SHINGLE, CONTAINED, BANDS, CLASS_STEP = 5, 75, 64, 4
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS = 16
 
-#: Public notices, as fixed text: id and template.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0-header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("GPL-2.0-header", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT-text", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-)
+#: Templates are broadcast: so many characters of text at most.
+MOST_CHARACTERS = 32 << 20
 
 
 def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,9 +137,14 @@ def _scanned(index, contained: int):
 def license_matches(docs: DataFrame, templates=TEMPLATES, contained: int = CONTAINED) -> DataFrame:
     """Per document (doc_id, matches): the templates found, by name, with containment and word range (of lower-case alphanumeric words).
 
-    Null texts and texts below five words match nothing. Templates (a bounded list of (name, text)) are broadcast. Repeated rows
+    Null texts and texts below five words match nothing. Templates, a list of (name, text) or a table with these columns, are broadcast; they may have
+    MOST_CHARACTERS characters, and a null name or text, or one below five words, is an error. Repeated rows
     each get their row; a null doc_id stays null; an empty table gives an empty result; other columns are ignored.
     """
+    if isinstance(templates, DataFrame):
+        if (templates.agg(F.sum(F.length("text"))).first()[0] or 0) > MOST_CHARACTERS:
+            raise ValueError("too many templates to broadcast")
+        templates = sorted((r["name"], r["text"]) for r in templates.select("name", "text").distinct().collect())
     index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(templates))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scanned(index, contained), "doc_id long, matches array<struct<license:string,containment:double,first_word:long,last_word:long>>")
 

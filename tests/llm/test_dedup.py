@@ -56,7 +56,7 @@ def test_open_buckets_are_settled(spark):
 
 
 def test_large_groups_are_split(spark, docs, rows, monkeypatch):
-    for name, value in (("PER_SALT", 5), ("PER_BLOCK", 4), ("PER_KEY", 3), ("BROADCAST_IDS", 2)):
+    for name, value in (("PER_SALT", 5), ("PER_STAR", 5), ("PER_BLOCK", 4), ("PER_KEY", 3), ("BROADCAST_IDS", 2)):
         monkeypatch.setattr(near_dup, name, value)
     found = [tuple(r) for r in near_dup.near_duplicates(docs).collect()]
     assert sorted(found, key=key) == sorted(brute_components(rows), key=key)

@@ -1,10 +1,10 @@
 import hashlib
+import random
 import re
 
 from chainframe.llm import decontaminate, licenses
-from chainframe.llm.licenses import TEMPLATES, TemplateIndex, _shingles
+from chainframe.llm.licenses import TEMPLATES
 
-import pyarrow as pa
 import pytest
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -67,15 +67,37 @@ def test_scans_of_nothing(spark, docs, empty):
     assert licenses.license_report(empty).count() == 0
 
 
+def brute_licenses(text, templates):
+    """Names of templates of which some run of its class' size plus one shingles holds 75 %, by sets of word tuples."""
+    w, found = words_of(text), []
+    shingles = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    for name, template in templates:
+        t = words_of(template)
+        own = {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+        size = 4
+        while size < len(t) - 4:
+            size *= 4
+        places = [k for k, x in enumerate(shingles) if x in own]
+        if any(100 * len({shingles[p] for p in places if a <= p <= a + size}) >= 75 * len(own) for a in places):
+            found.append(name)
+    return found
+
+
 def test_licenses_equal_brute_force(docs, rows, spark):
-    index = TemplateIndex(TEMPLATES)
+    rng = random.Random(8)
     more = [(900 + k, "before it all " + text.replace(",", "") + " and after it all", *[None] * 7) for k, (_, text) in enumerate(TEMPLATES)]
+    for k, (_, text) in enumerate(TEMPLATES):  # parts, and texts with words changed: around the threshold
+        w = text.split()
+        more.append((1000 + k, " ".join(w[: rng.randint(len(w) // 2, len(w))]), *[None] * 7))
+        more.append((1100 + k, " ".join(x if rng.random() > 0.04 else "changed" for x in w), *[None] * 7))
     both = rows + more
-    h, first, count = _shingles(pa.array([r[1] for r in both], pa.string()))
-    expected = []
-    for k, r in enumerate(both):
-        names = sorted(index.names[t] for t in range(len(TEMPLATES)) if index.contained(t, h, int(first[k]), int(first[k] + count[k]))[0] >= 0.75)
-        expected.append((r[0], ",".join(names)))
+    expected = [(r[0], ",".join(sorted(brute_licenses(r[1], TEMPLATES)))) for r in both]
     found = licenses.license_report(docs.unionByName(spark.createDataFrame(more, docs.schema))).select("doc_id", "licenses").collect()
     assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
     assert all(TEMPLATES[k][0] in dict(expected)[900 + k].split(",") for k in range(len(TEMPLATES)))
+
+
+def test_templates_from_a_table(docs, spark):
+    table = spark.createDataFrame([("one", "a b c d e f"), ("two", "these words are nowhere at all")], "name string, text string")
+    texts = spark.createDataFrame([(1, "x A, b c d e f y"), (2, None)], "doc_id long, text string")
+    assert [tuple(r) for r in licenses.license_report(texts, table).select("doc_id", "licenses").orderBy("doc_id").collect()] == [(1, "one"), (2, "")]
