@@ -130,7 +130,7 @@ def flow_block(edges: DataFrame, cells: DataFrame, t1, t2, cluster=None) -> Data
     if cluster is not None:
         here = here.filter(F.col("src") == cluster)
     there = cells.filter(F.col("t") == t2).select(F.col("i").alias("j"), F.col("cluster").alias("dst"))
-    return edges.join(here, "i").join(there, "j").select("i", "j", "src", "dst", "w")
+    return edges.select("i", "j", "w").join(here, "i").join(there, "j").select("i", "j", "src", "dst", "w")
 
 
 def flow_order(flows: DataFrame, cluster, ascending: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chainframe.functions.arrays import doubles
 from chainframe.lineage import cut
-from chainframe.operators import chains, flow, kernels, labels, lineages, macrostates, matrix, neighbors, statistics, trends
+from chainframe.operators import chains, flow, kernels, labels, lineages, macrostates, matrix, neighbors, spectral, states, statistics, trends
 from chainframe.sources.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -512,7 +512,10 @@ def lineage_drivers_corr(spark, d):
     return rounded(statistics.correlations(x, _balance(spark, d, x)))
 
 
-@query()
+_ERFC = "1 - 2 / sqrt(pi()) * exp(-u * u) * list_sum(list_transform(range(0, 150), lambda n: CASE WHEN u = 0 THEN 0 ELSE exp(2 * n * ln(2) + lgamma(n + 1) - lgamma(2 * n + 2) + (2 * n + 1) * ln(u)) END))"
+
+
+@query(f"WITH {_EXPR}, {_CORR}, z AS (SELECT var, n, corr, atanh(corr) AS a, abs(atanh(corr)) * sqrt(n - 3) / sqrt(2) AS u FROM cr), pv AS (SELECT *, {_ERFC} AS p FROM z), q AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS r FROM pv) SELECT var, 'balance' AS lineage, {R('corr', 'corr')}, n, {R('p', 'pval')}, {R('tanh(a - 1.959963984540054 / sqrt(n - 3))', 'ci_low')}, {R('tanh(a + 1.959963984540054 / sqrt(n - 3))', 'ci_high')}, {R('least(1, min(r) OVER (ORDER BY p DESC))', 'qval')} FROM q")
 def lineage_drivers_fisher(spark, d):
     x = cut(expression(spark, d))
     return rounded(statistics.fisher(statistics.correlations(x, _balance(spark, d, x))))
@@ -542,7 +545,11 @@ def norm_factors_rle(spark, d):
     return rounded(statistics.factors_rle(cut(nations(spark, d))))
 
 
-@query()
+def _average_rank(x: str) -> str:
+    return f"rank() OVER (PARTITION BY obs ORDER BY {x}) + (count(*) OVER (PARTITION BY obs, {x}) - 1) / 2.0"
+
+
+@query(f"WITH {_NATIONS}, {_SIZES}, qt AS (SELECT sz.obs, quantile_cont(coalesce(xp.x, 0) / sz.s, 0.75) AS f FROM sz CROSS JOIN vs LEFT JOIN xp ON xp.obs = sz.obs AND xp.var = vs.var GROUP BY sz.obs), rf AS (SELECT obs AS ref FROM qt ORDER BY abs(f - (SELECT avg(f) FROM qt)), obs LIMIT 1), b AS (SELECT xp.obs, log2((xp.x / sz.s) / (r.x / rs.s)) AS m, (log2(xp.x / sz.s) + log2(r.x / rs.s)) / 2 AS a, (sz.s - xp.x) / sz.s / xp.x + (rs.s - r.x) / rs.s / r.x AS v FROM xp JOIN sz USING (obs) CROSS JOIN rf JOIN xp r ON r.obs = rf.ref AND r.var = xp.var JOIN sz rs ON rs.obs = rf.ref WHERE xp.x > 0 AND r.x > 0), k AS (SELECT *, count(*) OVER (PARTITION BY obs) AS n, {_average_rank('m')} AS rm, {_average_rank('a')} AS ra FROM b), f AS (SELECT obs, pow(2, sum(m / v) / sum(1 / v)) AS f FROM k WHERE rm BETWEEN floor(n * 0.3) + 1 AND n - floor(n * 0.3) AND ra BETWEEN floor(n * 0.05) + 1 AND n - floor(n * 0.05) GROUP BY obs), w AS (SELECT sz.obs, coalesce(f.f, 1) AS f FROM sz LEFT JOIN f USING (obs)) SELECT obs, {R('f / exp(avg(ln(f)) OVER ())', 'factor')} FROM w")
 def norm_factors_tmm(spark, d):
     return rounded(statistics.factors_tmm(cut(nations(spark, d))))
 
@@ -608,3 +615,270 @@ def macrostate_memberships(spark, d):
     edges = cut(kernels.connectivity(graph(spark, d)))
     chi, _, _ = macrostates.macrostates(edges, 3, 20)
     return rounded(chi)
+
+
+# ---- features and drivers, further
+
+
+def _missing(spark: SparkSession, d: str) -> DataFrame:
+    """Embedding entries as velocities, those of a feature's very large values missing."""
+    return points(spark, d).select(F.col("i").alias("obs"), F.posexplode("x").alias("var", "v")).withColumn("v", F.when(F.col("v") <= 0.4, F.col("v")))
+
+
+@query(f"WITH {_CELLS}, l AS (SELECT i AS obs, unnest(range(0, len(x))) AS var, unnest(x) AS v FROM e) SELECT obs, var, {R('v', 'v')} FROM l WHERE var NOT IN (SELECT var FROM l WHERE v > 0.4)")
+def velocity_without_missing_features(spark, d):
+    return rounded(statistics.without_missing(_missing(spark, d)))
+
+
+@query(f"WITH {_EXPR}, {_CORR} SELECT 'balance' AS lineage, var, {R('corr', 'corr')}, row_number() OVER (ORDER BY corr DESC, var) AS nth FROM cr QUALIFY nth <= 8")
+def top_drivers(spark, d):
+    x = cut(expression(spark, d))
+    return rounded(statistics.top_drivers(statistics.correlations(x, _balance(spark, d, x)), 8))
+
+
+@query(f"WITH {_EXPR}, {_CORR}, y2 AS (SELECT DISTINCT xp.obs, c_nationkey::DOUBLE AS y FROM xp JOIN customer ON obs = c_custkey), g2 AS (SELECT vs.var, y2.y, coalesce(xp.x, 0) AS x FROM vs CROSS JOIN y2 LEFT JOIN xp ON xp.var = vs.var AND xp.obs = y2.obs), c2 AS (SELECT var, count(*) AS n, covar_samp(x, y) / (stddev_pop(x) * stddev_pop(y)) AS corr FROM g2 GROUP BY var) SELECT var, {R('cr.corr', 'x')}, {R('c2.corr', 'y')}, CASE WHEN var LIKE 'Brand#1_' THEN 'first' END AS gene_set FROM cr JOIN c2 USING (var)")
+def driver_pairs(spark, d):
+    x = cut(expression(spark, d))
+    customers = table(spark, d, "customer", ["c_custkey", "c_nationkey"])
+    nation = x.select("obs").distinct().join(customers, F.col("obs") == F.col("c_custkey")).select("obs", F.lit("nation").alias("lineage"), F.col("c_nationkey").cast("double").alias("y"))
+    drivers = statistics.correlations(x, _balance(spark, d, x).unionByName(nation))
+    return rounded(statistics.driver_pairs(cut(drivers), "balance", "nation", {"first": [f"Brand#1{k}" for k in range(10)]}))
+
+
+@query(f"SELECT {R('quantile_cont(o_totalprice, 0.05)', 'low')}, {R('quantile_cont(o_totalprice, 0.95)', 'high')} FROM orders")
+def clipping_ends(spark, d):
+    return rounded(statistics.percentile_ends(table(spark, d, "orders", ["o_totalprice"]), "o_totalprice", (5, 95)))
+
+
+@query(f"WITH {_EXPR} SELECT DISTINCT obs, 1.0::DOUBLE AS factor FROM xp")
+def norm_factors_none(spark, d):
+    return statistics.norm_factors(expression(spark, d), "none")
+
+
+# ---- fate tables, further
+
+
+@query(_fate_sql(f"SELECT i, {R('c', 'c')}, {R('a', 'a')} FROM f WHERE label = 1"))
+def lineage_pick(spark, d):
+    return rounded(lineages.pick(fates(spark, d), FATES, ["c", 0, 2], F.col("label") == 1))
+
+
+@query(_fate_sql(f"SELECT i, {R('CASE label % 3 WHEN 0 THEN a WHEN 1 THEN b ELSE c END', 'mixture')} FROM f"))
+def lineage_pick_each(spark, d):
+    own = fates(spark, d)
+    wanted = own.select("i", F.element_at(F.array(*[F.lit(n) for n in FATES]), F.col("label") % 3 + 1).alias("lineage"))
+    return rounded(lineages.pick_each(own, FATES, wanted))
+
+
+@query(_fate_sql(f"SELECT i, {R('-(a * ln(a) + b * ln(b) + c * ln(c))', 'h')}, {R('sqrt(((a - 1 / 3.0) ** 2 + (b - 1 / 3.0) ** 2 + (c - 1 / 3.0) ** 2) / 3)', 's')}, CASE WHEN a >= b AND a >= c THEN 0.0 WHEN b >= c THEN 1.0 ELSE 2.0 END AS top FROM f"))
+def lineage_row_reductions(spark, d):
+    own, name = cut(fates(spark, d)), "of a, b, c"
+    h, s, top = (lineages.reduce_rows(own, FATES, how).withColumnRenamed(f"{how} {name}", c) for how, c in (("entropy", "h"), ("std", "s"), ("argmax", "top")))
+    return rounded(h.join(s, "i").join(top, "i"))
+
+
+@query(_fate_sql(f", l AS (SELECT a, sum(a) OVER () AS s FROM f) SELECT {R('-sum(a / s * ln(a / s))', 'h')}, {R('(SELECT stddev_pop(b) FROM f)', 's')}, (SELECT i FROM f ORDER BY c DESC, i LIMIT 1) AS top FROM l"))
+def lineage_column_reductions(spark, d):
+    own = cut(fates(spark, d))
+    h, s, top = (lineages.reduce_columns(own, [n], how).withColumnRenamed(f"{how} of {n}", c) for n, how, c in (("a", "entropy", "h"), ("b", "std", "s"), ("c", "argmax", "top")))
+    return rounded(h.crossJoin(s).crossJoin(top))  # one row each
+
+
+@query(_fate_sql(f", g AS (SELECT label, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM f GROUP BY label), l AS (SELECT label, 'a' AS lineage, a / (a + b + c) AS p FROM g UNION ALL SELECT label, 'b', b / (a + b + c) FROM g UNION ALL SELECT label, 'c', c / (a + b + c) FROM g) SELECT label, lineage, {R('p', 'share')} FROM l"))
+def lineage_shares(spark, d):
+    return rounded(lineages.shares(fates(spark, d), FATES, "mean", "label"))
+
+
+@query(_fate_sql(f"SELECT i, {R('a / sqrt(sum(a * a) OVER ())', 'a')}, {R('b / sqrt(sum(b * b) OVER ())', 'b')}, {R('c / sqrt(sum(c * c) OVER ())', 'c')} FROM f"))
+def lineage_column_normalize(spark, d):
+    return rounded(lineages.column_normalize(fates(spark, d).select("i", *FATES), FATES))
+
+
+@query(_fate_sql(f"SELECT i, {R('exp(5 * a) / (exp(5 * a) + exp(5 * b) + exp(5 * c))', 'a')}, {R('exp(5 * b) / (exp(5 * a) + exp(5 * b) + exp(5 * c))', 'b')}, {R('exp(5 * c) / (exp(5 * a) + exp(5 * b) + exp(5 * c))', 'c')} FROM f"))
+def lineage_softmax(spark, d):
+    return rounded(lineages.softmax_rows(fates(spark, d), FATES, 5.0))
+
+
+@query(_fate_sql(f"SELECT i, label, {R('(a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ())', 'a')} FROM f"))
+def lineage_min_max(spark, d):
+    return rounded(lineages.min_max(fates(spark, d).select("i", "label", "a"), ["a"]))
+
+
+@query(_fate_sql(f", x AS (SELECT a, row_number() OVER (ORDER BY a, i) AS r FROM f), y AS (SELECT b, row_number() OVER (ORDER BY b, i) AS r FROM f) SELECT {R('avg(abs(a - b))', 'distance')} FROM x JOIN y USING (r)"))
+def lineage_wasserstein(spark, d):
+    return rounded(lineages.wasserstein(fates(spark, d), "a", "b"))
+
+
+@query(_fate_sql(f", p AS (SELECT 0 AS k, 1 AS n, 1 - corr(a, b) AS d FROM f UNION ALL SELECT 0, 2, 1 - corr(a, c) FROM f UNION ALL SELECT 1, 2, 1 - corr(b, c) FROM f) SELECT k, n, {R('d', 'd')} FROM p"))
+def lineage_distances(spark, d):
+    found = lineages.distances(fates(spark, d), FATES)
+    return rounded(spark.createDataFrame([(k, n, found[k][n]) for k in range(3) for n in range(k + 1, 3)], "k int, n int, d double"))
+
+
+@query(_fate_sql(f"SELECT i, {R('ln(a / (1 - a) + 1e-12)', 'log_odds')}, {R('b', 'value')}, b > 0.4 AS above FROM f"))
+def log_odds_above_threshold(spark, d):
+    own = fates(spark, d)
+    return rounded(lineages.above_threshold(lineages.log_odds(own, "a"), own.select("i", F.col("b").alias("value")), 0.4))
+
+
+_DISCRETE = "l AS (SELECT i, 0 AS o, 'a' AS state, a AS p FROM f UNION ALL SELECT i, 1, 'b', b FROM f UNION ALL SELECT i, 2, 'c', c FROM f), t AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY p DESC, i) AS r FROM l), u AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY p DESC, o) AS z FROM t WHERE r <= 20), ds AS (SELECT i, state FROM u WHERE z = 1)"
+
+
+@query(_fate_sql(f", {_DISCRETE}, ct AS (SELECT state, label::VARCHAR AS label, count(*) AS n FROM ds JOIN f USING (i) GROUP BY ALL), b AS (SELECT state, label FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY n DESC, label) AS r FROM ct) WHERE r = 1), nm AS (SELECT state, CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN label || '_' || row_number() OVER (PARTITION BY label ORDER BY state) ELSE label END AS name FROM b) SELECT i AS obs, name AS state FROM ds JOIN nm USING (state)"))
+def states_named_by_label(spark, d):
+    own = fates(spark, d)
+    found = cut(states.from_memberships(own, FATES, 20))
+    return states.named(found, own.select(F.col("i").alias("obs"), "label"), "label")
+
+
+@query(_fate_sql("SELECT i AS obs, label::VARCHAR AS state FROM f WHERE label IN (1, 2)"))
+def states_from_clusters(spark, d):
+    return states.from_clusters(fates(spark, d).select(F.col("i").alias("obs"), "label"), "label", [1, 2])
+
+
+@query(f"WITH RECURSIVE {_KNN}, ed AS (SELECT DISTINCT i, j FROM (SELECT i, j FROM knn WHERE d < 0.6 UNION ALL SELECT j, i FROM knn WHERE d < 0.6)), rc AS (SELECT i, i AS j FROM ed UNION SELECT rc.i, ed.j FROM rc JOIN ed ON rc.j = ed.i), cl AS (SELECT i, min(j) AS class FROM rc GROUP BY i) SELECT class, count(*) AS n, min(i) AS first, row_number() OVER (ORDER BY count(*) DESC, min(i)) AS nth FROM cl GROUP BY class")
+def classes_by_size(spark, d):
+    return states.by_size(chains.components(neighbours(spark, d).filter("d < 0.6")).select("node", F.col("label").alias("class")))
+
+
+# ---- chains, flows and times, further
+
+
+@query("SELECT c_custkey AS obs FROM customer WHERE c_acctbal BETWEEN 0 AND 500")
+def walk_cells(spark, d):
+    return chains.walk_cells(table(spark, d, "customer").withColumnRenamed("c_custkey", "obs"), {"c_acctbal": (500, 0)})
+
+
+@query(f"WITH {_COUPLED}, cs AS (SELECT * FROM cy WHERE cluster IN ('BUILDING', 'MACHINERY') AND t IN (1995, 1996, 1997)), s AS (SELECT a.t AS t_from, b.t AS t_to, a.cluster AS src, b.cluster AS dst, sum(w) AS w FROM cp JOIN cs a ON cp.i = a.i JOIN cs b ON cp.j = b.i GROUP BY ALL) SELECT t_from, t_to, src, dst, {R('w / sum(w) OVER (PARTITION BY t_from, t_to, src)', 'w')} FROM s")
+def cluster_flow_restricted(spark, d):
+    edges, cells = flow.restricted(_couplings(spark, d).select("i", "j", "w"), _customer_years(spark, d).select("i", "cluster", "t"), ["BUILDING", "MACHINERY"], [1995, 1996, 1997])
+    return rounded(flow.flow(edges, cells))
+
+
+@query(f"WITH {_COUPLED} SELECT cp.i, cp.j, a.cluster AS src, b.cluster AS dst, {R('w', 'w')} FROM cp JOIN cy a ON cp.i = a.i JOIN cy b ON cp.j = b.i WHERE a.t = 1995 AND b.t = 1996 AND a.cluster = 'BUILDING'")
+def flow_block(spark, d):
+    return rounded(flow.flow_block(_couplings(spark, d), _customer_years(spark, d), 1995, 1996, "BUILDING"))
+
+
+@query(f"WITH {_COUPLED}, s AS (SELECT a.t AS t, a.cluster AS src, b.cluster AS dst, sum(w) AS w FROM cp JOIN cy a ON cp.i = a.i JOIN cy b ON cp.j = b.i GROUP BY ALL), n AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY t, src) AS w FROM s), o AS (SELECT dst AS cluster, sum(w) AS total, row_number() OVER (ORDER BY sum(w) DESC, dst) - 1 AS k FROM n WHERE src = 'BUILDING' AND dst <> 'BUILDING' GROUP BY dst) SELECT cluster, {R('total', 'total')}, CASE WHEN k % 2 = 0 THEN 'above' ELSE 'below' END AS side, (k // 2)::INTEGER AS place FROM o")
+def flow_order(spark, d):
+    flows = flow.flow(_couplings(spark, d).select("i", "j", "w"), _customer_years(spark, d).select("i", "cluster", "t"))
+    return rounded(flow.flow_order(flows, "BUILDING"))
+
+
+@query()
+def smoothed_shares(spark, d):
+    return rounded(flow.smoothed_shares(flow.contingency(_customer_years(spark, d)), 20))
+
+
+@query(f"WITH {_CELLS}, tm AS (SELECT i, x[1] AS t FROM e) SELECT i, {R('max(t) OVER () - t', 't')} FROM tm")
+def pseudotime_backward(spark, d):
+    return rounded(kernels.times_of(times(spark, d), "t", backward=True))
+
+
+@query(f"WITH {_YEARS} SELECT i, cluster, nation, c, max(t) OVER () - t + min(t) OVER () AS t FROM cy")
+def inverted_time(spark, d):
+    return labels.inverted_time(_customer_years(spark, d)).select("i", "cluster", "nation", "c", "t")
+
+
+@query(f"WITH {_YEARS}, l AS (SELECT DISTINCT t * 3 AS t FROM cy), g AS (SELECT t, t - lag(t) OVER (ORDER BY t) AS g FROM l) SELECT t, {R('t / (SELECT min(g) FROM g)', 'scaled')} FROM l")
+def unit_time_gaps(spark, d):
+    return rounded(labels.unit_gaps(_customer_years(spark, d).select((F.col("t") * 3).alias("t"))))
+
+
+# ---- kernels, further
+
+
+_LONG = "lx AS (SELECT g.i, g.j, unnest(range(1, len(v.x) + 1)) AS k, unnest(v.v) AS v, unnest(v.x) AS x, unnest(b.x) AS xj FROM g JOIN cv v ON g.i = v.i JOIN cv b ON g.j = b.i)"
+
+
+@query(f"WITH {_GRAPH}, {_VEL.split(', dd AS')[0]}, {_LONG}, sc AS (SELECT i, j, sum(v * (xj - x)) AS s FROM lx GROUP BY ALL), ex AS (SELECT i, j, exp(s - max(s) OVER (PARTITION BY i)) AS x FROM sc), p AS (SELECT i, j, x / sum(x) OVER (PARTITION BY i) AS p FROM ex), w AS (SELECT lx.i, lx.j, k, xj - x AS d, abs(v) / 2 AS var, p FROM lx JOIN p USING (i, j)), m AS (SELECT i, k, sum(p * d) AS m, sum(p * d * d) AS q FROM w GROUP BY ALL), r AS (SELECT w.i, w.j, greatest(least(any_value(p) + any_value(p) * sum(((d - m) ** 2 + m * m - q) * var) / 2, 1), 0) AS r FROM w JOIN m USING (i, k) GROUP BY w.i, w.j), z AS (SELECT i, j, r / sum(r) OVER (PARTITION BY i) AS w FROM r) SELECT i, j, {R('w', 'w')} FROM z WHERE w > 0")
+def velocity_kernel_stochastic(spark, d):
+    cells = moving(spark, d).withColumn("var", F.transform("v", lambda y: F.abs(y) / 2))
+    return rounded(kernels.velocity_stochastic(graph(spark, d), cells, width(spark, d) - 1, "dot", 1.0))
+
+
+@query()
+def velocity_kernel_monte_carlo(spark, d):
+    cells = moving(spark, d).withColumn("var", F.transform("v", lambda y: F.abs(y) / 2))
+    return rounded(kernels.velocity_monte_carlo(graph(spark, d), cells, "correlation", 4.0, 5, 7))
+
+
+@query(f"WITH {_GRAPH}, tm AS (SELECT i, x[1] AS t FROM e), sf AS (SELECT g.i, g.j, g.w * CASE WHEN a.t > b.t THEN exp(-3 * (a.t - b.t)) ELSE 1 END AS w FROM g JOIN tm a ON g.i = a.i JOIN tm b ON g.j = b.i) SELECT i, j, {R('w / sum(w) OVER (PARTITION BY i)', 'w')} FROM sf")
+def pseudotime_custom(spark, d):
+    return rounded(kernels.pseudotime(graph(spark, d), times(spark, d), _decay))
+
+
+def _decay(t, others, weights):
+    import numpy as np
+
+    return weights * np.exp(-3 * np.maximum(t - others, 0))
+
+
+@query(f"WITH {_GRAPH}, {_VEL}, sc AS (SELECT i, j, -sqrt(list_sum(list_transform(range(1, len(v) + 1), lambda k: (v[k] - d[k]) ** 2))) AS s FROM cc), ex AS (SELECT i, j, exp(s - max(s) OVER (PARTITION BY i)) AS x FROM sc) SELECT i, j, {R('x / sum(x) OVER (PARTITION BY i)', 'w')} FROM ex")
+def velocity_kernel_custom(spark, d):
+    gap = lambda v, w: -F.sqrt(F.aggregate(F.zip_with(v, w, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y))
+    return rounded(kernels.velocity(graph(spark, d), moving(spark, d), gap, 1.0))
+
+
+@query(f"WITH {_COUPLED}, nz AS (SELECT * FROM cp WHERE i % 7 <> 0), lv AS (SELECT DISTINCT src, tgt FROM cp), em AS (SELECT lv.src, lv.tgt, cy.i FROM cy JOIN lv ON cy.t = lv.src WHERE NOT EXISTS (SELECT 1 FROM nz WHERE nz.i = cy.i) AND cy.c <= 40) SELECT src, tgt, i, j, {R('w', 'w')} FROM nz WHERE i // 10000 <= 40 AND j // 10000 <= 40 UNION ALL SELECT em.src, em.tgt, em.i, cy.i, round(1.0 / count(*) OVER (PARTITION BY em.i) + {OFF:.10f}, 6) + 0.0 FROM em JOIN cy ON cy.t = em.tgt AND cy.c <= 40".replace("NOT EXISTS (SELECT 1 FROM nz WHERE nz.i = cy.i)", "NOT EXISTS (SELECT 1 FROM nz WHERE nz.i = cy.i AND nz.j // 10000 <= 40)"))
+def couplings_completed(spark, d):
+    """Of the customers up to 40; those of every seventh key have no entries and so move evenly."""
+    cells = _customer_years(spark, d).filter("c <= 40").select("i", "t")
+    own = _couplings(spark, d).filter("i div 10000 <= 40 AND j div 10000 <= 40 AND i % 7 <> 0")
+    return rounded(kernels.complete_couplings(own, cells))
+
+
+# ---- spectra and trends, further
+
+
+@query(f"WITH {_CELLS}, q AS (SELECT quantile_cont(abs(x[1]), 0.98) AS a, quantile_cont(abs(x[2]), 0.98) AS b FROM e) SELECT i FROM e, q WHERE abs(x[1]) >= a OR abs(x[2]) >= b")
+def outer_cells(spark, d):
+    return spectral.outer_cells(points(spark, d).select("i", F.col("x")[0].alias("v0"), F.col("x")[1].alias("v1")), ["v0", "v1"], 98)
+
+
+@query(f"WITH {_CELLS}, a AS (SELECT i, abs(x[1]) AS a, abs(x[2]) AS b FROM e), c AS (SELECT i, (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) + (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) / 0.8 AS c FROM a) SELECT i, {R('c / max(c) OVER ()', 'p')} FROM c")
+def spectral_terminal_probability(spark, d):
+    rows = points(spark, d).select("i", F.col("x")[0].alias("v0"), F.col("x")[1].alias("v1"))
+    return rounded(spectral.terminal_probability(rows, ["v0", "v1"], [1.0, 0.8]))
+
+
+@query()
+def label_propagation(spark, d):
+    return spectral.propagated(graph(spark, d), 10)
+
+
+@query()
+def spectral_terminal_states(spark, d):
+    edges = cut(kernels.connectivity(graph(spark, d)))
+    return spectral.terminal_states(edges, 3, percentile=90, steps=15)[0]
+
+
+@query()
+def macrostate_memberships_crisp(spark, d):
+    edges = cut(kernels.connectivity(graph(spark, d)))
+    return rounded(macrostates.macrostates(edges, 3, 20, "crisp")[0])
+
+
+def _trend_cells(spark: SparkSession, d: str) -> DataFrame:
+    own = fates(spark, d)
+    x = points(spark, d).select(F.col("i").alias("obs"), F.posexplode(F.slice("x", 1, 12)).alias("var", "x"))  # the first twelve entries are the features
+    return trends.trend_cells(x, own.select("i", *FATES), times(spark, d), FATES)
+
+
+@query()
+def gene_trends(spark, d):
+    return rounded(trends.succeeded(trends.fit_trends(_trend_cells(spark, d), 30)))
+
+
+@query()
+def trend_clusters(spark, d):
+    found = trends.fit_trends(_trend_cells(spark, d).filter("lineage = 'a'"), 30)
+    return trends.cluster_trends(cut(trends.succeeded(found)), neighbours=4)
+
+
+@query(f"WITH {_DAYS}, z AS (SELECT var, t, y, row_number() OVER (PARTITION BY var ORDER BY t) AS nth FROM ot) SELECT CASE WHEN var < '3' THEN 0 ELSE 1 END AS cluster, nth, {R('avg(t)', 't')}, {R('avg(y)', 'mean')}, {R('stddev_pop(y)', 'sd')} FROM z GROUP BY ALL")
+def trend_cluster_means(spark, d):
+    rows = order_times(spark, d)
+    groups = rows.select("var").distinct().withColumn("cluster", F.when(F.col("var") < "3", 0).otherwise(1))
+    return rounded(trends.cluster_means(rows, groups).withColumn("nth", F.col("nth").cast("long")))
