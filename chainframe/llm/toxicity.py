@@ -6,7 +6,7 @@ all documents; document frequencies are counted over the whole corpus. A term's
 relevance: a small constant plus the squared correlation, over the examples, of its presence with the label.
 Plain TF-IDF, in which rare words outweigh telling ones, finds half of the toxic texts that this finds (see the README).
 
-A document sums its terms' block maxima into a bound for each block, reads the best blocks, and then
+A document sums its heavy terms' block maxima, and what its other terms can add at most, into a bound for each block, reads the best blocks, and then
 all blocks whose bound reaches its k-th best cosine, so the k best are exact. Cosine-weighted
 votes of the neighbours are turned into a probability by a logistic fit on the
 examples' own leave-one-out votes. The neighbours are the evidence.
@@ -27,6 +27,8 @@ from chainframe.llm.text import NOT_ALNUM, Words, parts, slices
 
 #: Labelled rows indexed at most, whatever the corpus; neighbours; examples in a block; blocks read first.
 MAX_EXAMPLES, NEIGHBOURS, BLOCK, FIRST = 6_000, 15, 64, 6
+#: Blocks are bounded one by one if so many terms can add all but this share of a cosine.
+HEAVY, LIGHT = 24, 0.2
 #: Share of documents from which a term is a stop word, relevance of a term that says nothing of the label, and what chance adds to it (times one over the examples).
 STOP, PLAIN, CHANCE = 0.1, 0.01, 8
 #: Score from which a document counts as toxic.
@@ -116,6 +118,8 @@ class BlockMaxIndex:
         self.entry_at, self.entry_block = np.append(first, len(slot)), (slot[first] % self.blocks).astype(np.int32)
         self.entry_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.at = np.searchsorted(slot[first] // self.blocks, np.arange(len(terms) + 1))
+        self.most = np.zeros(len(terms))
+        np.maximum.at(self.most, term[order], self.weight)
         self.empty = np.setdiff1d(np.arange(len(ids)), row)
         self.slope, self.level, self.bare = 0.0, 0.0, 0.5
 
@@ -124,31 +128,50 @@ class BlockMaxIndex:
         norm = np.sqrt(np.bincount(row, w * w, n))
         return w / np.maximum(norm[row], 1e-300)
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k best examples with a common term and their cosines, best first, equal ones by example."""
+    def _gathered(self, start: np.ndarray, size: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Each example's sum over ranges of postings."""
+        posting = _expanded(start, size)
+        return np.bincount(self.example[posting], np.repeat(weight, size) * self.weight[posting], len(self.ids))
+
+    def _blockwise(self, term: np.ndarray, weight: np.ndarray, heavy: np.ndarray, light: float, k: int, skip: int) -> np.ndarray:
+        """Cosines, exact for all examples that may be among the k best: blocks are read by falling bound."""
+        many = self.at[term[heavy] + 1] - self.at[term[heavy]]
+        entry = _expanded(self.at[term[heavy]], many)
+        bound = np.bincount(self.entry_block[entry], np.repeat(weight[heavy], many) * self.entry_most[entry], self.blocks) + light
         many = self.at[term + 1] - self.at[term]
         entry, by = _expanded(self.at[term], many), np.repeat(weight, many)
-        block = self.entry_block[entry]
-        bound = np.bincount(block, by * self.entry_most[entry], self.blocks)
-        cosine = np.zeros(self.blocks * BLOCK)
-        left, order = bound > 0, np.argsort(-bound, kind="stable")
-        chosen = np.zeros(self.blocks, bool)
-        chosen[order[:FIRST]] = True
-        chosen &= left
-        for _ in range(2):
+        block, left = self.entry_block[entry], np.ones(self.blocks, bool)
+        chosen, cosine = np.zeros(self.blocks, bool), np.zeros(len(self.ids))
+        chosen[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        while chosen.any():
             own = np.flatnonzero(chosen[block])
-            size = self.entry_at[entry[own] + 1] - self.entry_at[entry[own]]
-            posting = _expanded(self.entry_at[entry[own]], size)
-            cosine += np.bincount(self.example[posting], np.repeat(by[own], size) * self.weight[posting], len(cosine))
+            cosine += self._gathered(self.entry_at[entry[own]], self.entry_at[entry[own] + 1] - self.entry_at[entry[own]], by[own])
             if skip >= 0:
                 cosine[skip] = 0
             left &= ~chosen
             least = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
             chosen = left & (bound >= least - 1e-12)  # sums are rounded
-            if not chosen.any():
-                break
-        hit = np.flatnonzero(cosine > 0)
+        return cosine
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k best examples with a common term and their cosines, best first, equal ones by example.
+
+        Few terms that can add most of a cosine bound the blocks, the others by one sum. Where no few terms can, bounds would spare no block and all postings are read.
+        """
+        reach = weight * self.most[term]
+        order = np.argsort(-reach, kind="stable")
+        upto = np.cumsum(reach[order])
+        n = int(np.searchsorted(upto, (1 - LIGHT) * upto[-1])) + 1 if len(upto) else 0
+        if n <= HEAVY:
+            cosine = self._blockwise(term, weight, order[:n], float(upto[-1] - upto[n - 1]) if n else 0.0, k, skip)
+        else:
+            start = self.entry_at[self.at[term]]
+            cosine = self._gathered(start, self.entry_at[self.at[term + 1]] - start, weight)
+            if skip >= 0:
+                cosine[skip] = 0
+        hit = np.flatnonzero(cosine >= np.partition(cosine, -k)[-k]) if len(cosine) > k else np.arange(len(cosine))
         best = hit[np.argsort(-cosine[hit], kind="stable")[:k]]
+        best = best[cosine[best] > 0]
         return best, cosine[best]
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
