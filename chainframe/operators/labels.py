@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: States that may be renamed; their names are held on the driver.
+MOST_STATES = 10_000
+
+
 def combine(cells: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """`column` mapped by keys: "a, b" joins both as "a or b"; values in no key become null. A value may stand in one key only."""
     mapped, used = F.lit(None).cast("string"), set()
@@ -26,7 +30,9 @@ def merge(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def rename(states: DataFrame, names: dict[str, str]) -> DataFrame:
     """(…, state) renamed one to one; unknown old names and clashes of new ones are errors."""
-    known = {r["state"] for r in states.select("state").filter("state IS NOT NULL").distinct().collect()}
+    known = {r["state"] for r in states.select("state").filter("state IS NOT NULL").distinct().limit(MOST_STATES + 1).collect()}
+    if len(known) > MOST_STATES:
+        raise ValueError(f"more than {MOST_STATES} states")
     if missing := set(names) - known:
         raise KeyError(f"no state {sorted(missing)[0]}")
     after = [names.get(x, x) for x in known]

@@ -6,12 +6,12 @@ squares stand for generalized additive models; a failed fit gives a row with its
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainframe.functions.arrays import ratio
@@ -177,7 +177,7 @@ def fit_trends(cells: DataFrame, n_points: int = 50, model: Callable | dict | No
     """Trends of cells (var, lineage, t, y, w) on n_points times each: splines by default, or model(x, y, w, grid) -> predictions on grid and on x.
 
     model and prepare may be {feature: {lineage: function}} with "*" for all others, see `chosen`; prepare(x, y, w, grid) gives the four anew before the fit.
-    A group is the cells of one feature in one lineage. A failed group gives one row with its error.
+    A group is the cells of one feature in one lineage and is fitted in one task; for groups beyond that see `fit_trends_by_sums`. A failed group gives one row with its error.
     """
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -201,6 +201,51 @@ def fit_trends(cells: DataFrame, n_points: int = 50, model: Callable | dict | No
     return cells.groupBy("var", "lineage").applyInPandas(fit, SCHEMA)
 
 
+def fit_trends_by_sums(cells: DataFrame, n_points: int = 50, n_knots: int = 6, penalty: float = 0.6, level: float = 0.95) -> DataFrame:
+    """The Gaussian splines of `fit_spline` for groups of any size: (var, lineage, t, y, low, high, error) from grouped sums of products of basis functions.
+
+    Cells (var, lineage, t, y, w) with nulls take no part. Cubic basis functions over even knots between a group's first and last time are columns; one aggregate gives
+    each group's normal equations, a row of some sixty numbers, which is then solved. A group with one time only gives a row with its error.
+    """
+    m, inner = n_knots - 1 + 3, n_knots - 1
+    cells = cells.filter("t IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL")
+    ends = cells.groupBy("var", "lineage").agg(F.min("t").alias("_low"), F.max("t").alias("_high"))
+    rows = cells.join(ends, ["var", "lineage"])
+    step = (F.col("_high") - F.col("_low")) / inner
+
+    def piece(k: int) -> Column:
+        x = ratio(F.col("t") - F.col("_low"), step) + 3 - k
+        total = F.lit(0.0)
+        for j, c in enumerate((1, -4, 6, -4, 1)):
+            total = total + c * F.pow(F.greatest(x - j, F.lit(0.0)), F.lit(3.0)) / 6
+        return F.when((x >= 0) & (x <= 4), total).otherwise(0.0)
+
+    rows = rows.select("var", "lineage", "y", "w", "_low", "_high", *[piece(k).alias(f"_b{k}") for k in range(m)])
+    pairs = [(k, n) for k in range(m) for n in range(k, m)]
+    sums = [F.sum(F.col("w") * F.col(f"_b{k}") * F.col(f"_b{n}")).alias(f"a{k}_{n}") for k, n in pairs] + [F.sum(F.col("w") * F.col(f"_b{k}") * F.col("y")).alias(f"c{k}") for k in range(m)]
+    table = rows.groupBy("var", "lineage").agg(F.first("_low").alias("low"), F.first("_high").alias("high"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("y") ** 2).alias("syy"), *sums)
+    table = table.withColumn("var", F.col("var").cast("string")).withColumn("lineage", F.col("lineage").cast("string"))
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ridge = penalty * np.diff(np.eye(m), 2, axis=0).T @ np.diff(np.eye(m), 2, axis=0) + 1e-8 * np.eye(m)
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                if not r["high"] > r["low"]:
+                    yield pd.DataFrame({"var": [r["var"]], "lineage": [r["lineage"]], "t": [None], "y": [None], "low": [None], "high": [None], "error": ["ValueError: one time only"]})
+                    continue
+                a, c = np.zeros((m, m)), np.array([r[f"c{k}"] for k in range(m)])
+                for k, n in pairs:
+                    a[k, n] = a[n, k] = r[f"a{k}_{n}"]
+                cov = np.linalg.inv(a + ridge)
+                beta, grid = cov @ c, np.linspace(r["low"], r["high"], n_points)
+                g = basis(grid, np.linspace(r["low"], r["high"], n_knots))
+                spread = max(r["syy"] - 2 * beta @ c + beta @ a @ beta, 0) / max(r["sw"] - np.trace(cov @ a), 1)
+                half = NormalDist().inv_cdf(0.5 + level / 2) * np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", g, cov, g) * spread, 0))
+                yield pd.DataFrame({"var": r["var"], "lineage": r["lineage"], "t": grid, "y": g @ beta, "low": g @ beta - half, "high": g @ beta + half, "error": None})
+
+    return table.mapInPandas(solved, SCHEMA)
+
+
 def trend_cells(x: DataFrame, fates: DataFrame, times: DataFrame, names: list[str], t_range: tuple | None = None, least: float | None = None) -> DataFrame:
     """(var, lineage, t, y, w) for `fit_trends` of features (obs, var, x), fates (i, names...) as weights and times (i, t).
 

@@ -597,6 +597,12 @@ def gam_trend(spark, d):
     return rounded(trends.fit_trends(cells, 40))
 
 
+@query()
+def gam_trend_by_sums(spark, d):
+    cells = order_times(spark, d).select("var", F.lit("all").alias("lineage"), "t", "y", F.lit(1.0).alias("w"))
+    return rounded(trends.fit_trends_by_sums(cells, 40))
+
+
 @query(f"WITH {_YEARS}, l AS (SELECT DISTINCT t FROM cy) SELECT t AS src, lead(t) OVER (ORDER BY t) AS tgt FROM l QUALIFY tgt IS NOT NULL")
 def level_pairs(spark, d):
     return labels.level_pairs(_customer_years(spark, d))

@@ -7,7 +7,10 @@ import pytest
 from chainframe.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"event_conditional_absorption", "macrostate_memberships", "event_absorption_times"}
+#: Tested elsewhere on small chains.
+SLOW = {"macrostate_memberships", "macrostate_memberships_crisp", "spectral_terminal_states"}
+#: Names that stand for the same function count once.
+NAMES = list({f: name for name, f in reversed(QUERIES.items()) if name not in SLOW}.values())
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +27,7 @@ def plain(v):
     return (None if math.isnan(v) else round(v, 5) + 0.0) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", sorted(NAMES))
 def test_query(spark, duck, name):
     found = QUERIES[name](spark, SF)
     columns = sorted(found.columns)

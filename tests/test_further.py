@@ -371,6 +371,19 @@ def test_interval_follows_the_level():
         trends.fit_spline(x, y[:5], w, grid)
 
 
+def test_trends_by_sums(spark):
+    rng = np.random.default_rng(6)
+    t = np.sort(rng.random(200)) * 9
+    y, w = np.cos(t) + rng.normal(0, 0.1, 200), 0.2 + rng.random(200)
+    rows = [("g", "p", float(a), float(b), float(c)) for a, b, c in zip(t, y, w)] + [("h", "p", 1.0, 2.0, 1.0), ("g", "p", None, 1.0, 1.0)]
+    found = trends.fit_trends_by_sums(spark.createDataFrame(rows, "var string, lineage string, t double, y double, w double"), 20, level=0.9).collect()
+    own = sorted((r["t"], r["y"], r["low"], r["high"]) for r in found if r["var"] == "g")
+    grid = np.linspace(t.min(), t.max(), 20)
+    mean, low, high = trends.fit_spline(t, y, w, grid, level=0.9)
+    assert np.allclose(np.array(own), np.stack([grid, mean, low, high], 1), atol=1e-6)
+    assert [r["error"] for r in found if r["var"] == "h"] == ["ValueError: one time only"]
+
+
 def test_trend_entries(spark):
     rng = np.random.default_rng(1)
     rows = [(v, line, float(t), float(math.sin(t * (1 + (v == "g"))) + rng.normal(0, 0.01)), float(0.5 + t / 10)) for v in ("f", "g", "h") for line in ("p", "q") for t in np.linspace(0, 3, 30)]
