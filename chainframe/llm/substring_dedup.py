@@ -32,8 +32,8 @@ from chainframe.lineage import cut
 from chainframe.llm.text import Words, binary_rows, chain, grams, mix, parts, slide
 
 WINDOW, RUN = 35, 20
-#: Counted runs sent on together by a partition and held by a shard, about; sketch cells for each; text bytes for each run, about.
-HELD_RUNS, SHARD_RUNS, CELLS, BYTES_PER_RUN = 1_000_000, 400_000, 8, 48
+#: Counted runs sent on together by a partition and held by a shard, about; shards of one task, so that tasks are even; sketch cells for each run; text bytes for each, about.
+HELD_RUNS, SHARD_RUNS, SHARDS_PER_TASK, CELLS, BYTES_PER_RUN = 1_000_000, 100_000, 4, 8, 48
 #: Bits of the broadcast table for each repeated run, and log2 of the bits at most.
 BITS_PER_RUN, MOST_LOG_CELLS = 16, 29
 #: Places from which a run's windows are spread (more in a corpus of over HOT * MOST_HOT runs, so that at most MOST_HOT such runs are listed), and windows that stay together then.
@@ -157,7 +157,7 @@ def repeated_runs(docs: DataFrame, window: int, run: int, log_cells: int | None
     if log_cells is not None:
         log_shards = max(0, min(log_shards, log_cells - 3))
     sent = docs.select("text").mapInArrow(_counted_runs(window, run, log_shards), "shard int, runs binary, times binary")
-    tasks = max(1, min(1 << log_shards, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = max(1, (1 << log_shards) // SHARDS_PER_TASK)
     found = sent.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_repeated_runs(cells, max(HOT, expected // MOST_HOT)), "shard int, n long, runs binary, hot binary, places binary")
     found = cut(found)
     n = found.agg(F.sum("n")).first()[0] or 0
