@@ -207,6 +207,10 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], dict[tuple[int, int], int],
     return ids, ranks, special.encode()
 
 
+#: In place of a transition that isn't compiled yet.
+_NONE = 0xFFFF
+
+
 class CountTransducer:
     """Counts the tokens of pre-tokens; transitions are compiled when first taken. A table of more than `most` states is begun anew with those in use."""
 
@@ -214,18 +218,18 @@ class CountTransducer:
     CHUNK, CHUNKS, WARM, LANES = 256, 2_048, 48, 4_096
     START = (b"", ((-1, 0),))
 
-    def __init__(self, path: str, most: int = 16_000):
+    def __init__(self, path: str, most: int = 60_000):
         self.ids, self.ranks, self.special = vocabulary(path)
         self.bytes = {k: b for b, k in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.heads = {b[:k] for b in self.ids for k in range(1, len(b))}
         self.fits: dict[int, bool] = {}
-        self.most = max(most, 3 * self.LANES)
+        self.most = min(max(most, 3 * self.LANES), _NONE - 1)
         self._begin([])
 
     def _begin(self, keep: list[tuple]) -> None:
         self.states, self.number = [], {}
-        self.next, self.delta = np.full((1024, 256), -1, np.int32), np.zeros((1024, 256), np.int8)
+        self.next, self.delta = np.full((1024, 256), _NONE, np.uint16), np.zeros((1024, 256), np.int8)
         for state in (self.START, *keep):
             self._number(state)
 
@@ -234,7 +238,7 @@ class CountTransducer:
             self.number[state] = len(self.states)
             self.states.append(state)
             if len(self.states) > len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
+                self.next = np.concatenate([self.next, np.full_like(self.next, _NONE)])
                 self.delta = np.concatenate([self.delta, np.zeros_like(self.delta)])
         return self.number[state]
 
@@ -275,13 +279,13 @@ class CountTransducer:
         at = at[order]
         live = np.searchsorted(-size[order], -np.arange(size.max() if len(size) else 0), "left")  # lanes that have byte k
         first = [self.START] if entry is None else [entry[k] for k in order.tolist()]
-        if len(self.states) + len(first) > self.most:
+        if entry is not None and len(self.states) + len(first) > self.most:
             self._begin([])
         state, total = np.resize(np.array([self._number(x) for x in first], np.int64), len(size)), np.zeros(len(size), np.int64)
         for k, n in enumerate(live.tolist()):
             now, byte = state[:n], data[at[:n] + k]
             to = self.next[now, byte]
-            if (new := np.flatnonzero(to < 0)).size:
+            if (new := np.flatnonzero(to == _NONE)).size:
                 pairs = np.unique(now[new] << 8 | byte[new]).tolist()
                 if len(self.states) + len(pairs) > self.most:  # only the lanes' states go on
                     used, where = np.unique(state, return_inverse=True)
@@ -289,7 +293,8 @@ class CountTransducer:
                     self._begin(kept)
                     state = np.array([self.number[x] for x in kept], np.int64)[where]
                     now = state[:n]
-                    pairs = np.unique(now[self.next[now, byte] < 0] << 8 | byte[self.next[now, byte] < 0]).tolist()
+                    missing = self.next[now, byte] == _NONE
+                    pairs = np.unique(now[missing] << 8 | byte[missing]).tolist()
                 for x in pairs:
                     self._compile(x >> 8, x & 255)
                 to = self.next[now, byte]
@@ -380,7 +385,7 @@ class Remembered:
 @lru_cache(maxsize=1)
 def compiled(path: str) -> tuple[Scanner, CountTransducer, Remembered]:
     """The transducers for a file and the counts remembered so far; kept between the tasks of a worker."""
-    found = Scanner(Tokenizer.from_file(path).pre_tokenizer), CountTransducer(path), Remembered()
+    found = Scanner(Tokenizer.from_file(path).pre_tokenizer), CountTransducer(path), Remembered(32 << 20)
     tidy()
     return found
 

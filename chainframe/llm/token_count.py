@@ -13,7 +13,7 @@ from chainframe.llm.bpe import Pretokens, compiled
 from chainframe.llm.text import parts, text_buffer
 
 #: Text bytes tokenized together: more share more pre-tokens.
-TOKEN_BYTES = 1 << 20
+TOKEN_BYTES = 2 << 20
 
 
 def _counted(path: str):
