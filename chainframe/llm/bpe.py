@@ -207,10 +207,6 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], dict[tuple[int, int], int],
     return ids, ranks, special.encode()
 
 
-#: In place of a transition that isn't compiled yet.
-_NONE = 0xFFFF
-
-
 class CountTransducer:
     """Counts the tokens of pre-tokens; transitions are compiled when first taken. A table of more than `most` states is begun anew with those in use."""
 
@@ -218,28 +214,51 @@ class CountTransducer:
     CHUNK, CHUNKS, WARM, LANES = 256, 2_048, 48, 4_096
     START = (b"", ((-1, 0),))
 
-    def __init__(self, path: str, most: int = 60_000):
+    def __init__(self, path: str, most: int = 120_000):
         self.ids, self.ranks, self.special = vocabulary(path)
         self.bytes = {k: b for b, k in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.heads = {b[:k] for b in self.ids for k in range(1, len(b))}
         self.fits: dict[int, bool] = {}
-        self.most = min(max(most, 3 * self.LANES), _NONE - 1)
+        self.most = max(most, 3 * self.LANES)
+        # a column for each byte met, in order; 255 stands for none
+        self.column, self.byte_of = np.full(256, 255, np.uint8), []
         self._begin([])
 
     def _begin(self, keep: list[tuple]) -> None:
         self.states, self.number = [], {}
-        self.next, self.delta = np.full((1024, 256), _NONE, np.uint16), np.zeros((1024, 256), np.int8)
+        self._room(1024, self._width())
         for state in (self.START, *keep):
             self._number(state)
 
+    def _room(self, states: int, bytes_: int) -> None:
+        """Tables of at least so many rows and columns, with what is compiled so far unless there is nothing."""
+        new = np.full((states, bytes_), -1, np.int32), np.zeros((states, bytes_), np.int8)
+        if self.states:
+            rows, columns = min(len(self.next), states), min(self.next.shape[1], bytes_)
+            for old, to in zip((self.next, self.delta), new):
+                to[:rows, :columns] = old[:rows, :columns]
+        self.next, self.delta = new
+
+    def _width(self) -> int:
+        return max(32, -(-len(self.byte_of) // 32) * 32)
+
+    def _columns(self, data: np.ndarray) -> np.ndarray:
+        """The bytes as columns of the tables, which get new ones for bytes not met before."""
+        for b in np.flatnonzero(np.bincount(data, minlength=256)[:256] * (self.column == 255)).tolist():
+            if len(self.byte_of) < 255:
+                self.column[b] = len(self.byte_of)
+                self.byte_of.append(b)
+        if len(self.byte_of) > self.next.shape[1]:
+            self._room(len(self.next), self._width())
+        return self.column[data]
+
     def _number(self, state: tuple) -> int:
         if state not in self.number:
             self.number[state] = len(self.states)
             self.states.append(state)
             if len(self.states) > len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, _NONE)])
-                self.delta = np.concatenate([self.delta, np.zeros_like(self.delta)])
+                self._room(len(self.next) * 3 // 2, self.next.shape[1])
         return self.number[state]
 
     def _merged(self, data: bytes) -> list[int]:
@@ -260,18 +279,28 @@ class CountTransducer:
             self.fits[key] = self._merged(b"".join(self.bytes[t] for t in both)) == both
         return self.fits[key]
 
-    def _compile(self, state: int, byte: int) -> None:
+    def _compile(self, state: int, column: int) -> None:
         tail, places = self.states[state]
-        tail += bytes([byte])
-        for size in range(min(len(tail), self.longest), 0, -1):
-            token = self.ids.get(tail[-size:])
-            if token is not None and places[size - 1] is not None and self._fit(places[size - 1][0], token):
-                break
+        tail += bytes((self.byte_of[column],))
+        ids, fits, heads, n = self.ids, self.fits, self.heads, len(tail)
+        for size in range(min(n, self.longest), 0, -1):
+            token = ids.get(tail[n - size :])
+            if token is not None and (place := places[size - 1]) is not None:
+                fit = fits.get(place[0] << 32 | token)
+                if self._fit(place[0], token) if fit is None else fit:
+                    break
         delta = places[size - 1][1] + 1
-        keep = next((k for k in range(min(len(tail), self.longest - 1), 0, -1) if tail[-k:] in self.heads), 0)
         # only places from which some token may still go on matter
-        new = (tail[len(tail) - keep :], ((token, 0), *((places[k - 1][0], places[k - 1][1] - delta) if tail[-k:] in self.heads else None for k in range(1, keep + 1))))
-        self.next[state, byte], self.delta[state, byte] = self._number(new), delta
+        kept = []
+        for k in range(min(n, self.longest - 1), 0, -1):
+            if tail[n - k :] in heads:
+                last, count = places[k - 1]
+                kept.append((last, count - delta))
+            elif kept:
+                kept.append(None)
+        keep = len(kept)
+        new = (tail[n - keep :], ((token, 0), *kept[::-1]))
+        self.next[state, column], self.delta[state, column] = self._number(new), delta
 
     def _run(self, data: np.ndarray, at: np.ndarray, size: np.ndarray, entry: list[tuple] | None) -> tuple[np.ndarray, list[tuple]]:
         """Counts, and exit states where entry states are given (else all begin at the start): at most LANES lanes, the longest first, one byte a step."""
@@ -285,7 +314,7 @@ class CountTransducer:
         for k, n in enumerate(live.tolist()):
             now, byte = state[:n], data[at[:n] + k]
             to = self.next[now, byte]
-            if (new := np.flatnonzero(to == _NONE)).size:
+            if (new := np.flatnonzero(to < 0)).size:
                 pairs = np.unique(now[new] << 8 | byte[new]).tolist()
                 if len(self.states) + len(pairs) > self.most:  # only the lanes' states go on
                     used, where = np.unique(state, return_inverse=True)
@@ -293,7 +322,7 @@ class CountTransducer:
                     self._begin(kept)
                     state = np.array([self.number[x] for x in kept], np.int64)[where]
                     now = state[:n]
-                    missing = self.next[now, byte] == _NONE
+                    missing = self.next[now, byte] < 0
                     pairs = np.unique(now[missing] << 8 | byte[missing]).tolist()
                 for x in pairs:
                     self._compile(x >> 8, x & 255)
@@ -346,7 +375,7 @@ class CountTransducer:
     def counts(self, distinct: list[bytes]) -> np.ndarray:
         """Tokens of each pre-token."""
         size = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        data, at, out = np.frombuffer(b"".join(distinct), np.uint8), np.cumsum(size) - size, np.empty(len(distinct), np.int64)
+        data, at, out = self._columns(np.frombuffer(b"".join(distinct), np.uint8)), np.cumsum(size) - size, np.empty(len(distinct), np.int64)
         short = np.flatnonzero(size <= self.CHUNK)
         short = short[np.argsort(size[short], kind="stable")]
         for k in range(0, len(short), self.LANES):
