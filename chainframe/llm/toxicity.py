@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from chainframe.llm.labelled import examples, held_out
 from chainframe.llm.near_dup import SIMILAR, shingle_sets
-from chainframe.llm.text import NOT_ALNUM, Words, parts, slices
+from chainframe.llm.text import NOT_ALNUM, Words, parts, slices, tidy
 
 #: Labelled rows indexed at most, whatever the corpus; neighbours; examples in a block; blocks read first.
 MAX_EXAMPLES, NEIGHBOURS, BLOCK, FIRST = 6_000, 15, 64, 6
@@ -227,6 +227,8 @@ def build_index(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAM
     y = table["label"].to_numpy().astype(np.float64)
     row, term, count = counted(table["text"].combine_chunks())
     terms, term = np.unique(term, return_inverse=True)
+    ids, table = table["doc_id"].to_numpy(), None
+    tidy()
     shared = docs.sparkSession.sparkContext.broadcast(terms)
     counts = docs.select("text").mapInArrow(_frequencies(shared), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # at most one row for each term of the sample
     df = np.zeros(len(terms) + 1)
@@ -235,7 +237,7 @@ def build_index(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAM
     weights = (1 + np.log((df[-1] + 1) / (df[:-1] + 1))) * relevance(row, term, y, len(terms))
     place, own = np.cumsum(keep) - 1, keep[term]
     row, term, count = row[own], place[term[own]], count[own]
-    index = BlockMaxIndex(terms[keep], weights[keep], table["doc_id"].to_numpy(), y, row, term, count)
+    index = BlockMaxIndex(terms[keep], weights[keep], ids, y, row, term, count)
     index.calibrate(row, term, count, k)
     return index
 
