@@ -389,7 +389,7 @@ class CountTransducer:
 class Remembered:
     """What was found for byte strings, in two generations of bounded size: when the new one is full it becomes the old one."""
 
-    def __init__(self, limit: int = 8 << 20):
+    def __init__(self, limit: int):
         self.limit, self.new, self.old, self.size = limit, {}, {}, 0
 
     def of(self, keys: list[bytes], find) -> list:
@@ -423,7 +423,7 @@ def compiled(path: str) -> tuple[Scanner, CountTransducer, Remembered]:
 def library(path: str) -> tuple[Scanner, Tokenizer, bytes, Remembered]:
     """The scanner, the tokenizers library for a file, its special string, and the ids remembered so far."""
     tokenizer = Tokenizer.from_file(path)
-    found = Scanner(tokenizer.pre_tokenizer), tokenizer, vocabulary(path)[2], Remembered()
+    found = Scanner(tokenizer.pre_tokenizer), tokenizer, vocabulary(path)[2], Remembered(32 << 20)
     tidy()
     return found
 
