@@ -19,6 +19,27 @@ def test_digests(docs, rows, empty):
     assert media.media_digests(empty).count() == 0
 
 
+def test_file_columns_by_the_symbol_reader(docs, rows, monkeypatch):
+    """media_bytes, media_sha256 and feature of files read symbol by symbol, without the reader of fixed fields."""
+    found = {r["payload_sha256"]: r for r in media.media_digests(docs).collect()}
+    monkeypatch.setattr(Image, "_read_fields", lambda *a: False)
+    texts = sorted({r[1] or "" for r in rows}, key=len)
+    for text in [*texts[:4], texts[len(texts) // 2]]:
+        b = text.encode()
+        payload = np.frombuffer(b + b"\xff" * (max(1, -(-len(b) // 576)) * 576 - len(b)), np.uint8)
+        file = encode(payload)
+        image, r = Image(file), found[hashlib.sha256(payload.tobytes()).hexdigest()]
+        assert image.payload() == payload.tobytes() and (r["media_bytes"], r["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest())
+        mean = image.rgb().reshape(-1, 3).mean(0)
+        assert r["feature"] == f"{image.width}x{image.height} " + " ".join(f"{m:.3f}" for m in mean)
+
+
+def test_names_of_a_file_table_may_clash(spark):
+    files = spark.createDataFrame([(5, "x", bytearray(encode(np.full(576, 9, np.uint8))))], "height int, payload string, media binary")
+    (r,) = media.decode_media(files).collect()
+    assert bytes(r["payload"]) == b"\x09" * 576 and r["height"] * r["width"] * 3 == len(r["rgb"])
+
+
 def test_equal_texts_give_equal_media(docs):
     rows = media.media_digests(docs).collect()
     by_payload = {}
