@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from chainframe.llm.bpe import CountTransducer, Pretokens, Remembered, compiled
+from chainframe.llm.bpe import CountTransducer, Pretokens, Remembered, compiled, token_ids
 from chainframe.llm.packing import pack, plan_bins
 from chainframe.llm.token_count import token_counts
 
@@ -51,6 +51,14 @@ def test_long_pretokens_are_composed_of_chunks(library, monkeypatch):
     assert small.counts([w.encode() for w in words[:30]]).tolist() == transducer.counts([w.encode() for w in words[:30]]).tolist()
 
 
+def test_ids_equal_the_library(library):
+    rng = random.Random(9)
+    alphabet = " '\n\t<|>endoftxab19.,é日😀\x1c"
+    texts = ["<|endoftext|>", "<|endoftext|", "a<|<|endoftext|>|>", "", *("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000))]
+    ids, at = token_ids(pa.array(texts), PATH)
+    assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_remembered_values_are_bounded():
     known = Remembered(2_000)
     for k in range(50):
