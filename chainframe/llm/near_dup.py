@@ -208,7 +208,10 @@ def _block_roles(left: DataFrame) -> DataFrame:
     """Groups for nodes (node, label, g): those outside the largest label of their g, in blocks, lead all nodes of the g."""
     sizes = left.groupBy("g", "label").agg(F.count("*").alias("c"))
     whole = sizes.groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    whole = whole.select("g", "main", F.ceil(F.col("all") / PER_SALT).cast("int").alias("salts"), F.ceil((F.col("all") - F.col("most")) / PER_BLOCK).cast("int").alias("blocks")).filter("blocks > 0")
+    # each salt holds copies of its block's leads: few of them allow small salts
+    leads = F.least(F.col("all") - F.col("most"), F.lit(PER_BLOCK))
+    together = F.least(F.lit(PER_SALT), F.greatest(F.lit(PER_STAR), 4 * leads))
+    whole = whole.select("g", "main", F.ceil(F.col("all") / together).cast("int").alias("salts"), F.ceil((F.col("all") - F.col("most")) / PER_BLOCK).cast("int").alias("blocks")).filter("blocks > 0")
     both = left.join(whole, "g")
     members = both.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), _salt("node", "salts").alias("salt"), "node", "label", F.lit(True).alias("member"))
     leads = both.filter("label <> main").select("g", _salt("node, 1", "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "node", "label", F.lit(False).alias("member"))
