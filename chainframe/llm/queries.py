@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chainframe.llm import decontaminate, html_extract, licenses, media, near_dup, packing, quality, substring_dedup, token_count, toxicity
+from chainframe.llm import decontaminate, html_extract, licenses, media, near_dup, packing, phrases, quality, substring_dedup, token_count, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op8_licenses": op8_licenses,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -82,4 +87,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": f"WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents), sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, {_runs('5')} FROM d) UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL), ln AS (SELECT x, y FROM pr JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)), ed AS (SELECT x, y FROM ln UNION SELECT y, x FROM ln), rc AS (SELECT x, y FROM ed UNION SELECT rc.x, ed.y FROM rc JOIN ed ON rc.y = ed.x), cm AS (SELECT x AS doc_id, min(y) AS low FROM rc GROUP BY x) SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, coalesce(low, d.doc_id) >= d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN cm USING (doc_id)",
     "op6_substring_dedup": f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents), wn AS (SELECT r, {_runs('35')} FROM d), rp AS (SELECT s FROM wn GROUP BY s HAVING count(*) > 1), gone AS (SELECT DISTINCT r, k + o AS p FROM wn SEMI JOIN rp USING (s) CROSS JOIN range(0, 35) t(o)), ws AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d), kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM ws ANTI JOIN gone USING (r, p) GROUP BY r) SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)",
     "op9_decontamination": f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents), b0 AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark), b1 AS (SELECT item_id, w, least(10, len(w)) AS n FROM b0 WHERE len(w) > 0), bw AS (SELECT DISTINCT item_id, n, s FROM (SELECT item_id, n, {_runs('n')} FROM b1)), ns AS (SELECT DISTINCT n FROM bw), dw AS (SELECT r, n, {_runs('n')} FROM d CROSS JOIN ns), hits AS (SELECT r, n, k, item_id FROM dw JOIN bw USING (n, s)), pl AS (SELECT r, count(DISTINCT k + o) AS c FROM (SELECT DISTINCT r, n, k FROM hits) JOIN range(0, 10) t(o) ON o < n GROUP BY r), it AS (SELECT r, count(*) AS c, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY r) SELECT doc_id, len(w) AS n_words, coalesce(pl.c, 0) AS n_hit, coalesce(it.c, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(pl.c, 0) > 0 AS contaminated FROM d LEFT JOIN pl USING (r) LEFT JOIN it USING (r)",
+    "op11_collocations": f"WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents), w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p), g AS (SELECT lang, n, s, count(*) AS f FROM (SELECT lang, n, {_runs('n')} FROM w CROSS JOIN (VALUES (1), (2), (3)) t(n)) GROUP BY ALL), c AS (SELECT lang, n, s, f AS a, string_split(s, ' ') AS x FROM g WHERE n > 1 AND f >= 10), ct AS (SELECT c.lang, c.s, c.n, a, k, array_to_string(x[:k], ' ') AS p, array_to_string(x[k + 1:], ' ') AS q FROM c JOIN (VALUES (1), (2)) t(k) ON k < c.n), sc AS (SELECT ct.lang, ct.s, a, k, l.f AS l, r.f AS r, 1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f) AS score FROM ct JOIN g l ON l.lang = ct.lang AND l.s = p JOIN g r ON r.lang = ct.lang AND r.s = q), bs AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, k) = 1), inn AS (SELECT lang, array_to_string(x[k:k + 1], ' ') AS s, max(a) AS m FROM c JOIN (VALUES (1), (2)) t(k) ON n = 3 GROUP BY ALL), kept AS (SELECT bs.* FROM bs LEFT JOIN inn USING (lang, s) WHERE m IS NULL OR 100 * m < 50 * a), tot AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE n = 1 GROUP BY lang) SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS rank, s AS phrase, a, l, r, tot.n, score::BIGINT AS score FROM kept JOIN tot USING (lang) QUALIFY rank <= 2000",
 }
