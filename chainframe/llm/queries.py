@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chainframe.llm import conversations, decontaminate, html_extract, licenses, media, near_dup, packing, phrases, quality, substring_dedup, token_count, toxicity
+from chainframe.llm import conversations, decontaminate, html_extract, licenses, media, near_dup, packing, phrases, quality, secret_scan, substring_dedup, token_count, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversation_repair(_table(spark, sf_dir, "conversations"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
     "op11_collocations": op11_collocations,
+    "op12_secrets": op12_secrets,
     "op13_conversations": op13_conversations,
 }
 
