@@ -1,7 +1,7 @@
 """Analysis of a transition matrix: absorption, stationary distribution, communicating classes, random walks.
 
-Absorption quantities all apply N = (I - Q)^-1, which `solve` does by fixed-point iteration as joins and
-sums, with lineage cut every few steps; small systems can be solved directly on the driver.
+Absorption quantities all solve X = Q X + B, by a Krylov iteration over tables that ends by its residual, or directly on the
+driver if there are few states.
 """
 
 from __future__ import annotations
@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from chainframe.lineage import cut, release
 from chainframe.linalg.components import connected_components
-from chainframe.operators.matrix import apply_to
+from chainframe.linalg.dense import stationary_from_uniform
+from chainframe.linalg.krylov import fixed_point, gmres
 from chainframe.operators.statistics import sorted_places
 
 #: Transient states up to which a system may be solved densely on the driver.
 DIRECT_STATES = 2_000
+#: States up to which a stationary distribution is found by elimination on the driver.
+ELIMINATED = 1_000
 
 
 def split(edges: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -31,34 +34,6 @@ def split(edges: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
     return q, s
 
 
-def solve(q: DataFrame, b: DataFrame, columns: list[str], steps: int | None = None, tol: float = 1e-6, every: int = 10, max_steps: int = 2_000) -> DataFrame:
-    """X = QX + B for a table b (i, columns...): a given number of steps, or until no entry changes by more than tol.
-
-    Rows of the result are those of b; b must list all transient states.
-    """
-    b, q = cut(b.select("i", *columns)), cut(q)
-    x, done, kept = b, 0, None
-    while True:
-        moved = apply_to(q, x, columns).select("i", *[F.col(c).alias(f"_{c}") for c in columns])
-        new = b.join(moved, "i", "left").select("i", *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0.0))).alias(c) for c in columns])
-        done += 1
-        if done % every == 0:
-            new = cut(new)
-            if steps is None:
-                old = x.select("i", *[F.col(c).alias(f"_{c}") for c in columns])
-                change = new.join(old, "i").agg(F.max(F.greatest(F.lit(0.0), *[F.abs(F.col(c) - F.col(f"_{c}")) for c in columns]))).first()[0] or 0.0
-                if change <= tol:
-                    return new
-                if done >= max_steps:
-                    raise RuntimeError(f"no convergence in {done} steps: last change {change}")
-            if kept is not None:
-                release(kept)
-            kept = new
-        x = new
-        if steps is not None and done == steps:
-            return x
-
-
 def _dense(edges: DataFrame, at: dict) -> np.ndarray:
     """A small matrix on the driver: at most DIRECT_STATES rows and columns."""
     found = edges.select("i", "j", "w").toArrow()
@@ -74,33 +49,38 @@ def solve_direct(q: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     if len(rows) > DIRECT_STATES:
         raise ValueError("too many states for a direct solution")
     at = {k: n for n, k in enumerate(rows["i"])}
-    a = np.eye(len(rows)) - _dense(q, at)
-    x = np.linalg.solve(a, rows[columns].to_numpy(float)) if len(rows) else np.zeros((0, len(columns)))
+    a, right = np.eye(len(rows)) - _dense(q, at), rows[columns].to_numpy(float)
+    x = np.linalg.solve(a, right) if len(rows) else np.zeros((0, len(columns)))
+    x = x + np.linalg.solve(a, right - a @ x) if len(rows) else x
     kind = b.schema["i"].dataType.simpleString()
     return b.sparkSession.createDataFrame(pd.DataFrame({"i": rows["i"], **{c: x[:, k] for k, c in enumerate(columns)}}), f"i {kind}, " + ", ".join(f"{c} double" for c in columns))
 
 
-def _small(states: DataFrame) -> bool:
-    return states.limit(DIRECT_STATES + 1).count() <= DIRECT_STATES
+def _small(states: DataFrame, most: int = DIRECT_STATES) -> bool:
+    return states.limit(most + 1).count() <= most
 
 
 def _solver(method: str, steps: int | None, tol: float):
-    if method not in ("auto", "direct", "fixed_point"):
-        raise ValueError("method is auto, direct or fixed_point")
+    """How X = Q X + B is solved: "direct" on the driver, "krylov" by restarted GMRES over tables, "fixed_point" by repetition; "auto" is direct
+    for at most DIRECT_STATES states, else krylov, and both are right to well below the tolerances of use. Given steps are plain repetition."""
+    if method not in ("auto", "direct", "krylov", "fixed_point"):
+        raise ValueError("method is auto, direct, krylov or fixed_point")
 
     def solved(q: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-        if method == "direct" or method == "auto" and steps is None and _small(b):
+        if steps is not None or method == "fixed_point":
+            return fixed_point(q, b, columns, steps, tol)
+        if method == "direct" or method == "auto" and _small(b):
             return solve_direct(q, b, columns)
-        return solve(q, b, columns, steps, tol)
+        return gmres(q, b, columns, tol)
 
     return solved
 
 
-def fate_probabilities(edges: DataFrame, states: DataFrame, names: list[str], steps: int | None = None, tol: float = 1e-6, method: str = "auto") -> DataFrame:
+def fate_probabilities(edges: DataFrame, states: DataFrame, names: list[str], steps: int | None = None, tol: float = 1e-10, method: str = "auto") -> DataFrame:
     """(i, one column for each named state): the chance that a walk from i ends in that state; 1 on own recurrent cells.
 
-    States that aren't named make their cells transient. method: "direct" solves densely on the driver, "fixed_point" by joins and sums until it
-    has converged (or for a number of steps), "auto" directly if there are at most DIRECT_STATES transient states.
+    States that aren't named make their cells transient. For method and steps see `_solver`; an iteration ends by its residual, tol times the
+    right-hand side, or raises.
     """
     states = states.filter(F.col("state").isin(names))
     q, s = split(edges, states)
@@ -112,71 +92,104 @@ def fate_probabilities(edges: DataFrame, states: DataFrame, names: list[str], st
     return x.unionByName(own)
 
 
-def absorption_times(edges: DataFrame, states: DataFrame, steps: int | None = None, tol: float = 1e-6, method: str = "auto") -> DataFrame:
-    """(i, mean, var) of the steps until any recurrent cell: m = N 1, v = 2 N m - m - m^2; 0 on recurrent cells."""
-    q, _ = split(edges, states)
+def _moments(q: DataFrame, leave: DataFrame, transient: DataFrame, solved) -> DataFrame:
+    """(i, mean, var) of the steps until a walk leaves: m = 1 + Q m, and v = u + Q v with u the variance that one step adds,
+    sum_j q_ij (1 + m_j - m_i)^2 + l_i (1 - m_i)^2, a sum of squares, so v is never negative. leave is (i, l)."""
+    m = cut(solved(q, transient.select("i", F.lit(1.0).alias("mean")), ["mean"]))
+    ends = m.select(F.col("i").alias("j"), F.col("mean").alias("next"))
+    within = q.join(m, "i").join(ends, "j").groupBy("i").agg(F.sum(F.col("w") * (1 + F.col("next") - F.col("mean")) ** 2).alias("within"))
+    out = F.coalesce(F.col("l"), F.lit(0.0)) * (1 - F.col("mean")) ** 2
+    u = m.join(within, "i", "left").join(leave, "i", "left").select("i", (F.coalesce("within", F.lit(0.0)) + out).alias("var"))
+    return m.join(solved(q, u, ["var"]), "i").select("i", "mean", "var")
+
+
+def absorption_times(edges: DataFrame, states: DataFrame, steps: int | None = None, tol: float = 1e-10, method: str = "auto") -> DataFrame:
+    """(i, mean, var) of the steps until any recurrent cell; 0 on recurrent cells."""
+    q, s = split(edges, states)
     transient = edges.select("i").distinct().join(states.select(F.col("obs").alias("i")), "i", "left_anti")
-    solved = _solver(method, steps, tol)
-    m = cut(solved(q, transient.withColumn("mean", F.lit(1.0)), ["mean"]))
-    nm = solved(q, m.select("i", F.col("mean").alias("nm")), ["nm"])
-    moments = m.join(nm, "i").select("i", "mean", (2 * F.col("nm") - F.col("mean") - F.col("mean") ** 2).alias("var"))
+    moments = _moments(cut(q), s.groupBy("i").agg(F.sum("w").alias("l")), transient, _solver(method, steps, tol))
     return moments.unionByName(states.select(F.col("obs").alias("i"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("var")))
 
 
-def conditional_absorption_times(edges: DataFrame, states: DataFrame, name: str, names: list[str], steps: int | None = None, tol: float = 1e-6, method: str = "auto") -> DataFrame:
-    """(i, mean, var) of the steps to state `name` given that it is reached: with h its fate probability, m = N h / h and v = 2 N(h m) / h - m - m^2.
+def conditional_absorption_times(edges: DataFrame, states: DataFrame, name: str, names: list[str], steps: int | None = None, tol: float = 1e-10, method: str = "auto") -> DataFrame:
+    """(i, mean, var) of the steps to state `name` given that it is reached: with h its fate probability, those of the chain with steps q_ij h_j / h_i.
 
     0 on its own cells; infinite mean and NaN variance on cells of other states and where h is 0.
     """
     states = states.filter(F.col("state").isin(names))
-    q, _ = split(edges, states)
+    q, s = split(edges, states)
     fate = cut(fate_probabilities(edges, states, names, steps, tol, method).select("i", F.col(name).alias("h")))
-    moving = fate.join(states.select(F.col("obs").alias("i")), "i", "left_anti")
-    solved = _solver(method, steps, tol)
-    nh = cut(solved(q, moving.select("i", F.col("h").alias("nh")), ["nh"]))
-    nhm = solved(q, nh.select("i", F.col("nh").alias("nhm")), ["nhm"])  # h * m is N h
-    both = moving.join(nh, "i").join(nhm, "i")
-    mean, second = F.try_divide(F.col("nh"), F.col("h")), F.try_divide(F.col("nhm"), F.col("h"))
-    none = F.col("h") == 0
-    found = both.select("i", F.when(none, F.lit(float("inf"))).otherwise(mean).alias("mean"), F.when(none, F.lit(float("nan"))).otherwise(2 * second - mean - mean * mean).alias("var"))
+    moving = cut(fate.join(states.select(F.col("obs").alias("i")), "i", "left_anti"))
+    able = moving.filter("h > 0")
+    given = cut(q.join(able, "i").join(able.select(F.col("i").alias("j"), F.col("h").alias("hj")), "j").select("i", "j", (F.col("w") * F.col("hj") / F.col("h")).alias("w")))
+    leave = s.filter(F.col("state") == name).join(able, "i").select("i", (F.col("w") / F.col("h")).alias("l"))
+    found = _moments(given, leave, able, _solver(method, steps, tol))
+    never = moving.filter("h = 0").select("i", F.lit(float("inf")).alias("mean"), F.lit(float("nan")).alias("var"))
     own = F.col("state") == name
-    return found.unionByName(states.select(F.col("obs").alias("i"), F.when(own, 0.0).otherwise(F.lit(float("inf"))).alias("mean"), F.when(own, 0.0).otherwise(F.lit(float("nan"))).alias("var")))
-
+    return found.unionByName(never).unionByName(states.select(F.col("obs").alias("i"), F.when(own, 0.0).otherwise(F.lit(float("inf"))).alias("mean"), F.when(own, 0.0).otherwise(F.lit(float("nan"))).alias("var")))
 
-def stationary(edges: DataFrame, steps: int | None = None, every: int = 10, tol: float = 1e-9, max_steps: int = 20_000) -> DataFrame:
-    """(i, p): where power iterations from the uniform distribution end. Each step goes half the way, so periodic chains converge too.
 
-    It stops when no entry changes by more than tol in `every` steps; chains of at most DIRECT_STATES states are squared on the driver
-    until nothing changes. A given number of steps are plain ones, with no check.
-    """
-    ids = cut(edges.select("i").distinct())
-    if steps is None and _small(ids):
-        names = ids.toPandas()["i"].tolist()
-        t = (_dense(edges, {k: n for n, k in enumerate(names)}) + np.eye(len(names))) / 2
-        p = np.full(len(names), 1 / max(len(names), 1))
-        for _ in range(60):
-            new = p @ t
-            t = t @ t
-            if np.abs(new - p).max(initial=0) <= 1e-15:
-                break
-            p = new
-        return edges.sparkSession.createDataFrame(pd.DataFrame({"i": names, "p": p}), f"i {ids.schema['i'].dataType.simpleString()}, p double")
-    if steps is None:
-        edges = edges.select("i", "j", (F.col("w") / 2).alias("w")).union(ids.select("i", F.col("i").alias("j"), F.lit(0.5).alias("w")))
-    edges = cut(edges)
-    p = kept = cut(ids.withColumn("p", F.lit(1.0) / F.lit(ids.count())))
-    for k in range(1, (max_steps if steps is None else steps) + 1):
+def _after(edges: DataFrame, steps: int, every: int = 10) -> DataFrame:
+    """(i, p): a uniformly drawn state after that many steps."""
+    ids, edges = cut(edges.select("i").distinct()), cut(edges)
+    p = cut(ids.withColumn("p", F.lit(1.0) / F.lit(ids.count())))
+    for k in range(1, steps + 1):
         moved = edges.join(p, "i").groupBy(F.col("j").alias("i")).agg(F.sum(F.col("w") * F.col("p")).alias("p"))
         p = ids.join(moved, "i", "left").fillna(0.0, ["p"])
         if k % every == 0:
             p = cut(p)
-            if steps is None:
-                change = p.join(kept.withColumnRenamed("p", "old"), "i").agg(F.max(F.abs(F.col("p") - F.col("old")))).first()[0] or 0.0
-                if change <= tol:
-                    return p
-                kept = p
-    if steps is None:
-        raise RuntimeError(f"no convergence in {max_steps} steps")
+    return p
+
+
+def _visits(edges: DataFrame, starts: DataFrame, tol: float) -> DataFrame:
+    """(i, x): x = s + x Q, the visits of a walk that begins by starts (i, x), which lists all states, and ends where edges lead elsewhere."""
+    back = edges.join(starts.select("i"), "i", "left_semi").join(starts.select(F.col("i").alias("j")), "j", "left_semi")
+    return gmres(back.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"), starts, ["x"], tol)
+
+
+def stationary(edges: DataFrame, steps: int | None = None, tol: float = 1e-9, method: str = "auto") -> DataFrame:
+    """(i, p): where a walk from a uniformly drawn state is in the long run, so periodic chains have one too, and a chain with several closed classes gets each one's
+    distribution by the chance to end in it.
+
+    At most ELIMINATED states ("direct") are eliminated one by one on the driver, without subtractions, so slow mixing costs no digit. Larger chains
+    ("krylov") are taken apart into classes; in each closed one a state is picked, the visits to all others between two visits to it solve one linear system, and
+    the result is checked: |p T - p| is at most tol, summed over all states, or an error is raised. Given steps are plain ones, with no check.
+    """
+    if method not in ("auto", "direct", "krylov"):
+        raise ValueError("method is auto, direct or krylov")
+    if steps is not None:
+        return _after(edges, steps)
+    ids = cut(edges.select("i").distinct())
+    if method == "direct" or method == "auto" and _small(ids, ELIMINATED):
+        names = sorted(ids.toPandas()["i"].tolist())
+        p = stationary_from_uniform(_dense(edges, {k: n for n, k in enumerate(names)}))
+        return edges.sparkSession.createDataFrame(pd.DataFrame({"i": names, "p": p}), f"i {ids.schema['i'].dataType.simpleString()}, p double")
+    edges = cut(edges.filter("w > 0").select("i", "j", "w"))
+    n = ids.count()
+    classes = communicating_classes(edges.unionByName(ids.select("i", F.col("i").alias("j"), F.lit(1.0).alias("w"))))
+    members = cut(classes.filter("recurrent").select(F.col("node").alias("i"), "class"))
+    weight = edges.filter("i <> j").groupBy(F.col("j").alias("i")).agg(F.sum("w").alias("in"))
+    roots = cut(members.join(weight, "i", "left").groupBy("class").agg(F.max_by("i", F.struct(F.coalesce("in", F.lit(0.0)), F.hash("i"), "i")).alias("i")))
+    others = members.join(roots.select("i"), "i", "left_anti")
+    first = edges.join(roots, "i").select(F.col("j").alias("i"), F.col("w").alias("x"))
+    starts = cut(others.join(first, "i", "left").groupBy("i").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("x")))
+    x = roots.select("i", F.lit(1.0).alias("x"))
+    if not starts.isEmpty():
+        x = x.unionByName(_visits(edges, starts, tol * 1e-3))
+    x = cut(x.join(members, "i"))
+    passing = cut(ids.join(members.select("i"), "i", "left_anti").withColumn("x", F.lit(1.0)))
+    share = members.groupBy("class").agg(F.count("*").cast("double").alias("mass"))
+    if not passing.isEmpty():
+        met = _visits(edges, passing, tol * 1e-3)
+        come = met.join(edges, "i").join(members.withColumnRenamed("i", "j"), "j").groupBy("class").agg(F.sum(F.col("x") * F.col("w")).alias("come"))
+        share = share.join(come, "class", "left").select("class", (F.col("mass") + F.coalesce("come", F.lit(0.0))).alias("mass"))
+    total = x.groupBy("class").agg(F.sum("x").alias("total")).join(share, "class")
+    p = x.join(total, "class").select("i", (F.col("x") / F.col("total") * F.col("mass") / n).alias("p"))
+    p = cut(ids.join(p, "i", "left").fillna(0.0, ["p"]))
+    moved = edges.join(p, "i").groupBy(F.col("j").alias("i")).agg(F.sum(F.col("w") * F.col("p")).alias("q"))
+    left = p.join(moved, "i", "left").agg(F.sum(F.abs(F.col("p") - F.coalesce("q", F.lit(0.0))))).first()[0]
+    if left > tol:
+        raise RuntimeError(f"the distribution found moves by {left:.3g} a step")
     return p
 
 
@@ -185,40 +198,54 @@ def components(edges: DataFrame) -> DataFrame:
     return connected_components(edges.filter("w <> 0").select(F.col("i").alias("a"), F.col("j").alias("b")))
 
 
-def _reach(edges: DataFrame, nodes: DataFrame, max_steps: int) -> DataFrame:
-    """(node, low): the smallest node that each can reach, by propagation along edges."""
-    low = cut(nodes.withColumn("low", F.col("node")))
-    for _ in range(max_steps):
-        ahead = edges.join(low.withColumnRenamed("node", "j"), "j").groupBy(F.col("i").alias("node")).agg(F.min("low").alias("ahead"))
-        new = cut(low.join(ahead, "node", "left").select("node", F.least("low", F.coalesce("ahead", "low")).alias("new"), "low"))
+def _reach(edges: DataFrame, nodes: DataFrame, seed: int, max_rounds: int) -> DataFrame:
+    """(node, low): of the nodes that each can reach the one of least hash, as (h, n).
+
+    A round takes what a node's followers know, and what the node that it knows knows (which it reaches too), so what is
+    known grows by a factor a round where paths are long.
+    """
+    low = kept = cut(nodes.select("node", F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), F.col("node").alias("n")).alias("low")))
+    for _ in range(max_rounds):
+        ahead = edges.join(low.select(F.col("node").alias("j"), F.col("low").alias("next")), "j").groupBy(F.col("i").alias("node")).agg(F.min("next").alias("ahead"))
+        further = low.select(F.col("node").alias("at"), F.col("low").alias("further"))
+        new = low.join(ahead, "node", "left").join(further, F.col("low.n") == F.col("at"), "left")
+        new = cut(new.select("node", F.least("low", F.coalesce("ahead", "low"), F.coalesce("further", "low")).alias("new"), "low"))
+        release(kept)
+        low, kept = new.select("node", F.col("new").alias("low")), new
         if new.filter("new <> low").isEmpty():
             return low
-        low = new.select("node", F.col("new").alias("low"))
     raise RuntimeError("reachability did not settle")
 
 
 def communicating_classes(edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
     """(node, class, recurrent): strongly connected components, named by their smallest node, and whether no edge leaves them.
 
-    Each round finds, among nodes not yet placed, those that the smallest node they can reach can reach
-    too: forward and backward propagation, with a class for each such root at once.
+    Each round hashes the nodes anew and finds, forward and backward, the node of least hash that each one reaches and is reached by. Nodes for which both
+    are the same node are in its class; edges between nodes that differ in either join no class and go, so what is left falls apart and
+    rounds grow with the logarithm of the nodes. Nodes without an edge in or out are classes of their own at once.
     """
-    edges = cut(edges.filter("w > 0 AND i <> j").select("i", "j").distinct())
+    edges = cut(edges.filter("w > 0").select("i", "j").distinct())
     left = cut(edges.select(F.col("i").alias("node")).union(edges.select("j")).distinct())
-    placed, rest = None, edges
-    for _ in range(max_rounds):
-        low = _reach(rest, left, max_rounds)
-        # inside nodes of one root, go back from the root
-        same = rest.join(low.select(F.col("node").alias("i"), F.col("low").alias("li")), "i").join(low.select(F.col("node").alias("j"), F.col("low").alias("lj")), "j").filter("li = lj").select(F.col("j").alias("i"), F.col("i").alias("j"))
-        back = _reach(cut(same), low.select("node"), max_rounds)
-        done = low.join(back.withColumnRenamed("low", "back"), "node").filter("low = back").select("node", F.col("low").alias("class"))
-        done = cut(done)
-        placed = done if placed is None else placed.union(done)
-        left = cut(left.join(done, "node", "left_anti"))
-        if left.isEmpty():
+    edges = edges.filter("i <> j")
+    placed, rest = left.select("node", F.col("node").alias("root")).limit(0), cut(edges)
+    for seed in range(max_rounds):
+        inner = cut(rest.select(F.col("i").alias("node")).distinct().join(rest.select(F.col("j").alias("node")).distinct(), "node", "left_semi"))
+        placed = placed.union(cut(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("root"))))
+        if inner.isEmpty():
             break
-        rest = cut(rest.join(done.select(F.col("node").alias("i")), "i", "left_anti").join(done.select(F.col("node").alias("j")), "j", "left_anti"))
-    classes = cut(placed)
+        rest = cut(rest.join(inner.select(F.col("node").alias("i")), "i", "left_semi").join(inner.select(F.col("node").alias("j")), "j", "left_semi"))
+        ahead = _reach(rest, inner, seed, max_rounds)
+        behind = _reach(rest.select(F.col("j").alias("i"), F.col("i").alias("j")), inner, seed, max_rounds)
+        both = cut(ahead.join(behind.withColumnRenamed("low", "back"), "node").select("node", F.col("low.n").alias("f"), F.col("back.n").alias("b")))
+        placed = placed.union(cut(both.filter("f = b").select("node", F.col("f").alias("root"))))
+        open_ = both.filter("f <> b")
+        ends = lambda at: open_.select(F.col("node").alias(at), F.col("f").alias(f"f{at}"), F.col("b").alias(f"b{at}"))  # noqa: B023, E731
+        left = open_.select("node")
+        rest = cut(rest.join(ends("i"), "i").join(ends("j"), "j").filter("fi = fj AND bi = bj").select("i", "j"))
+    else:
+        raise RuntimeError("classes did not settle")
+    placed = cut(placed)
+    classes = cut(placed.join(placed.groupBy("root").agg(F.min("node").alias("class")), "root").select("node", "class"))
     leaving = edges.join(classes.select(F.col("node").alias("i"), F.col("class").alias("ci")), "i").join(classes.select(F.col("node").alias("j"), F.col("class").alias("cj")), "j").filter("ci <> cj").select(F.col("ci").alias("class")).distinct()
     return classes.join(leaving.withColumn("leaves", F.lit(True)), "class", "left").select("node", "class", F.col("leaves").isNull().alias("recurrent"))
 
