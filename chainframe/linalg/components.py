@@ -48,3 +48,39 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return state.select(F.col("b").alias("node"), F.col("a").alias("label")).union(state.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+
+
+def strong_components(edges: list[tuple]) -> dict:
+    """The strongly connected component of each node of a small directed graph, as one of its nodes. Depth-first search with a stack of its own."""
+    ahead: dict = {}
+    for a, b in edges:
+        ahead.setdefault(a, []).append(b)
+        ahead.setdefault(b, [])
+    number, low, held, root = {}, {}, [], {}
+    for start in ahead:
+        if start in number:
+            continue
+        work = [(start, iter(ahead[start]))]
+        number[start] = low[start] = len(number)
+        held.append(start)
+        while work:
+            node, rest = work[-1]
+            for other in rest:
+                if other not in number:
+                    number[other] = low[other] = len(number)
+                    held.append(other)
+                    work.append((other, iter(ahead[other])))
+                    break
+                if other not in root:
+                    low[node] = min(low[node], number[other])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    while True:
+                        member = held.pop()
+                        root[member] = node
+                        if member == node:
+                            break
+    return root

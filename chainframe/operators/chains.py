@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainframe.lineage import cut, release
-from chainframe.linalg.components import connected_components
+from chainframe.lineage import cut, release, stored
+from chainframe.linalg.components import connected_components, strong_components
 from chainframe.linalg.dense import stationary_from_uniform
 from chainframe.linalg.krylov import fixed_point, gmres
 from chainframe.operators.statistics import sorted_places
@@ -198,50 +198,59 @@ def components(edges: DataFrame) -> DataFrame:
     return connected_components(edges.filter("w <> 0").select(F.col("i").alias("a"), F.col("j").alias("b")))
 
 
-def _reach(edges: DataFrame, nodes: DataFrame, seed: int, max_rounds: int) -> DataFrame:
-    """(node, low): of the nodes that each can reach the one of least hash, as (h, n).
+def _meeting(edges: DataFrame, nodes: DataFrame, seed: int, max_rounds: int) -> DataFrame:
+    """(node, f, b): of the nodes that each can reach, and of those that reach it, the one of least hash.
 
-    A round takes what a node's followers know, and what the node that it knows knows (which it reaches too), so what is
-    known grows by a factor a round where paths are long.
+    A round takes what a node's neighbours know, and what the node that it knows knows (which it reaches too), so what is
+    known grows by a factor a round where paths are long. Tables are kept as files, since checkpoints carry on what the optimizer infers of
+    their columns, which doubles with each round.
     """
-    low = kept = cut(nodes.select("node", F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), F.col("node").alias("n")).alias("low")))
+    known = kept = stored(nodes.select("node", *[F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), F.col("node").alias("n")).alias(c) for c in ("f", "b")]))
     for _ in range(max_rounds):
-        ahead = edges.join(low.select(F.col("node").alias("j"), F.col("low").alias("next")), "j").groupBy(F.col("i").alias("node")).agg(F.min("next").alias("ahead"))
-        further = low.select(F.col("node").alias("at"), F.col("low").alias("further"))
-        new = low.join(ahead, "node", "left").join(further, F.col("low.n") == F.col("at"), "left")
-        new = cut(new.select("node", F.least("low", F.coalesce("ahead", "low"), F.coalesce("further", "low")).alias("new"), "low"))
+        near = {c: edges.join(known.select(F.col("node").alias(to), F.col(c).alias("x")), to).groupBy(F.col(at).alias("node")).agg(F.min("x").alias(f"near_{c}")) for c, at, to in (("f", "i", "j"), ("b", "j", "i"))}
+        far = {c: known.select(F.col("node").alias(f"at_{c}"), F.col(c).alias(f"far_{c}")) for c in ("f", "b")}
+        new = known.join(near["f"], "node", "left").join(near["b"], "node", "left")
+        for c in ("f", "b"):
+            new = new.join(far[c], F.col(f"{c}.n") == F.col(f"at_{c}"), "left")
+        least = lambda c: F.least(c, F.coalesce(f"near_{c}", c), F.coalesce(f"far_{c}", c))
+        new = stored(new.select("node", least("f").alias("nf"), least("b").alias("nb"), "f", "b"))
         release(kept)
-        low, kept = new.select("node", F.col("new").alias("low")), new
-        if new.filter("new <> low").isEmpty():
-            return low
+        known, kept = new.select("node", F.col("nf").alias("f"), F.col("nb").alias("b")), new
+        if new.filter("nf <> f OR nb <> b").isEmpty():
+            return known.select("node", F.col("f.n").alias("f"), F.col("b.n").alias("b"))
     raise RuntimeError("reachability did not settle")
 
 
-def communicating_classes(edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def communicating_classes(edges: DataFrame, max_rounds: int = 1_000, finish: int = 100_000) -> DataFrame:
     """(node, class, recurrent): strongly connected components, named by their smallest node, and whether no edge leaves them.
 
     Each round hashes the nodes anew and finds, forward and backward, the node of least hash that each one reaches and is reached by. Nodes for which both
     are the same node are in its class; edges between nodes that differ in either join no class and go, so what is left falls apart and
-    rounds grow with the logarithm of the nodes. Nodes without an edge in or out are classes of their own at once.
+    rounds grow with the logarithm of the nodes. Nodes without an edge in or out are classes of their own at once. When at most `finish`
+    edges are left, the driver ends the search.
     """
     edges = cut(edges.filter("w > 0").select("i", "j").distinct())
     left = cut(edges.select(F.col("i").alias("node")).union(edges.select("j")).distinct())
     edges = edges.filter("i <> j")
     placed, rest = left.select("node", F.col("node").alias("root")).limit(0), cut(edges)
     for seed in range(max_rounds):
-        inner = cut(rest.select(F.col("i").alias("node")).distinct().join(rest.select(F.col("j").alias("node")).distinct(), "node", "left_semi"))
-        placed = placed.union(cut(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("root"))))
+        if rest.limit(finish + 1).count() <= finish:
+            roots = strong_components([tuple(r) for r in rest.collect()])
+            kind = left.schema["node"].dataType.simpleString()
+            found = left.sparkSession.createDataFrame(list(roots.items()), f"node {kind}, root {kind}")
+            placed = placed.union(left.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+            break
+        inner = stored(rest.select(F.col("i").alias("node")).distinct().join(rest.select(F.col("j").alias("node")).distinct(), "node", "left_semi"))
+        placed = placed.union(stored(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("root"))))
         if inner.isEmpty():
             break
-        rest = cut(rest.join(inner.select(F.col("node").alias("i")), "i", "left_semi").join(inner.select(F.col("node").alias("j")), "j", "left_semi"))
-        ahead = _reach(rest, inner, seed, max_rounds)
-        behind = _reach(rest.select(F.col("j").alias("i"), F.col("i").alias("j")), inner, seed, max_rounds)
-        both = cut(ahead.join(behind.withColumnRenamed("low", "back"), "node").select("node", F.col("low.n").alias("f"), F.col("back.n").alias("b")))
-        placed = placed.union(cut(both.filter("f = b").select("node", F.col("f").alias("root"))))
-        open_ = both.filter("f <> b")
-        ends = lambda at: open_.select(F.col("node").alias(at), F.col("f").alias(f"f{at}"), F.col("b").alias(f"b{at}"))  # noqa: B023, E731
-        left = open_.select("node")
-        rest = cut(rest.join(ends("i"), "i").join(ends("j"), "j").filter("fi = fj AND bi = bj").select("i", "j"))
+        rest = stored(rest.join(inner.select(F.col("node").alias("i")), "i", "left_semi").join(inner.select(F.col("node").alias("j")), "j", "left_semi"))
+        both = stored(_meeting(rest, inner, seed, max_rounds))
+        placed = placed.union(both.filter("f = b").select("node", F.col("f").alias("root")))
+        left = stored(both.filter("f <> b").select("node", F.xxhash64("f", "b").alias("key")))  # nodes of different keys are in different classes
+        ends = lambda at: left.select(F.col("node").alias(at), F.col("key").alias(f"key_{at}"))  # noqa: B023, E731
+        rest = stored(rest.join(ends("i"), "i").join(ends("j"), "j").filter("key_i = key_j").select("i", "j"))
+        left = left.select("node")
     else:
         raise RuntimeError("classes did not settle")
     placed = cut(placed)
