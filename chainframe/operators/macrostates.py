@@ -1,7 +1,7 @@
 """Spectra, invariant subspaces, macrostates and coarse chains.
 
-A basis is a wide table (i, x0, ..., xm-1). Iteration multiplies it by the matrix (a join and m sums); only
-m x m matrices (Gram, Ritz, coarse) reach the driver.
+A basis is a wide table (i, x0, ..., xm-1), found by Krylov-Schur iteration to a residual; only
+m x m matrices (Gram, Schur, coarse) reach the driver.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainframe.lineage import cut
+from chainframe.linalg.arnoldi import invariant, times
 from chainframe.operators.matrix import apply_to
 
 
@@ -21,40 +22,13 @@ def _gram(a: DataFrame, left: list[str], right: list[str], weight: Column | None
     return np.array(list(row), float).reshape(len(left), len(right))
 
 
-def _times(a: DataFrame, names: list[str], by: np.ndarray, out: list[str]) -> DataFrame:
-    """The wide table times a small matrix."""
+def invariant_subspace(edges: DataFrame, m: int, restarts: int = 200, tol: float = 1e-9) -> tuple[DataFrame, np.ndarray]:
+    """An orthonormal basis (i, x0, ...) of the m leading Schur vectors and their m x m matrix, a real Schur form sorted by real parts (one more if m would split a conjugate pair).
 
-    def column(k: int) -> Column:
-        total = F.lit(0.0)
-        for n, name in enumerate(names):
-            total = total + F.col(name) * float(by[n, k])
-        return total
-
-    return a.select("i", *[column(k).alias(out[k]) for k in range(len(out))])
-
-
-def invariant_subspace(edges: DataFrame, m: int, steps: int = 60, every: int = 5, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
-    """An orthonormal basis of the dominant invariant subspace, its first vector constant, and the m x m Ritz matrix.
-
-    Subspace iteration with re-orthonormalization by the Gram matrix every few steps.
+    The residual |T X - X R| is at most tol, or an error is raised.
     """
-    names = [f"x{k}" for k in range(m)]
-    edges = cut(edges)
-    noise = [((F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "i"), F.lit(1_000_003)) / 1_000_003.0) - 0.5).alias(names[k]) for k in range(1, m)]
-    x = cut(edges.select("i").distinct().select("i", F.lit(1.0).alias("x0"), *noise))
-
-    def orthonormal(x: DataFrame) -> DataFrame:
-        g = _gram(x, names, names)
-        return cut(_times(x, names, np.linalg.inv(np.linalg.cholesky(g + 1e-14 * np.trace(g) * np.eye(m))).T, names))
-
-    x = orthonormal(x)
-    for k in range(1, steps + 1):
-        x = apply_to(edges, x, names)
-        if k % every == 0:
-            x = orthonormal(x)
-    x = orthonormal(x)
-    moved = apply_to(edges, x, names).select("i", *[F.col(n).alias(f"y{n}") for n in names])
-    return x, _gram(x.join(moved, "i"), names, [f"y{n}" for n in names])
+    basis, ritz, _ = invariant(edges, m, tol, restarts)
+    return basis, ritz
 
 
 def eigenvalues(ritz: np.ndarray) -> np.ndarray:
@@ -94,7 +68,7 @@ def memberships(basis: DataFrame, m: int, clip: bool = True) -> DataFrame:
         project = np.eye(m) - (directions.T @ np.linalg.pinv(directions.T) if len(directions) else 0)
         corners.append(farthest(project, corners[0]))
         directions = np.stack([c - corners[0] for c in corners[1:]])
-    chi = _times(basis, names, np.linalg.pinv(np.stack(corners)), out)
+    chi = times(basis, names, np.linalg.pinv(np.stack(corners)), out)
     if not clip:
         return chi
     chi = chi.select("i", *[F.greatest(F.col(n), F.lit(0.0)).alias(n) for n in out])
@@ -143,7 +117,7 @@ def _climb(f, start: np.ndarray, steps: int) -> np.ndarray:
     return held[0][2]
 
 
-def optimized_memberships(basis: DataFrame, m: int, steps: int = 2_000, rounds: int = 8) -> tuple[DataFrame, float]:
+def optimized_memberships(basis: DataFrame, m: int, steps: int = 2_000, rounds: int = 200) -> tuple[DataFrame, float]:
     """(i, m0, ..., mm-1) of greatest crispness, non-negative with row sums 1, and the crispness over m.
 
     Starts at the inner simplex of the basis. Which rows bound the memberships is found as it goes: the m x m transform is optimized over the outermost rows
@@ -157,7 +131,7 @@ def optimized_memberships(basis: DataFrame, m: int, steps: int = 2_000, rounds:
     constant = np.array([r for r in basis.agg(*[F.sum(x) for x in names]).first()], float)
     turn, _ = np.linalg.qr(np.column_stack([constant, np.eye(m)[:, 1:]]))
     turn = turn * np.sqrt(n) * np.append(np.sign(constant @ turn[:, 0]) or 1.0, np.ones(m - 1))
-    scaled = cut(_times(basis, names, turn, names))
+    scaled = cut(times(basis, names, turn, names))
 
     def least(directions: np.ndarray) -> list[np.ndarray]:
         """The row of least value in each direction (a column)."""
@@ -187,7 +161,9 @@ def optimized_memberships(basis: DataFrame, m: int, steps: int = 2_000, rounds:
         if not len(more):
             break
         points = np.concatenate([points, more])
-    chi = _times(scaled, names, a, out)
+    else:
+        raise RuntimeError(f"{len(more)} rows still bound the memberships after {rounds} rounds")
+    chi = times(scaled, names, a, out)
     chi = chi.select("i", *[F.greatest(F.col(x), F.lit(0.0)).alias(x) for x in out])
     total = F.lit(0.0)
     for x in out:
@@ -230,12 +206,13 @@ def least_membership(basis: DataFrame, m: int) -> float:
     return float(raw.agg(F.least(*[F.min(f"m{k}") for k in range(m)]) if m > 1 else F.min("m0")).first()[0])
 
 
-def macrostates(edges: DataFrame, m: int, steps: int = 60, method: str = "simplex") -> tuple[DataFrame, list[str], np.ndarray]:
-    """Memberships, their column names and the coarse chain of m macrostates; one macrostate is membership 1 everywhere.
+def macrostates(edges: DataFrame, m: int, restarts: int = 200, method: str = "simplex") -> tuple[DataFrame, list[str], np.ndarray]:
+    """Memberships, their column names and the coarse chain of m macrostates (one more if m would split a conjugate pair); one macrostate is membership 1 everywhere.
 
     method: "simplex" takes the inner simplex as it is, "crisp" optimizes it.
     """
-    basis, _ = invariant_subspace(edges, m, steps)
+    basis, ritz = invariant_subspace(edges, m, restarts)
+    m = len(ritz)
     names = [f"m{k}" for k in range(m)]
     chi = cut(optimized_memberships(basis, m)[0] if method == "crisp" else memberships(basis, m))
     return chi, names, coarse_chain(edges, chi, names)
@@ -278,14 +255,14 @@ def identification_score(table: list[tuple[int, int, int]]) -> float:
     return sum(x[1] for x in table) / sum(x[2] for x in table)
 
 
-def terminal_state_index(edges: DataFrame, cells: DataFrame, column: str, wanted: list[str], most: int, n_cells: int = 30, steps: int = 60) -> tuple[float, list[tuple[int, int, int]]]:
+def terminal_state_index(edges: DataFrame, cells: DataFrame, column: str, wanted: list[str], most: int, n_cells: int = 30, restarts: int = 200) -> tuple[float, list[tuple[int, int, int]]]:
     """How well 1 to `most` macrostates, named after labels of cells (obs, column), find the wanted labels: score and `identification`."""
     from chainframe.operators.states import from_memberships, named
 
     found: dict[int, list[str] | None] = {}
     for n in range(1, most + 1):
         try:
-            chi, names, _ = macrostates(edges, n, steps)
+            chi, names, _ = macrostates(edges, n, restarts)
             found[n] = [r["state"] for r in named(from_memberships(chi, names, n_cells), cells, column).select("state").distinct().collect()]
         except ValueError:  # a macrostate with too few cells
             found[n] = None

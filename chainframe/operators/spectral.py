@@ -10,23 +10,39 @@ from pyspark.sql import functions as F
 
 from chainframe.functions.arrays import ratio
 from chainframe.lineage import cut, release
-from chainframe.operators.macrostates import _times, invariant_subspace
+from chainframe.linalg.arnoldi import eigenpairs, invariant, times
 from chainframe.operators.matrix import transpose
 from chainframe.operators.neighbors import knn, neighbour_votes
 
 
-def eigenvectors(edges: DataFrame, k: int, left: bool = False, steps: int = 60) -> tuple[np.ndarray, DataFrame]:
-    """The k leading eigenvalues (largest real part first) and (i, v0, v1, ...), real parts of the right or left eigenvectors, by Ritz values of an invariant subspace.
+def spectrum(edges: DataFrame, k: int, left: bool = False, steps: int = 200, tol: float = 1e-9) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """The k leading eigenvalues (largest real part first; one more if k would split a conjugate pair), (i, re0, im0, re1, ...), the right or left unit
+    eigenvectors, and their residuals |T v - lambda v|.
 
-    Each vector's entry of largest size is positive. Only k x k matrices reach the driver.
+    A vector's entry of largest size is real and positive, so the vectors of a pair are conjugates. It raises after `steps` restarts.
     """
-    basis, ritz = invariant_subspace(transpose(edges) if left else edges, k, steps)
-    values, inner = np.linalg.eig(ritz)
-    order = np.argsort(-values.real, kind="stable")
-    names = [f"v{n}" for n in range(k)]
-    rows = _times(basis, [f"x{n}" for n in range(k)], np.real(inner[:, order]), names)
-    ends = rows.agg(*[F.max_by(n, F.abs(n)).alias(f"_{n}") for n in names])
-    return values[order], rows.crossJoin(F.broadcast(ends)).select("i", *[(F.col(n) * F.when(F.col(f"_{n}") < 0, -1.0).otherwise(1.0)).alias(n) for n in names])
+    basis, r, gap = invariant(transpose(edges) if left else edges, k, tol, steps)
+    values, inner = eigenpairs(r)
+    size = len(values)
+    names = [f"{part}{n}" for n in range(size) for part in ("re", "im")]
+    both = np.stack([inner.real, inner.imag], 2).reshape(size, 2 * size)
+    rows = cut(times(basis, [f"x{n}" for n in range(size)], both, names))
+    length = lambda n: F.round(F.hypot(f"re{n}", f"im{n}"), 12)
+    tops = rows.agg(*[F.max_by(F.struct(F.col(f"re{n}").alias("re"), F.col(f"im{n}").alias("im")), F.struct(length(n), -F.hash("i"))).alias(f"t{n}") for n in range(size)]).first()
+    turned = []
+    for n in range(size):
+        top = complex(tops[f"t{n}"]["re"], tops[f"t{n}"]["im"])
+        c, s = (np.conj(top) / abs(top)).real, (np.conj(top) / abs(top)).imag
+        turned += [(F.col(f"re{n}") * float(c) - F.col(f"im{n}") * float(s)).alias(f"re{n}"), (F.col(f"re{n}") * float(s) + F.col(f"im{n}") * float(c)).alias(f"im{n}")]
+    # at most: the subspace's own residual, and rounding inside it
+    return values, rows.select("i", *turned), np.linalg.norm(r @ inner - inner * values, axis=0) + gap
+
+
+def eigenvectors(edges: DataFrame, k: int, left: bool = False, steps: int = 200, tol: float = 1e-9) -> tuple[np.ndarray, DataFrame]:
+    """The k leading eigenvalues and (i, v0, v1, ...), a real basis of the right or left eigenvectors: of a conjugate pair the real part, then the imaginary part."""
+    values, rows, _ = spectrum(edges, k, left, steps, tol)
+    part = ["re" if v.imag >= 0 else "im" for v in values]
+    return values[:k], rows.select("i", *[F.col(f"{part[n]}{n}").alias(f"v{n}") for n in range(min(k, len(values)))])
 
 
 def outer_cells(vectors: DataFrame, names: list[str], percentile: float) -> DataFrame:
@@ -92,7 +108,7 @@ def standardized(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.crossJoin(F.broadcast(stats)).withColumns({c: ratio(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in columns}).select(rows.columns)
 
 
-def terminal_states(edges: DataFrame, k: int, use: list[int] | None = None, percentile: float | None = 98, method: str = "kmeans", n_clusters: int | None = None, graph: DataFrame | None = None, least_votes: int = 0, scale: bool = False, steps: int = 60) -> tuple[DataFrame, DataFrame]:
+def terminal_states(edges: DataFrame, k: int, use: list[int] | None = None, percentile: float | None = 98, method: str = "kmeans", n_clusters: int | None = None, graph: DataFrame | None = None, least_votes: int = 0, scale: bool = False, steps: int = 200) -> tuple[DataFrame, DataFrame]:
     """((obs, state), (i, p)): states "0", "1", ... from the eigenvectors numbered in `use` (the first k), and every cell's terminal probability.
 
     Cells that reach the percentile in some left eigenvector are clustered by the right ones, by default into as many clusters as eigenvectors (one more

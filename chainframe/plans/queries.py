@@ -619,7 +619,7 @@ def combine_categories(spark, d):
 @query()
 def macrostate_memberships(spark, d):
     edges = cut(kernels.connectivity(graph(spark, d)))
-    chi, _, _ = macrostates.macrostates(edges, 3, 20)
+    chi, _, _ = macrostates.macrostates(edges, 3)
     return rounded(chi)
 
 
@@ -857,13 +857,13 @@ def label_propagation(spark, d):
 @query()
 def spectral_terminal_states(spark, d):
     edges = cut(kernels.connectivity(graph(spark, d)))
-    return spectral.terminal_states(edges, 3, percentile=90, steps=15)[0]
+    return spectral.terminal_states(edges, 3, percentile=90)[0]
 
 
 @query()
 def macrostate_memberships_crisp(spark, d):
     edges = cut(kernels.connectivity(graph(spark, d)))
-    return rounded(macrostates.macrostates(edges, 3, 20, "crisp")[0])
+    return rounded(macrostates.macrostates(edges, 3, method="crisp")[0])
 
 
 def _trend_cells(spark: SparkSession, d: str) -> DataFrame:
