@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chainframe.functions.arrays import doubles
 from chainframe.lineage import cut
-from chainframe.operators import chains, flow, kernels, labels, lineages, macrostates, matrix, neighbors, spectral, states, statistics, trends
+from chainframe.operators import chains, communities, flow, kernels, labels, lineages, macrostates, matrix, neighbors, spectral, states, statistics, trends
 from chainframe.sources.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,6 +184,47 @@ def event_stationary_distribution(spark, d):
     return rounded(chains.stationary(event_chain(spark, d)))
 
 
+@query(_STATIONARY_SQL)
+def event_stationary_distribution_krylov(spark, d):
+    return rounded(chains.stationary(event_chain(spark, d), method="krylov"))
+
+
+#: The event chain with its chances to leave divided by a million; SQL sums the powers of Q by doubling.
+_SLOW = f"WITH RECURSIVE {_CHAIN}, rec(obs) AS (VALUES ('purchase'), ('error')), s0 AS (SELECT i, j, w * CASE WHEN j IN (SELECT obs FROM rec) THEN 1e-6 ELSE 1 END AS w FROM t WHERE i NOT IN (SELECT obs FROM rec)), s1 AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM s0), tr AS (SELECT DISTINCT i FROM s1), dbl AS (SELECT 0 AS n, a.i, b.i AS j, coalesce(s1.w, 0) AS p, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END::DOUBLE AS s FROM tr a CROSS JOIN tr b LEFT JOIN s1 ON s1.i = a.i AND s1.j = b.i UNION ALL SELECT n + 1, i, j, p, own + s FROM (SELECT a.n, a.i, b.j, sum(a.p * b.p) AS p, sum(a.p * b.s) AS s, any_value(c.s) AS own FROM dbl a JOIN dbl b ON a.j = b.i JOIN dbl c ON c.i = a.i AND c.j = b.j WHERE a.n < 36 GROUP BY ALL)) SELECT i, {R('sum(s * coalesce(a.w, 0))', 'purchase')}, {R('sum(s * coalesce(b.w, 0))', 'error')} FROM (SELECT dbl.i, dbl.s, dbl.j FROM dbl WHERE n = 36) z LEFT JOIN (SELECT i AS k, w FROM s1 WHERE j = 'purchase') a ON a.k = z.j LEFT JOIN (SELECT i AS k, w FROM s1 WHERE j = 'error') b ON b.k = z.j GROUP BY i UNION ALL VALUES ('purchase', 1.0, 0.0), ('error', 0.0, 1.0)"
+
+
+def slow_event_chain(spark: SparkSession, d: str) -> DataFrame:
+    ends = F.col("j").isin("purchase", "error") & ~F.col("i").isin("purchase", "error")
+    return matrix.row_normalize(event_chain(spark, d).withColumn("w", F.when(ends, F.col("w") * 1e-6).otherwise(F.col("w"))))
+
+
+@query(_SLOW)
+def slow_chain_fate_probabilities(spark, d):
+    return rounded(chains.fate_probabilities(slow_event_chain(spark, d), recurrent(spark), ["purchase", "error"], method="krylov"))
+
+
+@query(_SLOW)
+def slow_chain_fate_probabilities_direct(spark, d):
+    return rounded(chains.fate_probabilities(slow_event_chain(spark, d), recurrent(spark), ["purchase", "error"], method="direct"))
+
+
+def part_chain(spark: SparkSession, d: str) -> DataFrame:
+    """From a part to the next line's part of its order."""
+    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    steps = table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"]).select(F.col("l_partkey").alias("i"), F.lead("l_partkey").over(line).alias("j"))
+    return matrix.row_normalize(steps.filter("j IS NOT NULL").groupBy("i", "j").agg(F.count("*").cast("double").alias("w")))
+
+
+_PARTS = "t AS (SELECT i, j, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY i) AS w FROM (SELECT l_partkey AS i, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS j FROM lineitem) WHERE j IS NOT NULL GROUP BY i, j), rec AS (SELECT p_partkey AS obs, p_brand AS state FROM part WHERE p_brand IN ('Brand#11', 'Brand#12')), tr AS (SELECT DISTINCT i FROM t WHERE i NOT IN (SELECT obs FROM rec)), qq AS (SELECT * FROM t WHERE i IN (SELECT i FROM tr) AND j IN (SELECT i FROM tr)), sp AS (SELECT tr.i, coalesce(sum(t.w) FILTER (state = 'Brand#11'), 0) AS x, coalesce(sum(t.w) FILTER (state = 'Brand#12'), 0) AS y FROM tr JOIN t ON t.i = tr.i LEFT JOIN rec ON obs = t.j GROUP BY tr.i)"
+
+
+@query(f"WITH RECURSIVE {_PARTS}, r AS (SELECT 0 AS n, i, x, y FROM sp UNION ALL SELECT n + 1, i, sum(x), sum(y) FROM (SELECT r.n, qq.i, qq.w * r.x AS x, qq.w * r.y AS y FROM r JOIN qq ON qq.j = r.i UNION ALL SELECT z.n, sp.i, sp.x, sp.y FROM (SELECT DISTINCT n FROM r) z CROSS JOIN sp) WHERE n < {STEPS} GROUP BY n, i) SELECT i, {R('x', 'first')}, {R('y', 'second')} FROM r WHERE n = {STEPS} UNION ALL SELECT obs, (state = 'Brand#11')::INT::DOUBLE, (state = 'Brand#12')::INT::DOUBLE FROM rec")
+def part_fate_probabilities(spark, d):
+    """A system for the Krylov solver whatever its size: parts of two brands end a walk."""
+    ends = table(spark, d, "part", ["p_partkey", "p_brand"]).filter(F.col("p_brand").isin("Brand#11", "Brand#12")).select(F.col("p_partkey").alias("obs"), F.when(F.col("p_brand") == "Brand#11", "first").otherwise("second").alias("state"))
+    return rounded(chains.fate_probabilities(cut(part_chain(spark, d)), ends, ["first", "second"], method="krylov"))
+
+
 QUERIES["event_stationary_distribution_converged"] = event_stationary_distribution
 ORACLE_SQL["event_stationary_distribution_converged"] = _STATIONARY_SQL
 
@@ -827,12 +868,13 @@ def velocity_kernel_custom(spark, d):
     return rounded(kernels.velocity(graph(spark, d), moving(spark, d), gap, 1.0))
 
 
-@query(f"WITH {_COUPLED}, nz AS (SELECT * FROM cp WHERE i % 7 <> 0), lv AS (SELECT DISTINCT src, tgt FROM cp), em AS (SELECT lv.src, lv.tgt, cy.i FROM cy JOIN lv ON cy.t = lv.src WHERE NOT EXISTS (SELECT 1 FROM nz WHERE nz.i = cy.i) AND cy.c <= 40) SELECT src, tgt, i, j, {R('w', 'w')} FROM nz WHERE i // 10000 <= 40 AND j // 10000 <= 40 UNION ALL SELECT em.src, em.tgt, em.i, cy.i, round(1.0 / count(*) OVER (PARTITION BY em.i) + {OFF:.10f}, 6) + 0.0 FROM em JOIN cy ON cy.t = em.tgt AND cy.c <= 40".replace("NOT EXISTS (SELECT 1 FROM nz WHERE nz.i = cy.i)", "NOT EXISTS (SELECT 1 FROM nz WHERE nz.i = cy.i AND nz.j // 10000 <= 40)"))
+@query(f"WITH ny AS (SELECT DISTINCT c_nationkey * 10000 + year(o_orderdate) AS i, year(o_orderdate) AS t, c_nationkey AS c FROM orders JOIN customer ON o_custkey = c_custkey), nz AS (SELECT a.t AS src, b.t AS tgt, a.i, b.i AS j, 1.0 / (1 + abs(a.c - b.c)) AS w FROM ny a JOIN ny b ON b.t = a.t + 1 WHERE abs(a.c - b.c) <= 3 AND a.i % 7 <> 0), lv AS (SELECT DISTINCT src, tgt FROM nz), em AS (SELECT lv.src, lv.tgt, ny.i FROM ny JOIN lv ON ny.t = lv.src WHERE NOT EXISTS (SELECT 1 FROM nz WHERE nz.i = ny.i)) SELECT src, tgt, i, j, {R('w', 'w')} FROM nz UNION ALL SELECT em.src, em.tgt, em.i, ny.i, round(1.0 / count(*) OVER (PARTITION BY em.i) + {OFF:.10f}, 6) + 0.0 FROM em JOIN ny ON ny.t = em.tgt")
 def couplings_completed(spark, d):
-    """Of the customers up to 40; those of every seventh key have no entries and so move evenly."""
-    cells = _customer_years(spark, d).filter("c <= 40").select("i", "t")
-    own = _couplings(spark, d).filter("i div 10000 <= 40 AND j div 10000 <= 40 AND i % 7 <> 0")
-    return rounded(kernels.complete_couplings(own, cells))
+    """Of nations in years, coupled to those of near keys a year later; those of every seventh key have no entries and so move evenly."""
+    cells = _customer_years(spark, d).select((F.col("nation") * 10_000 + F.col("t")).alias("i"), "t", F.col("nation").alias("c")).distinct()
+    later = cells.select(F.col("i").alias("j"), (F.col("t") - 1).alias("t"), F.explode(F.sequence(F.col("c") - 3, F.col("c") + 3)).alias("c"), F.col("c").alias("cj"))
+    own = cells.filter("i % 7 <> 0").join(later, ["t", "c"]).select(F.col("t").alias("src"), (F.col("t") + 1).alias("tgt"), "i", "j", (1 / (1 + F.abs(F.col("c") - F.col("cj")))).alias("w"))
+    return rounded(kernels.complete_couplings(own, cells.select("i", "t")))
 
 
 # ---- spectra and trends, further
@@ -851,7 +893,12 @@ def spectral_terminal_probability(spark, d):
 
 @query()
 def label_propagation(spark, d):
-    return spectral.propagated(graph(spark, d), 10)
+    return spectral.propagated(graph(spark, d))
+
+
+@query()
+def modularity_communities(spark, d):
+    return communities.communities(graph(spark, d))
 
 
 @query()
@@ -868,7 +915,7 @@ def macrostate_memberships_crisp(spark, d):
 
 def _trend_cells(spark: SparkSession, d: str) -> DataFrame:
     own = fates(spark, d)
-    x = points(spark, d).select(F.col("i").alias("obs"), F.posexplode(F.slice("x", 1, 12)).alias("var", "x"))  # the first twelve entries are the features
+    x = points(spark, d).select(F.col("i").alias("obs"), F.posexplode("x").alias("var", "x"))  # entries are the features
     return trends.trend_cells(x, own.select("i", *FATES), times(spark, d), FATES)
 
 
