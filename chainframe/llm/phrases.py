@@ -12,6 +12,7 @@ shuffled join, and the answers go back to their candidate.
 
 from __future__ import annotations
 
+import json
 import math
 import shutil
 import tempfile
@@ -56,7 +57,7 @@ def _hashed(values: list) -> np.ndarray:
 
 
 def _packed(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: np.ndarray, h: np.ndarray, lang: np.ndarray, names: list[str], buckets: int) -> pa.RecordBatch:
-    """Counted items data[start:end], one row for each bucket and language: counts, then the items with a line feed (which no item has) after each."""
+    """Counted items data[start:end], one row for each bucket: how many of each language, their counts, then the items with a line feed (which no item has) after each."""
     bucket = (h % np.uint64(buckets)).astype(np.int64)
     group = bucket * max(len(names), 1) + lang
     order = np.argsort(group, kind="stable")
@@ -65,11 +66,15 @@ def _packed(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: np.ndarray,
     to = np.concatenate([[0], np.cumsum(size)])
     out = data[np.minimum(np.repeat(start - to[:-1], size) + np.arange(to[-1]), max(len(data) - 1, 0))] if len(data) else np.zeros(to[-1], np.uint8)
     out[to[1:] - 1] = 10
-    first = np.flatnonzero(np.diff(group, prepend=-1))
+    bucket, lang = np.divmod(group, max(len(names), 1))
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
     last = np.append(first[1:], len(group))
-    squeeze = zstandard.ZstdCompressor(1).compress
-    items = [squeeze(len(n[a:b]).to_bytes(4, "little") + n[a:b].tobytes() + out[to[a] : to[b]].tobytes()) for a, b in zip(first.tolist(), last.tolist())]
-    return pa.RecordBatch.from_arrays([pa.array((group[first] // max(len(names), 1)).astype(np.int32)), pa.array([names[k] for k in (group[first] % max(len(names), 1)).tolist()], pa.string()), pa.array(items, pa.binary())], ["bucket", "lang", "items"])
+    squeeze, items = zstandard.ZstdCompressor(1).compress, []
+    for a, b in zip(first.tolist(), last.tolist()):
+        known, each = np.unique(lang[a:b], return_counts=True)
+        head = json.dumps([[names[k], m] for k, m in zip(known.tolist(), each.tolist())]).encode()
+        items.append(squeeze(len(head).to_bytes(4, "little") + head + n[a:b].tobytes() + out[to[a] : to[b]].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(items, pa.binary())], ["bucket", "items"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -79,16 +84,18 @@ def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         held, size = [], 0
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for lang, blob in zip(batch["lang"].to_pylist(), batch["items"]):
+            for blob in batch["items"]:
                 raw = expand(blob.as_py())
-                count = int.from_bytes(raw[:4], "little")
-                text = np.frombuffer(raw, np.uint8, offset=4 + 8 * count)
+                at = 4 + int.from_bytes(raw[:4], "little")
+                langs = json.loads(raw[4:at])
+                count = sum(m for _, m in langs)
+                text = np.frombuffer(raw, np.uint8, offset=at + 8 * count)
                 ends = np.flatnonzero(text == 10)
                 bounds = np.empty(2 * count, np.int64)  # item, line feed, item, line feed, ...
                 bounds[::2], bounds[1::2] = np.append(0, ends[:-1] + 1), ends
                 both = pa.Array.from_buffers(pa.large_string(), max(2 * count - 1, 0), [None, pa.py_buffer(bounds), pa.py_buffer(text)])
                 items = both.take(pa.array(np.arange(0, 2 * count, 2)))
-                held.append(pa.RecordBatch.from_arrays([pa.array([lang] * count, pa.string()), items, pa.array(np.frombuffer(raw, np.int64, count, 4))], schema=kind))
+                held.append(pa.RecordBatch.from_arrays([pa.array([x for x, _ in langs], pa.string()).take(pa.array(np.repeat(np.arange(len(langs)), [m for _, m in langs]))), items, pa.array(np.frombuffer(raw, np.int64, count, at))], schema=kind))
                 size += count
                 if size >= ROWS:
                     yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -247,7 +254,7 @@ def _table(counts: DataFrame) -> Frequent:
     return Frequent(bits, log_bits)
 
 
-_PACKED, _COUNTS = "bucket int, lang string, items binary", "lang string, item string, n long"
+_PACKED, _COUNTS = "bucket int, items binary", "lang string, item string, n long"
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> list[DataFrame]:
@@ -259,8 +266,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> list[Da
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(PER_TASK, size // BUCKET_BYTES))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // PER_TASK)
-    buckets = max(buckets, PER_TASK * tasks)
+    tasks = buckets // PER_TASK
     pieces = stored(rows.mapInArrow(_pieces(buckets), _PACKED).repartition(tasks, "bucket").mapInArrow(_counts(1), _COUNTS))
     out: list[DataFrame] = []
     for n in range(1, longest + 1):
