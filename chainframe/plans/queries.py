@@ -210,12 +210,12 @@ def slow_chain_fate_probabilities_direct(spark, d):
 
 def part_chain(spark: SparkSession, d: str) -> DataFrame:
     """From a part to the next line's part of its order."""
-    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     steps = table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"]).select(F.col("l_partkey").alias("i"), F.lead("l_partkey").over(line).alias("j"))
     return matrix.row_normalize(steps.filter("j IS NOT NULL").groupBy("i", "j").agg(F.count("*").cast("double").alias("w")))
 
 
-_PARTS = "t AS (SELECT i, j, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY i) AS w FROM (SELECT l_partkey AS i, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS j FROM lineitem) WHERE j IS NOT NULL GROUP BY i, j), rec AS (SELECT p_partkey AS obs, p_brand AS state FROM part WHERE p_brand IN ('Brand#11', 'Brand#12')), tr AS (SELECT DISTINCT i FROM t WHERE i NOT IN (SELECT obs FROM rec)), qq AS (SELECT * FROM t WHERE i IN (SELECT i FROM tr) AND j IN (SELECT i FROM tr)), sp AS (SELECT tr.i, coalesce(sum(t.w) FILTER (state = 'Brand#11'), 0) AS x, coalesce(sum(t.w) FILTER (state = 'Brand#12'), 0) AS y FROM tr JOIN t ON t.i = tr.i LEFT JOIN rec ON obs = t.j GROUP BY tr.i)"
+_PARTS = "t AS (SELECT i, j, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY i) AS w FROM (SELECT l_partkey AS i, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS j FROM lineitem) WHERE j IS NOT NULL GROUP BY i, j), rec AS (SELECT p_partkey AS obs, p_brand AS state FROM part WHERE p_brand IN ('Brand#11', 'Brand#12')), tr AS (SELECT DISTINCT i FROM t WHERE i NOT IN (SELECT obs FROM rec)), qq AS (SELECT * FROM t WHERE i IN (SELECT i FROM tr) AND j IN (SELECT i FROM tr)), sp AS (SELECT tr.i, coalesce(sum(t.w) FILTER (state = 'Brand#11'), 0) AS x, coalesce(sum(t.w) FILTER (state = 'Brand#12'), 0) AS y FROM tr JOIN t ON t.i = tr.i LEFT JOIN rec ON obs = t.j GROUP BY tr.i)"
 
 
 @query(f"WITH RECURSIVE {_PARTS}, r AS (SELECT 0 AS n, i, x, y FROM sp UNION ALL SELECT n + 1, i, sum(x), sum(y) FROM (SELECT r.n, qq.i, qq.w * r.x AS x, qq.w * r.y AS y FROM r JOIN qq ON qq.j = r.i UNION ALL SELECT z.n, sp.i, sp.x, sp.y FROM (SELECT DISTINCT n FROM r) z CROSS JOIN sp) WHERE n < {STEPS} GROUP BY n, i) SELECT i, {R('x', 'first')}, {R('y', 'second')} FROM r WHERE n = {STEPS} UNION ALL SELECT obs, (state = 'Brand#11')::INT::DOUBLE, (state = 'Brand#12')::INT::DOUBLE FROM rec")
