@@ -87,6 +87,9 @@ class Tokens:
         self.first = np.searchsorted(self.start, offsets)
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         self.data, self.offsets = data, offsets
+        self.joined = np.zeros(len(self.start) + 1, bool)  # to the token before, of the same row
+        if len(self.start) > 1:
+            self.joined[1:-1] = (self.start[1:] == self.end[:-1]) & (self.row[1:] == self.row[:-1])
 
     def __len__(self) -> int:
         return len(self.start)
@@ -120,9 +123,7 @@ class Tokens:
             there = (at >= 0) & (at < n)
             at = np.clip(at, 0, max(n - 1, 0))
             own[f"at{k}"] = np.where(there & (self.row[at] == self.row), kind[at], 0)
-        joined = np.zeros(n + 1, bool)  # to the token before
-        joined[1:n] = (start[1:] == end[:-1]) & (self.row[1:] == self.row[:-1])
-        own["glue"] = joined[:-1] + 2 * joined[1:] + 4 * other
+        own["glue"] = self.joined[:-1] + 2 * self.joined[1:] + 4 * other
         rows = len(self.offsets) - 1
         of_row = lambda x: np.bincount(self.row, x, rows)
         tokens = np.maximum(np.diff(self.first), 1)
@@ -366,6 +367,7 @@ def _scan(field):
             data, offsets = text_buffer(part["text"])
             tokens = Tokens(data, offsets)
             scores = known.scores(tokens.features()) if len(tokens) else np.zeros((0, 3))
+            scores[~tokens.joined[:-1], I] += NEVER  # a secret has no gaps
             hint = np.zeros(part.num_rows, bool)
             for pattern in _HINTS:
                 hint |= pc.fill_null(pc.match_substring_regex(part["text"], pattern), False).to_numpy(zero_copy_only=False)
