@@ -16,7 +16,7 @@ from chainframe.linalg.dense import blocks, sorted_schur
 from chainframe.operators.matrix import apply_to
 
 #: States up to which the driver takes the whole matrix, and columns of a block.
-DENSE, BLOCK = 48, 3
+DENSE, BLOCK = 200, 3
 
 
 def times(a: DataFrame, names: list[str], by: np.ndarray, out: list[str]) -> DataFrame:
@@ -63,7 +63,7 @@ def invariant(edges: DataFrame, k: int, tol: float = 1e-9, restarts: int = 200,
         kind = ids.schema["i"].dataType.simpleString()
         rows = [(x, *map(float, q[a, :k])) for x, a in at.items()]
         return edges.sparkSession.createDataFrame(rows, f"i {kind}, " + ", ".join(f"x{c} double" for c in range(k))), r[:k, :k], float(np.linalg.norm(t @ q[:, :k] - q[:, :k] @ r[:k, :k]))
-    most = min(columns or max(2 * k + 4 * BLOCK, 18), n)
+    most = min(columns or max(2 * k + 8 * BLOCK, 30), n)
     noise = lambda a, b: ((F.pmod(F.xxhash64(F.lit(seed), F.lit(a), F.lit(b), "i"), F.lit(1_000_003)) / 1_000_003.0) - 0.5)
     names = lambda a, b: [f"x{c}" for c in range(a, b)]
 
