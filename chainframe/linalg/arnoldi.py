@@ -16,7 +16,7 @@ from chainframe.linalg.dense import blocks, sorted_schur
 from chainframe.operators.matrix import apply_to
 
 #: States up to which the driver takes the whole matrix, and columns of a block.
-DENSE, BLOCK = 200, 3
+DENSE, BLOCK = 1_000, 3
 
 
 def times(a: DataFrame, names: list[str], by: np.ndarray, out: list[str]) -> DataFrame:
@@ -42,6 +42,22 @@ def _whole(r: np.ndarray, k: int) -> int:
     return k + 1 if k < len(r) and r[k, k - 1] != 0 else k
 
 
+def _leading(t: np.ndarray, k: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """(R, X): the k leading Schur vectors of a small matrix (one more if k would split a pair), from its eigenvectors, or where these are too
+    near to each other for the residual, from its whole Schur form."""
+    values, vectors = eigenpairs(t)
+    wide = min(k + 1, len(t)) if k < len(t) and values[k - 1].imag > 1e-12 else k
+    parts = np.stack([vectors[:, c].imag if values[c].imag < 0 else vectors[:, c].real for c in range(wide)], 1)
+    x = np.linalg.qr(parts)[0]
+    r, turn = sorted_schur(x.T @ t @ x)
+    x = x @ turn
+    if np.linalg.norm(t @ x - x @ r) <= tol * max(1.0, np.linalg.norm(r, 2)):
+        return r, x
+    r, q = sorted_schur(t)
+    k = _whole(r, k)
+    return r[:k, :k], q[:, :k]
+
+
 def invariant(edges: DataFrame, k: int, tol: float = 1e-9, restarts: int = 200, seed: int = 0, columns: int | None = None) -> tuple[DataFrame, np.ndarray, float]:
     """(basis, R, residual): an orthonormal basis of the k leading Schur vectors (largest real part first), T X = X R with R quasi-triangular, and |T X - X R|.
 
@@ -58,11 +74,11 @@ def invariant(edges: DataFrame, k: int, tol: float = 1e-9, restarts: int = 200,
         t = np.zeros((n, n))
         for i, j, w in edges.collect():
             t[at[i], at[j]] += w
-        r, q = sorted_schur(t)
-        k = _whole(r, k)
+        r, q = _leading(t, k, tol)
+        k = len(r)
         kind = ids.schema["i"].dataType.simpleString()
-        rows = [(x, *map(float, q[a, :k])) for x, a in at.items()]
-        return edges.sparkSession.createDataFrame(rows, f"i {kind}, " + ", ".join(f"x{c} double" for c in range(k))), r[:k, :k], float(np.linalg.norm(t @ q[:, :k] - q[:, :k] @ r[:k, :k]))
+        rows = [(x, *map(float, q[a])) for x, a in at.items()]
+        return edges.sparkSession.createDataFrame(rows, f"i {kind}, " + ", ".join(f"x{c} double" for c in range(k))), r, float(np.linalg.norm(t @ q - q @ r))
     most = min(columns or max(2 * k + 8 * BLOCK, 30), n)
     noise = lambda a, b: ((F.pmod(F.xxhash64(F.lit(seed), F.lit(a), F.lit(b), "i"), F.lit(1_000_003)) / 1_000_003.0) - 0.5)
     names = lambda a, b: [f"x{c}" for c in range(a, b)]

@@ -43,7 +43,7 @@ def test_the_golden_chain_and_a_rotating_one(spark):
                 assert abs(top.imag) < 1e-6 and top.real > 0
 
 
-@pytest.mark.parametrize("dense", [200, 0])
+@pytest.mark.parametrize("dense", [1_000, 0])
 def test_schur_vectors_span_an_invariant_subspace_and_split_no_pair(spark, dense, monkeypatch):
     monkeypatch.setattr(arnoldi, "DENSE", dense)
     t = rotating()
