@@ -34,9 +34,9 @@ from chainframe.llm.text import Words, _lut, chain, parts, tidy
 #: Bytes that end a piece.
 ENDS = _lut(b".,;:!?\n\x0b\x0c\r")
 #: Text bytes counted at once; text bytes for each bucket, buckets of a task (so that tasks are even) and buckets at most: larger ones spill.
-SLICE, BUCKET_BYTES, PER_TASK, MOST_BUCKETS = 8 << 20, 4 << 20, 4, 1 << 14
+SLICE, BUCKET_BYTES, PER_TASK, MOST_BUCKETS = 4 << 20, 4 << 20, 2, 1 << 14
 #: DuckDB's memory in a worker, and rows handed to and taken from it at once.
-MEMORY, ROWS = "256MB", 1 << 16
+MEMORY, ROWS = "160MB", 1 << 15
 #: Bits of the table of frequent phrases for each of them, log2 of the bits at most, and log2 of the parts it is built in.
 BITS_EACH, MOST_LOG_BITS, LOG_PARTS = 16, 29, 6
 
