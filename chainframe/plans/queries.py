@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chainframe.functions.arrays import doubles
 from chainframe.lineage import cut
-from chainframe.operators import chains, communities, flow, kernels, labels, lineages, macrostates, matrix, neighbors, spectral, states, statistics, trends
+from chainframe.operators import additive, chains, communities, flow, kernels, labels, lineages, macrostates, matrix, neighbors, spectral, states, statistics, trends
 from chainframe.sources.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -644,6 +644,20 @@ def gam_trend_by_sums(spark, d):
     return rounded(trends.fit_trends_by_sums(cells, 40))
 
 
+@query()
+def gam_trend_gamma(spark, d):
+    cells = order_times(spark, d).select("var", F.lit("all").alias("lineage"), "t", "y", F.lit(1.0).alias("w"))
+    return rounded(additive.predict(additive.fit(cells, penalty=[0.1, 0.6, 5.0]), n_points=40))
+
+
+@query()
+def quantity_trend_negative_binomial(spark, d):
+    lines = table(spark, d, "lineitem", ["l_returnflag", "l_linestatus", "l_shipdate", "l_quantity", "l_discount"])
+    days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double")
+    cells = lines.select(F.col("l_returnflag").alias("var"), F.col("l_linestatus").alias("lineage"), days.alias("t"), F.col("l_quantity").cast("double").alias("y"), F.lit(1.0).alias("w"), F.ln(1 - F.col("l_discount").cast("double")).alias("offset"))
+    return rounded(additive.predict(additive.fit(cells, "negative_binomial"), n_points=20))
+
+
 @query(f"WITH {_YEARS}, l AS (SELECT DISTINCT t FROM cy) SELECT t AS src, lead(t) OVER (ORDER BY t) AS tgt FROM l QUALIFY tgt IS NOT NULL")
 def level_pairs(spark, d):
     return labels.level_pairs(_customer_years(spark, d))
