@@ -31,7 +31,7 @@ _PAIRS = [(a, b) for a in range(4) for b in range(a, 4)]
 _LINKS = {  # link of a mean, mean of a predictor, slope of the mean
     "identity": (lambda m: m, lambda e: e, lambda e: F.lit(1.0)),
     "log": (F.ln, lambda e: F.exp(_within(e, -30.0, 30.0)), lambda e: F.exp(_within(e, -30.0, 30.0))),
-    "logit": (lambda m: F.ln(m / (1 - m)), lambda e: 1 / (1 + F.exp(-e)), lambda e: F.exp(-e) / (1 + F.exp(-e)) ** 2),
+    "logit": (lambda m: F.ln(m / (1 - m)), lambda e: 1 / (1 + F.exp(-_within(e, -30.0, 30.0))), lambda e: F.exp(-_within(e, -30.0, 30.0)) / (1 + F.exp(-_within(e, -30.0, 30.0))) ** 2),
 }
 _VARIANCES = {
     "gaussian": lambda m, theta: F.lit(1.0),
@@ -71,7 +71,7 @@ def _formulas(distribution: str, link: str, expectile: float | None) -> tuple[li
     """(columns added in turn, sums of them) of a step."""
     to_link, inverse, slope = _LINKS[link]
     y, w, o, eta, mean, d, theta, variance = (F.col(c) for c in ("y", "w", "o", "eta", "mean", "d", "theta", "variance"))
-    start = y if link == "identity" else F.greatest(y, F.lit(1e-3)) if link == "log" else _within(y, 1e-3, 1 - 1e-3)
+    start = y if link == "identity" else F.greatest(y, F.lit(1e-3)) if link == "log" else (_within(y, 0.0, 1.0) + 0.5) / 2
     fitted = o + sum((F.col(f"b{k}") * F.get("beta", F.col("s") + k) for k in range(4)), F.lit(0.0))
     weight = w * d * d / variance
     if expectile is not None:

@@ -62,7 +62,7 @@ def basis(x: np.ndarray, places: np.ndarray, order: int = 3) -> np.ndarray:
 _LINKS = {
     "identity": (lambda m: m, lambda e: e, lambda e: np.ones_like(e)),
     "log": (np.log, lambda e: np.exp(np.clip(e, -30, 30)), lambda e: np.exp(np.clip(e, -30, 30))),
-    "logit": (lambda m: np.log(m / (1 - m)), lambda e: 1 / (1 + np.exp(-e)), lambda e: np.exp(-e) / (1 + np.exp(-e)) ** 2),
+    "logit": (lambda m: np.log(m / (1 - m)), lambda e: 1 / (1 + np.exp(-np.clip(e, -30, 30))), lambda e: np.exp(-np.clip(e, -30, 30)) / (1 + np.exp(-np.clip(e, -30, 30))) ** 2),
 }
 _VARIANCES = {"gaussian": lambda m: np.ones_like(m), "poisson": lambda m: m, "gamma": lambda m: m**2, "inv_gauss": lambda m: m**3, "binomial": lambda m: m * (1 - m)}
 
@@ -103,7 +103,7 @@ def fit_spline(x, y, w, grid, n_knots: int = 6, order: int = 3, distribution: st
     b, g = basis(x, places, order), basis(grid, places, order)
     diff = np.diff(np.eye(b.shape[1]), 2, axis=0)
     ridge = penalty * diff.T @ diff + 1e-8 * np.eye(b.shape[1])
-    start = np.clip(y, 1e-3, None if link == "log" else 1 - 1e-3) if link != "identity" else y
+    start = {"identity": y, "log": np.clip(y, 1e-3, None), "logit": (np.clip(y, 0, 1) + 0.5) / 2}[link]
     eta = to_link(start)
     beta = np.zeros(b.shape[1])
     for _ in range(max_steps):
