@@ -5,84 +5,112 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainframe.functions.arrays import doubles
 
-#: Points of one block; a task holds two blocks. Bytes of all vectors up to which they are broadcast, and queries compared at once.
-BLOCK, BROADCAST_BYTES, AT_ONCE = 4_096, 64 << 20, 256
+#: Bytes of the vectors of one block, of which a task holds two, and of all vectors up to which they are broadcast; queries and points compared at once.
+BLOCK_BYTES, BROADCAST_BYTES, AT_ONCE, TILE = 16 << 20, 16 << 20, 256, 2_048
+#: Pairs of one task, and the least points of a block.
+TASK_PAIRS, LEAST_BLOCK = 100_000_000, 8_192
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _unit(x: pa.Array, rows: int) -> np.ndarray:
+    x = x.flatten().to_numpy().astype(float).reshape(rows, -1)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def _filled(x: np.ndarray, rows: int) -> np.ndarray:
+    return x if len(x) == rows else np.concatenate([x, np.zeros((rows - len(x), x.shape[1]))])
+
+
 def _top(a: np.ndarray, own: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, point ids, cosines) of the k best points, in order of id, for each query, less itself."""
-    cos = a @ b.T
-    cos[own[:, None] == ids[None, :]] = -np.inf
-    if len(ids) > 4 * k:  # all that reach the k-th best, so that ties are settled by id
-        least = -np.partition(-cos, k - 1, 1)[:, k - 1]
-        rows, columns = np.nonzero(cos >= least[:, None])
-        order = np.lexsort((columns, -cos[rows, columns], rows))
-        rows, columns = rows[order], columns[order]
+    """(query numbers, point numbers, cosines) of the k best points, in order of id, for each of at most AT_ONCE queries, less itself.
+
+    Points go by in tiles, of which only those that beat a query's k best so far are looked at. Products are all of one shape, so equal vectors have
+    equal cosines wherever they stand, and ties are settled by id.
+    """
+    rows, columns, found = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    least, asked = np.full(AT_ONCE, np.inf), _filled(a, AT_ONCE)
+    least[: len(a)] = -np.inf
+    first, last = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
+    cos, better = np.empty((AT_ONCE, TILE)), np.empty((AT_ONCE, TILE), bool)
+    for at in range(0, len(b), TILE):
+        size = min(TILE, len(b) - at)
+        np.matmul(asked, _filled(b[at : at + size], TILE).T, out=cos)
+        cos[:, size:] = -np.inf
+        for q in np.flatnonzero((first < at + size) & (last > at)):
+            cos[q, max(first[q] - at, 0) : max(last[q] - at, 0)] = -np.inf
+        np.greater(cos, least[:, None], out=better)
+        if np.count_nonzero(better) > 8 * k * len(a) and k < TILE:  # all that reach the tile's k-th best, so that ties are settled by id
+            better &= cos >= np.partition(cos, TILE - k, 1)[:, TILE - k, None]
+        hits = np.flatnonzero(better)
+        if not len(hits):
+            continue
+        rows, columns, found = np.concatenate([rows, hits // TILE]), np.concatenate([columns, hits % TILE + at]), np.concatenate([found, cos.reshape(-1)[hits]])
+        order = np.lexsort((columns, -found, rows))
+        rows, columns, found = rows[order], columns[order], found[order]
         nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        rows, columns = rows[nth < k], columns[nth < k]
-    else:
-        top = np.argsort(-cos, 1, kind="stable")[:, :k]
-        rows, columns = np.repeat(np.arange(len(own)), top.shape[1]), top.reshape(-1)
-    found = cos[rows, columns]
-    real = found > -np.inf
-    return own[rows[real]], ids[columns[real]], found[real]
+        least[rows[nth == k - 1]] = found[nth == k - 1]
+        rows, columns, found = rows[nth < k], columns[nth < k], found[nth < k]
+    return rows, columns, found
+
+
+def _nearest(i: pa.Array, a: np.ndarray, ids: pa.Array, b: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    own, known = (x.to_numpy(zero_copy_only=False) for x in (i, ids))
+    for at in range(0, len(own), AT_ONCE):
+        rows, columns, found = _top(a[at : at + AT_ONCE], own[at : at + AT_ONCE], b, known, k)
+        yield pa.RecordBatch.from_arrays([i.take(pa.array(rows + at)), ids.take(pa.array(columns)), pa.array(found)], ["i", "j", "cos"])
 
 
-def knn(points: DataFrame, k: int, vector: str = "x", block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def knn(points: DataFrame, k: int, vector: str = "x", block: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(i, j, d, w): the k nearest other points of each by cosine distance d = 1 - cos, with weight w = (1 + cos) / 2; exact, ties by id.
 
     Points (i, vector) have vectors of equal length. If all of them are at most broadcast_bytes, they are broadcast and each task compares its own points with
-    them, without a shuffle. Else points are dealt to blocks by a hash of the id; each task multiplies one query block
-    with one block of points and keeps k a query, so memory is two blocks and what is shuffled on
-    is k rows for each point and block. Vectors of length 0 have cosine 0 with all.
+    them. Else points are dealt to blocks by a hash of the id (an eighth of all, as far as LEAST_BLOCK and BLOCK_BYTES let it); each task compares
+    one block with another and keeps k a query, so memory is two blocks and what is shuffled on is k rows for each point and block. In a task, AT_ONCE
+    points are compared with TILE others at a time, so that its memory does not grow with the points. Vectors of length 0 have cosine 0 with all.
     """
-    unit = points.select("i", doubles(F.col(vector)).alias("x"))
     kind = points.schema["i"].dataType.simpleString()
     out = f"i {kind}, j {kind}, cos double"
-    size = points.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("dims")).first()
-    if size["n"] * (size["dims"] or 0) * 8 <= broadcast_bytes:
-        table = unit.toArrow().sort_by("i")
-        ids = table["i"].to_numpy()
-        every = _unit(np.array(table["x"].combine_chunks().flatten()).reshape(len(ids), -1)) if len(ids) else np.zeros((0, 0))
-        shared = points.sparkSession.sparkContext.broadcast((ids, every))
+    plain = points.schema[vector].dataType.simpleString() in ("array<float>", "array<double>")
+    rows = points.select("i", (F.col(vector) if plain else doubles(F.col(vector))).alias("x"))
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dims")).first()
+    n, width = size["n"], (size["dims"] or 0) * 8
+    if n * width <= broadcast_bytes:
+        table = rows.toArrow().sort_by("i").combine_chunks()
+        ids, x = (table[c].combine_chunks() if n else table[c] for c in ("i", "x"))
+        shared = points.sparkSession.sparkContext.broadcast((ids, _unit(x, n)) if n else None)
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, every = shared.value
             for batch in batches:
-                for at in range(0, batch.num_rows, AT_ONCE):
-                    part = batch.slice(at, AT_ONCE)
-                    a = _unit(part["x"].flatten().to_numpy().reshape(part.num_rows, -1))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _top(a, part["i"].to_numpy(), every, ids, k)], ["i", "j", "cos"])
+                for at in range(0, batch.num_rows, 8 * AT_ONCE):
+                    part = batch.slice(at, 8 * AT_ONCE)
+                    yield from _nearest(part["i"], _unit(part["x"], part.num_rows), ids, every, k)
 
-        best = unit.mapInArrow(near, out)
+        tasks = n * n // TASK_PAIRS
+        best = (rows.repartition(tasks + 1, "i") if tasks else rows).mapInArrow(near, out)
         return best.select("i", "j", (1 - F.col("cos")).alias("d"), ((1 + F.col("cos")) / 2).alias("w"))
-    blocks = max(1, -(-size["n"] // block))
-    unit = unit.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
+    blocks = max(1, -(-n // (block or min(max(n // 8, LEAST_BLOCK), max(BLOCK_BYTES // width, 1)))))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = unit.withColumn("p", each).select(F.col("b").alias("q"), "p", "i", "x", F.lit(True).alias("asks"))
-    others = unit.withColumn("q", each).select("q", F.col("b").alias("p"), "i", "x", F.lit(False).alias("asks"))
+    queries = rows.withColumn("p", each).select(F.col("b").alias("q"), "p", "i", "x", F.lit(True).alias("asks"))
+    others = rows.withColumn("q", each).select("q", F.col("b").alias("p"), "i", "x", F.lit(False).alias("asks"))
 
-    def nearest(rows: pd.DataFrame) -> pd.DataFrame:
-        ask, give = rows[rows["asks"]].sort_values("i"), rows[~rows["asks"]].sort_values("i")
+    def nearest(pair: pa.Table) -> pa.Table:
+        asks = pair["asks"]
+        ask, give = (pair.filter(x).select(["i", "x"]).sort_by("i").combine_chunks() for x in (asks, pc.invert(asks)))
+        none = pa.table({"i": pair["i"].slice(0, 0), "j": pair["i"].slice(0, 0), "cos": pa.array([], pa.float64())})
         if not len(ask) or not len(give):
-            return pd.DataFrame({"i": [], "j": [], "cos": []})
-        a, b = (_unit(np.stack(x["x"].to_list())) for x in (ask, give))
-        own, ids = ask["i"].to_numpy(), give["i"].to_numpy()
-        made = [_top(a[at : at + AT_ONCE], own[at : at + AT_ONCE], b, ids, k) for at in range(0, len(own), AT_ONCE)]
-        return pd.DataFrame(dict(zip(("i", "j", "cos"), (np.concatenate(x) for x in zip(*made)))))
+            return none
+        (i, a), (j, b) = ((x["i"].combine_chunks(), _unit(x["x"].combine_chunks(), len(x))) for x in (ask, give))
+        return pa.Table.from_batches(_nearest(i, a, j, b, k), none.schema)
 
-    found = queries.union(others).groupBy("q", "p").applyInPandas(nearest, out)
+    found = queries.union(others).repartition(blocks * blocks, "q", "p").groupBy("q", "p").applyInArrow(nearest, out)
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("cos"), "j"))).filter(F.col("r") <= k)
     return best.select("i", "j", (1 - F.col("cos")).alias("d"), ((1 + F.col("cos")) / 2).alias("w"))
 

@@ -67,7 +67,7 @@ def points(spark: SparkSession, d: str, dims: int | None = None) -> DataFrame:
 
 
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return neighbors.knn(points(spark, d).select("i", "x"), K)
+    return neighbors.knn(table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").alias("x")), K)
 
 
 def graph(spark: SparkSession, d: str) -> DataFrame:
