@@ -7,8 +7,11 @@ Schur form, which turns the basis, and goes on from the block that was next; wha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainframe.lineage import cut, release
@@ -19,22 +22,34 @@ from chainframe.operators.matrix import apply_to
 DENSE, BLOCK = 1_000, 3
 
 
+def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([batch[name].to_numpy(zero_copy_only=False) for name in names], 1)
+
+
 def times(a: DataFrame, names: list[str], by: np.ndarray, out: list[str]) -> DataFrame:
-    """The wide table times a small matrix."""
+    """The wide table times a small matrix, batch by batch."""
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch, names) @ by
+            yield pa.RecordBatch.from_arrays([batch["i"], *map(pa.array, x.T)], ["i", *out])
+
+    kind = a.schema["i"].dataType.simpleString()
+    return a.select("i", *names).mapInArrow(turned, f"i {kind}, " + ", ".join(f"{x} double" for x in out))
 
-    def column(k: int) -> Column:
-        total = F.lit(0.0)
-        for n, name in enumerate(names):
-            if by[n, k]:
-                total = total + F.col(name) * float(by[n, k])
-        return total
 
-    return a.select("i", *[column(k).alias(out[k]) for k in range(len(out))])
+def _dots(table: DataFrame, names: list[str], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(A left)' (A right) for the wide table A: a sum for each task, added on the driver. As expressions of columns, dozens of columns take Catalyst longer than the work."""
 
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((left.shape[1], right.shape[1]))
+        for batch in batches:
+            x = _matrix(batch, names)
+            total += (x @ left).T @ (x @ right)
+        yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1)], pa.list_(pa.float64()))], ["g"])
 
-def _dots(table: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
-    row = table.agg(*[F.sum(F.col(p) * F.col(q)).alias(f"g{a}_{b}") for a, p in enumerate(left) for b, q in enumerate(right)]).first()
-    return np.array(list(row), float).reshape(len(left), len(right))
+    parts = table.select(*names).mapInArrow(summed, "g array<double>").collect()
+    return np.sum([r["g"] for r in parts], 0).reshape(left.shape[1], right.shape[1]) if parts else np.zeros((left.shape[1], right.shape[1]))
 
 
 def _whole(r: np.ndarray, k: int) -> int:
@@ -85,25 +100,26 @@ def invariant(edges: DataFrame, k: int, tol: float = 1e-9, restarts: int = 200,
 
     def orthonormal(table: DataFrame, done: int, fresh: list[str]) -> tuple[DataFrame, np.ndarray]:
         """The fresh columns made orthonormal and orthogonal to the done ones, as x{done}..., and what they were: old = done * H + new * C."""
-        first = _dots(table, names(0, done), fresh) if done else np.zeros((0, len(fresh)))
-        clear = table.select("i", *names(0, done), *[(F.col(f) - sum((F.col(x) * float(first[a, b]) for a, x in enumerate(names(0, done))), F.lit(0.0))).alias(f) for b, f in enumerate(fresh)])
-        both = _dots(clear, names(0, done) + fresh, fresh)
+        every, one = names(0, done) + fresh, np.eye(done + len(fresh))
+        first = _dots(table, every, one[:, :done], one[:, done:]) if done else np.zeros((0, len(fresh)))
+        clear = one.copy()
+        clear[:done, done:] = -first
+        both = _dots(table, every, clear, clear[:, done:])
         second, gram = both[:done], both[done:] - both[:done].T @ both[:done]
         size, turn = np.linalg.eigh((gram + gram.T) / 2)
         scale = max(float(np.trace(gram) + (first**2).sum()), 1e-300)
         good = size > 1e-20 * scale
         root = np.sqrt(size[good])
         by = np.concatenate([-second @ turn[:, good] / root, turn[:, good] / root])
-        out = clear.select("i", *names(0, done), *[sum((F.col(x) * float(by[a, c]) for a, x in enumerate(names(0, done) + fresh)), F.lit(0.0)).alias(f"x{done + c}") for c in range(good.sum())])
+        out = times(table, every, np.concatenate([one[:, :done], clear @ by], 1), names(0, done + len(root)))
         h = np.concatenate([first + second, (turn[:, good] * root).T])
         if good.any() and root.min() < 1e-5 * root.max():  # once more, as the block was nearly dependent
-            out = cut(out)
-            again = _dots(out, names(0, done + len(root)), names(done, done + len(root)))
+            out, one = cut(out), np.eye(done + len(root))
+            again = _dots(out, names(0, done + len(root)), one, one[:, done:])
             off, gram = again[:done], again[done:]
             half = np.linalg.cholesky(gram - off.T @ off).T
             by = np.linalg.inv(half)
-            full = np.concatenate([-off @ by, by])
-            out = out.select("i", *names(0, done), *[sum((F.col(x) * float(full[a, c]) for a, x in enumerate(names(0, done + len(root)))), F.lit(0.0)).alias(f"x{done + c}") for c in range(len(root))])
+            out = times(out, names(0, done + len(root)), np.concatenate([one[:, :done], np.concatenate([-off @ by, by])], 1), names(0, done + len(root)))
             h = np.concatenate([h[:done] + off @ h[done:], half @ h[done:]])
         return out, h
 
