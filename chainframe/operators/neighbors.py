@@ -6,16 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainframe.functions.arrays import doubles
 
-#: Bytes of the vectors of one block, of which a task holds two, and of all vectors up to which they are broadcast; queries and points compared at once.
+#: Bytes of the vectors of one block of queries, of which a task holds one, and of all vectors up to which they are broadcast; queries and points compared at once.
 BLOCK_BYTES, BROADCAST_BYTES, AT_ONCE, TILE = 16 << 20, 16 << 20, 256, 2_048
-#: Pairs of one task, and the least points of a block.
-TASK_PAIRS, LEAST_BLOCK = 100_000_000, 8_192
+#: Pairs of one task if points are broadcast; else the least blocks of queries, the least points of a block, and the parts of the points, each read by its own tasks.
+TASK_PAIRS, BLOCKS, LEAST_BLOCK, PARTS = 100_000_000, 12, 2_048, 4
 
 
 def _unit(x: pa.Array, rows: int) -> np.ndarray:
@@ -27,52 +26,110 @@ def _filled(x: np.ndarray, rows: int) -> np.ndarray:
     return x if len(x) == rows else np.concatenate([x, np.zeros((rows - len(x), x.shape[1]))])
 
 
-def _top(a: np.ndarray, own: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query numbers, point numbers, cosines) of the k best points, in order of id, for each of at most AT_ONCE queries, less itself.
+class _Best:
+    """The k best points so far of at most AT_ONCE queries, less each itself: query numbers, points and cosines, by query and from the best on.
 
-    Points go by in tiles, of which only those that beat a query's k best so far are looked at. Products are all of one shape, so equal vectors have
-    equal cosines wherever they stand, and ties are settled by id.
+    Points come in tiles, in order of id, of which only those that beat a query's k best so far are looked at. Products are all of one shape, so equal
+    vectors have equal cosines wherever they stand, and ties are settled by id.
     """
-    rows, columns, found = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    least, asked = np.full(AT_ONCE, np.inf), _filled(a, AT_ONCE)
-    least[: len(a)] = -np.inf
-    first, last = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
-    cos, better = np.empty((AT_ONCE, TILE)), np.empty((AT_ONCE, TILE), bool)
-    for at in range(0, len(b), TILE):
-        size = min(TILE, len(b) - at)
-        np.matmul(asked, _filled(b[at : at + size], TILE).T, out=cos)
-        cos[:, size:] = -np.inf
-        for q in np.flatnonzero((first < at + size) & (last > at)):
-            cos[q, max(first[q] - at, 0) : max(last[q] - at, 0)] = -np.inf
-        np.greater(cos, least[:, None], out=better)
-        if np.count_nonzero(better) > 8 * k * len(a) and k < TILE:  # all that reach the tile's k-th best, so that ties are settled by id
+
+    def __init__(self, a: np.ndarray, own: np.ndarray, k: int):
+        self.asked, self.own, self.k = _filled(a, AT_ONCE), own, k
+        self.least = np.full(AT_ONCE, np.inf)
+        self.least[: len(a)] = -np.inf
+        self.rows, self.points, self.found = np.zeros(0, np.int32), None, np.zeros(0)
+
+    def see(self, b: np.ndarray, ids: np.ndarray, points: np.ndarray, room: tuple[np.ndarray, np.ndarray]) -> None:
+        """A tile: vectors (filled up to TILE rows), their ids, and what stands for them in `points`; room for cosines and flags."""
+        cos, better = room
+        np.matmul(self.asked, b.T, out=cos)
+        cos[:, len(ids) :] = -np.inf
+        first, last = np.searchsorted(ids, self.own), np.searchsorted(ids, self.own, "right")
+        for q in np.flatnonzero(first < last):
+            cos[q, first[q] : last[q]] = -np.inf
+        np.greater(cos, self.least[:, None], out=better)
+        k = self.k
+        if np.count_nonzero(better) > 8 * k * len(self.own) and k < TILE:  # all that reach the tile's k-th best, so that ties are settled by id
             better &= cos >= np.partition(cos, TILE - k, 1)[:, TILE - k, None]
         hits = np.flatnonzero(better)
         if not len(hits):
-            continue
-        rows, columns, found = np.concatenate([rows, hits // TILE]), np.concatenate([columns, hits % TILE + at]), np.concatenate([found, cos.reshape(-1)[hits]])
-        order = np.lexsort((columns, -found, rows))
-        rows, columns, found = rows[order], columns[order], found[order]
+            return
+        new = points[hits % TILE]
+        rows = np.concatenate([self.rows, (hits // TILE).astype(np.int32)])
+        near, found = new if self.points is None else np.concatenate([self.points, new]), np.concatenate([self.found, cos.reshape(-1)[hits]])
+        order = np.lexsort((-found, rows))  # stable, so ties stay in order of id
+        rows, found = rows[order], found[order]
         nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        least[rows[nth == k - 1]] = found[nth == k - 1]
-        rows, columns, found = rows[nth < k], columns[nth < k], found[nth < k]
-    return rows, columns, found
+        self.least[rows[nth == k - 1]] = found[nth == k - 1]
+        self.rows, self.points, self.found = rows[nth < k], near[order[nth < k]], found[nth < k]
+
+    def batch(self, kind: pa.DataType) -> pa.RecordBatch:
+        near = [] if self.points is None else self.points
+        return pa.RecordBatch.from_arrays([pa.array(self.own[self.rows], kind), pa.array(near, kind), pa.array(self.found)], ["i", "j", "cos"])
+
+
+def _room() -> tuple[np.ndarray, np.ndarray]:
+    return np.empty((AT_ONCE, TILE)), np.empty((AT_ONCE, TILE), bool)
+
+
+def _seen(a: np.ndarray, own: np.ndarray, b: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> _Best:
+    best, room = _Best(a, own, k), _room()
+    for at in range(0, len(b), TILE):
+        best.see(_filled(b[at : at + TILE], TILE), ids[at : at + TILE], points[at : at + TILE], room)
+    return best
 
 
-def _nearest(i: pa.Array, a: np.ndarray, ids: pa.Array, b: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    own, known = (x.to_numpy(zero_copy_only=False) for x in (i, ids))
-    for at in range(0, len(own), AT_ONCE):
-        rows, columns, found = _top(a[at : at + AT_ONCE], own[at : at + AT_ONCE], b, known, k)
-        yield pa.RecordBatch.from_arrays([i.take(pa.array(rows + at)), ids.take(pa.array(columns)), pa.array(found)], ["i", "j", "cos"])
+def _top(a: np.ndarray, own: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query numbers, point numbers, cosines) of the k best points, in order of id, for each of at most AT_ONCE queries, less itself."""
+    best = _seen(a, own, b, ids, np.arange(len(b)), k)
+    return best.rows, best.points if len(best.rows) else np.zeros(0, int), best.found
+
+
+def _ids(i: pa.Array) -> np.ndarray:
+    """Ids of their own memory: an Arrow slice would hold on to its whole batch."""
+    return np.array(i.to_numpy(zero_copy_only=False))
+
+
+def _compared(k: int):
+    """For mapInArrow over rows (q, p, asks, i, x) sorted by q, p, queries first, and i: the best of each query of q among the points of part p.
+
+    A group's queries are held, its points stream by.
+    """
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, asked, room = None, [], _room()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind, keys = batch.schema.field("i").type, np.stack([batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("q", "p", "asks")])
+            ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            for start, end in zip([0, *ends], [*ends, batch.num_rows]):
+                q, p, asks = keys[:, start]
+                if (q, p) != group:
+                    yield from (best.batch(kind) for best in asked)
+                    group, asked = (q, p), []
+                size = AT_ONCE if asks else TILE
+                for at in range(start, end, size):
+                    part = batch.slice(at, min(size, end - at))
+                    if asks:
+                        asked.append(_Best(_unit(part["x"], part.num_rows), _ids(part["i"]), k))
+                    elif asked:
+                        tile, ids = _filled(_unit(part["x"], part.num_rows), TILE), _ids(part["i"])
+                        for best in asked:
+                            best.see(tile, ids, ids, room)
+        yield from (best.batch(kind) for best in asked)
+
+    return nearest
 
 
 def knn(points: DataFrame, k: int, vector: str = "x", block: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(i, j, d, w): the k nearest other points of each by cosine distance d = 1 - cos, with weight w = (1 + cos) / 2; exact, ties by id.
 
     Points (i, vector) have vectors of equal length. If all of them are at most broadcast_bytes, they are broadcast and each task compares its own points with
-    them. Else points are dealt to blocks by a hash of the id (an eighth of all, as far as LEAST_BLOCK and BLOCK_BYTES let it); each task compares
-    one block with another and keeps k a query, so memory is two blocks and what is shuffled on is k rows for each point and block. In a task, AT_ONCE
-    points are compared with TILE others at a time, so that its memory does not grow with the points. Vectors of length 0 have cosine 0 with all.
+    them. Else a hash of the id deals them, as queries, to blocks (a twelfth of all, as far as LEAST_BLOCK and BLOCK_BYTES let it) and, as points, to
+    PARTS parts; a task holds one block, while the points of one part stream by it in order of id, and keeps k a query. So its memory is a block and a batch
+    however many points there are, and what is shuffled on is k rows for each query and part. AT_ONCE queries are compared with TILE points at a
+    time. Vectors of length 0 have cosine 0 with all.
     """
     kind = points.schema["i"].dataType.simpleString()
     out = f"i {kind}, j {kind}, cos double"
@@ -83,35 +140,26 @@ def knn(points: DataFrame, k: int, vector: str = "x", block: int | None = None,
     if n * width <= broadcast_bytes:
         table = rows.toArrow().sort_by("i").combine_chunks()
         ids, x = (table[c].combine_chunks() if n else table[c] for c in ("i", "x"))
-        shared = points.sparkSession.sparkContext.broadcast((ids, _unit(x, n)) if n else None)
+        shared = points.sparkSession.sparkContext.broadcast((_ids(ids), _unit(x, n)) if n else None)
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, every = shared.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 8 * AT_ONCE):
-                    part = batch.slice(at, 8 * AT_ONCE)
-                    yield from _nearest(part["i"], _unit(part["x"], part.num_rows), ids, every, k)
+                for at in range(0, batch.num_rows, AT_ONCE):
+                    part = batch.slice(at, AT_ONCE)
+                    yield _seen(_unit(part["x"], part.num_rows), _ids(part["i"]), every, ids, ids, k).batch(part["i"].type)
 
         tasks = n * n // TASK_PAIRS
         best = (rows.repartition(tasks + 1, "i") if tasks else rows).mapInArrow(near, out)
         return best.select("i", "j", (1 - F.col("cos")).alias("d"), ((1 + F.col("cos")) / 2).alias("w"))
-    blocks = max(1, -(-n // (block or min(max(n // 8, LEAST_BLOCK), max(BLOCK_BYTES // width, 1)))))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = rows.withColumn("p", each).select(F.col("b").alias("q"), "p", "i", "x", F.lit(True).alias("asks"))
-    others = rows.withColumn("q", each).select("q", F.col("b").alias("p"), "i", "x", F.lit(False).alias("asks"))
-
-    def nearest(pair: pa.Table) -> pa.Table:
-        asks = pair["asks"]
-        ask, give = (pair.filter(x).select(["i", "x"]).sort_by("i").combine_chunks() for x in (asks, pc.invert(asks)))
-        none = pa.table({"i": pair["i"].slice(0, 0), "j": pair["i"].slice(0, 0), "cos": pa.array([], pa.float64())})
-        if not len(ask) or not len(give):
-            return none
-        (i, a), (j, b) = ((x["i"].combine_chunks(), _unit(x["x"].combine_chunks(), len(x))) for x in (ask, give))
-        return pa.Table.from_batches(_nearest(i, a, j, b, k), none.schema)
-
-    found = queries.union(others).repartition(blocks * blocks, "q", "p").groupBy("q", "p").applyInArrow(nearest, out)
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("cos"), "j"))).filter(F.col("r") <= k)
+    blocks = max(1, -(-n // (block or min(max(n // BLOCKS, LEAST_BLOCK), max(BLOCK_BYTES // width, 1)))))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("i"), F.lit(blocks * PARTS)).cast("int"))
+    q, p = F.floor(F.col("h") / PARTS).cast("int"), F.pmod("h", F.lit(PARTS))
+    all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    queries = rows.select(q.alias("q"), all_of(PARTS).alias("p"), F.lit(True).alias("asks"), "i", "x")
+    others = rows.select(all_of(blocks).alias("q"), p.alias("p"), F.lit(False).alias("asks"), "i", "x")
+    dealt = queries.union(others).repartition(4 * blocks * PARTS, "q", "p").sortWithinPartitions("q", "p", F.desc("asks"), "i")
+    best = dealt.mapInArrow(_compared(k), out).withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("cos"), "j"))).filter(F.col("r") <= k)
     return best.select("i", "j", (1 - F.col("cos")).alias("d"), ((1 + F.col("cos")) / 2).alias("w"))
 
 
