@@ -8,6 +8,7 @@ from chainframe.plans.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "neighbor_topk_distances",
+    "velocity_kernel_cosine_whole",
 ]
 
 
