@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "neighbor_topk_distances",
     "velocity_kernel_cosine_whole",
+    "kernel_sum",
 ]
 
 
