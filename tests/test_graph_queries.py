@@ -10,6 +10,7 @@ NAMES = [
     "neighbor_topk_distances",
     "velocity_kernel_cosine_whole",
     "kernel_sum",
+    "velocity_kernel_cosine",
 ]
 
 
