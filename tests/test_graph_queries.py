@@ -11,6 +11,7 @@ NAMES = [
     "velocity_kernel_cosine_whole",
     "kernel_sum",
     "velocity_kernel_cosine",
+    "softmax_scale_whole",
 ]
 
 
