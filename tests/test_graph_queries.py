@@ -12,6 +12,7 @@ NAMES = [
     "kernel_sum",
     "velocity_kernel_cosine",
     "softmax_scale_whole",
+    "velocity_kernel_dot",
 ]
 
 
