@@ -13,6 +13,7 @@ NAMES = [
     "velocity_kernel_cosine",
     "softmax_scale_whole",
     "velocity_kernel_dot",
+    "cross_boundary_correctness_whole",
 ]
 
 
