@@ -14,6 +14,7 @@ NAMES = [
     "softmax_scale_whole",
     "velocity_kernel_dot",
     "cross_boundary_correctness_whole",
+    "velocity_kernel_custom",
 ]
 
 
