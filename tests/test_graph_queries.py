@@ -15,6 +15,7 @@ NAMES = [
     "velocity_kernel_dot",
     "cross_boundary_correctness_whole",
     "velocity_kernel_custom",
+    "cross_boundary_correctness",
 ]
 
 
