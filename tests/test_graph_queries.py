@@ -16,6 +16,7 @@ NAMES = [
     "cross_boundary_correctness_whole",
     "velocity_kernel_custom",
     "cross_boundary_correctness",
+    "velocity_kernel_dot_whole",
 ]
 
 
