@@ -17,6 +17,7 @@ NAMES = [
     "velocity_kernel_custom",
     "cross_boundary_correctness",
     "velocity_kernel_dot_whole",
+    "velocity_kernel_correlation",
 ]
 
 
