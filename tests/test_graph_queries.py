@@ -18,6 +18,7 @@ NAMES = [
     "cross_boundary_correctness",
     "velocity_kernel_dot_whole",
     "velocity_kernel_correlation",
+    "kernel_product",
 ]
 
 
