@@ -19,6 +19,7 @@ NAMES = [
     "velocity_kernel_dot_whole",
     "velocity_kernel_correlation",
     "kernel_product",
+    "connected_components",
 ]
 
 
