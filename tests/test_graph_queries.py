@@ -20,6 +20,7 @@ NAMES = [
     "velocity_kernel_correlation",
     "kernel_product",
     "connected_components",
+    "knn_moments_whole",
 ]
 
 
