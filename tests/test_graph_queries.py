@@ -21,6 +21,7 @@ NAMES = [
     "kernel_product",
     "connected_components",
     "knn_moments_whole",
+    "classes_by_size",
 ]
 
 
