@@ -22,6 +22,7 @@ NAMES = [
     "connected_components",
     "knn_moments_whole",
     "classes_by_size",
+    "label_propagation",
 ]
 
 
