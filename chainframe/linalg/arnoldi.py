@@ -1,7 +1,7 @@
 """Leading invariant subspaces of a matrix given as an edge table, by block Arnoldi steps with Krylov-Schur restarts.
 
-A basis is a wide table (i, x0, x1, ...). A step is one join and sum for a block of columns, two aggregates of dot products
-(Gram-Schmidt twice) and one write; only the small projected matrix is on the driver. A restart keeps the leading part of its sorted real
+A basis is a wide table (i, x0, x1, ...), in packets while it grows. A step is one product for a block of columns with one write, and one or two sums of dot
+products (Gram-Schmidt twice, where the first took much away); only the small projected matrix is on the driver. A restart keeps the leading part of its sorted real
 Schur form, which turns the basis, and goes on from the block that was next; what has converged is locked.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from chainframe.lineage import cut, release
 from chainframe.linalg.dense import blocks, sorted_schur
-from chainframe.operators.matrix import apply_to
+from chainframe.linalg.packets import dealt, dots, gram, matrix, packed, turned, unpacked, with_columns, with_product
 
 #: States up to which the driver takes the whole matrix, and columns of a block.
 DENSE, BLOCK = 1_000, 3
@@ -38,20 +38,6 @@ def times(a: DataFrame, names: list[str], by: np.ndarray, out: list[str]) -> Dat
     return a.select("i", *names).mapInArrow(turned, f"i {kind}, " + ", ".join(f"{x} double" for x in out))
 
 
-def _dots(table: DataFrame, names: list[str], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """(A left)' (A right) for the wide table A: a sum for each task, added on the driver. As expressions of columns, dozens of columns take Catalyst longer than the work."""
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((left.shape[1], right.shape[1]))
-        for batch in batches:
-            x = _matrix(batch, names)
-            total += (x @ left).T @ (x @ right)
-        yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1)], pa.list_(pa.float64()))], ["g"])
-
-    parts = table.select(*names).mapInArrow(summed, "g array<double>").collect()
-    return np.sum([r["g"] for r in parts], 0).reshape(left.shape[1], right.shape[1]) if parts else np.zeros((left.shape[1], right.shape[1]))
-
-
 def _whole(r: np.ndarray, k: int) -> int:
     """k, or one more if k would split a pair of eigenvalues."""
     return k + 1 if k < len(r) and r[k, k - 1] != 0 else k
@@ -95,69 +81,79 @@ def invariant(edges: DataFrame, k: int, tol: float = 1e-9, restarts: int = 200,
         rows = [(x, *map(float, q[a])) for x, a in at.items()]
         return edges.sparkSession.createDataFrame(rows, f"i {kind}, " + ", ".join(f"x{c} double" for c in range(k))), r, float(np.linalg.norm(t @ q - q @ r))
     most = min(columns or max(2 * k + 8 * BLOCK, 30), n)
-    noise = lambda a, b: ((F.pmod(F.xxhash64(F.lit(seed), F.lit(a), F.lit(b), "i"), F.lit(1_000_003)) / 1_000_003.0) - 0.5)
-    names = lambda a, b: [f"x{c}" for c in range(a, b)]
-
-    def orthonormal(table: DataFrame, done: int, fresh: list[str]) -> tuple[DataFrame, np.ndarray]:
-        """The fresh columns made orthonormal and orthogonal to the done ones, as x{done}..., and what they were: old = done * H + new * C."""
-        every, one = names(0, done) + fresh, np.eye(done + len(fresh))
-        first = _dots(table, every, one[:, :done], one[:, done:]) if done else np.zeros((0, len(fresh)))
-        clear = one.copy()
+    places, tasks = dealt(ids, n)
+    entries = cut(matrix(edges, places, tasks))
+    release(edges)
+    release(ids)
+
+    def noise(a: int, fresh: range) -> DataFrame:
+        """Columns of numbers by a hash of the id."""
+        number = lambda b: ((F.pmod(F.xxhash64(F.lit(seed), F.lit(a), F.lit(b), "i"), F.lit(1_000_003)) / 1_000_003.0) - 0.5)
+        one = lambda b: F.lit(1.0) if (a, b) == (0, 0) else number(b)
+        return packed(places.select("b", "p", *[one(b).alias(f"s{b}") for b in fresh]), [f"s{b}" for b in fresh], tasks)
+
+    def orthonormal(table: DataFrame, done: int, fresh: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        """(table, turn, H): table times turn has the done columns, and the fresh ones made orthonormal and orthogonal to them; H is what they were, table = (table turn) H."""
+        one, every = np.eye(done + fresh), gram(table, done + fresh)
+        first, second = every[:done, done:], np.zeros((done, fresh))
+        clear, rest = one.copy(), every[done:, done:] - first.T @ first
         clear[:done, done:] = -first
-        both = _dots(table, every, clear, clear[:, done:])
-        second, gram = both[:done], both[done:] - both[:done].T @ both[:done]
-        size, turn = np.linalg.eigh((gram + gram.T) / 2)
-        scale = max(float(np.trace(gram) + (first**2).sum()), 1e-300)
+        if np.linalg.eigvalsh(rest).min() < 0.01 * np.trace(every[done:, done:]):  # again, as it took much away
+            both = dots(table, clear, clear[:, done:])
+            second, rest = both[:done], both[done:] - both[:done].T @ both[:done]
+        size, turn = np.linalg.eigh((rest + rest.T) / 2)
+        scale = max(float(np.trace(rest) + (first**2).sum()), 1e-300)
         good = size > 1e-20 * scale
         root = np.sqrt(size[good])
         by = np.concatenate([-second @ turn[:, good] / root, turn[:, good] / root])
-        out = times(table, every, np.concatenate([one[:, :done], clear @ by], 1), names(0, done + len(root)))
+        whole = np.concatenate([one[:, :done], clear @ by], 1)
         h = np.concatenate([first + second, (turn[:, good] * root).T])
         if good.any() and root.min() < 1e-5 * root.max():  # once more, as the block was nearly dependent
-            out, one = cut(out), np.eye(done + len(root))
-            again = _dots(out, names(0, done + len(root)), one, one[:, done:])
-            off, gram = again[:done], again[done:]
-            half = np.linalg.cholesky(gram - off.T @ off).T
+            old, table, one = table, cut(turned(table, whole)), np.eye(done + len(root))
+            release(old)
+            again = gram(table, done + len(root))[:, done:]
+            off, rest = again[:done], again[done:]
+            half = np.linalg.cholesky(rest - off.T @ off).T
             by = np.linalg.inv(half)
-            out = times(out, names(0, done + len(root)), np.concatenate([one[:, :done], np.concatenate([-off @ by, by])], 1), names(0, done + len(root)))
+            whole = np.concatenate([one[:, :done], np.concatenate([-off @ by, by])], 1)
             h = np.concatenate([h[:done] + off @ h[done:], half @ h[done:]])
-        return out, h
+        return table, whole, h
 
-    start = ids.select("i", F.lit(1.0).alias("s0"), *[noise(0, b).alias(f"s{b}") for b in range(1, BLOCK)])
-    basis, h0 = orthonormal(cut(start), 0, [f"s{b}" for b in range(BLOCK)])
-    basis = kept = cut(basis)
+    # the basis is table times turn: a step writes its table once, and restarts only change the turn
+    table, turn, h0 = orthonormal(cut(noise(0, range(BLOCK))), 0, BLOCK)
     have, spread, h = h0.shape[0], 0, np.zeros((h0.shape[0], 0))  # columns, those of them multiplied, and the projection
+
+    def grow(more: DataFrame, fresh: int) -> np.ndarray:
+        nonlocal table, turn, have
+        old = table
+        table, turn, h0 = orthonormal(cut(more), have, fresh)
+        release(old)
+        have = h0.shape[0]
+        return h0
+
     for restart in range(restarts):
         while spread < most and spread < have:
-            fresh = names(spread, have)
-            moved = apply_to(edges, basis.select("i", *fresh), fresh).select("i", *[F.col(x).alias(f"w{b}") for b, x in enumerate(fresh)])
-            image = cut(basis.join(moved, "i", "left").fillna(0.0, [f"w{b}" for b in range(len(fresh))]))
-            basis, more = orthonormal(image, have, [f"w{b}" for b in range(len(fresh))])
-            grown = np.zeros((more.shape[0], spread + len(fresh)))
-            grown[:have, :spread], grown[:, spread:] = h, more
-            h, spread, have = grown, have, more.shape[0]
-            basis = cut(basis)
-            release(image)
-            release(kept)
-            kept = basis
+            fresh, before = have - spread, have
+            more = grow(with_product(table, turn, entries, fresh, tasks), fresh)
+            grown = np.zeros((have, spread + fresh))
+            grown[:before, :spread], grown[:, spread:] = h, more
+            h, spread = grown, before
             if have == spread < min(most, n):  # invariant already: a further start finds what it misses
-                basis, more = orthonormal(cut(basis.select("*", *[noise(restart + 1, have + b).alias(f"s{b}") for b in range(min(BLOCK, n - have))])), have, [f"s{b}" for b in range(min(BLOCK, n - have))])
-                h = np.concatenate([h, np.zeros((more.shape[0] - have, spread))])
-                basis, have = cut(basis), more.shape[0]
-                kept = basis
+                fresh = min(BLOCK, n - have)
+                grow(with_columns(table, turn, noise(restart + 1, range(have, have + fresh)), fresh, tasks), fresh)
+                h = np.concatenate([h, np.zeros((have - spread, spread))])
         r, q = sorted_schur(h[:spread, :spread])
         tail = h[spread:, :] @ q
         tail[:, np.linalg.norm(tail, axis=0) < 1e-15] = 0.0  # locked
         wanted = _whole(r, min(k, spread))
         left = float(np.linalg.norm(tail[:, :wanted]))
         if left <= tol * max(1.0, np.linalg.norm(r[:wanted, :wanted], 2)):
-            return cut(times(basis, names(0, spread), q[:, :wanted], names(0, wanted))), r[:wanted, :wanted], left
+            basis = cut(unpacked(turned(table, turn[:, :spread] @ q[:, :wanted]), [f"x{c}" for c in range(wanted)], places))
+            for x in (table, entries, places):
+                release(x)
+            return basis, r[:wanted, :wanted], left
         keep = _whole(r, min(wanted + max((spread - wanted) // 3, 1), spread - 1))
-        turn = np.zeros((have, keep + have - spread))
-        turn[:spread, :keep], turn[spread:, keep:] = q[:, :keep], np.eye(have - spread)
-        basis = cut(times(basis, names(0, have), turn, names(0, keep + have - spread)))
-        release(kept)
-        kept = basis
+        turn = np.concatenate([turn[:, :spread] @ q[:, :keep], turn[:, spread:]], 1)
         h, spread, have = np.concatenate([r[:keep, :keep], tail[:, :keep]]), keep, keep + have - spread
     raise RuntimeError(f"no convergence in {restarts} restarts: residual {left:.3g}")
 

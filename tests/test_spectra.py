@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 
-from chainframe.linalg import arnoldi
+from chainframe.linalg import arnoldi, packets
 from chainframe.operators import macrostates, spectral
+from chainframe.plans.queries import QUERIES
 from chainframe.sources.store import from_entries
 from tests.test_operators import CHAIN, dense
 
@@ -83,3 +84,69 @@ def test_wide_bases_make_no_wide_expressions(spark, monkeypatch):
     basis, r, gap = arnoldi.invariant(table(spark, t).coalesce(1), 2, 1e-2, columns=24)
     x = np.array([row[1:] for row in sorted(basis.collect())])
     assert np.allclose(x.T @ x, np.eye(2), atol=1e-9) and np.linalg.norm(t @ x - x @ r) < 2e-2
+
+
+def small_packets(monkeypatch):
+    monkeypatch.setattr(arnoldi, "DENSE", 50)
+    for name, value in (("STATES", 24), ("LEAST", 4), ("PACKETS", 3), ("ENTRIES", 10)):
+        monkeypatch.setattr(packets, name, value)
+
+
+def test_a_product_of_packets_is_that_of_the_matrix(spark, monkeypatch):
+    """Of several packets and rows of entries, ids that are no numbers, entries that occur twice, and states that none leads from or to."""
+    small_packets(monkeypatch)
+    rng = np.random.default_rng(8)
+    t = rng.random((90, 90)) * (rng.random((90, 90)) < 0.1)
+    t[:, 7] = rng.random(90)  # all lead to one
+    t[3], t[:, 4] = 0, 0
+    entries = [(f"s{i}", f"s{j}", float(t[i, j])) for i, j in zip(*np.nonzero(t))]
+    edges = from_entries(spark, entries + entries[:20], "string")
+    for i, j, w in entries[:20]:
+        t[int(i[1:]), int(j[1:])] += w
+    x, turn = rng.random((90, 3)), rng.random((3, 4))
+    ids = spark.createDataFrame([(f"s{i}", *map(float, v)) for i, v in enumerate(x)], "i string, u double, v double, w double")
+    places, tasks = packets.dealt(ids, 90)
+    assert places.select("b").distinct().count() == 4
+    table_ = packets.packed(places.join(ids, "i"), ["u", "v", "w"], tasks)
+    both = packets.with_product(table_, turn, packets.matrix(edges, places, tasks), 2, tasks)
+    rows = {r["i"]: list(r)[1:] for r in packets.unpacked(both, list("cdefgh"), places).collect()}
+    got, y = np.array([rows[f"s{i}"] for i in range(90)]), x @ turn
+    assert np.allclose(got, np.concatenate([y, t @ y[:, 2:]], 1), atol=1e-12)
+    assert np.allclose(packets.gram(both, 6), got.T @ got) and np.allclose(packets.dots(both, np.eye(6)[:, :2], np.eye(6)[:, 2:]), got[:, :2].T @ got[:, 2:])
+
+
+def test_the_iteration_writes_packets_once_a_step(spark, monkeypatch):
+    """It wrote a row for each state twice a step, and moved a row for each entry."""
+    small_packets(monkeypatch)
+    t, cut, written = rotating(10, 12), arnoldi.cut, []
+
+    def counted(df):
+        written.append(cut(df))
+        return written[-1]
+
+    monkeypatch.setattr(arnoldi, "cut", counted)
+    monkeypatch.setattr(arnoldi, "release", lambda df: None)
+    basis, r, gap = arnoldi.invariant(table(spark, t), 3)
+    rows = [x.count() for x in written]
+    assert len(rows) > 10 and sum(rows) <= np.count_nonzero(t) + 120 + np.count_nonzero(t) // 5 + 6 * len(rows) + 120
+    x = np.array([row[1:] for row in sorted(basis.collect())])
+    assert np.allclose(x.T @ x, np.eye(len(r)), atol=1e-9) and np.linalg.norm(t @ x - x @ r) < 1e-8
+
+
+class _Reached(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["macrostate_memberships_crisp"])
+def test_queries_multiply_by_packets(spark, monkeypatch, name):
+    """A product of theirs reads a row for each packet or pair of packets; it read one for each state and entry."""
+
+    def reached(table, turn, entries, fresh, tasks):
+        assert table.count() == 21 and entries.count() < 4_000
+        raise _Reached
+
+    small_packets(monkeypatch)
+    monkeypatch.setattr(packets, "ENTRIES", 1_000)
+    monkeypatch.setattr(arnoldi, "with_product", reached)
+    with pytest.raises(_Reached):
+        QUERIES[name](spark, "/root/testdata/sf0.001").count()
