@@ -137,7 +137,7 @@ class _Reached(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["macrostate_memberships_crisp"])
+@pytest.mark.parametrize("name", ["macrostate_memberships_crisp", "spectral_terminal_states"])
 def test_queries_multiply_by_packets(spark, monkeypatch, name):
     """A product of theirs reads a row for each packet or pair of packets; it read one for each state and entry."""
 
